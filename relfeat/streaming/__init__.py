@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream, watermark or late-data code; its only time semantics is the
+batch cutoff rule (a child row counts when ``time < cutoff``), implemented in
+``relfeat.plans.synthesis``.  Nothing streaming is built, by design.
+"""
