@@ -295,3 +295,219 @@ ORACLE_SQL = {
     "epoch_ns": EPOCH_NS,
     "drop_text": DROP_TEXT,
 }
+
+
+# ---- second batch ------------------------------------------------------------------------------------
+TEMPORAL_DIFF = f"""
+WITH task AS ({QUARTER_TASK}),
+a AS (
+  SELECT t.c_custkey, t.cutoff_time,
+         MAX(o.o_totalprice) AS mx_p, MIN(o.o_totalprice) AS mn_p, {mean_dbl('o.o_totalprice')} AS av_p,
+         STDDEV_SAMP(o.o_totalprice) AS sd_p,
+         MAX(epoch_ns(o.o_orderdate)) AS mx_d, MIN(epoch_ns(o.o_orderdate)) AS mn_d,
+         {mean_int('epoch_ns(o.o_orderdate)')} AS av_d, COUNT(*) AS n
+  FROM task t JOIN orders o ON o.o_custkey = t.c_custkey AND o.o_orderdate < t.cutoff_time
+  GROUP BY t.c_custkey, t.cutoff_time)
+SELECT t.c_custkey, t.cutoff_time, {CUST_ATTRS},
+       a.mx_p AS customer_MAX_orders_o_totalprice, a.mn_p AS customer_MIN_orders_o_totalprice,
+       a.av_p AS customer_MEAN_orders_o_totalprice, a.sd_p AS customer_STD_orders_o_totalprice,
+       CAST(epoch_ns(t.cutoff_time) - a.mx_d AS DOUBLE) AS customer_MAX_orders_o_orderdate_epochtime_diff,
+       CAST(epoch_ns(t.cutoff_time) - a.mn_d AS DOUBLE) AS customer_MIN_orders_o_orderdate_epochtime_diff,
+       CAST(epoch_ns(t.cutoff_time) AS DOUBLE) - a.av_d AS customer_MEAN_orders_o_orderdate_epochtime_diff,
+       COALESCE(a.n, 0) AS customer_COUNT_orders
+FROM task t LEFT JOIN customer c ON c.c_custkey = t.c_custkey
+LEFT JOIN a ON a.c_custkey = t.c_custkey AND a.cutoff_time = t.cutoff_time
+"""
+
+SHIFT_TIME = f"""
+WITH task AS (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 1 SECOND AS cutoff_time FROM orders),
+d AS (SELECT DISTINCT o_custkey, cutoff_time FROM task),
+a AS (SELECT d.o_custkey, d.cutoff_time, MAX(o.o_totalprice) AS mx_p, MAX(epoch_ns(o.o_orderdate)) AS mx_d,
+             COUNT(*) AS n
+      FROM d JOIN orders o ON o.o_custkey = d.o_custkey AND o.o_orderdate < d.cutoff_time GROUP BY 1, 2)
+SELECT t.o_orderkey, t.o_custkey, t.cutoff_time, {CUST_ATTRS},
+       a.mx_p AS customer_MAX_orders_o_totalprice, a.mx_d AS customer_MAX_orders_o_orderdate_epochtime,
+       COALESCE(a.n, 0) AS customer_COUNT_orders
+FROM task t LEFT JOIN customer c ON c.c_custkey = t.o_custkey
+LEFT JOIN a ON a.o_custkey = t.o_custkey AND a.cutoff_time = t.cutoff_time
+"""
+
+TYPE_CAST = """
+SELECT o_orderkey,
+       CAST(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus = 'F' END AS FLOAT) AS is_final,
+       CAST(CASE WHEN o_orderstatus = 'O' THEN NULL ELSE length(o_orderpriority) END AS FLOAT) AS prio_len,
+       o_totalprice, o_orderpriority
+FROM orders
+"""
+
+LABEL_ENCODE = """
+WITH tr AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
+s AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT COALESCE(o_orderstatus, 'nan') AS v FROM tr)),
+p AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT COALESCE(o_orderpriority, 'nan') AS v FROM tr))
+SELECT tr.o_orderkey, s.code AS o_orderstatus, p.code AS o_orderpriority
+FROM tr JOIN s ON s.v = COALESCE(tr.o_orderstatus, 'nan') JOIN p ON p.v = COALESCE(tr.o_orderpriority, 'nan')
+"""
+
+LABEL_ENCODE_UNSEEN = """
+WITH tr AS (SELECT * FROM orders WHERE o_orderpriority <> '5-LOW'),
+s_seen AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT o_orderstatus AS v FROM tr)),
+s_new AS (SELECT v, (SELECT COUNT(*) FROM s_seen) + dense_rank() OVER (ORDER BY v) - 1 AS code
+          FROM (SELECT DISTINCT o_orderstatus AS v FROM orders WHERE o_orderstatus NOT IN (SELECT v FROM s_seen))),
+p_seen AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT o_orderpriority AS v FROM tr)),
+p_new AS (SELECT v, (SELECT COUNT(*) FROM p_seen) + dense_rank() OVER (ORDER BY v) - 1 AS code
+          FROM (SELECT DISTINCT o_orderpriority AS v FROM orders WHERE o_orderpriority NOT IN (SELECT v FROM p_seen))),
+s AS (SELECT * FROM s_seen UNION ALL SELECT * FROM s_new),
+p AS (SELECT * FROM p_seen UNION ALL SELECT * FROM p_new)
+SELECT o.o_orderkey, s.code AS o_orderstatus, p.code AS o_orderpriority
+FROM orders o JOIN s ON s.v = o.o_orderstatus JOIN p ON p.v = o.o_orderpriority
+"""
+
+DATETIME_PARTS = """
+SELECT o_orderkey, epoch_ns(o_orderdate) AS cutoff_time, CAST(year(o_orderdate) AS BIGINT) AS cutoff_time_year,
+       CAST(month(o_orderdate) AS BIGINT) AS cutoff_time_month, CAST(day(o_orderdate) AS BIGINT) AS cutoff_time_day,
+       CAST(isodow(o_orderdate) - 1 AS BIGINT) AS cutoff_time_dayofweek
+FROM orders
+"""
+
+DROP_CONSTANT = f"SELECT c.c_custkey, {CUST_ATTRS} FROM customer c"
+
+SAMPLE_UNIFORM = """
+SELECT o_orderkey, o_custkey, o_orderdate AS cutoff_time, o_totalprice AS target
+FROM orders ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR)) LIMIT 1000
+"""
+
+_LINE_H = ("md5('42|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|' || "
+           "CAST(l_partkey AS VARCHAR) || '|' || CAST(l_suppkey AS VARCHAR))")
+_LINE = (f"SELECT l_returnflag AS target, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate AS cutoff_time, "
+         f"{_LINE_H} AS h FROM lineitem")
+_LCOLS = "target, l_orderkey, l_linenumber, l_partkey, l_suppkey, cutoff_time"
+
+SAMPLE_COVERAGE = f"""
+WITH h AS ({_LINE}),
+f AS (SELECT * FROM h WHERE target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY target ORDER BY h) = 1),
+r AS (SELECT * FROM h WHERE h NOT IN (SELECT h FROM f) ORDER BY h LIMIT (1000 - (SELECT COUNT(*) FROM f)))
+SELECT {_LCOLS} FROM f UNION ALL SELECT {_LCOLS} FROM r
+"""
+
+SAMPLE_BALANCED = f"""
+WITH h AS ({_LINE}),
+k AS (SELECT COUNT(DISTINCT COALESCE(target, '<null>')) AS n_classes FROM h),
+q AS (SELECT GREATEST(1, 1000 // n_classes) AS quota FROM k),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY h) AS rn FROM h WHERE target IS NOT NULL),
+b AS (SELECT * FROM ranked WHERE rn <= (SELECT quota FROM q)),
+l AS (SELECT * FROM ranked WHERE rn > (SELECT quota FROM q) ORDER BY h
+      LIMIT GREATEST(0, 1000 - (SELECT COUNT(*) FROM b)))
+SELECT {_LCOLS} FROM b UNION ALL SELECT {_LCOLS} FROM l
+"""
+
+CHURN_TASK = f"""
+SELECT c.c_custkey, q.cutoff_time,
+       CASE WHEN EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderdate >= q.cutoff_time
+                         AND o.o_orderdate < q.cutoff_time + INTERVAL 90 DAY) THEN 0 ELSE 1 END AS churn
+FROM customer c, {QUARTERS}
+"""
+
+TARGET_HISTORY = f"""
+SELECT c_custkey, cutoff_time, epoch_ns(cutoff_time) AS cutoff_time_epochtime, CAST(churn AS BIGINT) AS churn
+FROM ({CHURN_TASK})
+"""
+
+TARGET_HISTORY_MEAN = f"""
+WITH h AS ({CHURN_TASK}),
+task AS ({QUARTER_TASK}),
+a AS (SELECT t.c_custkey, t.cutoff_time, MAX(epoch_ns(h.cutoff_time)) AS x_t, {mean_int('epoch_ns(h.cutoff_time)')} AS m_t,
+             MAX(CAST(h.churn AS BIGINT)) AS x_c, {mean_int('h.churn')} AS m_c, COUNT(*) AS n
+      FROM task t JOIN h ON h.c_custkey = t.c_custkey AND h.cutoff_time < t.cutoff_time GROUP BY 1, 2)
+SELECT t.c_custkey, t.cutoff_time, {CUST_ATTRS},
+       a.x_t AS customer_MAX_RDBL_target_history_cutoff_time_epochtime,
+       a.m_t AS customer_MEAN_RDBL_target_history_cutoff_time_epochtime,
+       a.x_c AS customer_MAX_RDBL_target_history_churn, a.m_c AS customer_MEAN_RDBL_target_history_churn,
+       COALESCE(a.n, 0) AS customer_COUNT_RDBL_target_history
+FROM task t LEFT JOIN customer c ON c.c_custkey = t.c_custkey
+LEFT JOIN a ON a.c_custkey = t.c_custkey AND a.cutoff_time = t.cutoff_time
+"""
+
+PREPARE_DB = """
+SELECT 'customer' AS table_name, COUNT(*) AS n_rows FROM customer
+UNION ALL SELECT 'events', COUNT(*) FROM events
+UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem
+UNION ALL SELECT 'nation', COUNT(*) FROM nation
+UNION ALL SELECT 'orders', COUNT(*) FROM orders
+UNION ALL SELECT 'part', COUNT(*) FROM part
+UNION ALL SELECT 'region', COUNT(*) FROM region
+UNION ALL SELECT 'supplier', COUNT(*) FROM supplier
+UNION ALL SELECT 'users', COUNT(DISTINCT user_id) FROM events
+"""
+
+FLOAT_KEY_NORMALIZE = """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+       CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS cust_f
+FROM orders
+"""
+
+VALIDATE_KEYS = """
+WITH kept AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING')
+SELECT 'nation' AS table_name, 'n_nationkey' AS column_name, 'duplicate_primary_key' AS "check",
+       (SELECT COUNT(*) FROM (SELECT n_nationkey FROM nation GROUP BY 1 HAVING COUNT(*) > 1)) AS n_bad
+UNION ALL SELECT 'customer', 'c_custkey', 'duplicate_primary_key',
+       (SELECT COUNT(*) FROM (SELECT c_custkey FROM kept GROUP BY 1 HAVING COUNT(*) > 1))
+UNION ALL SELECT 'orders', 'o_orderkey', 'duplicate_primary_key',
+       (SELECT COUNT(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING COUNT(*) > 1))
+UNION ALL SELECT 'customer', 'c_nationkey', 'orphan_foreign_key',
+       (SELECT COUNT(*) FROM kept WHERE c_nationkey IS NOT NULL AND c_nationkey NOT IN (SELECT n_nationkey FROM nation))
+UNION ALL SELECT 'orders', 'o_custkey', 'orphan_foreign_key',
+       (SELECT COUNT(*) FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM kept))
+"""
+
+ROC_AUC = """
+WITH g AS (SELECT o_totalprice AS s, SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS pos,
+                  SUM(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) AS neg
+           FROM orders WHERE o_totalprice IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY 1),
+r AS (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g)
+SELECT SUM(pos * (nb + neg * 0.5)) / (CAST(SUM(pos) AS DOUBLE) * SUM(neg)) AS auc FROM r
+"""
+
+MAE = f"""
+WITH f AS ({CUTOFF_BOUNDARY})
+SELECT AVG(ABS(o.o_totalprice - f.customer_MEAN_orders_o_totalprice)) AS mae
+FROM f JOIN orders o ON o.o_orderkey = f.o_orderkey WHERE f.customer_MEAN_orders_o_totalprice IS NOT NULL
+"""
+
+DATASET_ROUND_TRIP = f"SELECT * FROM ({CHURN_TASK}) WHERE cutoff_time < TIMESTAMP '2000-01-01'"
+
+TASK_IMPORT_ENTITY = f"""
+SELECT t.c_custkey, t.cutoff_time, t.churn, {CUST_ATTRS}
+FROM ({CHURN_TASK}) t LEFT JOIN customer c ON c.c_custkey = t.c_custkey
+WHERE t.cutoff_time >= TIMESTAMP '2000-01-01'
+"""
+
+TASK_IMPORT_ROLES = f"""
+SELECT o.o_orderkey, o.o_custkey, o.o_orderdate + INTERVAL 1 SECOND AS cutoff_time, o.o_totalprice AS target,
+       {CUST_ATTRS}, o.o_orderstatus AS orders_o_orderstatus, o.o_totalprice AS orders_o_totalprice,
+       epoch_ns(o.o_orderdate) AS orders_o_orderdate_epochtime, o.o_orderpriority AS orders_o_orderpriority
+FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+"""
+
+ORACLE_SQL.update({
+    "temporal_diff": TEMPORAL_DIFF,
+    "drop_std_epoch": AGG_NUMERIC_CUTOFF,
+    "shift_time": SHIFT_TIME,
+    "type_cast": TYPE_CAST,
+    "label_encode": LABEL_ENCODE,
+    "label_encode_unseen": LABEL_ENCODE_UNSEEN,
+    "datetime_parts": DATETIME_PARTS,
+    "drop_constant": DROP_CONSTANT,
+    "sample_uniform": SAMPLE_UNIFORM,
+    "sample_coverage": SAMPLE_COVERAGE,
+    "sample_balanced": SAMPLE_BALANCED,
+    "target_history": TARGET_HISTORY,
+    "target_history_mean": TARGET_HISTORY_MEAN,
+    "prepare_db": PREPARE_DB,
+    "float_key_normalize": FLOAT_KEY_NORMALIZE,
+    "validate_keys": VALIDATE_KEYS,
+    "roc_auc": ROC_AUC,
+    "mae": MAE,
+    "dataset_round_trip": DATASET_ROUND_TRIP,
+    "task_import_entity": TASK_IMPORT_ENTITY,
+    "task_import_roles": TASK_IMPORT_ROLES,
+})

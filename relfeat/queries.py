@@ -172,3 +172,313 @@ QUERIES = {
     "epoch_ns": q_epoch_ns,
     "drop_text": q_drop_text,
 }
+
+
+# ---- second batch: preprocessing, sampling, history, keys, metrics, datasets, estimators ----------
+from .operators.estimator import (InContextModel, NearestNeighbourPredictor, RelationalClassifier,  # noqa: E402
+                                  RelationalRegressor)
+from .operators.history import add_target_history  # noqa: E402
+from .operators.metrics import mean_absolute_error, roc_auc  # noqa: E402
+from .operators.preprocess import (DatetimeFeatureGenerator, SafeLabelEncoderTransformer,  # noqa: E402
+                                   TabularPreprocessor, TemporalDiffConfig, TemporalDiffTransformer,
+                                   TypeCastTransformer)
+from .operators.sampling import downsample  # noqa: E402
+from .sources.tasks import Dataset, Task, TaskMetadata, normalize_keys, shift_task_time  # noqa: E402
+from .session import ensure_checkpoint_dir  # noqa: E402
+from .functions.scalar import key_to_string  # noqa: E402
+
+
+def _price_features(spark, sf, prims=("max", "min", "mean", "std", "count")):
+    db = _db(spark, sf, ["customer", "orders"])
+    return synthesize(db, _quarter_task(spark, sf), {"c_custkey": "customer.c_custkey"}, "cutoff_time",
+                      {"max_depth": 2, "agg_primitives": list(prims)})
+
+
+def q_temporal_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Epoch features -> ``cutoff_ns - value`` (``*_diff``), std of epoch dropped."""
+    df = _price_features(spark, sf).df
+    return TemporalDiffTransformer(TemporalDiffConfig(), "cutoff_time").fit(df).transform(df)
+
+
+def q_drop_std_epoch(spark: SparkSession, sf: str) -> DataFrame:
+    """With no cutoff column T2 only drops the std-of-epoch columns (by name)."""
+    df = _price_features(spark, sf).df
+    return TemporalDiffTransformer(TemporalDiffConfig(), None).fit(df).transform(df)
+
+
+def q_shift_time(spark: SparkSession, sf: str) -> DataFrame:
+    """every order's cutoff moved one second later, so orders of the same instant (the
+    order itself included) become visible."""
+    t = order_task(spark, sf).select("o_orderkey", "o_custkey", "cutoff_time", "target")
+    task = shift_task_time(Task("orders", t, t, TaskMetadata({"o_custkey": "customer.c_custkey"}, "target",
+                                                              "cutoff_time")), 1).train_df
+    db = _db(spark, sf, ["customer", "orders"])
+    return synthesize(db, task.drop("target"), {"o_custkey": "customer.c_custkey"}, "cutoff_time",
+                      {"max_depth": 2, "agg_primitives": ["max", "count"]}).df
+
+
+def _typed_orders(spark, sf):
+    o = read_table(spark, sf, "orders")
+    return o.select("o_orderkey",
+                    F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("boolean"))
+                    .otherwise(F.col("o_orderstatus") == "F").alias("is_final"),
+                    F.when(F.col("o_orderstatus") == "O", F.lit(None).cast("int"))
+                    .otherwise(F.length("o_orderpriority")).alias("prio_len"),
+                    "o_totalprice", "o_orderpriority")
+
+
+def q_type_cast(spark: SparkSession, sf: str) -> DataFrame:
+    """Nullable boolean and nullable integer -> float32; double and string kept."""
+    df = _typed_orders(spark, sf)
+    return TypeCastTransformer().fit(df).transform(df)
+
+
+def q_label_encode(spark: SparkSession, sf: str) -> DataFrame:
+    """codes = rank among the sorted distinct values of orders placed before 1998."""
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    train = o.where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).drop("o_orderdate")
+    return SafeLabelEncoderTransformer().fit(train).transform(train)
+
+
+def q_label_encode_unseen(spark: SparkSession, sf: str) -> DataFrame:
+    """Fitted without priority 5-LOW; at transform that value is unseen and gets
+    the next code, seen codes unchanged."""
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    enc = SafeLabelEncoderTransformer().fit(o.where(F.col("o_orderpriority") != "5-LOW"))
+    return enc.transform(o)
+
+
+def q_datetime_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The cutoff column as int64 ns plus year, month, day, day of week (Monday 0)."""
+    df = order_task(spark, sf).select("o_orderkey", "cutoff_time")
+    return DatetimeFeatureGenerator().fit(df).transform(df)
+
+
+def q_drop_constant(spark: SparkSession, sf: str) -> DataFrame:
+    """T4: cutoff before all facts -> every aggregate is null or 0 and the cutoff itself is
+    constant; all of those columns are dropped."""
+    db = _db(spark, sf, ["customer", "orders"])
+    task = read_table(spark, sf, "customer").select(
+        "c_custkey", F.lit("1990-01-01 00:00:00").cast("timestamp_ntz").alias("cutoff_time"))
+    df = synthesize(db, task, {"c_custkey": "customer.c_custkey"}, "cutoff_time", {"max_depth": 2}).df
+    return DatetimeFeatureGenerator().fit(df).transform(df)
+
+
+def q_sample_uniform(spark: SparkSession, sf: str) -> DataFrame:
+    """L2: 1,000 orders (regression target) by md5 order, seed 42."""
+    return downsample(order_task(spark, sf), "target", 1000, "regression", seed=42, id_cols=["o_orderkey"])
+
+
+_LINE_IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def q_sample_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """L3: 1,000 line items: one per return flag, the rest uniform."""
+    return downsample(line_task(spark, sf), "target", 1000, "classification", False, 42, _LINE_IDS)
+
+
+def q_sample_balanced(spark: SparkSession, sf: str) -> DataFrame:
+    """L4: 1,000 line items, class-balanced (quota 333 per flag), shortfall filled uniformly."""
+    return downsample(line_task(spark, sf), "target", 1000, "classification", True, 42, _LINE_IDS)
+
+
+def _churn_train(spark, sf):
+    return customer_quarter_task(spark, sf).select("c_custkey", "cutoff_time", "churn")
+
+
+def q_target_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The full training frame attached as the history child of ``customer``."""
+    db = add_target_history(test_db(spark, sf, tables=("customer",)), _churn_train(spark, sf),
+                            {"c_custkey": "customer.c_custkey"}, "cutoff_time")
+    return prepare_db(db).get_table("_RDBL_target_history")
+
+
+def q_target_history_mean(spark: SparkSession, sf: str) -> DataFrame:
+    """Aggregates of each customer's strictly earlier labels."""
+    db = prepare_db(add_target_history(test_db(spark, sf, tables=("customer",)), _churn_train(spark, sf),
+                                       {"c_custkey": "customer.c_custkey"}, "cutoff_time"))
+    return synthesize(db, _quarter_task(spark, sf), {"c_custkey": "customer.c_custkey"}, "cutoff_time",
+                      {"max_depth": 2, "agg_primitives": ["max", "mean", "count"]}).df
+
+
+def q_prepare_db(spark: SparkSession, sf: str) -> DataFrame:
+    """Row count of every table of the prepared database (dummy ``users`` included)."""
+    db = prepare_db(test_db(spark, sf))
+    parts = [db.get_table(t).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
+             for t in sorted(db.table_names)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_float_key_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    """K1/K2/K3: integral and float-with-NaN keys in canonical string form."""
+    o = read_table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "P", F.lit(float("nan"))).otherwise(
+            F.col("o_custkey").cast("double")).alias("cust_f"))
+    t = Task("t", o, o, TaskMetadata({"cust_f": "customer.c_custkey"}, "o_orderkey"))
+    _, tasks = normalize_keys(test_db(spark, sf, tables=("customer",)), [t], ["cust_f"])
+    df = tasks[0].train_df
+    return df.select(key_to_string(F.col("o_orderkey"), o.schema["o_orderkey"].dataType).alias("o_orderkey"), "cust_f")
+
+
+def q_validate_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """K5: duplicate primary keys and orphan foreign keys, with BUILDING customers removed."""
+    db = test_db(spark, sf, tables=("nation", "customer", "orders"))
+    db = db.with_table("customer", db.get_table("customer").where(F.col("c_mktsegment") != "BUILDING"))
+    db.validate_key_consistency()
+    return db.key_report()
+
+
+def q_roc_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """M1: exact AUC of order price as a score for 'status F'."""
+    o = read_table(spark, sf, "orders").select(
+        (F.col("o_orderstatus") == "F").cast("int").alias("label"), "o_totalprice")
+    return roc_auc(o, "label", "o_totalprice")
+
+
+def q_mae(spark: SparkSession, sf: str) -> DataFrame:
+    """M2: MAE of 'price = mean of the customer's earlier orders' over orders that have one."""
+    df = q_cutoff_boundary(spark, sf).join(order_task(spark, sf).select("o_orderkey", "target"), "o_orderkey")
+    return mean_absolute_error(df.where(F.col("customer_MEAN_orders_o_totalprice").isNotNull()),
+                               "target", "customer_MEAN_orders_o_totalprice")
+
+
+def _scratch(spark, name):
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/relfeat-{name}-{uuid.uuid4().hex}"
+
+
+def q_dataset_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Database + churn task saved (Parquet + manifests) and loaded back; the
+    loaded train split is returned."""
+    full = _churn_train(spark, sf)
+    cut = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
+    task = Task("churn", full.where(F.col("cutoff_time") < cut), full.where(F.col("cutoff_time") >= cut),
+                TaskMetadata({"c_custkey": "customer.c_custkey"}, "churn", "cutoff_time", "binary_classification", "auc"))
+    ds = Dataset(test_db(spark, sf, tables=("customer", "orders")), [task])
+    path = _scratch(spark, "dataset")
+    ds.save(path)
+    back = Dataset.load(spark, path)
+    return back.task("churn").train_df
+
+
+def q_task_import_entity(spark: SparkSession, sf: str) -> DataFrame:
+    """An entity-table task spec becomes key mapping ``c_custkey ->
+    customer.c_custkey`` (a link-prediction spec is skipped); the test split gets its
+    entity attributes through that mapping."""
+    full = _churn_train(spark, sf)
+    cut = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
+    splits = {"train": full.where(F.col("cutoff_time") < cut), "test": full.where(F.col("cutoff_time") >= cut)}
+    db = prepare_db(test_db(spark, sf, tables=("customer", "orders")))
+    ds = Dataset.from_entity_tasks(db, [
+        dict(name="churn", splits=splits, entity_table="customer", entity_col="c_custkey", target_col="churn",
+             time_col="cutoff_time", task_type="binary_classification", metrics=["auc"]),
+        dict(name="links", splits=splits, entity_table="customer", entity_col="c_custkey", target_col="churn",
+             task_type="link_prediction")])
+    t = ds.task("churn")
+    return synthesize(db, t.test_df, t.metadata.key_mappings, t.metadata.time_col, {"max_depth": 1}).df
+
+
+def q_task_import_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """Role-typed order task: ``o_custkey`` (foreign key) and ``o_orderkey``
+    (primary key of target table ``orders``) are both mapped; the cutoff equals the order's
+    own timestamp, so it is moved one second later to make the order itself visible."""
+    t = order_task(spark, sf)
+    db = prepare_db(test_db(spark, sf, tables=("customer", "orders")))
+    ds = Dataset.from_role_tasks(db, [dict(
+        name="price", splits={"train": t, "test": t}, target_table="orders", target_col="target",
+        time_col="cutoff_time", task_type="regression", evaluation_metric="mae",
+        columns=[{"name": "o_orderkey", "dtype": "primary_key"},
+                 {"name": "o_custkey", "dtype": "foreign_key", "link_to": "customer.c_custkey"}])])
+    task = shift_task_time(ds.task("price"), 1)
+    return synthesize(db, task.test_df, task.metadata.key_mappings, task.metadata.time_col, {"max_depth": 1}).df
+
+
+def _estimator_split(spark, sf, target):
+    full = customer_quarter_task(spark, sf).select("c_custkey", "cutoff_time", target)
+    cut = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
+    return full.where(F.col("cutoff_time") < cut), full.where(F.col("cutoff_time") >= cut).drop(target)
+
+
+def q_preprocess_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """T5: T1 -> T2 -> T3 -> T4 fitted on the churn training features, applied to them."""
+    train, _ = _estimator_split(spark, sf, "churn")
+    db = _db(spark, sf, ["customer", "orders"])
+    res = synthesize(db, train, {"c_custkey": "customer.c_custkey"}, "cutoff_time", {"max_depth": 2})
+    pp = TabularPreprocessor(None, TemporalDiffConfig(), "cutoff_time",
+                             [f.name for f in res.features if f.is_std_of_epoch], keep_columns=["churn"])
+    return pp.fit(res.df).transform(res.df)
+
+
+def q_fit_predict_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Churn classifier (label history on, 2,000-row sample) with a pyspark.ml
+    logistic regression; predictions for the 2000 cutoffs."""
+    from pyspark.ml.classification import LogisticRegression
+    train, test = _estimator_split(spark, sf, "churn")
+    clf = RelationalClassifier(LogisticRegression(maxIter=20), {"max_train_samples": 2000})
+    clf.fit(train, "churn", test_db(spark, sf, tables=("customer", "orders")),
+            {"c_custkey": "customer.c_custkey"}, "cutoff_time")
+    return clf.predict(test)
+
+
+def q_fit_predict_regressor(spark: SparkSession, sf: str) -> DataFrame:
+    """Quarterly spend regressor with pyspark.ml linear regression."""
+    from pyspark.ml.regression import LinearRegression
+    train, test = _estimator_split(spark, sf, "spend")
+    reg = RelationalRegressor(LinearRegression(maxIter=20), {"max_train_samples": 2000})
+    reg.fit(train, "spend", test_db(spark, sf, tables=("customer", "orders")),
+            {"c_custkey": "customer.c_custkey"}, "cutoff_time")
+    return reg.predict(test)
+
+
+def q_predict_proba(spark: SparkSession, sf: str) -> DataFrame:
+    """Churn probabilities from an in-context 1-NN model fitted on a 500-row
+    sample, scored in distributed Arrow batches of 1,000 rows."""
+    train, test = _estimator_split(spark, sf, "churn")
+    clf = RelationalClassifier(InContextModel(NearestNeighbourPredictor()),
+                               {"max_train_samples": 500, "predict_batch_size": 1000})
+    clf.fit(train, "churn", test_db(spark, sf, tables=("customer", "orders")),
+            {"c_custkey": "customer.c_custkey"}, "cutoff_time")
+    return clf.predict_proba(test)
+
+
+def q_in_context_score(spark: SparkSession, sf: str) -> DataFrame:
+    """In-context 1-NN regression of quarterly spend."""
+    train, test = _estimator_split(spark, sf, "spend")
+    reg = RelationalRegressor(InContextModel(NearestNeighbourPredictor(), "Regression"),
+                              {"max_train_samples": 500, "predict_batch_size": 1000})
+    reg.fit(train, "spend", test_db(spark, sf, tables=("customer", "orders")),
+            {"c_custkey": "customer.c_custkey"}, "cutoff_time")
+    return reg.predict(test)
+
+
+QUERIES.update({
+    "temporal_diff": q_temporal_diff,
+    "drop_std_epoch": q_drop_std_epoch,
+    "shift_time": q_shift_time,
+    "type_cast": q_type_cast,
+    "label_encode": q_label_encode,
+    "label_encode_unseen": q_label_encode_unseen,
+    "datetime_parts": q_datetime_parts,
+    "drop_constant": q_drop_constant,
+    "sample_uniform": q_sample_uniform,
+    "sample_coverage": q_sample_coverage,
+    "sample_balanced": q_sample_balanced,
+    "target_history": q_target_history,
+    "target_history_mean": q_target_history_mean,
+    "prepare_db": q_prepare_db,
+    "float_key_normalize": q_float_key_normalize,
+    "validate_keys": q_validate_keys,
+    "roc_auc": q_roc_auc,
+    "mae": q_mae,
+    "dataset_round_trip": q_dataset_round_trip,
+    "task_import_entity": q_task_import_entity,
+    "task_import_roles": q_task_import_roles,
+    "preprocess_chain": q_preprocess_chain,
+    "fit_predict_classifier": q_fit_predict_classifier,
+    "fit_predict_regressor": q_fit_predict_regressor,
+    "predict_proba": q_predict_proba,
+    "in_context_score": q_in_context_score,
+})
