@@ -511,3 +511,43 @@ ORACLE_SQL.update({
     "task_import_entity": TASK_IMPORT_ENTITY,
     "task_import_roles": TASK_IMPORT_ROLES,
 })
+
+STACKED_PREFIX_WINDOW = f"""
+WITH task AS (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate AS cutoff_time FROM lineitem),
+d AS (SELECT DISTINCT l_partkey, cutoff_time FROM task),
+vis AS (SELECT d.l_partkey AS k, d.cutoff_time AS c, l.*, epoch_ns(l.l_shipdate) AS sd,
+               CASE WHEN o.o_orderdate < d.cutoff_time THEN o.o_totalprice END AS op,
+               CASE WHEN o.o_orderdate < d.cutoff_time THEN epoch_ns(o.o_orderdate) END AS od,
+               CASE WHEN o.o_orderdate < d.cutoff_time THEN o.o_orderstatus END AS os,
+               CASE WHEN o.o_orderdate < d.cutoff_time THEN o.o_orderpriority END AS opr
+        FROM d JOIN lineitem l ON l.l_partkey = d.l_partkey AND l.l_shipdate < d.cutoff_time
+        LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey),
+a AS (SELECT k, c, MAX(l_linenumber) AS x_ln, {mean_int('l_linenumber')} AS m_ln,
+             {', '.join(f'MAX({x}) AS x_{x}, ' + mean_dbl(x) + f' AS m_{x}' for x in _LI_NUM_DBL)},
+             MAX(sd) AS x_sd, {mean_int('sd')} AS m_sd, MAX(op) AS x_op, {mean_dbl('op')} AS m_op,
+             MAX(od) AS x_od, {mean_int('od')} AS m_od, COUNT(*) AS n
+      FROM vis GROUP BY 1, 2),
+{mode_cte('mr', 'vis', 'k, c', 'l_returnflag')},
+{mode_cte('ml', 'vis', 'k, c', 'l_linestatus')},
+{mode_cte('ms', 'vis', 'k, c', 'os')},
+{mode_cte('mp', 'vis', 'k, c', 'opr')}
+SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.cutoff_time,
+       p.p_name AS part_p_name, p.p_brand AS part_p_brand, p.p_type AS part_p_type,
+       CAST(p.p_size AS BIGINT) AS part_p_size, p.p_retailprice AS part_p_retailprice,
+       a.x_ln AS part_MAX_lineitem_l_linenumber, a.m_ln AS part_MEAN_lineitem_l_linenumber,
+       {', '.join(f'a.x_{x} AS part_MAX_lineitem_{x}, a.m_{x} AS part_MEAN_lineitem_{x}' for x in _LI_NUM_DBL)},
+       a.x_sd AS part_MAX_lineitem_l_shipdate_epochtime, a.m_sd AS part_MEAN_lineitem_l_shipdate_epochtime,
+       mr.v AS part_MODE_lineitem_l_returnflag, ml.v AS part_MODE_lineitem_l_linestatus,
+       ms.v AS part_MODE_lineitem_orders_o_orderstatus, mp.v AS part_MODE_lineitem_orders_o_orderpriority,
+       a.x_op AS part_MAX_lineitem_orders_o_totalprice, a.m_op AS part_MEAN_lineitem_orders_o_totalprice,
+       a.x_od AS part_MAX_lineitem_orders_o_orderdate_epochtime, a.m_od AS part_MEAN_lineitem_orders_o_orderdate_epochtime,
+       COALESCE(a.n, 0) AS part_COUNT_lineitem
+FROM task t LEFT JOIN part p ON p.p_partkey = t.l_partkey
+LEFT JOIN a ON a.k = t.l_partkey AND a.c = t.cutoff_time
+LEFT JOIN mr ON mr.k = t.l_partkey AND mr.c = t.cutoff_time
+LEFT JOIN ml ON ml.k = t.l_partkey AND ml.c = t.cutoff_time
+LEFT JOIN ms ON ms.k = t.l_partkey AND ms.c = t.cutoff_time
+LEFT JOIN mp ON mp.k = t.l_partkey AND mp.c = t.cutoff_time
+"""
+
+ORACLE_SQL["stacked_prefix_window"] = STACKED_PREFIX_WINDOW

@@ -32,7 +32,7 @@ Physical shape:
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,7 +45,7 @@ from ..sources.rdb import CATEGORY, NUMERIC, Relationship, RelationalDataset
 NUMERIC_PRIMITIVES = ("max", "min", "mean", "std", "median")
 CATEGORY_PRIMITIVES = ("mode",)
 ALL_PRIMITIVES = NUMERIC_PRIMITIVES + CATEGORY_PRIMITIVES + ("count",)
-WINDOW_PRIMITIVES = ("max", "min", "mean", "std", "count")  # decomposable over a sorted prefix
+WINDOW_PRIMITIVES = ("max", "min", "mean", "std", "count", "mode")  # computable over a sorted prefix
 
 # fixed values: the reference's default synthesis settings
 DEFAULT_MAX_DEPTH = 2
@@ -115,6 +115,7 @@ class _Feat:
     prims: tuple = ()
     epoch: bool = False
     count: bool = False
+    vis: str | None = None   # deferred cutoff: column holding the time from which the value is visible
 
 
 _ids = itertools.count()
@@ -181,9 +182,13 @@ class _Planner:
         return epoch_micros(F.col(tc), self.db.tables[table].schema[tc].dataType)
 
     def row_feats(self, frame: DataFrame, table: str, r: int, via, has_c: bool, small: bool,
-                  keep: Sequence[str], visible: Column | None = None) -> tuple[DataFrame, list[_Feat]]:
+                  keep: Sequence[str], visible: Column | None = None, defer: bool = False
+                  ) -> tuple[DataFrame, list[_Feat]]:
         """Features of each row of ``frame`` (which holds ``table``'s columns, ``__c`` when
-        ``has_c``, and the ``keep`` columns) at budget ``r``."""
+        ``has_c``, and the ``keep`` columns) at budget ``r``.
+
+        ``defer``: no cutoff is applied here; a timed parent's attributes carry that parent's
+        time in a visibility column instead (used by the prefix-window plan)."""
         meta = self.db.metas[table]
         parents = self.parents(table, via) if r >= 1 else []
         children = self.children(table, via) if r >= 1 and meta.primary_key else []
@@ -204,8 +209,13 @@ class _Planner:
 
         for e in parents:
             p_c = has_c and self.timed(e.parent, r - 1, e)
+            vt = defer and bool(self.db.metas[e.parent].time_column)
             q = frame.select(F.col(e.child_col).alias(_K), *([F.col(_C)] if p_c else [])).distinct()
-            pf, pfeats = self.entity_feats(e.parent, q, r - 1, e, p_c, small)
+            pf, pfeats = self.entity_feats(e.parent, q, r - 1, e, p_c, small, emit_vt=vt)
+            if vt:
+                vcol = _tmp("__vt")
+                pf = pf.withColumnRenamed("__vt", vcol)
+                pfeats = [replace(f, vis=vcol) if f.vis == "__vt" else f for f in pfeats]
             frame = self._join_back(frame, pf, e.child_col, p_c, small)
             lab = self.label(e.parent, e, parents, "parent")
             feats += [_prefix(f, lab) for f in pfeats]
@@ -232,9 +242,12 @@ class _Planner:
             sub = F.broadcast(sub)
         return frame.join(sub, cond, "left").drop(k2, c2)
 
-    def entity_feats(self, table: str, q: DataFrame, r: int, via, has_c: bool, small: bool) -> tuple[DataFrame, list[_Feat]]:
+    def entity_feats(self, table: str, q: DataFrame, r: int, via, has_c: bool, small: bool,
+                     emit_vt: bool = False) -> tuple[DataFrame, list[_Feat]]:
         """Features of the ``table`` rows whose primary key is ``q.__k`` at cutoff ``q.__c``.
-        Returns one row per matched ``(__k, __c)``; the caller left-joins it back."""
+        Returns one row per matched ``(__k, __c)``; the caller left-joins it back.
+        ``emit_vt``: no cutoff; the row's own time is returned as ``__vt`` instead and its
+        attributes are marked as visible from that time."""
         meta = self.db.metas[table]
         pk = meta.primary_key
         pdf = self.db.tables[table]
@@ -244,7 +257,13 @@ class _Planner:
         if has_c and meta.time_column:
             visible = self.time_micros(table) < F.col(_C)
         keep = [_K] + ([_C] if has_c else [])
+        if emit_vt:
+            rows = rows.withColumn("__vt", self.time_micros(table))
+            keep = keep + ["__vt"]
         rows, feats = self.row_feats(rows, table, r, via, has_c, small, keep, visible)
+        if emit_vt:
+            own = {n for n, *_ in self.attrs(table)}
+            feats = [replace(f, vis="__vt") if f.display in own else f for f in feats]
         return rows.select(*keep, *[f.col for f in feats]), feats
 
     def child_aggs(self, child: str, e: Relationship, q: DataFrame, r: int, has_c: bool, small: bool
@@ -254,10 +273,8 @@ class _Planner:
         cdf = self.db.tables[child]
         meta = self.db.metas[child]
         label = self.label(child, e, self.db.children_of(e.parent), "child")
-        use_window = (has_c and r == 0 and meta.time_column is not None and self.strategy == "window"
-                      and all(p in WINDOW_PRIMITIVES for p in self.num_prims))
-        if use_window:
-            return self._child_aggs_window(child, e, q, label, small)
+        if has_c and meta.time_column is not None and self.window_ok(child, e, r):
+            return self._child_aggs_window(child, e, q, r, label, small)
         qq = F.broadcast(q) if small else q
         cond = cdf[e.child_col] == qq[_K]
         if has_c and meta.time_column:
@@ -279,7 +296,7 @@ class _Planner:
         for f in feats:
             prims = self.num_prims if f.kind == NUMERIC else self.cat_prims
             for p in prims:
-                if over is not None and p not in WINDOW_PRIMITIVES:
+                if over is not None and (p not in WINDOW_PRIMITIVES or p == "mode"):
                     continue
                 col = _tmp()
                 x = F.col(f.col)
@@ -312,51 +329,71 @@ class _Planner:
             s, n = s.over(over), n.over(over)
         return F.when(n > 0, s.cast("double") / n.cast("double"))
 
-    def _child_aggs_window(self, child: str, e: Relationship, q: DataFrame, label: str, small: bool
+    def window_ok(self, child: str, e: Relationship, r: int) -> bool:
+        """The prefix plan applies when every feature of a child row depends on the cutoff only
+        through the row's own time or a timed parent's own time (visibility)."""
+        if self.strategy != "window" or any(p not in WINDOW_PRIMITIVES for p in self.num_prims):
+            return False
+        if r >= 1:
+            if self.db.metas[child].primary_key:
+                for g in self.children(child, e):
+                    if self.timed(g.child, r - 1, g):
+                        return False
+            for p in self.parents(child, e):
+                if self.below_timed(p.parent, r - 1, p):
+                    return False
+        return True
+
+    def _child_aggs_window(self, child: str, e: Relationship, q: DataFrame, r: int, label: str, small: bool
                            ) -> tuple[DataFrame, list[_Feat]]:
         """Prefix plan: child rows and cutoffs sorted together per key; each cutoff row sees
-        the child rows strictly before it (``rangeBetween(unboundedPreceding, -1)``)."""
+        the child rows strictly before it (``rangeBetween(unboundedPreceding, -1)``).
+
+        Child-row features are computed once per child row, without any cutoff.  A value
+        that also depends on a timed parent becomes visible at ``greatest(row time, parent
+        time)``: such values travel in their own event rows with that time.  ``mode`` is exact:
+        a running count per (key, value), then the prefix minimum of ``(-count, value)``."""
         cdf = self.db.tables[child]
         keys = q.select(_K).distinct()
         keys = F.broadcast(keys) if small else keys
-        feats_in = self.attrs(child)
-        cols = {}
-        ev_cols = [F.col(e.child_col).alias(_K), self.time_micros(child).alias("__t"), F.lit(1).alias("__ev")]
-        fl = []
-        for name, kind, dtype, epoch in feats_in:
-            col = _tmp()
-            ev_cols.append(F.col(name).alias(col))
-            cols[col] = dtype
-            fl.append(_Feat(col, name, kind, dtype, (), epoch))
-        ev = cdf.join(keys, cdf[e.child_col] == keys[_K], "left_semi").select(*ev_cols).where("__t IS NOT NULL")
-        qs = q.where(F.col(_C).isNotNull()).select(F.col(_K), F.col(_C).alias("__t"), F.lit(None).cast("int").alias("__ev"))
-        u = ev.unionByName(qs, allowMissingColumns=True)
+        base = cdf.join(keys, cdf[e.child_col] == keys[_K], "inner").withColumn("__t", self.time_micros(child)) \
+            .where(F.col("__t").isNotNull())
+        rows, feats = self.row_feats(base, child, r, e, False, False, [_K, "__t"], defer=True)
+        groups: dict = {}
+        for f in feats:
+            groups.setdefault(f.vis, []).append(f)
+        streams = [rows.select(_K, "__t", F.lit(1).alias("__ev"), *[f.col for f in groups.get(None, [])])]
+        for vcol, fs in groups.items():
+            if vcol is not None:
+                streams.append(rows.where(F.col(vcol).isNotNull())
+                               .select(_K, F.greatest(F.col("__t"), F.col(vcol)).alias("__t"), *[f.col for f in fs]))
+        streams.append(q.where(F.col(_C).isNotNull()).select(_K, F.col(_C).alias("__t"), F.lit(1).alias("__q")))
+        u = streams[0]
+        for st in streams[1:]:
+            u = u.unionByName(st, allowMissingColumns=True)
         w = Window.partitionBy(_K).orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
-        num = [f for f in fl if f.kind == NUMERIC]
+        num = [f for f in feats if f.kind == NUMERIC]
+        cat = [f for f in feats if f.kind == CATEGORY] if self.cat_prims else []
         aggs, out = self._agg_exprs(num, label, over=w)
+        for f in cat:
+            cnt = _tmp("__n")
+            run = F.count(F.col(f.col)).over(Window.partitionBy(_K, f.col).orderBy("__t")
+                                             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            u = u.withColumn(cnt, F.when(F.col(f.col).isNotNull(), run))
+            col = _tmp()
+            best = F.min(F.when(F.col(f.col).isNotNull(), F.struct((-F.col(cnt)).alias("n"), F.col(f.col).alias("v")))).over(w)
+            aggs.append(best.getField("v").alias(col))
+            out.append(_Feat(col, f"MODE({label}.{f.display})", CATEGORY, "string", ("mode",) + f.prims, f.epoch))
         if self.count:
             cnt = _tmp()
             aggs.append(F.count("__ev").over(w).alias(cnt))
             out.append(_Feat(cnt, f"COUNT({label})", NUMERIC, "long", ("count",), False, True))
-        res = u.select(_K, "__t", "__ev", *aggs).where(F.col("__ev").isNull()).withColumnRenamed("__t", _C).drop("__ev")
-        cat = [f for f in fl if f.kind == CATEGORY]
-        if cat and self.cat_prims:
-            # mode is not decomposable over a prefix: categorical columns use the join plan
-            qq = F.broadcast(q) if small else q
-            cond = (cdf[e.child_col] == qq[_K]) & (self.time_micros(child) < qq[_C])
-            sel = [F.col(_K), F.col(_C)] + [F.col(f.display).alias(f.col) for f in cat]
-            crows = cdf.join(qq, cond, "inner").select(*sel)
-            caggs, cout = self._agg_exprs(cat, label)
-            modes = crows.groupBy(_K, _C).agg(*caggs)
-            k2, c2 = _tmp("__jk"), _tmp("__jc")
-            modes = modes.withColumnRenamed(_K, k2).withColumnRenamed(_C, c2)
-            res = res.join(modes, (F.col(_K) == F.col(k2)) & (F.col(_C) == F.col(c2)), "left").drop(k2, c2)
-            out += cout
+        res = u.select(_K, "__t", "__q", *aggs).where(F.col("__q") == 1).withColumnRenamed("__t", _C).drop("__q")
         return res, out
 
 
 def _prefix(f: _Feat, label: str, keep_count: bool = False) -> _Feat:
-    return _Feat(f.col, f"{label}.{f.display}", f.kind, f.dtype, f.prims, f.epoch, f.count and keep_count)
+    return _Feat(f.col, f"{label}.{f.display}", f.kind, f.dtype, f.prims, f.epoch, f.count and keep_count, f.vis)
 
 
 def _cast_key(c: Column, src: T.DataType, dst: T.DataType) -> Column:

@@ -407,9 +407,10 @@ def q_preprocess_chain(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _estimator_split(spark, sf, "churn")
     db = _db(spark, sf, ["customer", "orders"])
     res = synthesize(db, train, {"c_custkey": "customer.c_custkey"}, "cutoff_time", {"max_depth": 2})
+    feats = res.df.checkpoint(eager=True)
     pp = TabularPreprocessor(None, TemporalDiffConfig(), "cutoff_time",
                              [f.name for f in res.features if f.is_std_of_epoch], keep_columns=["churn"])
-    return pp.fit(res.df).transform(res.df)
+    return pp.fit(feats).transform(feats)
 
 
 def q_fit_predict_classifier(spark: SparkSession, sf: str) -> DataFrame:
@@ -482,3 +483,17 @@ QUERIES.update({
     "predict_proba": q_predict_proba,
     "in_context_score": q_in_context_score,
 })
+
+
+def q_stacked_prefix_window(spark: SparkSession, sf: str) -> DataFrame:
+    """A8 through the prefix-window plan: every line item is a cutoff for its part; the part's
+    earlier line items are aggregated together with their orders' attributes, each order
+    visible only once its own date is before the cutoff."""
+    db = _db(spark, sf, ["part", "lineitem", "orders"])
+    task = line_task(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "cutoff_time")
+    return synthesize(db, task, {"l_partkey": "part.p_partkey"}, "cutoff_time",
+                      {"max_depth": 3, "agg_primitives": ["max", "mean", "mode", "count"],
+                       "cutoff_strategy": "window"}).df
+
+
+QUERIES["stacked_prefix_window"] = q_stacked_prefix_window
