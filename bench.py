@@ -17,7 +17,7 @@ from relfeat.operators.estimator import RelationalClassifier  # noqa: E402
 from relfeat.operators.prepare import prepare_db  # noqa: E402
 from relfeat.plans.synthesis import synthesize  # noqa: E402
 from relfeat.session import local_session  # noqa: E402
-from relfeat.sources.testdb import customer_quarter_task, line_task, order_task, read_table, test_db  # noqa: E402
+from relfeat.sources.testdb import customer_quarter_task, line_task, order_task, read_table, load_test_db  # noqa: E402
 
 
 def run(df):
@@ -28,10 +28,14 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = local_session(cpus, shuffle_partitions=max(8, cpus * 2), app="relfeat-bench")
-    db = prepare_db(test_db(spark, sf_dir))
+    db = prepare_db(load_test_db(spark, sf_dir))
     times = {}
 
+    only = [x for x in os.environ.get("BENCH_ONLY", "").split(",") if x]
+
     def timed(name, fn):
+        if only and not any(name.startswith(o) for o in only):
+            return
         t = time.time()
         fn()
         times[name] = round(time.time() - t, 3)
@@ -61,7 +65,7 @@ def main():
         cut = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
         train, test = full.where(F.col("cutoff_time") < cut), full.where(F.col("cutoff_time") >= cut).drop("churn")
         clf = RelationalClassifier(LogisticRegression(maxIter=20), {"max_train_samples": 10_000})
-        clf.fit(train, "churn", test_db(spark, sf_dir, tables=("customer", "nation", "orders")),
+        clf.fit(train, "churn", load_test_db(spark, sf_dir, tables=("customer", "nation", "orders")),
                 {"c_custkey": "customer.c_custkey"}, "cutoff_time")
         run(clf.predict(test))
     timed("B4_fit_score_10k", b4)

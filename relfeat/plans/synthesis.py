@@ -359,38 +359,69 @@ class _Planner:
         base = cdf.join(keys, cdf[e.child_col] == keys[_K], "inner").withColumn("__t", self.time_micros(child)) \
             .where(F.col("__t").isNotNull())
         rows, feats = self.row_feats(base, child, r, e, False, False, [_K, "__t"], defer=True)
+
+        def when_visible(f: _Feat) -> Column:
+            return F.col("__t") if f.vis is None else F.greatest(F.col("__t"), F.col(f.vis))
+
+        num = [f for f in feats if f.kind == NUMERIC]
+        cat = [f for f in feats if f.kind == CATEGORY] if self.cat_prims else []
         groups: dict = {}
-        for f in feats:
+        for f in num:
             groups.setdefault(f.vis, []).append(f)
         streams = [rows.select(_K, "__t", F.lit(1).alias("__ev"), *[f.col for f in groups.get(None, [])])]
         for vcol, fs in groups.items():
             if vcol is not None:
                 streams.append(rows.where(F.col(vcol).isNotNull())
-                               .select(_K, F.greatest(F.col("__t"), F.col(vcol)).alias("__t"), *[f.col for f in fs]))
+                               .select(_K, when_visible(fs[0]).alias("__t"), *[f.col for f in fs]))
         streams.append(q.where(F.col(_C).isNotNull()).select(_K, F.col(_C).alias("__t"), F.lit(1).alias("__q")))
         u = streams[0]
         for st in streams[1:]:
             u = u.unionByName(st, allowMissingColumns=True)
         w = Window.partitionBy(_K).orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
-        num = [f for f in feats if f.kind == NUMERIC]
-        cat = [f for f in feats if f.kind == CATEGORY] if self.cat_prims else []
         aggs, out = self._agg_exprs(num, label, over=w)
-        for f in cat:
-            cnt = _tmp("__n")
-            run = F.count(F.col(f.col)).over(Window.partitionBy(_K, f.col).orderBy("__t")
-                                             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-            u = u.withColumn(cnt, F.when(F.col(f.col).isNotNull(), run))
-            col = _tmp()
-            best = F.min(F.when(F.col(f.col).isNotNull(), F.struct((-F.col(cnt)).alias("n"), F.col(f.col).alias("v")))).over(w)
-            aggs.append(best.getField("v").alias(col))
-            out.append(_Feat(col, f"MODE({label}.{f.display})", CATEGORY, "string", ("mode",) + f.prims, f.epoch))
         if self.count:
             cnt = _tmp()
             aggs.append(F.count("__ev").over(w).alias(cnt))
             out.append(_Feat(cnt, f"COUNT({label})", NUMERIC, "long", ("count",), False, True))
         res = u.select(_K, "__t", "__q", *aggs).where(F.col("__q") == 1).withColumnRenamed("__t", _C).drop("__q")
+        if cat:
+            modes, mout = self._prefix_modes(rows, q, cat, label, when_visible)
+            k2, c2 = _tmp("__jk"), _tmp("__jc")
+            modes = modes.withColumnRenamed(_K, k2).withColumnRenamed(_C, c2)
+            res = res.join(modes, (F.col(_K) == F.col(k2)) & (F.col(_C) == F.col(c2)), "left").drop(k2, c2)
+            out += mout
         return res, out
 
+    def _prefix_modes(self, rows: DataFrame, q: DataFrame, cat: list, label: str, when_visible):
+        """Exact prefix mode of every categorical column in one narrow unpivoted stream
+        ``(key, time, column id, value)``: a running count per (key, column, value), the
+        prefix minimum of ``(-count, value)`` per (key, column), then one pivot back."""
+        ev = None
+        for i, f in enumerate(cat):
+            src = rows.where(F.col(f.col).isNotNull())
+            if f.vis is not None:  # a parent with no time is never visible
+                src = src.where(F.col(f.vis).isNotNull())
+            s = src.select(_K, when_visible(f).alias("__t"), F.lit(i).alias("__ci"),
+                           F.col(f.col).cast("string").alias("__x"))
+            ev = s if ev is None else ev.unionByName(s)
+        qs = q.where(F.col(_C).isNotNull()).select(
+            _K, F.col(_C).alias("__t"), F.explode(F.array(*[F.lit(i) for i in range(len(cat))])).alias("__ci"),
+            F.lit(None).cast("string").alias("__x"), F.lit(1).alias("__q"))
+        u = ev.unionByName(qs, allowMissingColumns=True)
+        run = F.count("__x").over(Window.partitionBy(_K, "__ci", "__x").orderBy("__t")
+                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        u = u.withColumn("__n", F.when(F.col("__x").isNotNull(), run))
+        w = Window.partitionBy(_K, "__ci").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
+        best = F.min(F.when(F.col("__x").isNotNull(), F.struct((-F.col("__n")).alias("n"), F.col("__x").alias("v")))).over(w)
+        picked = u.select(_K, "__t", "__ci", "__q", best.getField("v").alias("__m")).where(F.col("__q") == 1)
+        out, aggs = [], []
+        for i, f in enumerate(cat):
+            col = _tmp()
+            aggs.append(F.max(F.when(F.col("__ci") == i, F.col("__m"))).alias(col))
+            out.append(_Feat(col, f"MODE({label}.{f.display})", CATEGORY, "string", ("mode",) + f.prims, f.epoch))
+        modes = picked.groupBy(_K, F.col("__t").alias(_C)).agg(*aggs)
+        return modes, out
+
 
 def _prefix(f: _Feat, label: str, keep_count: bool = False) -> _Feat:
     return _Feat(f.col, f"{label}.{f.display}", f.kind, f.dtype, f.prims, f.epoch, f.count and keep_count, f.vis)

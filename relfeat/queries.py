@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from .operators.prepare import (fill_missing_primary_keys, handle_dummy_tables, prepare_db)
 from .plans.synthesis import synthesize
 from .sources.testdb import (customer_quarter_task, doc_quality_task, line_task, order_task, read_table,
-                             test_db, user_purchase_task)
+                             load_test_db, user_purchase_task)
 
 
 def _db(spark, sf, tables):
-    return prepare_db(test_db(spark, sf, tables=tuple(tables)))
+    return prepare_db(load_test_db(spark, sf, tables=tuple(tables)))
 
 
 def _drop_std_epoch(res) -> DataFrame:
@@ -131,14 +131,14 @@ def q_dummy_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_dummy_table_keys(spark: SparkSession, sf: str) -> DataFrame:
     """J6 alone: the created ``users`` table."""
-    db = handle_dummy_tables(test_db(spark, sf, tables=("events",)))
+    db = handle_dummy_tables(load_test_db(spark, sf, tables=("events",)))
     return db.get_table("users")
 
 
 def q_fill_missing_pk(spark: SparkSession, sf: str) -> DataFrame:
     """Customers of segment BUILDING are removed from the parent table; every order
     key that lost its parent gets a key-only customer row back."""
-    db = test_db(spark, sf, tables=("customer", "orders"))
+    db = load_test_db(spark, sf, tables=("customer", "orders"))
     db = db.with_table("customer", db.get_table("customer").where(F.col("c_mktsegment") != "BUILDING"))
     return fill_missing_primary_keys(db).get_table("customer")
 
@@ -288,14 +288,14 @@ def _churn_train(spark, sf):
 
 def q_target_history(spark: SparkSession, sf: str) -> DataFrame:
     """The full training frame attached as the history child of ``customer``."""
-    db = add_target_history(test_db(spark, sf, tables=("customer",)), _churn_train(spark, sf),
+    db = add_target_history(load_test_db(spark, sf, tables=("customer",)), _churn_train(spark, sf),
                             {"c_custkey": "customer.c_custkey"}, "cutoff_time")
     return prepare_db(db).get_table("_RDBL_target_history")
 
 
 def q_target_history_mean(spark: SparkSession, sf: str) -> DataFrame:
     """Aggregates of each customer's strictly earlier labels."""
-    db = prepare_db(add_target_history(test_db(spark, sf, tables=("customer",)), _churn_train(spark, sf),
+    db = prepare_db(add_target_history(load_test_db(spark, sf, tables=("customer",)), _churn_train(spark, sf),
                                        {"c_custkey": "customer.c_custkey"}, "cutoff_time"))
     return synthesize(db, _quarter_task(spark, sf), {"c_custkey": "customer.c_custkey"}, "cutoff_time",
                       {"max_depth": 2, "agg_primitives": ["max", "mean", "count"]}).df
@@ -303,7 +303,7 @@ def q_target_history_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_prepare_db(spark: SparkSession, sf: str) -> DataFrame:
     """Row count of every table of the prepared database (dummy ``users`` included)."""
-    db = prepare_db(test_db(spark, sf))
+    db = prepare_db(load_test_db(spark, sf))
     parts = [db.get_table(t).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
              for t in sorted(db.table_names)]
     out = parts[0]
@@ -318,14 +318,14 @@ def q_float_key_normalize(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderkey", F.when(F.col("o_orderstatus") == "P", F.lit(float("nan"))).otherwise(
             F.col("o_custkey").cast("double")).alias("cust_f"))
     t = Task("t", o, o, TaskMetadata({"cust_f": "customer.c_custkey"}, "o_orderkey"))
-    _, tasks = normalize_keys(test_db(spark, sf, tables=("customer",)), [t], ["cust_f"])
+    _, tasks = normalize_keys(load_test_db(spark, sf, tables=("customer",)), [t], ["cust_f"])
     df = tasks[0].train_df
     return df.select(key_to_string(F.col("o_orderkey"), o.schema["o_orderkey"].dataType).alias("o_orderkey"), "cust_f")
 
 
 def q_validate_keys(spark: SparkSession, sf: str) -> DataFrame:
     """K5: duplicate primary keys and orphan foreign keys, with BUILDING customers removed."""
-    db = test_db(spark, sf, tables=("nation", "customer", "orders"))
+    db = load_test_db(spark, sf, tables=("nation", "customer", "orders"))
     db = db.with_table("customer", db.get_table("customer").where(F.col("c_mktsegment") != "BUILDING"))
     db.validate_key_consistency()
     return db.key_report()
@@ -357,7 +357,7 @@ def q_dataset_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     cut = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
     task = Task("churn", full.where(F.col("cutoff_time") < cut), full.where(F.col("cutoff_time") >= cut),
                 TaskMetadata({"c_custkey": "customer.c_custkey"}, "churn", "cutoff_time", "binary_classification", "auc"))
-    ds = Dataset(test_db(spark, sf, tables=("customer", "orders")), [task])
+    ds = Dataset(load_test_db(spark, sf, tables=("customer", "orders")), [task])
     path = _scratch(spark, "dataset")
     ds.save(path)
     back = Dataset.load(spark, path)
@@ -371,7 +371,7 @@ def q_task_import_entity(spark: SparkSession, sf: str) -> DataFrame:
     full = _churn_train(spark, sf)
     cut = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
     splits = {"train": full.where(F.col("cutoff_time") < cut), "test": full.where(F.col("cutoff_time") >= cut)}
-    db = prepare_db(test_db(spark, sf, tables=("customer", "orders")))
+    db = prepare_db(load_test_db(spark, sf, tables=("customer", "orders")))
     ds = Dataset.from_entity_tasks(db, [
         dict(name="churn", splits=splits, entity_table="customer", entity_col="c_custkey", target_col="churn",
              time_col="cutoff_time", task_type="binary_classification", metrics=["auc"]),
@@ -386,7 +386,7 @@ def q_task_import_roles(spark: SparkSession, sf: str) -> DataFrame:
     (primary key of target table ``orders``) are both mapped; the cutoff equals the order's
     own timestamp, so it is moved one second later to make the order itself visible."""
     t = order_task(spark, sf)
-    db = prepare_db(test_db(spark, sf, tables=("customer", "orders")))
+    db = prepare_db(load_test_db(spark, sf, tables=("customer", "orders")))
     ds = Dataset.from_role_tasks(db, [dict(
         name="price", splits={"train": t, "test": t}, target_table="orders", target_col="target",
         time_col="cutoff_time", task_type="regression", evaluation_metric="mae",
@@ -419,7 +419,7 @@ def q_fit_predict_classifier(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression
     train, test = _estimator_split(spark, sf, "churn")
     clf = RelationalClassifier(LogisticRegression(maxIter=20), {"max_train_samples": 2000})
-    clf.fit(train, "churn", test_db(spark, sf, tables=("customer", "orders")),
+    clf.fit(train, "churn", load_test_db(spark, sf, tables=("customer", "orders")),
             {"c_custkey": "customer.c_custkey"}, "cutoff_time")
     return clf.predict(test)
 
@@ -429,7 +429,7 @@ def q_fit_predict_regressor(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.regression import LinearRegression
     train, test = _estimator_split(spark, sf, "spend")
     reg = RelationalRegressor(LinearRegression(maxIter=20), {"max_train_samples": 2000})
-    reg.fit(train, "spend", test_db(spark, sf, tables=("customer", "orders")),
+    reg.fit(train, "spend", load_test_db(spark, sf, tables=("customer", "orders")),
             {"c_custkey": "customer.c_custkey"}, "cutoff_time")
     return reg.predict(test)
 
@@ -440,7 +440,7 @@ def q_predict_proba(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _estimator_split(spark, sf, "churn")
     clf = RelationalClassifier(InContextModel(NearestNeighbourPredictor()),
                                {"max_train_samples": 500, "predict_batch_size": 1000})
-    clf.fit(train, "churn", test_db(spark, sf, tables=("customer", "orders")),
+    clf.fit(train, "churn", load_test_db(spark, sf, tables=("customer", "orders")),
             {"c_custkey": "customer.c_custkey"}, "cutoff_time")
     return clf.predict_proba(test)
 
@@ -450,7 +450,7 @@ def q_in_context_score(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _estimator_split(spark, sf, "spend")
     reg = RelationalRegressor(InContextModel(NearestNeighbourPredictor(), "Regression"),
                               {"max_train_samples": 500, "predict_batch_size": 1000})
-    reg.fit(train, "spend", test_db(spark, sf, tables=("customer", "orders")),
+    reg.fit(train, "spend", load_test_db(spark, sf, tables=("customer", "orders")),
             {"c_custkey": "customer.c_custkey"}, "cutoff_time")
     return reg.predict(test)
 

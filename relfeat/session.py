@@ -50,3 +50,23 @@ def apply_session_defaults(spark: SparkSession) -> None:
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.adaptive.skewJoin.enabled", "spark.sql.execution.arrow.pyspark.enabled"):
         spark.conf.set(k, DEFAULT_CONF[k])
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``relfeat`` importable on every executor's Python workers (``addPyFile`` of a zip
+    of the package), once per SparkContext.  Needed by the Arrow scoring path."""
+    import zipfile
+    sc = spark.sparkContext
+    if getattr(sc, "_relfeat_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="relfeat-pyfile-", dir=os.environ.get("RELFEAT_SCRATCH", "/tmp"))
+    path = os.path.join(out, "relfeat.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    sc._relfeat_shipped = True

@@ -35,7 +35,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def test_db(spark: SparkSession, sf_dir: str, tables=TPCH_TABLES + ("events",), name: str = "testdb") -> RelationalDataset:
+def load_test_db(spark: SparkSession, sf_dir: str, tables=TPCH_TABLES + ("events",), name: str = "testdb") -> RelationalDataset:
     """The test tables as a relational database (only the requested tables; edges whose
     child is absent are left out, edges to an absent parent stay and make a dummy table)."""
     tabs = {t: read_table(spark, sf_dir, t) for t in tables}
