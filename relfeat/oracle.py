@@ -551,3 +551,5 @@ LEFT JOIN mp ON mp.k = t.l_partkey AND mp.c = t.cutoff_time
 """
 
 ORACLE_SQL["stacked_prefix_window"] = STACKED_PREFIX_WINDOW
+ORACLE_SQL["prefix_bucketed_agg"] = AGG_NUMERIC_CUTOFF
+ORACLE_SQL["prefix_bucketed_mode"] = AGG_MODE_CUTOFF

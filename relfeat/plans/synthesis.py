@@ -64,6 +64,9 @@ class DFSConfig:
     window_cutoffs_per_key: float = 4.0    # auto: window plan above this many cutoffs per key
     mean_scale: int = 10                   # decimal scale of exact sums behind ``mean``
     broadcast_rows: int = 2_000_000        # query sets up to this many rows are broadcast
+    broadcast_bytes: int = 256 << 20       # ... and feature frames up to this estimated size
+    hot_key_rows: int = 5_000_000          # a key with more child rows uses the time-bucketed prefix plan
+    prefix_bucket_seconds: int = 86_400    # bucket width of that plan
 
     @classmethod
     def from_any(cls, cfg) -> "DFSConfig":
@@ -126,7 +129,8 @@ def _tmp(prefix: str = "__f") -> str:
 
 
 class _Planner:
-    def __init__(self, db: RelationalDataset, cfg: DFSConfig, strategy: str):
+    def __init__(self, db: RelationalDataset, cfg: DFSConfig, strategy: str, task_rows: int = 0):
+        self.task_rows = task_rows
         self.db = db
         self.cfg = cfg
         self.strategy = strategy
@@ -231,7 +235,13 @@ class _Planner:
             feats += cfeats
         return frame, feats
 
+    def fits_broadcast(self, n_cols: int) -> bool:
+        """A frame derived from the task frame has at most ``task_rows`` rows; broadcast it
+        only if that bound times its width (8 bytes a column, plus row overhead) fits."""
+        return self.task_rows * (16 + 8 * n_cols) <= self.cfg.broadcast_bytes
+
     def _join_back(self, frame: DataFrame, sub: DataFrame, key: str, with_c: bool, small: bool) -> DataFrame:
+        small = small and self.fits_broadcast(len(sub.columns))
         k2, c2 = _tmp("__jk"), _tmp("__jc")
         sub = sub.withColumnRenamed(_K, k2)
         cond = F.col(key) == F.col(k2)
@@ -332,7 +342,7 @@ class _Planner:
     def window_ok(self, child: str, e: Relationship, r: int) -> bool:
         """The prefix plan applies when every feature of a child row depends on the cutoff only
         through the row's own time or a timed parent's own time (visibility)."""
-        if self.strategy != "window" or any(p not in WINDOW_PRIMITIVES for p in self.num_prims):
+        if self.strategy not in ("window", "bucketed") or any(p not in WINDOW_PRIMITIVES for p in self.num_prims):
             return False
         if r >= 1:
             if self.db.metas[child].primary_key:
@@ -378,20 +388,152 @@ class _Planner:
         for st in streams[1:]:
             u = u.unionByName(st, allowMissingColumns=True)
         w = Window.partitionBy(_K).orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
-        aggs, out = self._agg_exprs(num, label, over=w)
-        if self.count:
-            cnt = _tmp()
-            aggs.append(F.count("__ev").over(w).alias(cnt))
-            out.append(_Feat(cnt, f"COUNT({label})", NUMERIC, "long", ("count",), False, True))
-        res = u.select(_K, "__t", "__q", *aggs).where(F.col("__q") == 1).withColumnRenamed("__t", _C).drop("__q")
+        bucketed = self.strategy == "bucketed" or self._has_hot_key(child, e)
+        if bucketed:
+            res, out = self._bucketed_numeric(u, num, label)
+        else:
+            aggs, out = self._agg_exprs(num, label, over=w)
+            if self.count:
+                cnt = _tmp()
+                aggs.append(F.count("__ev").over(w).alias(cnt))
+                out.append(_Feat(cnt, f"COUNT({label})", NUMERIC, "long", ("count",), False, True))
+            res = u.select(_K, "__t", "__q", *aggs).where(F.col("__q") == 1).withColumnRenamed("__t", _C).drop("__q")
         if cat:
-            modes, mout = self._prefix_modes(rows, q, cat, label, when_visible)
+            modes, mout = (self._bucketed_modes if bucketed else self._prefix_modes)(rows, q, cat, label, when_visible)
             k2, c2 = _tmp("__jk"), _tmp("__jc")
             modes = modes.withColumnRenamed(_K, k2).withColumnRenamed(_C, c2)
             res = res.join(modes, (F.col(_K) == F.col(k2)) & (F.col(_C) == F.col(c2)), "left").drop(k2, c2)
             out += mout
         return res, out
 
+
+    # ---- time-bucketed prefix plan (hot keys) ------------------------------------------------
+    def _has_hot_key(self, child: str, e: Relationship) -> bool:
+        """One aggregate job (partial counts per key, then a max): does any key own more than
+        ``hot_key_rows`` child rows?  Cached per edge."""
+        cache = self.__dict__.setdefault("_hot", {})
+        if e not in cache:
+            cdf = self.db.tables[child]
+            top = cdf.groupBy(e.child_col).count().agg(F.max("count").alias("m")).first()["m"]
+            cache[e] = bool(top and top > self.cfg.hot_key_rows)
+        return cache[e]
+
+    def _bucket(self, t: Column) -> Column:
+        return F.floor(t / F.lit(self.cfg.prefix_bucket_seconds * 1_000_000)).cast("long")
+
+    def _bucketed_numeric(self, u: DataFrame, num: list, label: str) -> tuple[DataFrame, list[_Feat]]:
+        """Prefix aggregates with no window spanning a whole key.  Events before a cutoff =
+        events in earlier buckets (per-bucket summaries, prefix over at most span/width rows
+        per key) + events earlier in the cutoff's own bucket (window per key and bucket).
+        count/max/min/mean are exact (decimal sums); std merges (n, mean, M2) by Chan's
+        formula around a per-key anchor (the mean of the key's first bucket)."""
+        u = u.withColumn("__b", self._bucket(F.col("__t")))
+        w1 = Window.partitionBy(_K, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
+        ev = u.where(F.col("__q").isNull())
+        dec = {f.col: T.DecimalType(38, 0 if f.dtype == "long" else self.cfg.mean_scale) for f in num}
+        part, bagg = [], []
+        for f in num:
+            x = F.col(f.col)
+            part += [F.count(x).over(w1).alias(f"{f.col}__n1"), F.sum(x.cast(dec[f.col])).over(w1).alias(f"{f.col}__s1"),
+                     F.max(x).over(w1).alias(f"{f.col}__x1"), F.min(x).over(w1).alias(f"{f.col}__m1"),
+                     F.avg(x).over(w1).alias(f"{f.col}__a1"), (F.var_pop(x).over(w1) * F.count(x).over(w1)).alias(f"{f.col}__q1")]
+            bagg += [F.count(x).alias(f"{f.col}__n"), F.sum(x.cast(dec[f.col])).alias(f"{f.col}__s"),
+                     F.max(x).alias(f"{f.col}__x"), F.min(x).alias(f"{f.col}__m"), F.avg(x).alias(f"{f.col}__a"),
+                     (F.var_pop(x) * F.count(x)).alias(f"{f.col}__q")]
+        part.append(F.count("__ev").over(w1).alias("__cnt1"))
+        bagg.append(F.count("__ev").alias("__cnt"))
+        within = u.select(_K, "__t", "__b", "__q", *part).where(F.col("__q") == 1)
+        bs = ev.groupBy(_K, "__b").agg(*bagg)
+        qb = within.select(_K, "__b").distinct()
+        allb = bs.unionByName(qb, allowMissingColumns=True)
+        wb = Window.partitionBy(_K).orderBy("__b").rangeBetween(Window.unboundedPreceding, -1)
+        wall = Window.partitionBy(_K).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        pre = []
+        for f in num:
+            c = f.col
+            a = F.first(F.col(f"{c}__a"), ignorenulls=True).over(wall)
+            d = F.col(f"{c}__a") - a
+            pre += [F.sum(f"{c}__n").over(wb).alias(f"{c}__N"), F.sum(f"{c}__s").over(wb).alias(f"{c}__S"),
+                    F.max(f"{c}__x").over(wb).alias(f"{c}__X"), F.min(f"{c}__m").over(wb).alias(f"{c}__M"),
+                    F.sum(f"{c}__q").over(wb).alias(f"{c}__Q"), F.sum(F.col(f"{c}__n") * d).over(wb).alias(f"{c}__D1"),
+                    F.sum(F.col(f"{c}__n") * d * d).over(wb).alias(f"{c}__D2"), a.alias(f"{c}__A")]
+        pre.append(F.sum("__cnt").over(wb).alias("__CNT"))
+        prefix = allb.select(_K, "__b", F.col("__cnt").isNull().alias("__isq"), *pre).where("__isq").drop("__isq")
+        j = within.join(prefix, [_K, "__b"], "left")
+        cols, out = [F.col(_K), F.col("__t").alias(_C)], []
+        z = lambda c: F.coalesce(c, F.lit(0))
+        for f in num:
+            c = f.col
+            n1, N = z(F.col(f"{c}__n1")), z(F.col(f"{c}__N"))
+            n = n1 + N
+            ssum = z(F.col(f"{c}__s1")) + z(F.col(f"{c}__S"))
+            for p in self.num_prims:
+                col = _tmp()
+                if p == "max":
+                    e, dt = F.greatest(F.col(f"{c}__x1"), F.col(f"{c}__X")), f.dtype
+                elif p == "min":
+                    e, dt = F.least(F.col(f"{c}__m1"), F.col(f"{c}__M")), f.dtype
+                elif p == "mean":
+                    e, dt = F.when(n > 0, ssum.cast("double") / n.cast("double")), "double"
+                else:  # std
+                    Nd = N.cast("double")
+                    m2p = z(F.col(f"{c}__Q")) + z(F.col(f"{c}__D2")) - F.when(N > 0, z(F.col(f"{c}__D1")) ** 2 / Nd).otherwise(0.0)
+                    meanp = F.col(f"{c}__A") + F.when(N > 0, z(F.col(f"{c}__D1")) / Nd)
+                    delta = F.col(f"{c}__a1") - meanp
+                    m2 = (F.when(N == 0, z(F.col(f"{c}__q1")))
+                          .when(n1 == 0, m2p)
+                          .otherwise(m2p + z(F.col(f"{c}__q1")) + delta * delta * Nd * n1.cast("double") / n.cast("double")))
+                    e, dt = F.when(n > 1, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - 1).cast("double"))), "double"
+                cols.append(e.alias(col))
+                out.append(_Feat(col, f"{p.upper()}({label}.{f.display})", NUMERIC, dt, (p,) + f.prims, f.epoch))
+        if self.count:
+            col = _tmp()
+            cols.append((z(F.col("__cnt1")) + z(F.col("__CNT"))).alias(col))
+            out.append(_Feat(col, f"COUNT({label})", NUMERIC, "long", ("count",), False, True))
+        return j.select(*cols), out
+
+    def _bucketed_modes(self, rows: DataFrame, q: DataFrame, cat: list, label: str, when_visible):
+        """Exact prefix mode without a window over a whole key: an event's running count of its
+        value = count in earlier buckets (prefix over per-bucket counts) + running count inside
+        its bucket; the best ``(-count, value)`` before a cutoff is the smaller of the best in
+        earlier buckets (prefix minimum over per-bucket minima) and the best earlier inside
+        the cutoff's bucket."""
+        ev = None
+        for i, f in enumerate(cat):
+            src = rows.where(F.col(f.col).isNotNull())
+            if f.vis is not None:
+                src = src.where(F.col(f.vis).isNotNull())
+            s = src.select(_K, when_visible(f).alias("__t"), F.lit(i).alias("__ci"), F.col(f.col).cast("string").alias("__x"))
+            ev = s if ev is None else ev.unionByName(s)
+        ev = ev.withColumn("__b", self._bucket(F.col("__t")))
+        per = ev.groupBy(_K, "__ci", "__x", "__b").agg(F.count(F.lit(1)).alias("__nb"))
+        per = per.withColumn("__prev", F.coalesce(F.sum("__nb").over(
+            Window.partitionBy(_K, "__ci", "__x").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        run = F.count(F.lit(1)).over(Window.partitionBy(_K, "__ci", "__x", "__b").orderBy("__t")
+                                     .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ev = ev.withColumn("__r", run).join(per.select(_K, "__ci", "__x", "__b", "__prev"), [_K, "__ci", "__x", "__b"])
+        ev = ev.select(_K, "__t", "__ci", "__b", F.struct((-(F.col("__prev") + F.col("__r"))).alias("n"),
+                                                          F.col("__x").alias("v")).alias("__s"))
+        qs = q.where(F.col(_C).isNotNull()).select(
+            _K, F.col(_C).alias("__t"), F.explode(F.array(*[F.lit(i) for i in range(len(cat))])).alias("__ci"),
+            self._bucket(F.col(_C)).alias("__b"), F.lit(1).alias("__q"))
+        u = ev.unionByName(qs, allowMissingColumns=True)
+        w1 = Window.partitionBy(_K, "__ci", "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
+        within = u.select(_K, "__t", "__ci", "__b", "__q", F.min("__s").over(w1).alias("__in")).where(F.col("__q") == 1)
+        bmin = ev.groupBy(_K, "__ci", "__b").agg(F.min("__s").alias("__bm"))
+        allb = bmin.unionByName(within.select(_K, "__ci", "__b").distinct(), allowMissingColumns=True)
+        wb = Window.partitionBy(_K, "__ci").orderBy("__b").rangeBetween(Window.unboundedPreceding, -1)
+        prefix = allb.select(_K, "__ci", "__b", F.col("__bm").isNull().alias("__isq"),
+                             F.min("__bm").over(wb).alias("__pm")).where("__isq").drop("__isq").distinct()
+        best = within.join(prefix, [_K, "__ci", "__b"], "left").select(
+            _K, "__t", "__ci", F.least(F.col("__in"), F.col("__pm")).getField("v").alias("__m"))
+        out, aggs = [], []
+        for i, f in enumerate(cat):
+            col = _tmp()
+            aggs.append(F.max(F.when(F.col("__ci") == i, F.col("__m"))).alias(col))
+            out.append(_Feat(col, f"MODE({label}.{f.display})", CATEGORY, "string", ("mode",) + f.prims, f.epoch))
+        return best.groupBy(_K, F.col("__t").alias(_C)).agg(*aggs), out
+
     def _prefix_modes(self, rows: DataFrame, q: DataFrame, cat: list, label: str, when_visible):
         """Exact prefix mode of every categorical column in one narrow unpivoted stream
         ``(key, time, column id, value)``: a running count per (key, column, value), the
@@ -476,7 +618,7 @@ def synthesize(db: RelationalDataset, task: DataFrame, key_mappings: Mapping[str
     if strategy == "auto":
         strategy = "join"
     small = task_rows <= cfg.broadcast_rows
-    planner = _Planner(db, cfg, strategy)
+    planner = _Planner(db, cfg, strategy, task_rows)
 
     out = base
     all_feats: list[tuple[_Feat, str]] = []
@@ -494,7 +636,7 @@ def synthesize(db: RelationalDataset, task: DataFrame, key_mappings: Mapping[str
         if has_c:
             ef = ef.withColumnRenamed(_C, c2)
             cond = cond & F.col(_C).eqNullSafe(F.col(c2))
-        if small:
+        if small and planner.fits_broadcast(len(ef.columns)):
             ef = F.broadcast(ef)
         out = out.join(ef, cond, "left").drop(k2, c2)
         lab = table if tables_seen.count(table) == 1 else f"{table}[{tcol}]"

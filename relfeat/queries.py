@@ -497,3 +497,25 @@ def q_stacked_prefix_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["stacked_prefix_window"] = q_stacked_prefix_window
+
+
+def q_prefix_bucketed_agg(spark: SparkSession, sf: str) -> DataFrame:
+    """The hot-key prefix plan (time buckets of 30 days) on the ``agg_numeric_cutoff``
+    features: no window spans a whole key."""
+    db = _db(spark, sf, ["customer", "orders"])
+    res = synthesize(db, _quarter_task(spark, sf), {"c_custkey": "customer.c_custkey"}, "cutoff_time",
+                     {"max_depth": 2, "agg_primitives": ["max", "min", "mean", "count", "std"],
+                      "cutoff_strategy": "bucketed", "prefix_bucket_seconds": 30 * 86400})
+    return _drop_std_epoch(res)
+
+
+def q_prefix_bucketed_mode(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact prefix mode through the hot-key bucketed plan."""
+    db = _db(spark, sf, ["customer", "orders"])
+    return synthesize(db, _quarter_task(spark, sf), {"c_custkey": "customer.c_custkey"}, "cutoff_time",
+                      {"max_depth": 2, "agg_primitives": ["mode", "count"], "cutoff_strategy": "bucketed",
+                       "prefix_bucket_seconds": 30 * 86400}).df
+
+
+QUERIES["prefix_bucketed_agg"] = q_prefix_bucketed_agg
+QUERIES["prefix_bucketed_mode"] = q_prefix_bucketed_mode
