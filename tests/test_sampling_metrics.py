@@ -34,3 +34,20 @@ def test_auc_ties_and_mae(spark):
     # positives 0.9 (beats 3 negatives) and 0.5 (beats 1, ties 1): (3 + 1.5) / 6
     assert roc_auc(df, "y", "s").first()["auc"] == 0.75
     assert abs(mean_absolute_error(df, "y", "s").first()["mae"] - (0.1 + 0.8 + 0.5 + 0.5 + 0.1) / 5) < 1e-12
+
+
+def test_metric_by_name():
+    import pytest
+    from relfeat.operators.metrics import metric_by_name
+    assert metric_by_name("AUROC") is roc_auc and metric_by_name("mae") is mean_absolute_error
+    with pytest.raises(ValueError):
+        metric_by_name("nope")
+
+
+def test_infer_text_columns(spark):
+    from relfeat.operators.prepare import drop_text_columns, infer_text_columns
+    from relfeat.sources.rdb import create_rdb
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    db = infer_text_columns(create_rdb("d", {"documents": docs}, {"documents": "doc_id"}))
+    assert db.get_table_metadata("documents").roles == {"text": "text"}
+    assert drop_text_columns(db).get_table("documents").columns == ["doc_id", "lang"]
