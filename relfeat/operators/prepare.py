@@ -41,9 +41,13 @@ def handle_dummy_tables(db: RelationalDataset) -> RelationalDataset:
     return db
 
 
-def fill_missing_primary_keys(db: RelationalDataset) -> RelationalDataset:
+def fill_missing_primary_keys(db: RelationalDataset, materialize: bool = False) -> RelationalDataset:
     """Add a parent row (key only, other columns null) for every foreign-key value that
-    has no parent.  distinct + anti join: both shuffle on the key with partial aggregation."""
+    has no parent.  distinct + anti join: both shuffle on the key with partial aggregation.
+
+    ``materialize``: run that check once now and checkpoint the missing-key rows (to the
+    cluster checkpoint dir); a parent with none keeps its plain scan, so later plans that
+    read it many times carry no union and no anti join over its child tables."""
     by_parent: dict[str, list] = {}
     for r in db.relationships:
         if r.parent in db.tables:
@@ -57,6 +61,10 @@ def fill_missing_primary_keys(db: RelationalDataset) -> RelationalDataset:
             k = db.tables[e.child].select(F.col(e.child_col).cast(pt).alias(pk)).where(F.col(pk).isNotNull())
             fks = k if fks is None else fks.unionByName(k)
         new = fks.distinct().join(pdf.select(pk), pk, "left_anti")
+        if materialize:
+            new = new.checkpoint(eager=True)
+            if new.isEmpty():
+                continue
         db = db.with_table(parent, pdf.unionByName(new, allowMissingColumns=True))
     return db
 
@@ -139,11 +147,13 @@ def canonicalize_types(db: RelationalDataset) -> RelationalDataset:
     return db
 
 
-def prepare_db(db: RelationalDataset, drop_text: bool = True) -> RelationalDataset:
-    """E3 pipeline: J6 -> J5 -> F1 -> P2 -> F8, all lazy."""
+def prepare_db(db: RelationalDataset, drop_text: bool = True, materialize_missing_keys: bool = True
+               ) -> RelationalDataset:
+    """E3 pipeline: J6 -> J5 -> F1 -> P2 -> F8.  Lazy except J5's one check per parent table
+    (``materialize_missing_keys``, see ``fill_missing_primary_keys``)."""
     db = handle_dummy_tables(db)
     db = db.canonicalize_key_types()
-    db = fill_missing_primary_keys(db)
+    db = fill_missing_primary_keys(db, materialize=materialize_missing_keys)
     db = featurize_datetime(db)
     if drop_text:
         db = drop_text_columns(db)
