@@ -283,6 +283,8 @@ class _Planner:
         cdf = self.db.tables[child]
         meta = self.db.metas[child]
         label = self.label(child, e, self.db.children_of(e.parent), "child")
+        if not self.num_prims and not self.cat_prims:
+            r = 0  # only COUNT is requested: no child-row feature would be aggregated
         if has_c and meta.time_column is not None and self.window_ok(child, e, r):
             return self._child_aggs_window(child, e, q, r, label, small)
         qq = F.broadcast(q) if small else q
