@@ -30,7 +30,12 @@ def epoch_micros(c: Column, dt: T.DataType) -> Column:
     ``TIMESTAMP_NTZ`` is converted without any time zone (wall clock read as UTC), so
     the value does not depend on the session zone."""
     if isinstance(dt, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+        # from the wall-clock fields: independent of the session time zone (a zone-based
+        # conversion would move values across daylight-saving changes)
+        days = F.unix_date(c.cast("date")).cast("long")
+        secs = F.hour(c).cast("long") * 3600 + F.minute(c).cast("long") * 60
+        frac = (F.date_part(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("long")
+        return days * F.lit(86_400_000_000) + secs * F.lit(1_000_000) + frac
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("long") * F.lit(86_400_000_000)
     return F.unix_micros(c)

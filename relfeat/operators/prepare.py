@@ -11,6 +11,10 @@ from ..functions.scalar import EPOCH_SUFFIX, epoch_ns, is_datetime_type, is_inte
 from ..sources.rdb import TEXT, RelationalDataset, TableMeta
 
 
+def _q(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def handle_dummy_tables(db: RelationalDataset) -> RelationalDataset:
     """For every edge whose parent table does not exist, create it as a one-column
     table holding the distinct non-null key values of all edges pointing at that name."""
@@ -24,10 +28,10 @@ def handle_dummy_tables(db: RelationalDataset) -> RelationalDataset:
         as_string = len(types) > 1
         parts = []
         for e in edges:
-            c = F.col(e.child_col)
+            c = _q(e.child_col)
             if as_string:
                 c = key_to_string(c, db.tables[e.child].schema[e.child_col].dataType)
-            parts.append(db.tables[e.child].select(c.alias(pk)).where(F.col(pk).isNotNull()))
+            parts.append(db.tables[e.child].select(c.alias(pk)).where(_q(pk).isNotNull()))
         keys = parts[0]
         for p in parts[1:]:
             keys = keys.unionByName(p)
@@ -58,9 +62,10 @@ def fill_missing_primary_keys(db: RelationalDataset, materialize: bool = False)
         pt = pdf.schema[pk].dataType
         fks = None
         for e in edges:
-            k = db.tables[e.child].select(F.col(e.child_col).cast(pt).alias(pk)).where(F.col(pk).isNotNull())
+            k = db.tables[e.child].select(_q(e.child_col).cast(pt).alias("__fk")).where(F.col("__fk").isNotNull())
             fks = k if fks is None else fks.unionByName(k)
-        new = fks.distinct().join(pdf.select(pk), pk, "left_anti")
+        new = (fks.distinct().join(pdf.select(_q(pk).alias("__pk")), F.col("__fk") == F.col("__pk"), "left_anti")
+               .select(F.col("__fk").alias(pk)))
         if materialize:
             new = new.checkpoint(eager=True)
             if new.isEmpty():
@@ -79,12 +84,12 @@ def featurize_datetime(db: RelationalDataset) -> RelationalDataset:
         changed = False
         for f in df.schema.fields:
             if f.name in keys or not is_datetime_type(f.dataType) or db.metas[t].roles.get(f.name) == TEXT:
-                cols.append(F.col(f.name))
+                cols.append(_q(f.name))
                 continue
             changed = True
             if f.name == m.time_column:
-                cols.append(F.col(f.name))
-            cols.append(epoch_ns(F.col(f.name), f.dataType).alias(f.name + EPOCH_SUFFIX))
+                cols.append(_q(f.name))
+            cols.append(epoch_ns(_q(f.name), f.dataType).alias(f.name + EPOCH_SUFFIX))
         if changed:
             db = db.with_table(t, df.select(*cols))
     return db
@@ -130,7 +135,7 @@ def canonicalize_types(db: RelationalDataset) -> RelationalDataset:
         cols = []
         changed = False
         for f in df.schema.fields:
-            c = F.col(f.name)
+            c = _q(f.name)
             if f.name in keys:
                 cols.append(c)
             elif isinstance(f.dataType, T.BooleanType):

@@ -22,6 +22,11 @@ class NotFittedError(RuntimeError):
     pass
 
 
+def _c(name: str):
+    """Column by its literal name (names may contain dots or parentheses)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _bc(df: DataFrame, rows: int, limit: int = 5_000_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
@@ -41,7 +46,7 @@ class TypeCastTransformer:
                 and not isinstance(f.dataType, T.BooleanType) and EPOCH_SUFFIX not in f.name]
         nulls = set()
         if ints:
-            row = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(ints)]).first()
+            row = df.agg(*[F.count(F.when(_c(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(ints)]).first()
             nulls = {c for i, c in enumerate(ints) if row[f"n{i}"] > 0}
         self.cast_columns_ = bools + [c for c in ints if c in nulls]
         return self
@@ -50,7 +55,7 @@ class TypeCastTransformer:
         if self.cast_columns_ is None:
             raise NotFittedError("TypeCastTransformer is not fitted")
         cols = set(self.cast_columns_) & set(df.columns)  # P9
-        return df.select(*[F.col(c).cast("float").alias(c) if c in cols else F.col(c) for c in df.columns])
+        return df.select(*[_c(c).cast("float").alias(c) if c in cols else _c(c) for c in df.columns])
 
 
 # ---- T2 -------------------------------------------------------------------------------------------
@@ -99,14 +104,14 @@ class TemporalDiffTransformer:
         if not self.timestamp_columns_ or self.cutoff_time_col is None or self.cutoff_time_col not in df.columns:
             return df
         cdt = df.schema[self.cutoff_time_col].dataType
-        cut = epoch_ns(F.col(self.cutoff_time_col), cdt) if is_datetime_type(cdt) else F.col(self.cutoff_time_col).cast("long")
+        cut = epoch_ns(_c(self.cutoff_time_col), cdt) if is_datetime_type(cdt) else _c(self.cutoff_time_col).cast("long")
         todo = [c for c in self.timestamp_columns_ if c in df.columns]
         out = []
         for c in df.columns:
             if c in todo:
-                out.append((cut - F.col(c)).cast("double").alias(f"{sanitize_name(c)}_diff"))
+                out.append((cut - _c(c)).cast("double").alias(f"{sanitize_name(c)}_diff"))
             else:
-                out.append(F.col(c))
+                out.append(_c(c))
         return df.select(*out)
 
 
@@ -115,7 +120,7 @@ NULL_CLASS = "nan"  # a missing value is one ordinary class
 
 
 def _as_class(c) -> "F.Column":
-    return F.coalesce(F.col(c).cast("string"), F.lit(NULL_CLASS))
+    return F.coalesce(_c(c).cast("string"), F.lit(NULL_CLASS))
 
 
 class SafeLabelEncoderTransformer:
@@ -128,12 +133,14 @@ class SafeLabelEncoderTransformer:
         self.codes_: DataFrame | None = None
         self.n_codes_: int = 0
 
-    def fit(self, df: DataFrame) -> "SafeLabelEncoderTransformer":
+    def fit(self, df: DataFrame, rows: int | None = None) -> "SafeLabelEncoderTransformer":
+        """``rows``: a known bound on ``df``'s rows (e.g. the training sample size)."""
         self.cat_columns_ = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
         if not self.cat_columns_:
             return self
         vals = self._unpivot(df)
-        self.codes_ = dense_codes(vals, "__col", "__val").checkpoint(eager=True)
+        bound = None if rows is None else rows * len(self.cat_columns_)
+        self.codes_ = dense_codes(vals, "__col", "__val", bounded_rows=bound).checkpoint(eager=True)
         self.n_codes_ = self.codes_.count()
         return self
 
@@ -157,11 +164,12 @@ class SafeLabelEncoderTransformer:
         extra = dense_codes(unseen, "__col", "__val", base=base)                              # U3
         table = seen.unionByName(extra)
         out = df
-        for c in cols:                                                                        # J8
-            m = table.where(F.col("__col") == c).select(F.col("__val").alias(f"__v_{c}"), F.col("code").alias(f"__code_{c}"))
+        for i, c in enumerate(cols):                                                          # J8
+            m = table.where(F.col("__col") == c).select(F.col("__val").alias(f"__v{i}"), F.col("code").alias(f"__code{i}"))
             out = out.join(F.broadcast(m) if self.n_codes_ <= 5_000_000 else m,
-                           _as_class(c) == F.col(f"__v_{c}"), "left").drop(f"__v_{c}")
-        return out.select(*[F.col(f"__code_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
+                           _as_class(c) == F.col(f"__v{i}"), "left").drop(f"__v{i}")
+        idx = {c: i for i, c in enumerate(cols)}
+        return out.select(*[F.col(f"__code{idx[c]}").alias(c) if c in idx else _c(c) for c in df.columns])
 
 
 # ---- T4 -------------------------------------------------------------------------------------------
@@ -180,12 +188,12 @@ class DatetimeFeatureGenerator:
         cols = []
         for f in df.schema.fields:
             if f.name in self.datetime_columns_:
-                c = F.col(f.name)
+                c = _c(f.name)
                 cols += [epoch_ns(c, f.dataType).alias(f.name), F.year(c).cast("long").alias(f"{f.name}_year"),
                          F.month(c).cast("long").alias(f"{f.name}_month"), F.dayofmonth(c).cast("long").alias(f"{f.name}_day"),
                          F.weekday(c).cast("long").alias(f"{f.name}_dayofweek")]
             else:
-                cols.append(F.col(f.name))
+                cols.append(_c(f.name))
         return df.select(*cols)
 
     def fit(self, df: DataFrame) -> "DatetimeFeatureGenerator":
@@ -197,7 +205,7 @@ class DatetimeFeatureGenerator:
             simple = [f.name for f in x.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
             aggs = []
             for i, c in enumerate(simple):
-                aggs += [F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}"), F.count(c).alias(f"n{i}")]
+                aggs += [F.min(_c(c)).alias(f"a{i}"), F.max(_c(c)).alias(f"b{i}"), F.count(_c(c)).alias(f"n{i}")]
             aggs.append(F.count(F.lit(1)).alias("rows"))
             row = x.agg(*aggs).first()
             if row["rows"] > 0:
@@ -234,7 +242,8 @@ class TabularPreprocessor:
     def temporal_transformer(self):
         return dict(self.steps or []).get("temporal")
 
-    def fit(self, df: DataFrame) -> "TabularPreprocessor":
+    def fit(self, df: DataFrame, rows: int | None = None) -> "TabularPreprocessor":
+        """``rows``: a known bound on ``df``'s rows, passed to the label encoder."""
         steps = [("type_cast", TypeCastTransformer())]
         if self.temporal_diff_config is not None and self.temporal_diff_config.enabled:
             steps.append(("temporal", TemporalDiffTransformer(self.temporal_diff_config, self.cutoff_time,
@@ -243,7 +252,10 @@ class TabularPreprocessor:
         steps.append(("datetime", DatetimeFeatureGenerator(**self.ag_config)))
         x = df.drop(*self.keep_columns)  # keep columns (ids) bypass the stages
         for _, st in steps:
-            st.fit(x)
+            if isinstance(st, SafeLabelEncoderTransformer):
+                st.fit(x, rows)
+            else:
+                st.fit(x)
             x = st.transform(x)
         self.steps = steps
         self.is_fitted_ = True
@@ -255,9 +267,10 @@ class TabularPreprocessor:
             raise NotFittedError("TabularPreprocessor is not fitted")
         keep = [c for c in list(self.keep_columns) + list(passthrough) if c in df.columns]
         if keep:
-            df = df.withColumn("__keep", F.struct(*keep)).drop(*keep)
+            df = df.withColumn("__keep", F.struct(*[_c(k).alias(f"k{i}") for i, k in enumerate(keep)])).drop(*keep)
         for _, st in self.steps:
             df = st.transform(df)
         if keep:
-            df = df.select(*[F.col(f"__keep.{c}").alias(c) for c in keep], *[c for c in df.columns if c != "__keep"])
+            df = df.select(*[F.col(f"__keep.k{i}").alias(c) for i, c in enumerate(keep)],
+                           *[_c(c) for c in df.columns if c != "__keep"])
         return df

@@ -34,12 +34,20 @@ def exclusive_prefix_sums(df: DataFrame, order_cols: Sequence[str], value_cols:
     return out.select(*df.columns, *[(F.col(f"__o_{v}") + F.col(f"__l_{v}")).alias(f"{v}_before") for v in value_cols])
 
 
-def dense_codes(values: DataFrame, group_col: str, value_col: str, base: DataFrame | None = None) -> DataFrame:
+def dense_codes(values: DataFrame, group_col: str, value_col: str, base: DataFrame | None = None,
+                bounded_rows: int | None = None) -> DataFrame:
     """0-based dense rank of each distinct ``value_col`` within ``group_col`` (ascending,
-    binary string order), optionally starting after a per-group ``base.offset``."""
-    d = values.select(group_col, value_col).distinct().withColumn("__one", F.lit(1))
-    r = exclusive_prefix_sums(d, [value_col], ["__one"], group_col=group_col)
-    r = r.withColumnRenamed("__one_before", "code").drop("__one")
+    binary string order), optionally starting after a per-group ``base.offset``.
+
+    ``bounded_rows``: a proven bound on the input rows; up to a million, a plain
+    ``dense_rank`` per group is used (one small task per group, no extra jobs)."""
+    if bounded_rows is not None and bounded_rows <= 1_000_000:
+        r = values.select(group_col, value_col).distinct().withColumn(
+            "code", F.dense_rank().over(Window.partitionBy(group_col).orderBy(value_col)) - 1)
+    else:
+        d = values.select(group_col, value_col).distinct().withColumn("__one", F.lit(1))
+        r = exclusive_prefix_sums(d, [value_col], ["__one"], group_col=group_col)
+        r = r.withColumnRenamed("__one_before", "code").drop("__one")
     if base is not None:
         r = r.join(F.broadcast(base), group_col, "left").select(
             group_col, value_col, (F.col("code") + F.coalesce(F.col("offset"), F.lit(0))).alias("code"))

@@ -553,3 +553,20 @@ LEFT JOIN mp ON mp.k = t.l_partkey AND mp.c = t.cutoff_time
 ORACLE_SQL["stacked_prefix_window"] = STACKED_PREFIX_WINDOW
 ORACLE_SQL["prefix_bucketed_agg"] = AGG_NUMERIC_CUTOFF
 ORACLE_SQL["prefix_bucketed_mode"] = AGG_MODE_CUTOFF
+
+SANITIZE_NAMES = f"""
+WITH task AS ({QUARTER_TASK}),
+a AS (SELECT t.c_custkey, t.cutoff_time, MAX(o.o_totalprice) AS mx_p, MIN(o.o_totalprice) AS mn_p,
+             MAX(epoch_ns(o.o_orderdate)) AS mx_d, MIN(epoch_ns(o.o_orderdate)) AS mn_d, COUNT(*) AS n
+      FROM task t JOIN orders o ON o.o_custkey = t.c_custkey AND o.o_orderdate < t.cutoff_time GROUP BY 1, 2)
+SELECT t.c_custkey, t.cutoff_time, c.c_name AS "customer.c_name", c.c_acctbal AS "customer.c_acctbal",
+       c.c_mktsegment AS "customer.c_mktsegment",
+       a.mx_p AS "customer.MAX(orders.o_totalprice)", a.mn_p AS "customer.MIN(orders.o_totalprice)",
+       CAST(epoch_ns(t.cutoff_time) - a.mx_d AS DOUBLE) AS customer_MAX_orders_o_orderdate_epochtime_diff,
+       CAST(epoch_ns(t.cutoff_time) - a.mn_d AS DOUBLE) AS customer_MIN_orders_o_orderdate_epochtime_diff,
+       COALESCE(a.n, 0) AS "customer.COUNT(orders)"
+FROM task t LEFT JOIN customer c ON c.c_custkey = t.c_custkey
+LEFT JOIN a ON a.c_custkey = t.c_custkey AND a.cutoff_time = t.cutoff_time
+"""
+
+ORACLE_SQL["sanitize_names"] = SANITIZE_NAMES

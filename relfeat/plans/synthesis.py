@@ -124,6 +124,11 @@ class _Feat:
 _ids = itertools.count()
 
 
+def _q(name: str) -> Column:
+    """Column by its literal name (user names may contain dots)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _tmp(prefix: str = "__f") -> str:
     return f"{prefix}{next(_ids)}"
 
@@ -183,7 +188,7 @@ class _Planner:
     # ---- frames ----------------------------------------------------------------------------
     def time_micros(self, table: str) -> Column:
         tc = self.db.metas[table].time_column
-        return epoch_micros(F.col(tc), self.db.tables[table].schema[tc].dataType)
+        return epoch_micros(_q(tc), self.db.tables[table].schema[tc].dataType)
 
     def row_feats(self, frame: DataFrame, table: str, r: int, via, has_c: bool, small: bool,
                   keep: Sequence[str], visible: Column | None = None, defer: bool = False
@@ -200,13 +205,13 @@ class _Planner:
         cols = [F.col(c) for c in keep]
         for name, kind, dtype, epoch in self.attrs(table):
             col = _tmp()
-            v = F.col(name) if visible is None else F.when(visible, F.col(name))
+            v = _q(name) if visible is None else F.when(visible, _q(name))
             cols.append(v.alias(col))
             feats.append(_Feat(col, name, kind, dtype, (), epoch))
         needed = {e.child_col for e in parents}
         if children:
             needed.add(meta.primary_key)
-        cols += [F.col(c) for c in sorted(needed) if c not in keep]
+        cols += [_q(c) for c in sorted(needed) if c not in keep]
         if has_c and _C not in keep:
             cols.append(F.col(_C))
         frame = frame.select(*cols)
@@ -214,7 +219,7 @@ class _Planner:
         for e in parents:
             p_c = has_c and self.timed(e.parent, r - 1, e)
             vt = defer and bool(self.db.metas[e.parent].time_column)
-            q = frame.select(F.col(e.child_col).alias(_K), *([F.col(_C)] if p_c else [])).distinct()
+            q = frame.select(_q(e.child_col).alias(_K), *([F.col(_C)] if p_c else [])).distinct()
             pf, pfeats = self.entity_feats(e.parent, q, r - 1, e, p_c, small, emit_vt=vt)
             if vt:
                 vcol = _tmp("__vt")
@@ -226,7 +231,7 @@ class _Planner:
 
         for e in children:
             c_c = has_c and self.timed(e.child, r - 1, e)
-            q = frame.select(F.col(meta.primary_key).alias(_K), *([F.col(_C)] if c_c else [])).distinct()
+            q = frame.select(_q(meta.primary_key).alias(_K), *([F.col(_C)] if c_c else [])).distinct()
             cf, cfeats = self.child_aggs(e.child, e, q, r - 1, c_c, small)
             frame = self._join_back(frame, cf, meta.primary_key, c_c, small)
             for f in cfeats:  # an existing row without visible children has count 0
@@ -244,7 +249,7 @@ class _Planner:
         small = small and self.fits_broadcast(len(sub.columns))
         k2, c2 = _tmp("__jk"), _tmp("__jc")
         sub = sub.withColumnRenamed(_K, k2)
-        cond = F.col(key) == F.col(k2)
+        cond = _q(key) == F.col(k2)
         if with_c:
             sub = sub.withColumnRenamed(_C, c2)
             cond = cond & F.col(_C).eqNullSafe(F.col(c2))
@@ -262,7 +267,7 @@ class _Planner:
         pk = meta.primary_key
         pdf = self.db.tables[table]
         qq = F.broadcast(q) if small else q
-        rows = pdf.join(qq, pdf[pk] == qq[_K], "inner")
+        rows = pdf.join(qq, _q(pk) == F.col(_K), "inner")
         visible = None
         if has_c and meta.time_column:
             visible = self.time_micros(table) < F.col(_C)
@@ -288,7 +293,7 @@ class _Planner:
         if has_c and meta.time_column is not None and self.window_ok(child, e, r):
             return self._child_aggs_window(child, e, q, r, label, small)
         qq = F.broadcast(q) if small else q
-        cond = cdf[e.child_col] == qq[_K]
+        cond = _q(e.child_col) == F.col(_K)
         if has_c and meta.time_column:
             cond = cond & (self.time_micros(child) < qq[_C])
         crows = cdf.join(qq, cond, "inner")
@@ -368,7 +373,7 @@ class _Planner:
         cdf = self.db.tables[child]
         keys = q.select(_K).distinct()
         keys = F.broadcast(keys) if small else keys
-        base = cdf.join(keys, cdf[e.child_col] == keys[_K], "inner").withColumn("__t", self.time_micros(child)) \
+        base = cdf.join(keys, _q(e.child_col) == F.col(_K), "inner").withColumn("__t", self.time_micros(child)) \
             .where(F.col("__t").isNotNull())
         rows, feats = self.row_feats(base, child, r, e, False, False, [_K, "__t"], defer=True)
 
@@ -416,7 +421,7 @@ class _Planner:
         cache = self.__dict__.setdefault("_hot", {})
         if e not in cache:
             cdf = self.db.tables[child]
-            top = cdf.groupBy(e.child_col).count().agg(F.max("count").alias("m")).first()["m"]
+            top = cdf.groupBy(_q(e.child_col)).count().agg(F.max("count").alias("m")).first()["m"]
             cache[e] = bool(top and top > self.cfg.hot_key_rows)
         return cache[e]
 
@@ -597,7 +602,7 @@ def synthesize(db: RelationalDataset, task: DataFrame, key_mappings: Mapping[str
     base = task
     if has_cutoff:
         ct = task.schema[cutoff_time_column].dataType
-        base = base.withColumn(_C, epoch_micros(F.col(cutoff_time_column), ct))
+        base = base.withColumn(_C, epoch_micros(_q(cutoff_time_column), ct))
 
     mappings = []
     for tcol, ref in key_mappings.items():
@@ -611,7 +616,7 @@ def synthesize(db: RelationalDataset, task: DataFrame, key_mappings: Mapping[str
     # sizing: one pass over the task frame (count and approximate distinct keys)
     strategy = cfg.cutoff_strategy
     if task_rows is None or (strategy == "auto" and has_cutoff):
-        aggs = [F.count(F.lit(1)).alias("n")] + [F.approx_count_distinct(t).alias(f"d{i}") for i, (t, _, _) in enumerate(mappings)]
+        aggs = [F.count(F.lit(1)).alias("n")] + [F.approx_count_distinct(_q(t)).alias(f"d{i}") for i, (t, _, _) in enumerate(mappings)]
         row = task.agg(*aggs).first()
         task_rows = row["n"] if task_rows is None else min(task_rows, row["n"])
         if strategy == "auto":
@@ -629,7 +634,7 @@ def synthesize(db: RelationalDataset, task: DataFrame, key_mappings: Mapping[str
         r = cfg.max_depth - 1
         has_c = has_cutoff and planner.timed(table, r, None)
         pk_type = db.tables[table].schema[pk].dataType
-        kexpr = _cast_key(F.col(tcol), task.schema[tcol].dataType, pk_type)
+        kexpr = _cast_key(_q(tcol), task.schema[tcol].dataType, pk_type)
         q = base.select(kexpr.alias(_K), *([F.col(_C)] if has_c else [])).distinct()
         ef, feats = planner.entity_feats(table, q, r, None, has_c, small)
         k2, c2 = _tmp("__jk"), _tmp("__jc")
@@ -646,7 +651,7 @@ def synthesize(db: RelationalDataset, task: DataFrame, key_mappings: Mapping[str
 
     # final names: sanitised display names, de-duplicated
     taken = set(task.columns)
-    sel = [F.col(c) for c in task.columns]
+    sel = [_q(c) for c in task.columns]
     defs = []
     for f, _ in all_feats:
         name = sanitize_name(f.display)

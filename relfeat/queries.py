@@ -519,3 +519,15 @@ def q_prefix_bucketed_mode(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["prefix_bucketed_agg"] = q_prefix_bucketed_agg
 QUERIES["prefix_bucketed_mode"] = q_prefix_bucketed_mode
+
+
+def q_sanitize_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Features carrying their display names (``customer.MAX(orders.o_orderdate_epochtime)``)
+    go through T2; each epoch column comes out as its sanitised name plus ``_diff``."""
+    res = _price_features(spark, sf, ("max", "min", "count"))
+    df = res.df.select(*[F.col(c) for c in res.df.columns if c not in res.feature_names],
+                       *[F.col(f.name).alias(f.display) for f in res.features])
+    return TemporalDiffTransformer(TemporalDiffConfig(), "cutoff_time").fit(df).transform(df)
+
+
+QUERIES["sanitize_names"] = q_sanitize_names

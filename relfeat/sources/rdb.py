@@ -183,7 +183,7 @@ class RelationalDataset:
         dt = df.schema[col].dataType
         if isinstance(dt, T.StringType):
             return self
-        return self.with_table(table, df.withColumn(col, key_to_string(F.col(col), dt)))
+        return self.with_table(table, df.withColumn(col, key_to_string(F.col("`" + col.replace("`", "``") + "`"), dt)))
 
     def validate_key_consistency(self) -> None:
         """K5 (metadata part): edges point at existing columns and agree on type; raises otherwise."""

@@ -102,3 +102,27 @@ def test_feature_names_and_depth(spark, users_db, user_frames):
     assert d2.df.count() == 100 and len(d2.df.columns) > 3
     std_epoch = [f.name for f in d2.features if f.is_std_of_epoch]
     assert std_epoch == ["users_STD_transactions_timestamp_epochtime"]
+
+
+def test_dotted_column_names(spark):
+    cust = spark.createDataFrame([(1, 2.0)], "`c.id` long, `a.b` double")
+    orders = spark.createDataFrame([(10, 1, 5.0, dt.datetime(2020, 1, 1))], "`o.id` long, `c.id` long, `p.x` double, `t.s` timestamp_ntz")
+    db = prepare_db(create_rdb("s", {"cust": cust, "orders": orders}, {"cust": "c.id", "orders": "o.id"},
+                               [("orders", "c.id", "cust", "c.id")], {"orders": "t.s"}))
+    task = spark.createDataFrame([(1, dt.datetime(2021, 1, 1))], "`k.k` long, `cut.off` timestamp_ntz")
+    for strategy in ("join", "window"):
+        r = synthesize(db, task, {"k.k": "cust.c.id"}, "cut.off", {"max_depth": 2, "cutoff_strategy": strategy}).df.first()
+        assert r["cust_a_b"] == 2.0 and r["cust_MAX_orders_p_x"] == 5.0 and r["cust_COUNT_orders"] == 1
+
+
+def test_ntz_epoch_independent_of_session_zone(spark):
+    from relfeat.functions.scalar import epoch_ns
+    df = spark.createDataFrame([(dt.datetime(2023, 7, 1, 12, 30, 15, 250000),), (dt.datetime(1969, 12, 31, 23, 59, 59),)],
+                               "t timestamp_ntz")
+    want = [1688214615250000000, -1000000000]
+    for tz in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", tz)
+        try:
+            assert [r[0] for r in df.select(epoch_ns(F.col("t"), df.schema["t"].dataType)).collect()] == want
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
