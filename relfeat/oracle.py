@@ -30,9 +30,11 @@ def mean_int(x: str) -> str:
 
 
 def dec10(x: str) -> str:
-    """A double at decimal scale 10 the way Spark casts it: through its shortest decimal text
-    (DuckDB's direct DOUBLE -> DECIMAL cast multiplies in floating point instead)."""
-    return f"CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,10))"
+    """A double as an exact decimal at scale 10: integral doubles beyond 2^53 through BIGINT,
+    others through their decimal text (DuckDB's direct DOUBLE -> DECIMAL cast multiplies in
+    floating point)."""
+    return (f"CASE WHEN ABS({x}) >= 9007199254740992 THEN CAST(CAST({x} AS BIGINT) AS DECIMAL(38,10)) "
+            f"ELSE CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,10)) END")
 
 
 def mean_dbl(x: str) -> str:

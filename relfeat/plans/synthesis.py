@@ -51,6 +51,7 @@ WINDOW_PRIMITIVES = ("max", "min", "mean", "std", "count", "mode")  # computable
 DEFAULT_MAX_DEPTH = 2
 DEFAULT_AGG_PRIMITIVES = ("max", "min", "mean", "count", "mode", "std")
 
+BIG_DOUBLE = float(2 ** 53)  # doubles at or beyond this magnitude hold integers
 _C = "__c"  # cutoff, epoch microseconds
 _K = "__k"  # key of the current query set
 
@@ -336,11 +337,18 @@ class _Planner:
                                  dt, (p,) + f.prims, f.epoch))
         return aggs, out
 
+    def _dec(self, x: Column, dtype: str) -> Column:
+        """A value as an exact decimal for summing.  Doubles at or beyond 2^53 are integers:
+        they go through ``long`` (exact), not through their decimal text."""
+        if dtype == "long":
+            return x.cast(T.DecimalType(38, 0))
+        d = T.DecimalType(38, self.cfg.mean_scale)
+        return F.when(F.abs(x) >= F.lit(BIG_DOUBLE), x.cast("long").cast(d)).otherwise(x.cast(d))
+
     def _mean(self, x: Column, dtype: str, over=None) -> Column:
         """Exact mean: a decimal sum (order-independent, so every plan and partitioning gives
         the same bits) divided by the count."""
-        scale = 0 if dtype == "long" else self.cfg.mean_scale
-        s = F.sum(x.cast(T.DecimalType(38, scale)))
+        s = F.sum(self._dec(x, dtype))
         n = F.count(x)
         if over is not None:
             s, n = s.over(over), n.over(over)
@@ -437,14 +445,14 @@ class _Planner:
         u = u.withColumn("__b", self._bucket(F.col("__t")))
         w1 = Window.partitionBy(_K, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
         ev = u.where(F.col("__q").isNull())
-        dec = {f.col: T.DecimalType(38, 0 if f.dtype == "long" else self.cfg.mean_scale) for f in num}
+        dec = {f.col: f.dtype for f in num}
         part, bagg = [], []
         for f in num:
             x = F.col(f.col)
-            part += [F.count(x).over(w1).alias(f"{f.col}__n1"), F.sum(x.cast(dec[f.col])).over(w1).alias(f"{f.col}__s1"),
+            part += [F.count(x).over(w1).alias(f"{f.col}__n1"), F.sum(self._dec(x, dec[f.col])).over(w1).alias(f"{f.col}__s1"),
                      F.max(x).over(w1).alias(f"{f.col}__x1"), F.min(x).over(w1).alias(f"{f.col}__m1"),
                      F.avg(x).over(w1).alias(f"{f.col}__a1"), (F.var_pop(x).over(w1) * F.count(x).over(w1)).alias(f"{f.col}__q1")]
-            bagg += [F.count(x).alias(f"{f.col}__n"), F.sum(x.cast(dec[f.col])).alias(f"{f.col}__s"),
+            bagg += [F.count(x).alias(f"{f.col}__n"), F.sum(self._dec(x, dec[f.col])).alias(f"{f.col}__s"),
                      F.max(x).alias(f"{f.col}__x"), F.min(x).alias(f"{f.col}__m"), F.avg(x).alias(f"{f.col}__a"),
                      (F.var_pop(x) * F.count(x)).alias(f"{f.col}__q")]
         part.append(F.count("__ev").over(w1).alias("__cnt1"))
