@@ -621,24 +621,26 @@ def synthesize(db: RelationalDataset, task: DataFrame, key_mappings: Mapping[str
             raise ValueError(f"key mapping {tcol!r} -> {ref!r}: no table {table!r}")
         mappings.append((tcol, table, pk))
 
-    # sizing: one pass over the task frame (count and approximate distinct keys)
-    strategy = cfg.cutoff_strategy
-    if task_rows is None or (strategy == "auto" and has_cutoff):
+    # sizing: one pass over the task frame (count and approximate distinct keys per mapping)
+    strategies = {tcol: cfg.cutoff_strategy for tcol, _, _ in mappings}
+    if task_rows is None or (cfg.cutoff_strategy == "auto" and has_cutoff):
         aggs = [F.count(F.lit(1)).alias("n")] + [F.approx_count_distinct(_q(t)).alias(f"d{i}") for i, (t, _, _) in enumerate(mappings)]
         row = task.agg(*aggs).first()
         task_rows = row["n"] if task_rows is None else min(task_rows, row["n"])
-        if strategy == "auto":
-            per_key = max([row["n"] / max(row[f"d{i}"], 1) for i in range(len(mappings))] or [0.0])
-            strategy = "window" if has_cutoff and per_key > cfg.window_cutoffs_per_key else "join"
-    if strategy == "auto":
-        strategy = "join"
+        if cfg.cutoff_strategy == "auto":
+            # per mapping: the prefix plan pays off when an entity has many cutoffs
+            for i, (tcol, _, _) in enumerate(mappings):
+                per_key = row["n"] / max(row[f"d{i}"], 1)
+                strategies[tcol] = "window" if has_cutoff and per_key > cfg.window_cutoffs_per_key else "join"
+    strategies = {k: ("join" if v == "auto" else v) for k, v in strategies.items()}
     small = task_rows <= cfg.broadcast_rows
-    planner = _Planner(db, cfg, strategy, task_rows)
+    planner = _Planner(db, cfg, "join", task_rows)
 
     out = base
     all_feats: list[tuple[_Feat, str]] = []
     tables_seen = [t for _, t, _ in mappings]
     for tcol, table, pk in mappings:
+        planner.strategy = strategies[tcol]
         r = cfg.max_depth - 1
         has_c = has_cutoff and planner.timed(table, r, None)
         pk_type = db.tables[table].schema[pk].dataType
