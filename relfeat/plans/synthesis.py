@@ -31,6 +31,7 @@ Physical shape:
 """
 from __future__ import annotations
 
+import datetime
 import itertools
 from dataclasses import dataclass, field, replace
 from typing import Iterable, Mapping, Sequence
@@ -137,6 +138,7 @@ def _tmp(prefix: str = "__f") -> str:
 class _Planner:
     def __init__(self, db: RelationalDataset, cfg: DFSConfig, strategy: str, task_rows: int = 0):
         self.task_rows = task_rows
+        self.max_cutoff: int | None = None   # latest cutoff (epoch micros) of the task frame
         self.db = db
         self.cfg = cfg
         self.strategy = strategy
@@ -187,6 +189,24 @@ class _Planner:
         return table if len(same) <= 1 else f"{table}[{e.child_col}]"
 
     # ---- frames ----------------------------------------------------------------------------
+    def visible_rows(self, table: str) -> DataFrame:
+        """Child rows that any cutoff could see: ``time <= latest cutoff`` as a literal on the
+        raw time column, so Parquet skips row groups / partitions after it (a superset; the
+        exact per-row condition still applies)."""
+        df = self.db.tables[table]
+        tc = self.db.metas[table].time_column
+        if tc is None or self.max_cutoff is None:
+            return df
+        dt = df.schema[tc].dataType
+        last = datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=self.max_cutoff)
+        if isinstance(dt, T.TimestampNTZType):
+            lit = F.expr(f"TIMESTAMP_NTZ'{last:%Y-%m-%d %H:%M:%S.%f}'")
+        elif isinstance(dt, T.DateType):
+            lit = F.expr(f"DATE'{last:%Y-%m-%d}'")
+        else:
+            lit = F.expr(f"TIMESTAMP'{last:%Y-%m-%d %H:%M:%S.%f}+00:00'")
+        return df.where(_q(tc) <= lit)
+
     def time_micros(self, table: str) -> Column:
         tc = self.db.metas[table].time_column
         return epoch_micros(_q(tc), self.db.tables[table].schema[tc].dataType)
@@ -296,6 +316,7 @@ class _Planner:
         qq = F.broadcast(q) if small else q
         cond = _q(e.child_col) == F.col(_K)
         if has_c and meta.time_column:
+            cdf = self.visible_rows(child)
             cond = cond & (self.time_micros(child) < qq[_C])
         crows = cdf.join(qq, cond, "inner")
         keep = [_K] + ([_C] if has_c else [])
@@ -378,7 +399,7 @@ class _Planner:
         that also depends on a timed parent becomes visible at ``greatest(row time, parent
         time)``: such values travel in their own event rows with that time.  ``mode`` is exact:
         a running count per (key, value), then the prefix minimum of ``(-count, value)``."""
-        cdf = self.db.tables[child]
+        cdf = self.visible_rows(child)
         keys = q.select(_K).distinct()
         keys = F.broadcast(keys) if small else keys
         base = cdf.join(keys, _q(e.child_col) == F.col(_K), "inner").withColumn("__t", self.time_micros(child)) \
@@ -623,9 +644,12 @@ def synthesize(db: RelationalDataset, task: DataFrame, key_mappings: Mapping[str
 
     # sizing: one pass over the task frame (count and approximate distinct keys per mapping)
     strategies = {tcol: cfg.cutoff_strategy for tcol, _, _ in mappings}
-    if task_rows is None or (cfg.cutoff_strategy == "auto" and has_cutoff):
+    row = None
+    if has_cutoff or task_rows is None or (cfg.cutoff_strategy == "auto" and has_cutoff):
         aggs = [F.count(F.lit(1)).alias("n")] + [F.approx_count_distinct(_q(t)).alias(f"d{i}") for i, (t, _, _) in enumerate(mappings)]
-        row = task.agg(*aggs).first()
+        if has_cutoff:
+            aggs.append(F.max(_C).alias("last"))
+        row = (base if has_cutoff else task).agg(*aggs).first()
         task_rows = row["n"] if task_rows is None else min(task_rows, row["n"])
         if cfg.cutoff_strategy == "auto":
             # per mapping: the prefix plan pays off when an entity has many cutoffs
@@ -635,6 +659,8 @@ def synthesize(db: RelationalDataset, task: DataFrame, key_mappings: Mapping[str
     strategies = {k: ("join" if v == "auto" else v) for k, v in strategies.items()}
     small = task_rows <= cfg.broadcast_rows
     planner = _Planner(db, cfg, "join", task_rows)
+    if has_cutoff and row is not None:
+        planner.max_cutoff = row["last"]
 
     out = base
     all_feats: list[tuple[_Feat, str]] = []
