@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relfeat import create_rdb, prepare_db, synthesize
-from relfeat.sources.testdb import order_task, load_test_db
+from relfeat.sources.testdb import load_test_db, order_task
 
 from conftest import SF
 
@@ -126,3 +126,22 @@ def test_ntz_epoch_independent_of_session_zone(spark):
             assert [r[0] for r in df.select(epoch_ns(F.col("t"), df.schema["t"].dataType)).collect()] == want
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_hot_key_detection_switches_to_bucketed_plan(spark):
+    """A key above ``hot_key_rows`` child rows routes the window plan to the time-bucketed
+    variant; results equal the join plan (std up to summation order)."""
+    db = prepare_db(load_test_db(spark, SF, tables=("customer", "orders")))
+    task = order_task(spark, SF).select("o_orderkey", "o_custkey", "cutoff_time")
+    cfg = {"max_depth": 2, "agg_primitives": ["max", "min", "mean", "count", "mode", "std"]}
+    j = synthesize(db, task, {"o_custkey": "customer.c_custkey"}, "cutoff_time", {**cfg, "cutoff_strategy": "join"}).df
+    b = synthesize(db, task, {"o_custkey": "customer.c_custkey"}, "cutoff_time",
+                   {**cfg, "cutoff_strategy": "window", "hot_key_rows": 1, "prefix_bucket_seconds": 7 * 86400}).df
+    std = [c for c in j.columns if "_STD_" in c]
+    exact = [c for c in j.columns if c not in std]
+    assert j.select(*exact).exceptAll(b.select(*exact)).count() == 0
+    assert b.select(*exact).exceptAll(j.select(*exact)).count() == 0
+    jp = j.select("o_orderkey", *std).toPandas().sort_values("o_orderkey").reset_index(drop=True)
+    bp = b.select("o_orderkey", *std).toPandas().sort_values("o_orderkey").reset_index(drop=True)
+    for c in std:
+        assert np.allclose(jp[c].astype(float), bp[c].astype(float), rtol=1e-9, equal_nan=True)
