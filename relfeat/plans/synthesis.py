@@ -414,15 +414,20 @@ class _Planner:
         groups: dict = {}
         for f in num:
             groups.setdefault(f.vis, []).append(f)
-        streams = [rows.select(_K, "__t", F.lit(1).alias("__ev"), *[f.col for f in groups.get(None, [])])]
-        for vcol, fs in groups.items():
-            if vcol is not None:
-                streams.append(rows.where(F.col(vcol).isNotNull())
-                               .select(_K, when_visible(fs[0]).alias("__t"), *[f.col for f in fs]))
-        streams.append(q.where(F.col(_C).isNotNull()).select(_K, F.col(_C).alias("__t"), F.lit(1).alias("__q")))
-        u = streams[0]
-        for st in streams[1:]:
-            u = u.unionByName(st, allowMissingColumns=True)
+        # one pass over the child rows: each row emits one event per visibility group
+        # (explode), instead of one scan of the rows per group
+        types = {f.col: ("long" if f.dtype == "long" else "double") for f in num}
+        recs = []
+        for vcol, fs in [(None, groups.get(None, []))] + [(v, fs) for v, fs in groups.items() if v is not None]:
+            mine = {f.col for f in fs}
+            fields = [(F.col("__t") if vcol is None else F.greatest(F.col("__t"), F.col(vcol))).alias("__t"),
+                      (F.lit(1) if vcol is None else F.lit(None)).cast("int").alias("__ev")]
+            fields += [(F.col(c) if c in mine else F.lit(None)).cast(types[c]).alias(c) for c in types]
+            rec = F.struct(*fields)
+            recs.append(rec if vcol is None else F.when(F.col(vcol).isNotNull(), rec))
+        ev = rows.select(_K, F.explode(F.array(*recs)).alias("__r")).where(F.col("__r").isNotNull()).select(_K, "__r.*")
+        qs = q.where(F.col(_C).isNotNull()).select(_K, F.col(_C).alias("__t"), F.lit(1).alias("__q"))
+        u = ev.unionByName(qs, allowMissingColumns=True)
         w = Window.partitionBy(_K).orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
         bucketed = self.strategy == "bucketed" or self._has_hot_key(child, e)
         if bucketed:
@@ -534,14 +539,7 @@ class _Planner:
         its bucket; the best ``(-count, value)`` before a cutoff is the smaller of the best in
         earlier buckets (prefix minimum over per-bucket minima) and the best earlier inside
         the cutoff's bucket."""
-        ev = None
-        for i, f in enumerate(cat):
-            src = rows.where(F.col(f.col).isNotNull())
-            if f.vis is not None:
-                src = src.where(F.col(f.vis).isNotNull())
-            s = src.select(_K, when_visible(f).alias("__t"), F.lit(i).alias("__ci"), F.col(f.col).cast("string").alias("__x"))
-            ev = s if ev is None else ev.unionByName(s)
-        ev = ev.withColumn("__b", self._bucket(F.col("__t")))
+        ev = _mode_events(rows, cat, when_visible).withColumn("__b", self._bucket(F.col("__t")))
         per = ev.groupBy(_K, "__ci", "__x", "__b").agg(F.count(F.lit(1)).alias("__nb"))
         per = per.withColumn("__prev", F.coalesce(F.sum("__nb").over(
             Window.partitionBy(_K, "__ci", "__x").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -574,14 +572,7 @@ class _Planner:
         """Exact prefix mode of every categorical column in one narrow unpivoted stream
         ``(key, time, column id, value)``: a running count per (key, column, value), the
         prefix minimum of ``(-count, value)`` per (key, column), then one pivot back."""
-        ev = None
-        for i, f in enumerate(cat):
-            src = rows.where(F.col(f.col).isNotNull())
-            if f.vis is not None:  # a parent with no time is never visible
-                src = src.where(F.col(f.vis).isNotNull())
-            s = src.select(_K, when_visible(f).alias("__t"), F.lit(i).alias("__ci"),
-                           F.col(f.col).cast("string").alias("__x"))
-            ev = s if ev is None else ev.unionByName(s)
+        ev = _mode_events(rows, cat, when_visible)
         qs = q.where(F.col(_C).isNotNull()).select(
             _K, F.col(_C).alias("__t"), F.explode(F.array(*[F.lit(i) for i in range(len(cat))])).alias("__ci"),
             F.lit(None).cast("string").alias("__x"), F.lit(1).alias("__q"))
@@ -601,6 +592,19 @@ class _Planner:
         return modes, out
 
 
+def _mode_events(rows: DataFrame, cat: list, when_visible) -> DataFrame:
+    """``(key, time, column id, value)`` for every non-null categorical value, all columns
+    in one pass over ``rows`` (a parent's value only when the parent has a time)."""
+    recs = []
+    for i, f in enumerate(cat):
+        ok = F.col(f.col).isNotNull()
+        if f.vis is not None:
+            ok = ok & F.col(f.vis).isNotNull()
+        recs.append(F.when(ok, F.struct(when_visible(f).alias("__t"), F.lit(i).alias("__ci"),
+                                         F.col(f.col).cast("string").alias("__x"))))
+    return rows.select(_K, F.explode(F.array(*recs)).alias("__r")).where(F.col("__r").isNotNull()).select(_K, "__r.*")
+
+
 def _prefix(f: _Feat, label: str, keep_count: bool = False) -> _Feat:
     return _Feat(f.col, f"{label}.{f.display}", f.kind, f.dtype, f.prims, f.epoch, f.count and keep_count, f.vis)
 
