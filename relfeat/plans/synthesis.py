@@ -454,7 +454,7 @@ class _Planner:
         ``hot_key_rows`` child rows?  Cached per edge."""
         cache = self.__dict__.setdefault("_hot", {})
         if e not in cache:
-            cdf = self.db.tables[child]
+            cdf = self.visible_rows(child)   # only rows some cutoff can see (pushed-down bound)
             top = cdf.groupBy(_q(e.child_col)).count().agg(F.max("count").alias("m")).first()["m"]
             cache[e] = bool(top and top > self.cfg.hot_key_rows)
         return cache[e]
