@@ -66,3 +66,16 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_key_type_canonicalisation(spark):
+    from relfeat.sources.rdb import create_rdb
+    p = spark.createDataFrame([(1, "a")], "id long, v string")
+    c = spark.createDataFrame([(10, "1"), (11, "1.0")], "cid long, pid string")
+    db = create_rdb("k", {"p": p, "c": c}, {"p": "id", "c": "cid"}, [("c", "pid", "p", "id")])
+    with pytest.raises(ValueError):
+        db.validate_key_consistency()                       # long vs string
+    fixed = db.canonicalize_key_types()
+    fixed.validate_key_consistency()
+    assert dict(fixed.get_table("p").dtypes)["id"] == "string"
+    assert [r["id"] for r in fixed.get_table("p").collect()] == ["1"]
