@@ -1,8 +1,8 @@
 """Hashed-text features and linear models for the classifiers of this subpackage.
 
 A feature is the presence in a text of a word, of a word's beginning (3, 4, 5, 6 or 8 bytes) or
-of a word's ending (3 bytes, case kept), all hashed to fixed ranges, or the share of words that
-repeat the word before them, in eighths.  Models are fitted on a bounded sample of labelled rows
+of a word's ending (3 bytes, case kept), all hashed to fixed ranges, or a step (an eighth) that the
+share of words which repeat the word before them reaches.  Models are fitted on a bounded sample of labelled rows
 (``max_train_rows``, documented where it is used): Spark counts features and picks those whose
 relation with the labels is beyond chance, and the sample's rows over these few features, some
 integers a row, go to the driver.  Scoring reads every whole text in one pass without a shuffle.
@@ -34,7 +34,7 @@ def feature_ids(column) -> tuple[np.ndarray, np.ndarray]:
         ids = (forms[:, k] & np.uint64(FORM_RANGE - 1)).astype(np.int32) + (WORD_RANGE + k * FORM_RANGE)
         out[:, k + 1] = np.where(forms[:, k] == 0, word, ids)
     out, offsets = out.reshape(-1), width * offsets
-    # how many words repeat the word before them: steps of powers of two, one more id for each text
+    # how many words repeat the word before them: one id for each step reached
     again = np.zeros(len(prints) + 1, dtype=np.int64)
     if len(prints):
         again[1:-1] = np.cumsum(prints[1:] == prints[:-1])
@@ -43,9 +43,12 @@ def feature_ids(column) -> tuple[np.ndarray, np.ndarray]:
     first, last = offsets[:-1] // width, offsets[1:] // width
     rows = np.flatnonzero(count)
     repeats = again[last[rows] - 1] - again[first[rows]]
-    step = np.minimum(np.ceil(8 * repeats / count[rows]), REPEAT_RANGE - 1).astype(np.int32) + (FEATURES - REPEAT_RANGE)
-    out = np.insert(out, offsets[1:][rows], step)
-    return out, offsets + np.concatenate([[0], np.cumsum(count > 0)])
+    step = np.minimum(np.ceil(8 * repeats / count[rows]), REPEAT_RANGE - 1).astype(np.int64) + 1
+    inner = np.arange(step.sum()) - np.repeat(np.cumsum(step) - step, step)  # all steps up to the text's own
+    out = np.insert(out, np.repeat(offsets[1:][rows], step), (inner + FEATURES - REPEAT_RANGE).astype(np.int32))
+    added = np.zeros(len(offsets), dtype=np.int64)
+    added[rows + 1] = step
+    return out, offsets + np.cumsum(added)
 
 
 def selected_features(column, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1 +1,263 @@
-"""Placeholder."""
+"""N-gram Jaccard self-join of documents with Bayesian candidate pruning.
+
+1. Texts are sets of five-word shingles; texts of equal sets form a class, whose representative
+   is the smallest id (nulls last).  Everything below works on one text a class.
+2. Each class has 128 MinHash values, banded 32 x 4.  Classes that share a band are candidates:
+   a pair of similarity 0.8 shares no band with probability 5e-8.  Bands give only star edges
+   (smallest member to each other one), whose connected components bound where links can be.
+3. Inside a candidate component all classes are compared in blocks: MinHash values are compared
+   16 at a time, and a pair is dropped as soon as the posterior probability that its similarity
+   reaches the threshold, given the matches so far (uniform prior), is below ``tolerance``.
+   The rest are verified with exact intersections of shingle sets.
+4. Links between classes are counted in the tasks that find them and leave as one count a class
+   and block, and as the edges of a spanning forest; pairs are never emitted.
+
+Scale: signatures are computed where texts lie; bands shuffle 16 bytes a class and band.  Only
+texts of candidate components (measured; broadcast as ids only while their number is bounded) are
+read again.  A component of any size is dealt out to tasks of two blocks of bounded size each, so
+a component that holds a third of all rows spreads over all executors.  No pair is capped.
+
+Defined results: null or empty texts have no shingles and link with nothing; texts of 1 to 4
+words are one shingle; null ids are never representatives while the class has another id; repeated
+rows are members of one class and are linked with each other; an empty table gives no rows; rows that repeat an id with another text share that id's place
+among the classes; other columns are ignored (``near_join``) or kept (``keep_first``).
+"""
+from __future__ import annotations
+
+from math import comb
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from relfeat.llm import tokens
+from relfeat.llm.components import components
+
+_U = np.uint64
+HASHES, BANDS = 128, 32
+ROWS = HASHES // BANDS
+#: About how many shingles and texts a block holds (more shingles if one text alone has more).
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 16, 256
+STEP = 16
+_RNG = np.random.default_rng(29)
+SEEDS = _RNG.integers(1, 2**63, HASHES, dtype=np.int64).astype(_U)
+FACTORS = _RNG.integers(1, 2**63, HASHES, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+
+
+def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(rows, HASHES) 32-bit MinHash values of the rows' shingles; rows must not be empty."""
+    out = np.empty((len(offsets) - 1, HASHES), dtype=np.uint32)
+    lo = 0
+    while lo < len(out):  # pieces of rows, so that values stay in the cache
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 16), side="right")) - 1)
+        s, start = values[offsets[lo]:offsets[hi]], offsets[lo:hi] - offsets[lo]
+        for j in range(HASHES):
+            v = s ^ SEEDS[j]
+            v *= FACTORS[j]
+            out[lo:hi, j] = np.minimum.reduceat(v, start) >> _U(32)
+        lo = hi
+    return out
+
+
+def least_matches(threshold: float, tolerance: float) -> list[int]:
+    """For n = STEP, 2 STEP, ... compared values: the matches below which
+    P(similarity >= threshold | m of n match), with a uniform prior, is under ``tolerance``."""
+    out = []
+    for n in range(STEP, HASHES + 1, STEP):
+        # 1 - I_t(m + 1, n - m + 1) as a binomial sum
+        tail, m = 0.0, 0
+        while m <= n:
+            tail += comb(n + 1, m) * threshold**m * (1 - threshold)**(n + 1 - m)
+            if tail >= tolerance:
+                break
+            m += 1
+        out.append(m)
+    return out
+
+
+def _text_sets(column) -> tuple[np.ndarray, np.ndarray]:
+    prints, offsets = tokens.words(column)
+    return tokens.distinct_in_rows(*tokens.shingles(prints, offsets, 5))
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
+def _keys(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit fingerprint of each row's set of shingles; rows must not be empty."""
+    with np.errstate(over="ignore"):
+        high = np.add.reduceat(tokens.mix64(values ^ _U(0x5851F42D4C957F2D)), offsets[:-1])
+        low = np.add.reduceat(tokens.mix64(values), offsets[:-1])
+        return (tokens.mix64(high) ^ np.diff(offsets).astype(_U)).view(np.int64), tokens.mix64(low).view(np.int64)
+
+
+def text_classes(docs: DataFrame) -> DataFrame:
+    """(id, key, bands) of each row: key is a 128-bit fingerprint of its shingle set, null for
+    texts without shingles; bands are 32 band values."""
+
+    def read(batches):
+        for batch in batches:
+            values, offsets = _text_sets(batch.column("text"))
+            filled = np.flatnonzero(np.diff(offsets))
+            n = batch.num_rows
+            high, low = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            bands = np.zeros((len(filled), BANDS), dtype=np.int64)
+            if len(filled):
+                bounds = np.append(offsets[:-1][filled], offsets[-1])
+                high[filled], low[filled] = _keys(values, bounds)
+                sig = signatures(values, bounds)
+                h = np.zeros((len(filled), BANDS), dtype=_U)
+                with np.errstate(over="ignore"):
+                    for k in range(ROWS):
+                        h = tokens.mix64(h * _U(31) + sig[:, k::ROWS])
+                    bands = (h ^ (np.arange(BANDS, dtype=_U) * _U(0x9E3779B97F4A7C15))).view(np.int64)
+            empty = np.ones(n, dtype=bool)
+            empty[filled] = False
+            sizes = np.zeros(n + 1, dtype=np.int32)
+            sizes[filled + 1] = BANDS
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(high, mask=empty), pa.array(low, mask=empty),
+                 pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(bands.reshape(-1)))], names=["id", "high", "low", "bands"])
+
+    return docs.mapInArrow(read, "id long, high long, low long, bands array<long>")
+
+
+def _compare(ids_a, sets_a, sig_a, ids_b, sets_b, sig_b, same: bool, least: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of linked texts of two blocks (of one block: each pair once)."""
+    if same:
+        i, j = np.triu_indices(len(ids_a), 1)
+    else:
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(len(ids_a)), np.arange(len(ids_b)), indexing="ij"))
+    matches = np.zeros(len(i), dtype=np.int32)
+    for k, need in enumerate(least):
+        cut = slice(k * STEP, (k + 1) * STEP)
+        matches += (sig_a[i, cut] == sig_b[j, cut]).sum(1, dtype=np.int32)
+        keep = matches >= need
+        i, j, matches = i[keep], j[keep], matches[keep]
+        if not len(i):
+            return i, j
+    # exact: shared shingles of all rows of one side with all of the other, by columns of a 0/1 matrix
+    used_a, used_b = np.unique(i), np.unique(j)
+    common = np.intersect1d(np.unique(np.concatenate([sets_a[x] for x in used_a])), np.unique(np.concatenate([sets_b[x] for x in used_b])))
+    shared = np.zeros((len(used_a), len(used_b)), dtype=np.float32)
+    for lo in range(0, len(common), 1 << 13):
+        part = common[lo:lo + (1 << 13)]
+        sides = []
+        for used, sets in ((used_a, sets_a), (used_b, sets_b)):
+            x = np.zeros((len(used), len(part)), dtype=np.float32)
+            for r, u in enumerate(used):
+                own = sets[u]
+                own = own[np.searchsorted(own, part[0]):np.searchsorted(own, part[-1], "right")]
+                at = np.minimum(np.searchsorted(part, own), len(part) - 1)
+                x[r, at[part[at] == own]] = 1
+            sides.append(x)
+        shared += sides[0] @ sides[1].T
+    n = shared[np.searchsorted(used_a, i), np.searchsorted(used_b, j)]
+    size_a, size_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
+    linked = n >= threshold * (size_a[i] + size_b[j] - n) - 1e-6
+    return i[linked], j[linked]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of the pairs of a spanning forest."""
+    parent: dict = {}
+
+    def root(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(p, p)
+        return x
+
+    keep = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep.append(k)
+    return np.array(keep, dtype=np.int64)
+
+
+def _links(blocks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """Rows (a, b, n): n > 0 adds n linked rows to class a; b not null is an edge of a forest."""
+    least = least_matches(threshold, tolerance)
+    pairs = blocks.where("blocks > 1 OR texts > 1").select(
+        "component", "class_id", "weight", "values", "signature", "block",
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "class_id", "weight", "values", "signature")
+
+    def compare(key, group):
+        left = group.column("block").to_numpy() == key[1].as_py()
+        ids, weight = group.column("class_id").to_numpy(), group.column("weight").to_numpy()
+        sets = [np.frombuffer(v, dtype=_U) for v in group.column("values").to_pylist()]
+        sig = np.stack([np.frombuffer(v, dtype=np.uint32) for v in group.column("signature").to_pylist()])
+        same = key[1].as_py() == key[2].as_py()
+        a = np.flatnonzero(left)
+        b = a if same else np.flatnonzero(~left)
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        i, j = _compare(ids[a], [sets[k] for k in a], sig[a], ids[b], [sets[k] for k in b], sig[b], same, least, threshold)
+        i, j = a[i], b[j]
+        n = np.bincount(i, weights=weight[j], minlength=len(ids)) + np.bincount(j, weights=weight[i], minlength=len(ids))
+        some = np.flatnonzero(n)
+        tree = _forest(ids[i], ids[j])
+        return pa.table({"a": pa.array(np.concatenate([ids[some], ids[i][tree]])),
+                         "b": pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[j][tree]]), mask=np.arange(len(some) + len(tree)) < len(some)),
+                         "n": pa.array(np.concatenate([n[some].astype(np.int64), np.zeros(len(tree), np.int64)]))})
+
+    return pairs.groupBy("component", "x", "y").applyInArrow(compare, "a long, b long, n long")
+
+
+def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-6,
+              broadcast_ids: int = 2_000_000) -> DataFrame:
+    """One row per document: ``id, class_id`` (smallest id with the same shingles), ``n_links``
+    (other rows of similarity >= threshold) and ``component_id`` (smallest id reached by links)."""
+    slim = _slim(docs, id_col, text_col)
+    rows = text_classes(slim).checkpoint()
+    classes = rows.where("high IS NOT NULL").groupBy("high", "low").agg(
+        F.min("id").alias("class_id"), F.count("*").alias("weight"), F.first("bands").alias("bands")).where("class_id IS NOT NULL")
+    band = classes.select("class_id", F.explode("bands").alias("band"))
+    lowest = band.groupBy("band").agg(F.min("class_id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    stars = lowest.join(band, "band").select("a", F.col("class_id").alias("b")).where("a <> b").distinct()
+    members = components(stars).withColumnRenamed("id", "class_id").join(classes.select("high", "low", "class_id", "weight"), "class_id").checkpoint()
+    few = members.count() <= broadcast_ids
+    texts = slim.join(F.broadcast(members) if few else members, slim["id"] == members["class_id"]).select(
+        "component", "class_id", "weight", "high", "low", "text")
+
+    def read(batches):
+        for batch in batches:
+            values, offsets = _text_sets(batch.column("text"))
+            filled = np.flatnonzero(np.diff(offsets))
+            if not len(filled):
+                continue
+            bounds = np.append(offsets[:-1][filled], offsets[-1])
+            high, low = _keys(values, bounds)
+            # a row that repeats a representative's id may have another text
+            own = (batch.column("high").to_numpy()[filled] == high) & (batch.column("low").to_numpy()[filled] == low)
+            sig, filled = signatures(values, bounds)[own], filled[own]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(pa.array(filled)) for c in ("component", "class_id", "weight")] + [
+                    pa.array([values[offsets[r]:offsets[r + 1]].tobytes() for r in filled], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()),
+                    pa.array(np.diff(offsets)[filled])], names=["component", "class_id", "weight", "values", "signature", "size"])
+
+    sets = texts.mapInArrow(read, "component long, class_id long, weight long, values binary, signature binary, size long")
+    sets = sets.dropDuplicates(["class_id", "component"]).checkpoint()
+    need = sets.groupBy("component").agg(F.sum("size").alias("shingles"), F.count("*").alias("texts"))
+    n = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS), F.lit(1)).cast("int")
+    blocks = sets.join(need.select("component", "texts", n.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    found = _links(blocks, threshold, tolerance).checkpoint()
+    counts = found.where("n > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
+    groups = components(found.where("b IS NOT NULL").select("a", "b")).select(F.col("id").alias("class_id"), F.col("component").alias("component_id"))
+    by_class = classes.select("high", "low", "class_id", "weight").join(counts, "class_id", "left").join(groups, "class_id", "left").select(
+        "high", "low", "class_id", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
+    out = rows.select("id", "high", "low").join(by_class, ["high", "low"], "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                      F.coalesce("component_id", "id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """``docs``, all columns, without the documents that another one of their group stands for:
+    the smallest id of each group stays.  Rows without a text, or without an id, all stay."""
+    marks = near_join(docs, id_col, text_col, threshold)
+    gone = marks.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

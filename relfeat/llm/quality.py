@@ -99,8 +99,9 @@ def score_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
 
 
 def label_grades(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Graded ratings from the labels table: 0 low quality, 1 good but toxic, 2 good."""
-    return labels.select(F.col(id_col), (F.col("quality") + F.col("quality") * (1 - F.col("toxic"))).alias("grade"))
+    """Graded ratings from the labels table: 0 low quality and toxic, 1 low quality, 2 good."""
+    return labels.select(F.col(id_col), F.when(F.col("quality") == 1, 2).when(F.col("quality") == 0, 1 - F.col("toxic")).alias("grade"))
 
 
-GRADES = 3
+#: Grades of ``label_grades``, and the least good one.
+GRADES, GOOD = 3, 2
