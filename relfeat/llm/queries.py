@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relfeat.llm import chat, decontam, mixing, near_join, quality, toxicity, urlfilter, warc
+from relfeat.llm.oracle import ORACLE_SQL  # noqa: F401
 from relfeat.session import ensure_checkpoint_dir, ship_package
 
 
@@ -85,4 +86,4 @@ def _shipped(query):
 QUERIES = {q.__name__: _shipped(q) for q in (op2_toxicity, op3_decontamination, op5_quality, op6_warc, op7_chat, op8_urls, op9_mixing,
                                              op10_near_join)}
 
-ORACLE_SQL: dict[str, str] = {}
+
