@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relfeat.llm import chat, decontam, mixing, near_join, quality, toxicity, urlfilter, warc
+from relfeat.llm import chat, decontam, embed_dedup, mixing, near_join, quality, toxicity, urlfilter, warc
 from relfeat.llm.oracle import ORACLE_SQL  # noqa: F401
 from relfeat.session import ensure_checkpoint_dir, ship_package
 
@@ -29,6 +29,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links (cosine 0.98 or more, labels equal), component and whether kept of every vector."""
+    return embed_dedup.dedup_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and P(good grade) of every document; ``keep`` where that reaches 0.5."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -83,7 +88,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op2_toxicity, op3_decontamination, op5_quality, op6_warc, op7_chat, op8_urls, op9_mixing,
+QUERIES = {q.__name__: _shipped(q) for q in (op2_toxicity, op3_decontamination, op4_embeddings, op5_quality, op6_warc, op7_chat, op8_urls, op9_mixing,
                                              op10_near_join)}
 
 
