@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relfeat.llm import chat, decontam, embed_dedup, mixing, near_join, quality, toxicity, urlfilter, warc
+from relfeat.llm import chat, decontam, embed_dedup, mixing, near_join, quality, suffix_tree, toxicity, urlfilter, warc
 from relfeat.llm.oracle import ORACLE_SQL  # noqa: F401
 from relfeat.session import ensure_checkpoint_dir, ship_package
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a suffix tree learnt from nine tenths of them."""
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chain probabilities of every document; ``toxic`` where the last one reaches 0.5."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -88,7 +93,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op2_toxicity, op3_decontamination, op4_embeddings, op5_quality, op6_warc, op7_chat, op8_urls, op9_mixing,
+QUERIES = {q.__name__: _shipped(q) for q in (op1_suffix_tree, op2_toxicity, op3_decontamination, op4_embeddings, op5_quality, op6_warc, op7_chat, op8_urls, op9_mixing,
                                              op10_near_join)}
 
 
