@@ -132,7 +132,8 @@ def _initial(reps: DataFrame, kind: str, tables: int, seed: int, k: int, thresho
         ids = group.column("id").to_numpy()
         return _block_neighbours(ids, _matrix(group.column("blob").to_pylist(), kind), k, threshold)
 
-    return rows.groupBy(*bucket, "block").applyInArrow(compare, PROPOSAL)
+    # dealt out by block; else all blocks of a bucket stay where its rows were joined
+    return rows.repartition(*bucket, "block").groupBy(*bucket, "block").applyInArrow(compare, PROPOSAL)
 
 
 def _merge(old: DataFrame | None, proposals: DataFrame, k: int, buckets: int) -> DataFrame:
@@ -235,7 +236,7 @@ def _count_links(reps: DataFrame, groups: DataFrame, kind: str, threshold: float
             return pa.table({"id": ids[left], "n": linked @ weight[left]})
         return pa.table({"id": np.concatenate([ids[left], ids[right]]), "n": np.concatenate([linked @ weight[right], weight[left] @ linked])})
 
-    counted = rows.groupBy("component", "x", "y").applyInArrow(compare, "id long, n long")
+    counted = rows.repartition("component", "x", "y").groupBy("component", "x", "y").applyInArrow(compare, "id long, n long")
     return counted.groupBy("id").agg(F.sum("n").alias("others"))
 
 
