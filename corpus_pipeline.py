@@ -17,10 +17,10 @@ from relfeat.session import ensure_checkpoint_dir, ship_package
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are probably of grade 1 or better; rejected ones go."""
+    """Documents that are probably of a good grade; rejected ones go."""
     ship_package(spark)
     model = quality.fit_quality(docs, quality.label_grades(table(spark, sf_dir, "labels")), quality.GRADES)
-    return quality.score_quality(docs, model).where(F.col("tail_probability") >= 0.5).select(*docs.columns)
+    return quality.score_quality(docs, model, tail=quality.GOOD).where(F.col("tail_probability") >= 0.5).select(*docs.columns)
 
 
 def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
