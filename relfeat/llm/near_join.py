@@ -205,7 +205,8 @@ def _links(blocks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
                          "b": pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[j][tree]]), mask=np.arange(len(some) + len(tree)) < len(some)),
                          "n": pa.array(np.concatenate([n[some].astype(np.int64), np.zeros(len(tree), np.int64)]))})
 
-    return pairs.groupBy("component", "x", "y").applyInArrow(compare, "a long, b long, n long")
+    # dealt out by pair of blocks; else all of a component's pairs stay where its rows were joined
+    return pairs.repartition("component", "x", "y").groupBy("component", "x", "y").applyInArrow(compare, "a long, b long, n long")
 
 
 def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-6,
@@ -218,7 +219,10 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         F.min("id").alias("class_id"), F.count("*").alias("weight"), F.first("bands").alias("bands")).where("class_id IS NOT NULL")
     band = classes.select("class_id", F.explode("bands").alias("band"))
     lowest = band.groupBy("band").agg(F.min("class_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = lowest.join(band, "band").select("a", F.col("class_id").alias("b")).where("a <> b").distinct()
+    stars = lowest.join(band, "band").groupBy("class_id").agg(F.min("a").alias("low"), F.collect_set("a").alias("centres"))  # at most BANDS centres
+    # a class is joined to the least of its bands' centres, and the other centres to that one, so
+    # that a dense group makes about one edge a member and not one for each of its bands
+    stars = stars.select("low", F.explode(F.array_union("centres", F.array("class_id"))).alias("b")).where("low <> b").select(F.col("low").alias("a"), "b").distinct()
     members = components(stars).withColumnRenamed("id", "class_id").join(classes.select("high", "low", "class_id", "weight"), "class_id").checkpoint()
     few = members.count() <= broadcast_ids
     texts = slim.join(F.broadcast(members) if few else members, slim["id"] == members["class_id"]).select(

@@ -2,7 +2,8 @@
 generated by the planner), over the pre-registered test tables.
 
 Value conventions shared with the Spark side: means are an exact decimal sum divided by
-the count (scale 0 for integers and epoch times, 10 for fractional columns); ``mode`` is
+the count (scale 0 for integers and epoch times, 10 for fractional columns) where decimals hold
+all values, as in all queries but ``agg_mean_extremes``, whose twin is a plain average; ``mode`` is
 the most frequent non-null value, smallest on ties; epoch times are ``epoch_ns``.
 """
 from __future__ import annotations
@@ -373,33 +374,70 @@ FROM orders
 
 DROP_CONSTANT = f"SELECT c.c_custkey, {CUST_ATTRS} FROM customer c"
 
-SAMPLE_UNIFORM = """
+def row_key(*cols: str) -> str:
+    parts = " || ".join(f"coalesce('|' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '|n')" for c in cols)
+    return f"md5('42' || {parts})"
+
+
+SAMPLE_UNIFORM = f"""
 SELECT o_orderkey, o_custkey, o_orderdate AS cutoff_time, o_totalprice AS target
-FROM orders ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR)) LIMIT 1000
+FROM orders ORDER BY {row_key('o_orderkey')} LIMIT 1000
 """
 
-_LINE_H = ("md5('42|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|' || "
-           "CAST(l_partkey AS VARCHAR) || '|' || CAST(l_suppkey AS VARCHAR))")
-_LINE = (f"SELECT l_returnflag AS target, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate AS cutoff_time, "
-         f"{_LINE_H} AS h FROM lineitem")
+
+def _lines(*ids: str) -> str:
+    return (f"SELECT l_returnflag AS target, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate AS cutoff_time, "
+            f"{row_key(*ids, 'l_returnflag')} AS h FROM lineitem")
+
+
+_LINE = _lines("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 _LCOLS = "target, l_orderkey, l_linenumber, l_partkey, l_suppkey, cutoff_time"
 
-SAMPLE_COVERAGE = f"""
-WITH h AS ({_LINE}),
-f AS (SELECT * FROM h WHERE target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY target ORDER BY h) = 1),
-r AS (SELECT * FROM h WHERE h NOT IN (SELECT h FROM f) ORDER BY h LIMIT (1000 - (SELECT COUNT(*) FROM f)))
-SELECT {_LCOLS} FROM f UNION ALL SELECT {_LCOLS} FROM r
+
+def sample_coverage(lines: str, cols: str, n: int) -> str:
+    return f"""
+WITH h AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY h) AS rn FROM ({lines})),
+f AS (SELECT * FROM h WHERE target IS NOT NULL AND rn = 1),
+r AS (SELECT * FROM h WHERE target IS NULL OR rn > 1 ORDER BY h LIMIT ({n} - (SELECT COUNT(*) FROM f)))
+SELECT {cols} FROM f UNION ALL SELECT {cols} FROM r
 """
 
-SAMPLE_BALANCED = f"""
-WITH h AS ({_LINE}),
+
+def sample_balanced(lines: str, cols: str, n: int) -> str:
+    return f"""
+WITH h AS ({lines}),
 k AS (SELECT COUNT(DISTINCT COALESCE(target, '<null>')) AS n_classes FROM h),
-q AS (SELECT GREATEST(1, 1000 // n_classes) AS quota FROM k),
+q AS (SELECT GREATEST(1, {n} // n_classes) AS quota FROM k),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY h) AS rn FROM h WHERE target IS NOT NULL),
 b AS (SELECT * FROM ranked WHERE rn <= (SELECT quota FROM q)),
 l AS (SELECT * FROM ranked WHERE rn > (SELECT quota FROM q) ORDER BY h
-      LIMIT GREATEST(0, 1000 - (SELECT COUNT(*) FROM b)))
-SELECT {_LCOLS} FROM b UNION ALL SELECT {_LCOLS} FROM l
+      LIMIT GREATEST(0, {n} - (SELECT COUNT(*) FROM b)))
+SELECT {cols} FROM b UNION ALL SELECT {cols} FROM l
+"""
+
+
+SAMPLE_COVERAGE = sample_coverage(_LINE, _LCOLS, 1000)
+SAMPLE_BALANCED = sample_balanced(_LINE, _LCOLS, 1000)
+_REPEATED = _lines("l_orderkey")
+SAMPLE_COVERAGE_REPEATED = sample_coverage(_REPEATED, "target, l_orderkey", 1000)
+SAMPLE_BALANCED_REPEATED = sample_balanced(_REPEATED, "target, l_orderkey", 1000)
+
+AGG_MEAN_EXTREMES = """
+SELECT o_orderkey, AVG(l_extendedprice * 1.234567e-14) AS mean_tiny, AVG(l_extendedprice * 1.234567e18) / 1e18 AS mean_huge,
+       MAX(l_extendedprice * 1.234567e-14) AS max_tiny, MAX(l_extendedprice * 1.234567e18) / 1e18 AS max_huge, COUNT(l_orderkey) AS lines
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey
+"""
+
+MAP_BY_COLUMN = """
+SELECT c.c_custkey, n.n_name AS nation_name, n.n_name AS nation_n_name, r.r_name AS nation_region_r_name, k.n AS nation_COUNT_customer
+FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
+LEFT JOIN (SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY 1) k ON k.c_nationkey = n.n_nationkey
+"""
+
+DUPLICATE_PARENT_ROWS = """
+SELECT o.o_orderkey, l.l_orderkey AS lineitem_l_orderkey, l.l_quantity AS lineitem_l_quantity, l.l_extendedprice AS lineitem_l_extendedprice, l.l_returnflag AS lineitem_l_returnflag
+FROM orders o LEFT JOIN (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_extendedprice, l_returnflag) = 1) l
+ON l.l_orderkey = o.o_orderkey
 """
 
 CHURN_TASK = f"""
@@ -421,10 +459,10 @@ a AS (SELECT t.c_custkey, t.cutoff_time, MAX(epoch_ns(h.cutoff_time)) AS x_t, {m
              MAX(CAST(h.churn AS BIGINT)) AS x_c, {mean_int('h.churn')} AS m_c, COUNT(*) AS n
       FROM task t JOIN h ON h.c_custkey = t.c_custkey AND h.cutoff_time < t.cutoff_time GROUP BY 1, 2)
 SELECT t.c_custkey, t.cutoff_time, {CUST_ATTRS},
-       a.x_t AS customer_MAX_RDBL_target_history_cutoff_time_epochtime,
-       a.m_t AS customer_MEAN_RDBL_target_history_cutoff_time_epochtime,
-       a.x_c AS customer_MAX_RDBL_target_history_churn, a.m_c AS customer_MEAN_RDBL_target_history_churn,
-       COALESCE(a.n, 0) AS customer_COUNT_RDBL_target_history
+       a.x_t AS customer_MAX_relfeat_target_history_cutoff_time_epochtime,
+       a.m_t AS customer_MEAN_relfeat_target_history_cutoff_time_epochtime,
+       a.x_c AS customer_MAX_relfeat_target_history_churn, a.m_c AS customer_MEAN_relfeat_target_history_churn,
+       COALESCE(a.n, 0) AS customer_COUNT_relfeat_target_history
 FROM task t LEFT JOIN customer c ON c.c_custkey = t.c_custkey
 LEFT JOIN a ON a.c_custkey = t.c_custkey AND a.cutoff_time = t.cutoff_time
 """
@@ -502,6 +540,11 @@ ORACLE_SQL.update({
     "sample_uniform": SAMPLE_UNIFORM,
     "sample_coverage": SAMPLE_COVERAGE,
     "sample_balanced": SAMPLE_BALANCED,
+    "sample_coverage_repeated": SAMPLE_COVERAGE_REPEATED,
+    "sample_balanced_repeated": SAMPLE_BALANCED_REPEATED,
+    "agg_mean_extremes": AGG_MEAN_EXTREMES,
+    "map_by_column": MAP_BY_COLUMN,
+    "duplicate_parent_rows": DUPLICATE_PARENT_ROWS,
     "target_history": TARGET_HISTORY,
     "target_history_mean": TARGET_HISTORY_MEAN,
     "prepare_db": PREPARE_DB,

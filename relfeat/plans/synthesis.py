@@ -53,6 +53,7 @@ DEFAULT_MAX_DEPTH = 2
 DEFAULT_AGG_PRIMITIVES = ("max", "min", "mean", "count", "mode", "std")
 
 BIG_DOUBLE = float(2 ** 53)  # doubles at or beyond this magnitude hold integers
+BIG_LONG = float(2 ** 63)    # ... and from here on no ``long`` holds them
 _C = "__c"  # cutoff, epoch microseconds
 _K = "__k"  # key of the current query set
 
@@ -64,7 +65,6 @@ class DFSConfig:
     engine: str = "spark"
     cutoff_strategy: str = "auto"          # auto | join | window
     window_cutoffs_per_key: float = 4.0    # auto: window plan above this many cutoffs per key
-    mean_scale: int = 10                   # decimal scale of exact sums behind ``mean``
     broadcast_rows: int = 2_000_000        # query sets up to this many rows are broadcast
     broadcast_bytes: int = 256 << 20       # ... and feature frames up to this estimated size
     hot_key_rows: int = 5_000_000          # a key with more child rows uses the time-bucketed prefix plan
@@ -82,8 +82,10 @@ class DFSConfig:
             bad = set(d["agg_primitives"]) - set(ALL_PRIMITIVES)
             if bad:
                 raise ValueError(f"unknown aggregation primitives {sorted(bad)}; known: {ALL_PRIMITIVES}")
-        known = set(cls.__dataclass_fields__)
-        return cls(**{k: v for k, v in d.items() if k in known})
+        unknown = set(d) - set(cls.__dataclass_fields__)
+        if unknown:
+            raise ValueError(f"unknown synthesis options {sorted(unknown)}; known: {sorted(cls.__dataclass_fields__)}")
+        return cls(**d)
 
 
 @dataclass(frozen=True)
@@ -221,7 +223,7 @@ class _Planner:
         time in a visibility column instead (used by the prefix-window plan)."""
         meta = self.db.metas[table]
         parents = self.parents(table, via) if r >= 1 else []
-        children = self.children(table, via) if r >= 1 and meta.primary_key else []
+        children = self.children(table, via) if r >= 1 else []
         feats: list[_Feat] = []
         cols = [F.col(c) for c in keep]
         for name, kind, dtype, epoch in self.attrs(table):
@@ -230,8 +232,7 @@ class _Planner:
             cols.append(v.alias(col))
             feats.append(_Feat(col, name, kind, dtype, (), epoch))
         needed = {e.child_col for e in parents}
-        if children:
-            needed.add(meta.primary_key)
+        needed |= {e.parent_col for e in children}
         cols += [_q(c) for c in sorted(needed) if c not in keep]
         if has_c and _C not in keep:
             cols.append(F.col(_C))
@@ -241,7 +242,7 @@ class _Planner:
             p_c = has_c and self.timed(e.parent, r - 1, e)
             vt = defer and bool(self.db.metas[e.parent].time_column)
             q = frame.select(_q(e.child_col).alias(_K), *([F.col(_C)] if p_c else [])).distinct()
-            pf, pfeats = self.entity_feats(e.parent, q, r - 1, e, p_c, small, emit_vt=vt)
+            pf, pfeats = self.entity_feats(e.parent, q, r - 1, e, p_c, small, e.parent_col, emit_vt=vt)
             if vt:
                 vcol = _tmp("__vt")
                 pf = pf.withColumnRenamed("__vt", vcol)
@@ -252,9 +253,9 @@ class _Planner:
 
         for e in children:
             c_c = has_c and self.timed(e.child, r - 1, e)
-            q = frame.select(_q(meta.primary_key).alias(_K), *([F.col(_C)] if c_c else [])).distinct()
+            q = frame.select(_q(e.parent_col).alias(_K), *([F.col(_C)] if c_c else [])).distinct()
             cf, cfeats = self.child_aggs(e.child, e, q, r - 1, c_c, small)
-            frame = self._join_back(frame, cf, meta.primary_key, c_c, small)
+            frame = self._join_back(frame, cf, e.parent_col, c_c, small)
             for f in cfeats:  # an existing row without visible children has count 0
                 if f.count:
                     frame = frame.withColumn(f.col, F.coalesce(F.col(f.col), F.lit(0).cast("long")))
@@ -278,17 +279,30 @@ class _Planner:
             sub = F.broadcast(sub)
         return frame.join(sub, cond, "left").drop(k2, c2)
 
-    def entity_feats(self, table: str, q: DataFrame, r: int, via, has_c: bool, small: bool,
+    def one_row_per_key(self, table: str, col: str) -> DataFrame:
+        """``table`` with one row per value of ``col``.  Whether values repeat is asked once (a
+        grouped count of the key column); only then are rows merged: of the rows that share a
+        value, the smallest one, compared column by column (nulls first; columns of map type are
+        left out), stands for them, found by partial aggregation."""
+        df = self.db.tables[table]
+        cache = self.db.__dict__.setdefault("_repeated_keys", {})
+        if (table, col) not in cache:
+            cache[table, col] = bool(df.where(_q(col).isNotNull()).groupBy(_q(col)).count().where("count > 1").limit(1).count())
+        if not cache[table, col]:
+            return df
+        row = F.struct(*[_q(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
+        return df.where(_q(col).isNotNull()).groupBy(_q(col).alias("__kept")).agg(F.min(row).alias("__row")).select("__row.*")
+
+    def entity_feats(self, table: str, q: DataFrame, r: int, via, has_c: bool, small: bool, key_col: str,
                      emit_vt: bool = False) -> tuple[DataFrame, list[_Feat]]:
-        """Features of the ``table`` rows whose primary key is ``q.__k`` at cutoff ``q.__c``.
+        """Features of the ``table`` rows whose ``key_col`` is ``q.__k`` at cutoff ``q.__c``.
         Returns one row per matched ``(__k, __c)``; the caller left-joins it back.
         ``emit_vt``: no cutoff; the row's own time is returned as ``__vt`` instead and its
         attributes are marked as visible from that time."""
         meta = self.db.metas[table]
-        pk = meta.primary_key
-        pdf = self.db.tables[table]
+        pdf = self.one_row_per_key(table, key_col)
         qq = F.broadcast(q) if small else q
-        rows = pdf.join(qq, _q(pk) == F.col(_K), "inner")
+        rows = pdf.join(qq, _q(key_col) == F.col(_K), "inner")
         visible = None
         if has_c and meta.time_column:
             visible = self.time_micros(table) < F.col(_C)
@@ -358,22 +372,25 @@ class _Planner:
                                  dt, (p,) + f.prims, f.epoch))
         return aggs, out
 
-    def _dec(self, x: Column, dtype: str) -> Column:
-        """A value as an exact decimal for summing.  Doubles at or beyond 2^53 are integers:
-        they go through ``long`` (exact), not through their decimal text."""
-        if dtype == "long":
-            return x.cast(T.DecimalType(38, 0))
-        d = T.DecimalType(38, self.cfg.mean_scale)
-        return F.when(F.abs(x) >= F.lit(BIG_DOUBLE), x.cast("long").cast(d)).otherwise(x.cast(d))
+    @staticmethod
+    def _sums(x: Column, dtype: str, over=None) -> tuple[Column, Column, Column, Column]:
+        """Count, exact decimal sum, number of values the decimals can't hold, and double sum."""
+        scaled = x.cast(T.DecimalType(38, 0)) if dtype == "long" else F.when(
+            (F.abs(x) >= F.lit(BIG_DOUBLE)) & (F.abs(x) < F.lit(BIG_LONG)),  # integers: exact through ``long``
+            x.try_cast("long").try_cast(T.DecimalType(38, 10))).otherwise(x.try_cast(T.DecimalType(38, 10)))
+        lost = F.lit(None) if dtype == "long" else F.when(x.isNotNull() & ~F.coalesce(scaled.cast("double") == x, F.lit(False)), 1)
+        parts = [F.count(x), F.try_sum(scaled), F.count(lost), F.sum(x.cast("double"))]
+        return tuple(c.over(over) if over is not None else c for c in parts)
+
+    @staticmethod
+    def _ratio(n: Column, exact: Column, lost: Column, double: Column) -> Column:
+        return F.when(n > 0, F.when((lost == 0) & exact.isNotNull(), exact.cast("double")).otherwise(double) / n.cast("double"))
 
     def _mean(self, x: Column, dtype: str, over=None) -> Column:
-        """Exact mean: a decimal sum (order-independent, so every plan and partitioning gives
-        the same bits) divided by the count."""
-        s = F.sum(self._dec(x, dtype))
-        n = F.count(x)
-        if over is not None:
-            s, n = s.over(over), n.over(over)
-        return F.when(n > 0, s.cast("double") / n.cast("double"))
+        """The decimal sum divided by the count wherever decimals hold every value exactly (so
+        that every plan and partitioning gives the same bits), else the mean of the doubles:
+        tiny, huge and non-finite values, or a sum beyond the decimals' range."""
+        return self._ratio(*self._sums(x, dtype, over))
 
     def window_ok(self, child: str, e: Relationship, r: int) -> bool:
         """The prefix plan applies when every feature of a child row depends on the cutoff only
@@ -381,10 +398,9 @@ class _Planner:
         if self.strategy not in ("window", "bucketed") or any(p not in WINDOW_PRIMITIVES for p in self.num_prims):
             return False
         if r >= 1:
-            if self.db.metas[child].primary_key:
-                for g in self.children(child, e):
-                    if self.timed(g.child, r - 1, g):
-                        return False
+            for g in self.children(child, e):
+                if self.timed(g.child, r - 1, g):
+                    return False
             for p in self.parents(child, e):
                 if self.below_timed(p.parent, r - 1, p):
                     return False
@@ -475,10 +491,12 @@ class _Planner:
         part, bagg = [], []
         for f in num:
             x = F.col(f.col)
-            part += [F.count(x).over(w1).alias(f"{f.col}__n1"), F.sum(self._dec(x, dec[f.col])).over(w1).alias(f"{f.col}__s1"),
+            part += [c.alias(f"{f.col}__{k}1") for k, c in zip(("n", "s", "l", "d"), self._sums(x, dec[f.col], w1))]
+            part += [
                      F.max(x).over(w1).alias(f"{f.col}__x1"), F.min(x).over(w1).alias(f"{f.col}__m1"),
                      F.avg(x).over(w1).alias(f"{f.col}__a1"), (F.var_pop(x).over(w1) * F.count(x).over(w1)).alias(f"{f.col}__q1")]
-            bagg += [F.count(x).alias(f"{f.col}__n"), F.sum(self._dec(x, dec[f.col])).alias(f"{f.col}__s"),
+            bagg += [c.alias(f"{f.col}__{k}") for k, c in zip(("n", "s", "l", "d"), self._sums(x, dec[f.col]))]
+            bagg += [
                      F.max(x).alias(f"{f.col}__x"), F.min(x).alias(f"{f.col}__m"), F.avg(x).alias(f"{f.col}__a"),
                      (F.var_pop(x) * F.count(x)).alias(f"{f.col}__q")]
         part.append(F.count("__ev").over(w1).alias("__cnt1"))
@@ -494,7 +512,9 @@ class _Planner:
             c = f.col
             a = F.first(F.col(f"{c}__a"), ignorenulls=True).over(wall)
             d = F.col(f"{c}__a") - a
-            pre += [F.sum(f"{c}__n").over(wb).alias(f"{c}__N"), F.sum(f"{c}__s").over(wb).alias(f"{c}__S"),
+            pre += [F.sum(f"{c}__n").over(wb).alias(f"{c}__N"), F.try_sum(f"{c}__s").over(wb).alias(f"{c}__S"),
+                    F.sum(F.col(f"{c}__l") + F.when((F.col(f"{c}__n") > 0) & F.col(f"{c}__s").isNull(), 1).otherwise(0)).over(wb).alias(f"{c}__L"),
+                    F.sum(f"{c}__d").over(wb).alias(f"{c}__D"),
                     F.max(f"{c}__x").over(wb).alias(f"{c}__X"), F.min(f"{c}__m").over(wb).alias(f"{c}__M"),
                     F.sum(f"{c}__q").over(wb).alias(f"{c}__Q"), F.sum(F.col(f"{c}__n") * d).over(wb).alias(f"{c}__D1"),
                     F.sum(F.col(f"{c}__n") * d * d).over(wb).alias(f"{c}__D2"), a.alias(f"{c}__A")]
@@ -507,7 +527,10 @@ class _Planner:
             c = f.col
             n1, N = z(F.col(f"{c}__n1")), z(F.col(f"{c}__N"))
             n = n1 + N
-            ssum = z(F.col(f"{c}__s1")) + z(F.col(f"{c}__S"))
+            # an overflown part is null although it has values: then the doubles are used
+            overflown = ((n1 > 0) & F.col(f"{c}__s1").isNull()) | ((N > 0) & F.col(f"{c}__S").isNull())
+            ssum = F.when(~overflown, F.try_add(z(F.col(f"{c}__s1")), z(F.col(f"{c}__S"))))
+            lost, dsum = z(F.col(f"{c}__l1")) + z(F.col(f"{c}__L")), z(F.col(f"{c}__d1")) + z(F.col(f"{c}__D"))
             for p in self.num_prims:
                 col = _tmp()
                 if p == "max":
@@ -515,7 +538,7 @@ class _Planner:
                 elif p == "min":
                     e, dt = F.least(F.col(f"{c}__m1"), F.col(f"{c}__M")), f.dtype
                 elif p == "mean":
-                    e, dt = F.when(n > 0, ssum.cast("double") / n.cast("double")), "double"
+                    e, dt = self._ratio(n, ssum, lost, dsum), "double"
                 else:  # std
                     Nd = N.cast("double")
                     m2p = z(F.col(f"{c}__Q")) + z(F.col(f"{c}__D2")) - F.when(N > 0, z(F.col(f"{c}__D1")) ** 2 / Nd).otherwise(0.0)
@@ -622,7 +645,8 @@ def synthesize(db: RelationalDataset, task: DataFrame, key_mappings: Mapping[str
     """Compute the feature frame for ``task``: its own columns plus the generated features,
     one output row per task row (duplicates kept, nothing dropped).
 
-    ``key_mappings`` maps task columns to ``"table.column"`` (the table's primary key).
+    ``key_mappings`` maps task columns to ``"table.column"``; the column need not be the
+    table's primary key.  Where its values repeat, one row stands for each value.
     ``task_rows`` is an upper bound on the task frame's rows if the caller knows one
     (e.g. a bounded sample); otherwise one count job measures it, and that number decides
     whether query sets are broadcast and which cutoff plan is used.
@@ -676,7 +700,7 @@ def synthesize(db: RelationalDataset, task: DataFrame, key_mappings: Mapping[str
         pk_type = db.tables[table].schema[pk].dataType
         kexpr = _cast_key(_q(tcol), task.schema[tcol].dataType, pk_type)
         q = base.select(kexpr.alias(_K), *([F.col(_C)] if has_c else [])).distinct()
-        ef, feats = planner.entity_feats(table, q, r, None, has_c, small)
+        ef, feats = planner.entity_feats(table, q, r, None, has_c, small, pk)
         k2, c2 = _tmp("__jk"), _tmp("__jc")
         ef = ef.withColumnRenamed(_K, k2)
         cond = kexpr == F.col(k2)

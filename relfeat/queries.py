@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .operators.prepare import (fill_missing_primary_keys, handle_dummy_tables, prepare_db)
 from .plans.synthesis import synthesize
+from .sources.rdb import create_rdb
 from .sources.testdb import (customer_quarter_task, doc_quality_task, line_task, order_task, read_table,
                              load_test_db, user_purchase_task)
 
@@ -282,6 +283,43 @@ def q_sample_balanced(spark: SparkSession, sf: str) -> DataFrame:
     return downsample(line_task(spark, sf), "target", 1000, "classification", True, 42, _LINE_IDS)
 
 
+def q_sample_coverage_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """L3 where ids repeat: line items known by their order only; exactly 1,000 rows."""
+    return downsample(line_task(spark, sf).select("target", "l_orderkey"), "target", 1000, "classification", False, 42, ["l_orderkey"])
+
+
+def q_sample_balanced_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """L4 where ids repeat: line items known by their order only; exactly 1,000 rows."""
+    return downsample(line_task(spark, sf).select("target", "l_orderkey"), "target", 1000, "classification", True, 42, ["l_orderkey"])
+
+
+def q_agg_mean_extremes(spark: SparkSession, sf: str) -> DataFrame:
+    """A3 over values that fixed-point sums can't hold: prices scaled by 1e-14 and by 1e18."""
+    line = read_table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * 1.234567e-14).alias("tiny"), (F.col("l_extendedprice") * 1.234567e18).alias("huge"))
+    orders = read_table(spark, sf, "orders").select("o_orderkey")
+    db = create_rdb("prices", {"orders": orders, "line": line}, {"orders": "o_orderkey"}, [("line", "l_orderkey", "orders", "o_orderkey")], {})
+    df = synthesize(db, orders, {"o_orderkey": "orders.o_orderkey"}, None, {"max_depth": 2, "agg_primitives": ["mean", "max", "count"]}).df
+    return df.select("o_orderkey", F.col("orders_MEAN_line_tiny").alias("mean_tiny"), (F.col("orders_MEAN_line_huge") / 1e18).alias("mean_huge"),
+                     F.col("orders_MAX_line_tiny").alias("max_tiny"), (F.col("orders_MAX_line_huge") / 1e18).alias("max_huge"), F.col("orders_COUNT_line").alias("lines"))
+
+
+def q_map_by_column(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 by a column that is not the primary key: customers mapped to nations by name."""
+    db = _db(spark, sf, ["region", "nation", "customer"])
+    names = read_table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("nation_name"))
+    task = read_table(spark, sf, "customer").join(names, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "nation_name")
+    return synthesize(db, task, {"nation_name": "nation.n_name"}, None, {"max_depth": 2, "agg_primitives": ["count"]}).df
+
+
+def q_duplicate_parent_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """J2 where a parent's key repeats: each order looks up line items by order; one row stays
+    for each order, the smallest line item in column order."""
+    line = read_table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    db = create_rdb("lines", {"lineitem": line}, {}, [], {})
+    task = read_table(spark, sf, "orders").select("o_orderkey")
+    return synthesize(db, task, {"o_orderkey": "lineitem.l_orderkey"}, None, {"max_depth": 2}).df
+
+
 def _churn_train(spark, sf):
     return customer_quarter_task(spark, sf).select("c_custkey", "cutoff_time", "churn")
 
@@ -290,7 +328,7 @@ def q_target_history(spark: SparkSession, sf: str) -> DataFrame:
     """The full training frame attached as the history child of ``customer``."""
     db = add_target_history(load_test_db(spark, sf, tables=("customer",)), _churn_train(spark, sf),
                             {"c_custkey": "customer.c_custkey"}, "cutoff_time")
-    return prepare_db(db).get_table("_RDBL_target_history")
+    return prepare_db(db).get_table("_relfeat_target_history")
 
 
 def q_target_history_mean(spark: SparkSession, sf: str) -> DataFrame:
@@ -467,6 +505,11 @@ QUERIES.update({
     "sample_uniform": q_sample_uniform,
     "sample_coverage": q_sample_coverage,
     "sample_balanced": q_sample_balanced,
+    "sample_coverage_repeated": q_sample_coverage_repeated,
+    "sample_balanced_repeated": q_sample_balanced_repeated,
+    "agg_mean_extremes": q_agg_mean_extremes,
+    "map_by_column": q_map_by_column,
+    "duplicate_parent_rows": q_duplicate_parent_rows,
     "target_history": q_target_history,
     "target_history_mean": q_target_history_mean,
     "prepare_db": q_prepare_db,
