@@ -42,7 +42,7 @@ class OrdinalModel:
         return np.bincount(row, weights=self.weights[col], minlength=len(column))[:len(column)]
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float = 1.0, rounds: int = 800) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float = 0.1, rounds: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """Penalised maximum likelihood of the cumulative-link model by Adam steps on all rows.
 
     Thresholds are the first one and the exponentials of steps, so they stay ordered."""
