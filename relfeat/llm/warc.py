@@ -118,14 +118,17 @@ def page_records(key, uri: str | None, payload: bytes, response, segment_bytes:
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit_bytes: int = 1000,
-               segment_bytes: int = 1 << 16, records_per_file: int = 1024, compression: str | None = None) -> None:
+               segment_bytes: int = 1 << 16, records_per_file: int = 1024, compression: str | None = None,
+               broadcast_payloads: int = 500_000) -> None:
     """Write ``pages`` as WARC files under ``path``.  Of equal payloads of at least
     ``least_revisit_bytes`` bytes, the page with the largest id is the response."""
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("uri"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     slim = slim.withColumn("digest", F.when(F.octet_length("payload") >= least_revisit_bytes, F.sha2("payload", 256)))
-    shared = slim.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("response")).where("n > 1").select("digest", "response")
-    # one row a payload that several pages share; Spark broadcasts it while it is small, else sorts and splits hot digests
-    typed = slim.join(shared, "digest", "left").select(
+    shared = slim.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("response")).where("n > 1").select("digest", "response").checkpoint()
+    # one row a payload that several pages share: sent to the pages while there are few of them,
+    # so that payloads are not shuffled; else joined by sorting, where Spark splits hot digests
+    few = shared.count() <= broadcast_payloads
+    typed = slim.join(F.broadcast(shared) if few else shared, "digest", "left").select(
         "id", "uri", "payload", F.when(F.col("id").isNull() | (F.col("response") != F.col("id")), F.col("response")).alias("response"))
 
     def records(batches):
