@@ -93,7 +93,7 @@ def screen(sample: DataFrame, label_col: str, max_features: int, least_z: float
 
     def count(batches):
         rows, sums = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
-        for batch in batches:
+        for batch in tokens.slices(batches):
             ids, offsets = feature_ids(batch.column("text"))
             row = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(offsets))
             pair = np.unique(row * FEATURES + ids)
@@ -122,7 +122,7 @@ def sample_matrix(sample: DataFrame, features: np.ndarray, label_cols: Sequence[
     lookup = sample.sparkSession.sparkContext.broadcast(lookup_of(features))
 
     def rows(batches):
-        for batch in batches:
+        for batch in tokens.slices(batches):
             row, col = selected_features(batch.column("text"), lookup.value)
             offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -171,7 +171,7 @@ def with_scores(docs: DataFrame, score: Callable, names: Sequence[str], text_col
     given = docs.select(*dict.fromkeys([*columns, text_col]))
 
     def run(batches):
-        for batch in batches:
+        for batch in tokens.slices(batches, text_col):
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + score(batch), names=[*columns, *names])
 
     schema = given.select(*columns).schema

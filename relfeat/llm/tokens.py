@@ -57,6 +57,18 @@ def utf8_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def slices(batches, text_col: str = "text", most_bytes: int = 2 << 20):
+    """The rows of Arrow batches in smaller batches of about ``most_bytes`` of text (a longer text
+    alone), which bounds what is made of them at once."""
+    for batch in batches:
+        sizes = np.diff(utf8_buffer(batch.column(text_col))[1])
+        step, lo = np.cumsum(sizes), 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(step, (step[lo - 1] if lo else 0) + most_bytes, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _pieces(data: np.ndarray):
     lo = 0
     while lo < len(data):
