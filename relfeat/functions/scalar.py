@@ -76,11 +76,6 @@ def shift_time(c: Column, seconds: int = 1) -> Column:
     return c + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
 
 
-def weekday(c: Column) -> Column:
-    """Monday = 0 .. Sunday = 6 (pandas convention), not Spark's ``dayofweek``."""
-    return F.weekday(c)
-
-
 def argmax_label(probs: Column, classes: Column) -> Column:
     """label of the largest probability (first one on ties)."""
     idx = F.array_position(probs, F.array_max(probs))

@@ -163,15 +163,3 @@ def prepare_db(db: RelationalDataset, drop_text: bool = True, materialize_missin
     if drop_text:
         db = drop_text_columns(db)
     return canonicalize_types(db)
-
-
-def prepare_summary(db: RelationalDataset) -> DataFrame:
-    """One row per (table, column) of the prepared database with its type and role: a lazy
-    union of per-table literal rows (metadata only, no data pass)."""
-    spark = next(iter(db.tables.values())).sparkSession
-    rows = []
-    for t in sorted(db.tables):
-        roles = db.roles(t)
-        for f in db.tables[t].schema.fields:
-            rows.append((t, f.name, f.dataType.simpleString(), roles[f.name]))
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, role string")

@@ -27,10 +27,6 @@ def _c(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _bc(df: DataFrame, rows: int, limit: int = 5_000_000) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
-
-
 # ---- T1 -------------------------------------------------------------------------------------------
 class TypeCastTransformer:
     """Booleans -> float32 (null stays null); integral columns in which nulls were seen at
@@ -131,7 +127,6 @@ class SafeLabelEncoderTransformer:
     def __init__(self):
         self.cat_columns_: list[str] | None = None
         self.codes_: DataFrame | None = None
-        self.n_codes_: int = 0
 
     def fit(self, df: DataFrame, rows: int | None = None) -> "SafeLabelEncoderTransformer":
         """``rows``: a known bound on ``df``'s rows (e.g. the training sample size)."""
@@ -141,7 +136,6 @@ class SafeLabelEncoderTransformer:
         vals = self._unpivot(df)
         bound = None if rows is None else rows * len(self.cat_columns_)
         self.codes_ = dense_codes(vals, "__col", "__val", bounded_rows=bound).checkpoint(eager=True)
-        self.n_codes_ = self.codes_.count()
         return self
 
     def _unpivot(self, df: DataFrame) -> DataFrame:
@@ -154,20 +148,20 @@ class SafeLabelEncoderTransformer:
         cols = [c for c in self.cat_columns_ if c in df.columns]  # P9
         if not cols:
             return df
-        spark = df.sparkSession
         seen = self.codes_
         vals = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), _as_class(c).alias("__val"))
                                              for c in cols])).alias("__s")).select("__s.*").distinct()
-        unseen = vals.join(F.broadcast(seen.select("__col", "__val")) if self.n_codes_ <= 5_000_000 else seen.select("__col", "__val"),
-                           ["__col", "__val"], "left_anti")                                  # P7
-        base = seen.groupBy("__col").agg(F.count(F.lit(1)).alias("offset"))
-        extra = dense_codes(unseen, "__col", "__val", base=base)                              # U3
-        table = seen.unionByName(extra)
+        # no size hints: the seen values are a measured checkpoint, and Spark broadcasts them, or
+        # sorts, by the sizes it meets; unseen values of the scored frame may be many
+        unseen = vals.join(seen.select("__col", "__val"), ["__col", "__val"], "left_anti")     # P7
+        table = seen
+        if unseen.limit(1).count():
+            base = seen.groupBy("__col").agg(F.count(F.lit(1)).alias("offset"))
+            table = seen.unionByName(dense_codes(unseen, "__col", "__val", base=base))        # U3
         out = df
         for i, c in enumerate(cols):                                                          # J8
             m = table.where(F.col("__col") == c).select(F.col("__val").alias(f"__v{i}"), F.col("code").alias(f"__code{i}"))
-            out = out.join(F.broadcast(m) if self.n_codes_ <= 5_000_000 else m,
-                           _as_class(c) == F.col(f"__v{i}"), "left").drop(f"__v{i}")
+            out = out.join(m, _as_class(c) == F.col(f"__v{i}"), "left").drop(f"__v{i}")
         idx = {c: i for i, c in enumerate(cols)}
         return out.select(*[F.col(f"__code{idx[c]}").alias(c) if c in idx else _c(c) for c in df.columns])
 
@@ -178,7 +172,7 @@ class DatetimeFeatureGenerator:
     becomes ``d`` as int64 ns plus ``d_year``, ``d_month``, ``d_day``, ``d_dayofweek``
     (Monday = 0).  Columns constant on the fitted frame (one value, or all null) are dropped."""
 
-    def __init__(self, enable_datetime_features: bool = True, drop_constant: bool = True, **_ignored):
+    def __init__(self, enable_datetime_features: bool = True, drop_constant: bool = True):
         self.enable_datetime_features = enable_datetime_features
         self.drop_constant = drop_constant
         self.datetime_columns_: list[str] | None = None

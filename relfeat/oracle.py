@@ -513,7 +513,12 @@ SELECT AVG(ABS(o.o_totalprice - f.customer_MEAN_orders_o_totalprice)) AS mae
 FROM f JOIN orders o ON o.o_orderkey = f.o_orderkey WHERE f.customer_MEAN_orders_o_totalprice IS NOT NULL
 """
 
-DATASET_ROUND_TRIP = f"SELECT * FROM ({CHURN_TASK}) WHERE cutoff_time < TIMESTAMP '2000-01-01'"
+DATASET_ROUND_TRIP = f"""
+SELECT CASE WHEN cutoff_time < TIMESTAMP '2000-01-01' THEN 'train' ELSE 'test' END AS part,
+       concat_ws('|', c_custkey::VARCHAR, cutoff_time::VARCHAR, churn::VARCHAR) AS row_text FROM ({CHURN_TASK})
+UNION ALL SELECT 'customer', concat_ws('|', c_custkey::VARCHAR, c_name, c_nationkey::VARCHAR) FROM customer
+UNION ALL SELECT 'orders', concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderdate::VARCHAR, o_orderstatus) FROM orders
+"""
 
 TASK_IMPORT_ENTITY = f"""
 SELECT t.c_custkey, t.cutoff_time, t.churn, {CUST_ATTRS}

@@ -491,11 +491,11 @@ class _Planner:
         part, bagg = [], []
         for f in num:
             x = F.col(f.col)
-            part += [c.alias(f"{f.col}__{k}1") for k, c in zip(("n", "s", "l", "d"), self._sums(x, dec[f.col], w1))]
+            part += [c.alias(f"{f.col}__{k}1") for k, c in zip(("n", "s", "l", "v"), self._sums(x, dec[f.col], w1))]
             part += [
                      F.max(x).over(w1).alias(f"{f.col}__x1"), F.min(x).over(w1).alias(f"{f.col}__m1"),
                      F.avg(x).over(w1).alias(f"{f.col}__a1"), (F.var_pop(x).over(w1) * F.count(x).over(w1)).alias(f"{f.col}__q1")]
-            bagg += [c.alias(f"{f.col}__{k}") for k, c in zip(("n", "s", "l", "d"), self._sums(x, dec[f.col]))]
+            bagg += [c.alias(f"{f.col}__{k}") for k, c in zip(("n", "s", "l", "v"), self._sums(x, dec[f.col]))]
             bagg += [
                      F.max(x).alias(f"{f.col}__x"), F.min(x).alias(f"{f.col}__m"), F.avg(x).alias(f"{f.col}__a"),
                      (F.var_pop(x) * F.count(x)).alias(f"{f.col}__q")]
@@ -514,7 +514,7 @@ class _Planner:
             d = F.col(f"{c}__a") - a
             pre += [F.sum(f"{c}__n").over(wb).alias(f"{c}__N"), F.try_sum(f"{c}__s").over(wb).alias(f"{c}__S"),
                     F.sum(F.col(f"{c}__l") + F.when((F.col(f"{c}__n") > 0) & F.col(f"{c}__s").isNull(), 1).otherwise(0)).over(wb).alias(f"{c}__L"),
-                    F.sum(f"{c}__d").over(wb).alias(f"{c}__D"),
+                    F.sum(f"{c}__v").over(wb).alias(f"{c}__V"),
                     F.max(f"{c}__x").over(wb).alias(f"{c}__X"), F.min(f"{c}__m").over(wb).alias(f"{c}__M"),
                     F.sum(f"{c}__q").over(wb).alias(f"{c}__Q"), F.sum(F.col(f"{c}__n") * d).over(wb).alias(f"{c}__D1"),
                     F.sum(F.col(f"{c}__n") * d * d).over(wb).alias(f"{c}__D2"), a.alias(f"{c}__A")]
@@ -530,7 +530,7 @@ class _Planner:
             # an overflown part is null although it has values: then the doubles are used
             overflown = ((n1 > 0) & F.col(f"{c}__s1").isNull()) | ((N > 0) & F.col(f"{c}__S").isNull())
             ssum = F.when(~overflown, F.try_add(z(F.col(f"{c}__s1")), z(F.col(f"{c}__S"))))
-            lost, dsum = z(F.col(f"{c}__l1")) + z(F.col(f"{c}__L")), z(F.col(f"{c}__d1")) + z(F.col(f"{c}__D"))
+            lost, dsum = z(F.col(f"{c}__l1")) + z(F.col(f"{c}__L")), z(F.col(f"{c}__v1")) + z(F.col(f"{c}__V"))
             for p in self.num_prims:
                 col = _tmp()
                 if p == "max":

@@ -176,8 +176,7 @@ QUERIES = {
 
 
 # ---- second batch: preprocessing, sampling, history, keys, metrics, datasets, estimators ----------
-from .operators.estimator import (InContextModel, NearestNeighbourPredictor, RelationalClassifier,  # noqa: E402
-                                  RelationalRegressor)
+from .operators.estimator import InContextScorer, RelationalClassifier, RelationalRegressor
 from .operators.history import add_target_history  # noqa: E402
 from .operators.metrics import mean_absolute_error, roc_auc  # noqa: E402
 from .operators.preprocess import (DatetimeFeatureGenerator, SafeLabelEncoderTransformer,  # noqa: E402
@@ -390,7 +389,7 @@ def _scratch(spark, name):
 
 def q_dataset_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Database + churn task saved (Parquet + manifests) and loaded back; the
-    loaded train split is returned."""
+    rows of both loaded splits and loaded tables are returned, as text."""
     full = _churn_train(spark, sf)
     cut = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
     task = Task("churn", full.where(F.col("cutoff_time") < cut), full.where(F.col("cutoff_time") >= cut),
@@ -399,7 +398,13 @@ def q_dataset_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = _scratch(spark, "dataset")
     ds.save(path)
     back = Dataset.load(spark, path)
-    return back.task("churn").train_df
+    def texts(name, df, cols):
+        return df.select(F.lit(name).alias("part"), F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("row_text"))
+
+    t, cols = back.task("churn"), ["c_custkey", "cutoff_time", "churn"]
+    parts = [texts("train", t.train_df, cols), texts("test", t.test_df, cols), texts("customer", back.rdb.get_table("customer"), ["c_custkey", "c_name", "c_nationkey"]),
+             texts("orders", back.rdb.get_table("orders"), ["o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"])]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def q_task_import_entity(spark: SparkSession, sf: str) -> DataFrame:
@@ -476,7 +481,7 @@ def q_predict_proba(spark: SparkSession, sf: str) -> DataFrame:
     """Churn probabilities from an in-context 1-NN model fitted on a 500-row
     sample, scored in distributed Arrow batches of 1,000 rows."""
     train, test = _estimator_split(spark, sf, "churn")
-    clf = RelationalClassifier(InContextModel(NearestNeighbourPredictor()),
+    clf = RelationalClassifier(InContextScorer(),
                                {"max_train_samples": 500, "predict_batch_size": 1000})
     clf.fit(train, "churn", load_test_db(spark, sf, tables=("customer", "orders")),
             {"c_custkey": "customer.c_custkey"}, "cutoff_time")
@@ -486,7 +491,7 @@ def q_predict_proba(spark: SparkSession, sf: str) -> DataFrame:
 def q_in_context_score(spark: SparkSession, sf: str) -> DataFrame:
     """In-context 1-NN regression of quarterly spend."""
     train, test = _estimator_split(spark, sf, "spend")
-    reg = RelationalRegressor(InContextModel(NearestNeighbourPredictor(), "Regression"),
+    reg = RelationalRegressor(InContextScorer(regression=True),
                               {"max_train_samples": 500, "predict_batch_size": 1000})
     reg.fit(train, "spend", load_test_db(spark, sf, tables=("customer", "orders")),
             {"c_custkey": "customer.c_custkey"}, "cutoff_time")

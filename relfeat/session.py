@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,11 +35,14 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset (tests)."""
+    """Return the cluster's ``spark.checkpoint.dir``; set a scratch one only when it is unset and
+    the master is local (tests).  On a cluster a machine-local folder would lose files: raise."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="relfeat-ckpt-", dir=os.environ.get("RELFEAT_SCRATCH", "/tmp"))
         spark.sparkContext.setCheckpointDir(d)
         spark.conf.set("spark.checkpoint.dir", d)

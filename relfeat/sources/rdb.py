@@ -5,7 +5,6 @@ Everything here is metadata plus lazy DataFrame plans; no table is collected.
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass, field, replace
 from typing import Iterable, Mapping
 
@@ -262,7 +261,7 @@ def load_rdb(spark: SparkSession, path: str) -> RelationalDataset:
     return RelationalDataset.load(spark, path)
 
 
-# ---- small file helpers that work on local paths and any Hadoop file system -----------------
+# ---- small file helpers: every path goes through the Hadoop file system that also holds the Parquet files ----
 def _join(path: str, *parts: str) -> str:
     return "/".join([path.rstrip("/")] + [p.strip("/") for p in parts])
 
@@ -274,11 +273,6 @@ def _hadoop_fs(spark: SparkSession, path: str):
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    if "://" not in path:
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        with open(path, "w") as f:
-            f.write(text)
-        return
     fs, p = _hadoop_fs(spark, path)
     out = fs.create(p, True)
     out.write(bytearray(text.encode("utf-8")))
@@ -286,9 +280,6 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def _read_text(spark: SparkSession, path: str) -> str:
-    if "://" not in path:
-        with open(path) as f:
-            return f.read()
     fs, p = _hadoop_fs(spark, path)
     stream = fs.open(p)
     reader = spark.sparkContext._jvm.java.io.BufferedReader(
@@ -303,15 +294,5 @@ def _read_text(spark: SparkSession, path: str) -> str:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path)
     fs, p = _hadoop_fs(spark, path)
     return bool(fs.exists(p))
-
-
-def list_dir(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
-    """(name, is_dir) entries of a directory."""
-    if "://" not in path:
-        return [(n, os.path.isdir(os.path.join(path, n))) for n in sorted(os.listdir(path))]
-    fs, p = _hadoop_fs(spark, path)
-    return sorted((s.getPath().getName(), bool(s.isDirectory())) for s in fs.listStatus(p))

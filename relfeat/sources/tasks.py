@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import key_to_string, shift_time
-from .rdb import (FOREIGN_KEY, KEY, RelationalDataset, _join, _read_text, _write_text, list_dir, path_exists)
+from .rdb import (FOREIGN_KEY, KEY, RelationalDataset, _join, _read_text, _write_text, path_exists)
 
 SKIPPED_TASK_TYPES = ("link_prediction",)   # S10
 
@@ -71,22 +71,21 @@ class Dataset:
                 df.write.mode(mode).parquet(_join(tdir, f"{split}.parquet"))
             info = {"name": task.name, "metadata": asdict(task.metadata)}
             _write_text(spark, _join(tdir, "metadata.json"), json.dumps(info, indent=1, sort_keys=True))
+        _write_text(spark, _join(path, "tasks", "manifest.json"), json.dumps(sorted(self.tasks)))  # last: names what is whole
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Dataset":
         rdb = RelationalDataset.load(spark, _join(path, "rdb"))
         tasks = []
         tdir = _join(path, "tasks")
-        if path_exists(spark, tdir):
-            for name, is_dir in list_dir(spark, tdir):
-                if not is_dir or not path_exists(spark, _join(tdir, name, "metadata.json")):
-                    continue
-                info = json.loads(_read_text(spark, _join(tdir, name, "metadata.json")))
-                md = TaskMetadata(**info["metadata"])
-                base = _join(tdir, name)
-                val = spark.read.parquet(_join(base, "val.parquet")) if path_exists(spark, _join(base, "val.parquet")) else None
-                tasks.append(Task(info["name"], spark.read.parquet(_join(base, "train.parquet")),
-                                  spark.read.parquet(_join(base, "test.parquet")), md, val))
+        if not path_exists(spark, _join(tdir, "manifest.json")):
+            raise FileNotFoundError(f"{path} holds no task manifest: not a dataset, or its writing did not end")
+        for name in json.loads(_read_text(spark, _join(tdir, "manifest.json"))):
+            base = _join(tdir, name)
+            info = json.loads(_read_text(spark, _join(base, "metadata.json")))
+            val = spark.read.parquet(_join(base, "val.parquet")) if path_exists(spark, _join(base, "val.parquet")) else None
+            tasks.append(Task(info["name"], spark.read.parquet(_join(base, "train.parquet")),
+                              spark.read.parquet(_join(base, "test.parquet")), TaskMetadata(**info["metadata"]), val))
         return cls(rdb, tasks)
 
     # ---- S5 / S7 --------------------------------------------------------------------------------

@@ -16,30 +16,19 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def users_db(spark):
-    """The reference's unit fixture shape: 100 users, 500 hourly transactions (seeded here)."""
-    import datetime as dt
-    import random
-    from relfeat import create_rdb
-    rnd = random.Random(7)
-    users = spark.createDataFrame([(str(i), rnd.randint(18, 79), ["New York", "London", "Paris", "Tokyo"][i % 4])
-                                   for i in range(100)], "user_id string, age int, city string")
-    t0 = dt.datetime(2023, 1, 1)
-    tx = spark.createDataFrame([(i, str(rnd.randint(0, 99)), rnd.random() * 100, t0 + dt.timedelta(hours=i))
-                                for i in range(500)], "tx_id long, user_id string, amount double, timestamp timestamp_ntz")
-    return create_rdb("load_test_db", {"users": users, "transactions": tx}, {"users": "user_id", "transactions": "tx_id"},
-                      [("transactions", "user_id", "users", "user_id")], {"transactions": "timestamp"})
+def shop(spark):
+    """Customers and orders of the smallest test tables as a database."""
+    from relfeat.sources.testdb import load_test_db
+    return load_test_db(spark, SF, tables=("customer", "orders"))
 
 
 @pytest.fixture(scope="session")
-def user_frames(spark):
-    import datetime as dt
-    import random
-    rnd = random.Random(11)
-    train = spark.createDataFrame(
-        [(str(i), dt.datetime(2023, 1, 10) + dt.timedelta(days=i), "ab"[i % 2], rnd.randint(0, 1), rnd.random())
-         for i in range(100)], "user_id string, cutoff_time timestamp_ntz, cat_col string, target int, target_reg double")
-    test = spark.createDataFrame(
-        [(str(i), dt.datetime(2023, 2, 1) + dt.timedelta(days=i), "ac"[i % 2]) for i in range(20)],
-        "user_id string, cutoff_time timestamp_ntz, cat_col string")
-    return train, test
+def segment_task(spark):
+    """(train, test): is a customer's next quarter free of orders; 1,200 rows before 1999 and 150
+    rows at one later cutoff."""
+    from pyspark.sql import functions as F
+
+    from relfeat.sources.testdb import customer_quarter_task
+    full = customer_quarter_task(spark, SF).select("c_custkey", "cutoff_time", "churn", "spend")
+    year = F.year("cutoff_time")
+    return full.where(year < 1999), full.where((year == 2000) & (F.month("cutoff_time") == 1)).drop("churn", "spend")

@@ -16,9 +16,13 @@ def test_round_trip(spark, tmp_path):
                  [Task("price", t, t, TaskMetadata({"o_custkey": "customer.c_custkey"}, "target", "cutoff_time",
                                                    "regression", "mae"))])
     ds.save(str(tmp_path / "ds"))
-    (tmp_path / "ds" / "tasks" / "stray.txt").write_text("x")          # non-directories are skipped
-    (tmp_path / "ds" / "tasks" / "empty").mkdir()                       # directories without metadata too
-    back = Dataset.load(spark, str(tmp_path / "ds"))
+    (tmp_path / "ds" / "tasks" / "stray.txt").write_text("x")          # only what the manifest names is read
+    (tmp_path / "ds" / "tasks" / "empty").mkdir()
+    back = Dataset.load(spark, f"file:{tmp_path}/ds")                  # with or without a scheme
+    assert list(Dataset.load(spark, str(tmp_path / "ds")).tasks) == ["price"]
+    with pytest.raises(FileNotFoundError):
+        load_test_db(spark, SF, tables=("customer",)).save(str(tmp_path / "half" / "rdb"))
+        Dataset.load(spark, str(tmp_path / "half"))
     assert list(back.tasks) == ["price"]
     task = back.task("price")
     assert task.val_df is None and task.metadata.key_mappings == {"o_custkey": "customer.c_custkey"}

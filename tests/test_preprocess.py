@@ -1,83 +1,90 @@
 import datetime as dt
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from relfeat.operators.preprocess import (DatetimeFeatureGenerator, NotFittedError, SafeLabelEncoderTransformer,
-                                          TabularPreprocessor, TemporalDiffConfig, TemporalDiffTransformer,
-                                          TypeCastTransformer)
-
-
-def test_type_cast(spark):
-    df = spark.createDataFrame([(True, 1, 1.1, "a"), (False, 2, 2.2, "b"), (None, None, 3.3, "c")],
-                               "bool_col boolean, int64_col long, float_col double, str_col string")
-    res = TypeCastTransformer().fit(df).transform(df)
-    types = dict(res.dtypes)
-    assert types["bool_col"] == "float" and types["int64_col"] == "float"
-    assert types["float_col"] == "double" and types["str_col"] == "string"
-    rows = res.collect()
-    assert [r["bool_col"] for r in rows] == [1.0, 0.0, None]
-    assert [r["int64_col"] for r in rows] == [1.0, 2.0, None]
-
-
-def test_temporal_detection(spark):
-    df = spark.createDataFrame([(1000, 500, 100, 1)], "feature_epochtime_max long, feature_epochtime_min long, "
-                                                      "feature_epochtime_std long, regular_col long")
-    t = TemporalDiffTransformer(TemporalDiffConfig()).fit(df)
-    assert sorted(t.timestamp_columns_) == ["feature_epochtime_max", "feature_epochtime_min"]
-    assert t.columns_to_drop_ == ["feature_epochtime_std"]
-    df2 = spark.createDataFrame([(1, 2, 3, 4, 5)], "ts_epochtime_max long, ts_epochtime_min long, "
-                                                   "ts_epochtime_median long, ts_epochtime_mean long, ts_epochtime_std long")
-    t2 = TemporalDiffTransformer(TemporalDiffConfig()).fit(df2)
-    assert len(t2.timestamp_columns_) == 4 and t2.columns_to_drop_ == ["ts_epochtime_std"]
-    # 'std' only as a token: a 'lastdate' column is not a deviation
-    df3 = spark.createDataFrame([(1,)], "MAX_t_lastdate_epochtime long")
-    assert TemporalDiffTransformer(TemporalDiffConfig()).fit(df3).columns_to_drop_ == []
-
-
-def test_temporal_values(spark):
-    t0, t2 = dt.datetime(2023, 1, 1), dt.datetime(2023, 1, 10)
-    ns = lambda d: int((d - dt.datetime(1970, 1, 1)).total_seconds()) * 10**9
-    df = spark.createDataFrame([(ns(t0), dt.datetime(2023, 1, 3)), (ns(t2), dt.datetime(2023, 1, 11))],
-                               "tx_epochtime_max long, cutoff_time timestamp_ntz")
-    res = TemporalDiffTransformer(TemporalDiffConfig(), "cutoff_time").fit(df).transform(df)
-    assert "tx_epochtime_max" not in res.columns
-    vals = [r["tx_epochtime_max_diff"] for r in res.collect()]
-    assert vals == [2 * 86400 * 1e9, 1 * 86400 * 1e9]
-
-
-def test_temporal_missing_cutoff(spark):
-    df = spark.createDataFrame([(1000, 100, 42)], "tx_epochtime_max long, tx_epochtime_std long, regular_col long")
-    res = TemporalDiffTransformer(TemporalDiffConfig(), "missing_col").fit(df).transform(df)
-    assert res.columns == ["tx_epochtime_max", "regular_col"]
-
-
-def test_label_encoder_unseen(spark):
-    tr = spark.createDataFrame([("a",), ("b",), ("b",)], "cat string")
-    te = spark.createDataFrame([(0, "b"), (1, "c"), (2, "a")], "i int, cat string")
-    enc = SafeLabelEncoderTransformer().fit(tr)
-    assert [r["cat"] for r in enc.transform(tr).collect()] == [0, 1, 1]
-    out = {r["i"]: r["cat"] for r in enc.transform(te).collect()}
-    assert out == {0: 1, 1: 2, 2: 0}       # seen codes frozen, unseen appended
-    with pytest.raises(NotFittedError):
-        SafeLabelEncoderTransformer().transform(tr)
-
-
-def test_pipeline(spark):
-    t0, t1 = dt.datetime(2023, 1, 1), dt.datetime(2023, 1, 2)
-    ns = lambda d: int((d - dt.datetime(1970, 1, 1)).total_seconds()) * 10**9
-    df = spark.createDataFrame([(True, ns(t0), "x", dt.datetime(2023, 1, 3)), (False, ns(t1), "y", dt.datetime(2023, 1, 5))],
-                               "bool_col boolean, tx_epochtime_max long, cat_col string, cutoff timestamp_ntz")
-    pp = TabularPreprocessor(temporal_diff_config=TemporalDiffConfig(), cutoff_time="cutoff").fit(df)
-    assert [n for n, _ in pp.steps] == ["type_cast", "temporal", "label_encoder", "datetime"]
-    assert pp.temporal_transformer.is_fitted_
-    res = pp.transform(df)
-    types = dict(res.dtypes)
-    assert types["bool_col"] == "float"
-    assert "tx_epochtime_max_diff" in res.columns and "tx_epochtime_max" not in res.columns
-    assert types["cat_col"] == "bigint"
-    assert {"cutoff_year", "cutoff_month"}.isdisjoint(res.columns)   # constant -> dropped
-    assert "cutoff_day" in res.columns and types["cutoff"] == "bigint"
+from relfeat.operators.preprocess import (DatetimeFeatureGenerator, NotFittedError, SafeLabelEncoderTransformer, TabularPreprocessor,
+                                          TemporalDiffConfig, TemporalDiffTransformer, TypeCastTransformer)
+from relfeat.sources.testdb import read_table
+
+from conftest import SF
+
+DAY = 86_400 * 10**9
+
+
+@pytest.fixture(scope="module")
+def orders(spark):
+    """Orders with an epoch column, a nullable flag and a nullable count."""
+    o = read_table(spark, SF, "orders")
+    return o.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", F.col("o_orderdate").alias("cutoff_time"),
+                    F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey") % 2 == 0).alias("even"),
+                    F.when(F.col("o_orderkey") % 7 > 0, F.col("o_custkey")).alias("maybe_customer"),
+                    F.lit(915_148_800 * 10**9).alias("seen_epochtime_max"), F.lit(5).cast("long").alias("seen_epochtime_std"))
+
+
+def test_casts_follow_what_fit_saw(orders):
+    fitted = TypeCastTransformer().fit(orders)
+    kinds = dict(fitted.transform(orders).dtypes)
+    assert kinds["even"] == kinds["maybe_customer"] == "float" and kinds["o_orderkey"] == "bigint" and kinds["o_totalprice"] == "double"
+    assert kinds["seen_epochtime_max"] == "bigint"  # never narrowed
+    row = fitted.transform(orders).where("o_orderkey = 12").first()
+    assert row.even == 1.0 and fitted.transform(orders).where("o_orderkey % 5 = 0 AND even IS NOT NULL").count() == 0
+    without = orders.drop("maybe_customer")
+    assert fitted.transform(without).columns == without.columns
+
+
+def test_differences_to_the_cutoff(orders):
+    fitted = TemporalDiffTransformer(TemporalDiffConfig(), "cutoff_time").fit(orders)
+    out = fitted.transform(orders)
+    assert "seen_epochtime_std" not in out.columns and "seen_epochtime_max" not in out.columns
+    for r in out.limit(20).collect():
+        days = (r.cutoff_time - dt.datetime(1999, 1, 1)).total_seconds() / 86_400
+        assert r.seen_epochtime_max_diff == days * DAY
+
+
+def test_excluded_and_cutoff_free_columns(orders):
+    kept = TemporalDiffTransformer(TemporalDiffConfig(exclude_columns=["seen_epochtime_std"]), "cutoff_time").fit(orders).transform(orders)
+    assert "seen_epochtime_std" in kept.columns and "seen_epochtime_max_diff" in kept.columns
+    free = TemporalDiffTransformer(TemporalDiffConfig(), "no_such_column").fit(orders).transform(orders)
+    assert "seen_epochtime_max" in free.columns and "seen_epochtime_std" not in free.columns
+    named = orders.withColumn("MIN_orders_stdout_epochtime", F.lit(1).cast("long"))
+    assert TemporalDiffTransformer(TemporalDiffConfig()).fit(named).columns_to_drop_ == ["seen_epochtime_std"]
+
+
+def test_codes_of_seen_unseen_and_null_values(orders):
+    seen = orders.select("o_orderkey", "o_orderpriority").where("o_orderpriority IN ('2-HIGH', '4-NOT SPECIFIED')")
+    encoder = SafeLabelEncoderTransformer().fit(seen)
+    odd = orders.select("o_orderkey", F.when(F.col("o_orderkey") % 11 > 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    pairs = odd.select("o_orderkey", F.col("o_orderpriority").alias("was")).join(encoder.transform(odd), "o_orderkey")
+    codes = {r.was: r.o_orderpriority for r in pairs.distinct().collect()}
+    assert codes == {"2-HIGH": 0, "4-NOT SPECIFIED": 1, "1-URGENT": 2, "3-MEDIUM": 3, "5-LOW": 4, None: 5}
+    again = encoder.transform(seen)
+    assert {r[0] for r in again.select("o_orderpriority").distinct().collect()} == {0, 1}  # seen codes never move
+
+
+def test_encoder_broadcasts_no_value_table_by_hint(orders):
+    encoder = SafeLabelEncoderTransformer().fit(orders.select("o_orderpriority"))
+    plan = encoder.transform(orders.select("o_orderkey", "o_orderpriority"))._jdf.queryExecution().logical().toString()
+    assert "ResolvedHint" not in plan and "UnresolvedHint" not in plan
+
+
+def test_datetime_parts_and_constants(orders):
+    fitted = DatetimeFeatureGenerator().fit(orders)
+    out = fitted.transform(orders)
+    assert "seen_epochtime_max" not in out.columns and {"cutoff_time_year", "cutoff_time_dayofweek"} <= set(out.columns)
+    r = out.join(orders.select("o_orderkey", F.col("cutoff_time").alias("t")), "o_orderkey").first()
+    assert (r.cutoff_time_year, r.cutoff_time_month, r.cutoff_time_day, r.cutoff_time_dayofweek) == (r.t.year, r.t.month, r.t.day, r.t.weekday())
+    with pytest.raises(TypeError):
+        DatetimeFeatureGenerator(enable_text_ngrams=True)
+
+
+def test_chain_and_unfitted_stages(orders):
+    for stage in (TypeCastTransformer(), SafeLabelEncoderTransformer(), DatetimeFeatureGenerator(), TemporalDiffTransformer(TemporalDiffConfig())):
+        with pytest.raises(NotFittedError):
+            stage.transform(orders)
+    chain = TabularPreprocessor(None, TemporalDiffConfig(), "cutoff_time", keep_columns=["o_orderkey"])
     with pytest.raises(NotFittedError):
-        TabularPreprocessor().transform(df)
+        chain.transform(orders)
+    out = chain.fit(orders).transform(orders)
+    assert out.count() == orders.count() and "string" not in dict(out.dtypes).values()
+    assert out.where("o_orderkey IS NULL OR o_orderstatus IS NULL").count() == 0

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from relfeat.operators.metrics import mean_absolute_error, roc_auc
-from relfeat.operators.sampling import downsample
+from relfeat.operators.sampling import downsample, with_hash
 from relfeat.sources.testdb import line_task, order_task
 
 from conftest import SF
@@ -29,6 +29,19 @@ def test_balanced_quota(spark):
     assert sum(counts.values()) == 90 and all(v >= 30 for v in counts.values())
 
 
+def test_samples_are_full_where_ids_repeat(spark):
+    one_id = spark.createDataFrame([(1, "ab"[i % 2], i) for i in range(100)], "id int, y string, other int")
+    for stratified in (False, True):
+        s = downsample(one_id, "y", 50, "classification", stratified, 1, ["id"])
+        assert s.count() == 50 and s.distinct().count() == 50 and s.select("y").distinct().count() == 2
+    assert downsample(one_id, "other", 30, "regression", seed=1, id_cols=["id"]).count() == 30
+    nulls = spark.createDataFrame([("a", None, "b", 0), ("a", "b", None, 1), (None, None, None, 2)] * 20, "p string, q string, r string, y int")
+    assert with_hash(nulls, 1, ["p", "q", "r"]).select("__h").distinct().count() == 3
+    assert downsample(nulls, "y", 31, "classification", True, 1, ["p", "q", "r"]).count() == 31
+    rare = spark.createDataFrame([(i, None if i % 3 else i) for i in range(90)], "id int, y int")
+    assert downsample(rare, "y", 40, "classification", False, 1, ["id"]).count() == 40     # a class for each of 30 labels, and nulls
+
+
 def test_auc_ties_and_mae(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.5), (0, 0.5), (0, 0.1)], "y int, s double")
     # positives 0.9 (beats 3 negatives) and 0.5 (beats 1, ties 1): (3 + 1.5) / 6

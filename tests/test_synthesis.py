@@ -91,17 +91,35 @@ def test_join_and_window_plans_agree(spark):
         assert np.allclose(jp[c].astype(float), wp[c].astype(float), rtol=1e-9, equal_nan=True)
 
 
-def test_feature_names_and_depth(spark, users_db, user_frames):
-    train, _ = user_frames
-    db = prepare_db(users_db)
-    d1 = synthesize(db, train, {"user_id": "users.user_id"}, "cutoff_time", {"max_depth": 1})
-    assert d1.feature_names == ["users_age", "users_city"]
-    d2 = synthesize(db, train, {"user_id": "users.user_id"}, "cutoff_time", {"max_depth": 2})
-    assert "users_MAX_transactions_timestamp_epochtime" in d2.feature_names
-    assert "users_MODE_transactions_tx_id" not in d2.feature_names           # keys are never features
-    assert d2.df.count() == 100 and len(d2.df.columns) > 3
-    std_epoch = [f.name for f in d2.features if f.is_std_of_epoch]
-    assert std_epoch == ["users_STD_transactions_timestamp_epochtime"]
+def test_feature_names_and_depth(shop, segment_task):
+    task = segment_task[1]
+    db = prepare_db(shop)
+    flat = synthesize(db, task, {"c_custkey": "customer.c_custkey"}, "cutoff_time", {"max_depth": 1})
+    assert flat.feature_names == ["customer_c_name", "customer_c_acctbal", "customer_c_mktsegment"]
+    deep = synthesize(db, task, {"c_custkey": "customer.c_custkey"}, "cutoff_time", {"max_depth": 2})
+    assert "customer_MAX_orders_o_orderdate_epochtime" in deep.feature_names
+    assert not any("orderkey" in n or "custkey" in n for n in deep.feature_names)      # keys are never features
+    assert deep.df.count() == task.count()
+    assert [f.name for f in deep.features if f.is_std_of_epoch] == ["customer_STD_orders_o_orderdate_epochtime"]
+    with pytest.raises(ValueError):
+        synthesize(db, task, {"c_custkey": "customer.c_custkey"}, "cutoff_time", {"max_dept": 3})
+
+
+def test_parent_without_a_declared_key(spark):
+    parent = spark.createDataFrame([("x1", 1.0), ("x1", 0.5), ("x2", 2.0), (None, 9.0)], "mail string, v double")
+    task = spark.createDataFrame([(1, "x1"), (2, "x1"), (3, "zz"), (4, None)], "i int, who string")
+    db = create_rdb("d", {"p": parent}, {}, [], {})
+    rows = {r.i: r.p_v for r in synthesize(db, task, {"who": "p.mail"}, None, {"max_depth": 1}).df.collect()}
+    assert rows == {1: 0.5, 2: 0.5, 3: None, 4: None}      # one row stands for x1: the smallest
+
+
+def test_means_of_tiny_huge_and_non_finite_values(spark):
+    kids = [(1, 1e-12), (1, 3e-12), (2, 2.0**63), (2, 2.0**64), (3, float("inf")), (3, 1.0), (4, 1e300), (5, float("nan")), (6, 0.1), (6, 0.2), (7, 9e27), (7, 9e27), (7, 9e27)]
+    db = create_rdb("d", {"p": spark.createDataFrame([(i,) for i in range(1, 9)], "k long"), "c": spark.createDataFrame(kids, "k long, x double")},
+                    {"p": "k"}, [("c", "k", "p", "k")], {})
+    got = {r.k: r.p_MEAN_c_x for r in synthesize(db, db.get_table("p"), {"k": "p.k"}, None, {"max_depth": 2, "agg_primitives": ["mean"]}).df.collect()}
+    assert got[1] == 2e-12 and got[2] == (2.0**63 + 2.0**64) / 2 and got[3] == float("inf") and got[4] == 1e300 and got[5] != got[5]
+    assert got[6] == 0.3 / 2 and abs(got[7] / 9e27 - 1) < 1e-12 and got[8] is None
 
 
 def test_dotted_column_names(spark):
