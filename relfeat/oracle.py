@@ -467,17 +467,26 @@ FROM task t LEFT JOIN customer c ON c.c_custkey = t.c_custkey
 LEFT JOIN a ON a.c_custkey = t.c_custkey AND a.cutoff_time = t.cutoff_time
 """
 
-PREPARE_DB = """
-SELECT 'customer' AS table_name, COUNT(*) AS n_rows FROM customer
-UNION ALL SELECT 'events', COUNT(*) FROM events
-UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem
-UNION ALL SELECT 'nation', COUNT(*) FROM nation
-UNION ALL SELECT 'orders', COUNT(*) FROM orders
-UNION ALL SELECT 'part', COUNT(*) FROM part
-UNION ALL SELECT 'region', COUNT(*) FROM region
-UNION ALL SELECT 'supplier', COUNT(*) FROM supplier
-UNION ALL SELECT 'users', COUNT(DISTINCT user_id) FROM events
-"""
+def _contents(table: str, columns: str, time: str | None = None, source: str | None = None) -> str:
+    """``columns``: those of the prepared table; the epoch column is made of ``time``."""
+    counts = " + ".join(f"COUNT({time if c == f'{time}_epochtime' else c})" for c in columns.split(","))
+    last = f"MAX(epoch_ns({time}))" if time else "NULL"
+    return (f"SELECT '{table}' AS table_name, '{columns}' AS column_names, COUNT(*) AS n_rows, {counts} AS n_values, "
+            f"CAST({last} AS VARCHAR) AS last_epoch FROM {source or table}")
+
+
+PREPARE_DB = " UNION ALL ".join([
+    _contents("customer", "c_acctbal,c_custkey,c_mktsegment,c_name,c_nationkey"),
+    _contents("events", "event_id,event_type,ts,ts_epochtime,user_id,value", "ts"),
+    _contents("lineitem", "l_discount,l_extendedprice,l_linenumber,l_linestatus,l_orderkey,l_partkey,l_quantity,l_returnflag,"
+                          "l_shipdate,l_shipdate_epochtime,l_suppkey,l_tax", "l_shipdate"),
+    _contents("nation", "n_name,n_nationkey,n_regionkey"),
+    _contents("orders", "o_custkey,o_orderdate,o_orderdate_epochtime,o_orderkey,o_orderpriority,o_orderstatus,o_totalprice", "o_orderdate"),
+    _contents("part", "p_brand,p_name,p_partkey,p_retailprice,p_size,p_type"),
+    _contents("region", "r_name,r_regionkey"),
+    _contents("supplier", "s_acctbal,s_name,s_nationkey,s_suppkey"),
+    _contents("users", "user_id", source="(SELECT DISTINCT user_id FROM events)"),
+])
 
 FLOAT_KEY_NORMALIZE = """
 SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,

@@ -339,10 +339,18 @@ def q_target_history_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_prepare_db(spark: SparkSession, sf: str) -> DataFrame:
-    """Row count of every table of the prepared database (dummy ``users`` included)."""
+    """Rows, columns, non-null values and latest epoch of every table of the prepared database
+    (dummy ``users`` included)."""
     db = prepare_db(load_test_db(spark, sf))
-    parts = [db.get_table(t).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
-             for t in sorted(db.table_names)]
+
+    def contents(name):
+        df = db.get_table(name)
+        epochs = [F.max(c) for c in df.columns if c.endswith("_epochtime")]
+        return df.agg(F.count(F.lit(1)).alias("n_rows"), sum((F.count(c) for c in df.columns), F.lit(0)).alias("n_values"),
+                      (epochs[0] if epochs else F.lit(None)).cast("string").alias("last_epoch")).select(
+            F.lit(name).alias("table_name"), F.lit(",".join(sorted(df.columns))).alias("column_names"), "n_rows", "n_values", "last_epoch")
+
+    parts = [contents(t) for t in sorted(db.table_names)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
