@@ -7,10 +7,16 @@ and joins are on vertices, where adaptive execution splits hot keys.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def free_finished_rounds(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: only then does Spark delete shuffle and checkpoint
+    files, and broadcasts, that no frame refers to any more; and the driver's heap stays small."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """``edges``: (a, b) of longs.  Returns (id, component): the smallest id that each vertex
     reaches, for every vertex of an edge."""
@@ -23,6 +29,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         step = step.join(up, "next").select("id", "component", F.least("next", "jump").alias("next")).checkpoint()
         moved = step.where(F.col("next") != F.col("component")).limit(1).count()
         labels = step.select("id", F.col("next").alias("component"))
+        free_finished_rounds(edges.sparkSession)
         if not moved:
             return labels
     raise RuntimeError("components did not settle")

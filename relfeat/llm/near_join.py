@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relfeat.llm import tokens
-from relfeat.llm.components import components
+from relfeat.llm.components import components, free_finished_rounds
 
 _U = np.uint64
 HASHES, BANDS = 128, 32
@@ -98,7 +98,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
     texts without shingles; bands are 32 band values."""
 
     def read(batches):
-        for batch in batches:
+        for batch in tokens.slices(batches, most_bytes=8 << 20):
             values, offsets = _text_sets(batch.column("text"))
             filled = np.flatnonzero(np.diff(offsets))
             n = batch.num_rows
@@ -229,7 +229,7 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         "component", "class_id", "weight", "high", "low", "text")
 
     def read(batches):
-        for batch in batches:
+        for batch in tokens.slices(batches, most_bytes=8 << 20):
             values, offsets = _text_sets(batch.column("text"))
             filled = np.flatnonzero(np.diff(offsets))
             if not len(filled):
@@ -249,6 +249,7 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     need = sets.groupBy("component").agg(F.sum("size").alias("shingles"), F.count("*").alias("texts"))
     n = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS), F.lit(1)).cast("int")
     blocks = sets.join(need.select("component", "texts", n.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    free_finished_rounds(docs.sparkSession)
     found = _links(blocks, threshold, tolerance).checkpoint()
     counts = found.where("n > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
     groups = components(found.where("b IS NOT NULL").select("a", "b")).select(F.col("id").alias("class_id"), F.col("component").alias("component_id"))
