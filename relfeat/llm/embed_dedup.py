@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relfeat.llm.components import components
+from relfeat.llm.components import components, free_finished_rounds
 
 BLOCK, BITS = 256, 24
 PROPOSAL = "a long, b long, sim double, link boolean"
@@ -293,6 +293,7 @@ def dedup_embeddings(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
             if graph.where("new").count() <= least_change * k * total:
                 break
             proposals = _descend(graph, reps, kind, k, threshold, buckets).checkpoint()
+            free_finished_rounds(rows.sparkSession)
         links = links.distinct().checkpoint()
         groups = components(links).checkpoint()
         counts = _count_links(reps, groups, kind, threshold).checkpoint()
