@@ -27,7 +27,8 @@ bounded size.  A text may be of any length.
 
 Defined results: null or empty text is scored as its end alone; a row is in the training part
 unless crc32 of its id as text (null: empty) leaves 0 modulo 10; repeated rows are learnt as often
-as they stand there and scored alike; an empty table gives no rows; other columns are ignored.
+as they stand there and scored alike (rows that share an id are told apart by 32 bits of a
+fingerprint of the text); an empty table gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -45,9 +46,9 @@ _U = np.uint64
 #: Fingerprints of a text's end and start.
 END, BEGIN = _U(0xE4D0F7E875A3C1B9), _U(0xB5297A4D3F84D5B5)
 HOT_SHARE = 1 << 11
-#: Rows and positions that a map task handles at once; about how many positions a bucket and a
-#: partition of buckets hold.
-ROWS, SLICE, BUCKET, PARTITION = 2000, 1 << 21, 1 << 22, 1 << 26
+#: Positions that a map task handles at once, and sorts together; about how many positions a
+#: bucket and a partition of buckets hold.
+SLICE, SORTED, BUCKET, PARTITION = 1 << 18, 1 << 20, 1 << 19, 1 << 26
 _CODEC = pa.Codec("zstd", 1)
 
 
@@ -76,27 +77,12 @@ def _contexts(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return one, two
 
 
-def _counts(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if weights is None:
-        return np.unique(values, return_counts=True)
-    order = np.argsort(values)
-    v = values[order]
-    start = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.empty(0, np.int64)
-    return v[start], np.add.reduceat(weights[order], start) if len(v) else np.empty(0, np.int64)
-
-
-def _slices(batches):
-    for batch in batches:
-        for lo in range(0, batch.num_rows, ROWS):
-            yield batch.slice(lo, ROWS)
-
-
 def _word_counts(docs: DataFrame) -> DataFrame:
     """(kind, h, n): 0 training words, 1 to 3 words, pairs and triples that are frequent in a
     batch, 4 all positions."""
 
     def count(batches):
-        for batch in _slices(batches):
+        for batch in tokens.slices(batches):
             x, offsets = _with_ends(batch.column("text"))
             if not len(x):
                 continue
@@ -108,13 +94,20 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                 values.append(v.view(np.int64))
                 numbers.append(n.astype(np.int64))
 
-            put(0, *_counts(x[training]))
+            order = np.argsort(x)
+            v, learnt = x[order], training[order]
+            start = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            v, n, learnt = v[start], np.diff(np.append(start, len(x))), np.add.reduceat(learnt, start, dtype=np.int64)
+            put(0, v[learnt > 0], learnt[learnt > 0])
+            hot = v[n * 2 * HOT_SHARE >= len(x)]
+            put(1, hot, n[n * 2 * HOT_SHARE >= len(x)])
             one, two = _contexts(x, offsets)
-            pair = _pair(x, one)
-            for kind, v in ((1, x), (2, pair), (3, _pair(pair, two))):
-                v, n = _counts(v)
-                hot = n * 2 * HOT_SHARE >= len(x)
-                put(kind, v[hot], n[hot])
+            at = np.flatnonzero(_place(hot, x) >= 0)  # a frequent pair or triple ends in a frequent word
+            pair = _pair(x[at], one[at])
+            for kind, v in ((2, pair), (3, _pair(pair, two[at]))):
+                v, n = np.unique(v, return_counts=True)
+                often = n * 2 * HOT_SHARE >= len(x)
+                put(kind, v[often], n[often])
             put(4, np.zeros(1, _U), np.array([len(x)]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(values)), pa.array(np.concatenate(numbers))],
                                              names=["kind", "h", "n"])
@@ -168,53 +161,71 @@ def _positions(docs: DataFrame, model) -> DataFrame:
     """(partition, bucket, ...): compressed positions, each in its predicted word's bucket."""
     arrays = ["x", "one", "two", "doc", "times", "ids", "no_id", "texts"]
 
+    def place(m: Contexts, x, offsets, one, two, texts, lo, hi):
+        """Columns (word, contexts, document, bucket) of the positions from lo to hi."""
+        w, w1, w2 = x[lo:hi], one[lo:hi], two[lo:hi]
+        doc = (np.searchsorted(offsets, np.arange(lo, hi), side="right") - 1).astype(np.int32)
+        c1, c2 = m.codes(w1).astype(np.int32), m.codes(w2).astype(np.int32)
+        c2[c1 == 0] = 0
+        key = tokens.mix64(w)
+        at = np.flatnonzero(_place(m.hot[0], w) >= 0)  # hot words are dealt out by what precedes them
+        key[at] = tokens.mix64(w[at] ^ tokens.mix64(w1[at]))
+        pair = _pair(w[at], w1[at])
+        hot = _place(m.hot[1], pair) >= 0
+        at, pair = at[hot], pair[hot]
+        key[at] = tokens.mix64(pair ^ tokens.mix64(w2[at]))
+        triple = _pair(pair, w2[at])
+        hot = _place(m.hot[2], triple) >= 0
+        at, triple = at[hot], triple[hot]
+        key[at] = tokens.mix64(triple ^ tokens.mix64(texts[doc[at]].view(_U)))
+        return w, c1, c2, doc, (key % _U(m.buckets)).astype(np.int64)
+
+    def packed(m: Contexts, parts, ids, no_id, texts) -> pa.RecordBatch:
+        w, c1, c2, doc, bucket = (np.concatenate(p) for p in zip(*parts))
+        ids, no_id, texts = np.concatenate(ids), np.concatenate(no_id), np.concatenate(texts)
+        # by bucket, then about by word and context, in the bits that are left
+        bits, low = m.buckets.bit_length(), c1.astype(_U) + (c2.astype(_U) << _U(21)) + (doc.astype(_U) << _U(42))
+        by_word = (tokens.mix64(w) >> _U(bits) & ~_U(4095)) | (tokens.mix64(low) >> _U(52))
+        order = np.argsort((bucket.astype(_U) << _U(64 - bits)) | by_word)
+        w, c1, c2, doc, bucket = w[order], c1[order], c2[order], doc[order], bucket[order]
+        new = np.ones(len(w), dtype=bool)
+        new[1:] = (w[1:] != w[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]) | (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(w))).astype(np.int32)
+        w, c1, c2, doc, bucket = w[first], c1[first], c2[first], doc[first], bucket[first]
+        edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        out = []
+        for a, b in zip(edge, np.append(edge[1:], len(w))):
+            here, local = np.unique(doc[a:b], return_inverse=True)
+            columns = (w[a:b], c1[a:b], c2[a:b], local.astype(np.int32), times[a:b], ids[here], no_id[here], (texts[here] >> 32).astype(np.int32))
+            out.append((int(bucket[a] % m.partitions), int(bucket[a]), *map(_pack, columns)))
+        columns = list(zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[2:]],
+                                          names=["partition", "bucket", *arrays])
+
     def read(batches):
         m: Contexts = model.value
-        for batch in _slices(batches):
+        parts, ids, no_id, texts, docs_held, held = [], [], [], [], 0, 0
+        for batch in tokens.slices(batches):
             x, offsets = _with_ends(batch.column("text"))
             if not len(x):
                 continue
             one, two = _contexts(x, offsets)
-            id_list = batch.column("id").to_pylist()
-            no_id = np.array([i is None for i in id_list], dtype=np.uint8)
-            ids = np.array([0 if i is None else i for i in id_list], dtype=np.int64)
+            own = batch.column("id").to_pylist()
+            no_id.append(np.array([i is None for i in own], dtype=np.uint8))
+            ids.append(np.array([0 if i is None else i for i in own], dtype=np.int64))
             with np.errstate(over="ignore"):
-                texts = tokens.mix64(np.add.reduceat(tokens.mix64(x + tokens.mix64(one)), offsets[:-1])).view(np.int64)
+                texts.append(tokens.mix64(np.add.reduceat(tokens.mix64(x + tokens.mix64(one)), offsets[:-1])).view(np.int64))
             for lo in range(0, len(x), SLICE):
-                hi = min(lo + SLICE, len(x))
-                w, w1, w2 = x[lo:hi], one[lo:hi], two[lo:hi]
-                doc = (np.searchsorted(offsets, np.arange(lo, hi), side="right") - 1).astype(np.int32)
-                c1, c2 = m.codes(w1).astype(np.int32), m.codes(w2).astype(np.int32)
-                c2[c1 == 0] = 0
-                key = tokens.mix64(w)
-                pair = _pair(w, w1)
-                triple = _pair(pair, w2)
-                split = _place(m.hot[0], w) >= 0
-                key[split] = tokens.mix64(w[split] ^ tokens.mix64(w1[split]))
-                split = _place(m.hot[1], pair) >= 0
-                key[split] = tokens.mix64(pair[split] ^ tokens.mix64(w2[split]))
-                split = _place(m.hot[2], triple) >= 0
-                key[split] = tokens.mix64(triple[split] ^ tokens.mix64(texts[doc[split]].view(_U)))
-                bucket = (key % _U(m.buckets)).astype(np.int64)
-                # by bucket, then about by word and context, in the bits that are left
-                bits, low = m.buckets.bit_length(), c1.astype(_U) + (c2.astype(_U) << _U(21)) + (doc.astype(_U) << _U(42))
-                place = (tokens.mix64(w) >> _U(bits) & ~_U(4095)) | (tokens.mix64(low) >> _U(52))
-                order = np.argsort((bucket.astype(_U) << _U(64 - bits)) | place)
-                w, c1, c2, doc, bucket = w[order], c1[order], c2[order], doc[order], bucket[order]
-                new = np.ones(len(w), dtype=bool)
-                new[1:] = (w[1:] != w[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]) | (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(w))).astype(np.int32)
-                w, c1, c2, doc, bucket = w[first], c1[first], c2[first], doc[first], bucket[first]
-                edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                out = []
-                for a, b in zip(edge, np.append(edge[1:], len(w))):
-                    docs_here, local = np.unique(doc[a:b], return_inverse=True)
-                    parts = (w[a:b], c1[a:b], c2[a:b], local.astype(np.int32), times[a:b], ids[docs_here], no_id[docs_here], texts[docs_here])
-                    out.append((int(bucket[a] % m.partitions), int(bucket[a]), *map(_pack, parts)))
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[2:]],
-                                                 names=["partition", "bucket", *arrays])
+                w, c1, c2, doc, bucket = place(m, x, offsets, one, two, texts[-1], lo, min(lo + SLICE, len(x)))
+                parts.append((w, c1, c2, doc + np.int32(docs_held), bucket))
+                held += len(w)
+                if held >= SORTED:
+                    yield packed(m, parts, ids, no_id, texts)
+                    parts, ids, no_id, texts, docs_held, held = [], ids[-1:], no_id[-1:], texts[-1:], 0, 0
+            docs_held = sum(map(len, ids))
+        if parts:
+            yield packed(m, parts, ids, no_id, texts)
 
     return docs.mapInArrow(read, "partition int, bucket int, " + ", ".join(f"{a} binary" for a in arrays))
 
@@ -223,7 +234,7 @@ class _Bucket:
     """A bucket's positions, grouped by (word, one-word context, two-word context)."""
 
     def __init__(self, m: Contexts, rows: list):
-        kinds = {"x": _U, "one": np.int32, "two": np.int32, "doc": np.int32, "times": np.int32, "ids": np.int64, "no_id": np.uint8, "texts": np.int64}
+        kinds = {"x": _U, "one": np.int32, "two": np.int32, "doc": np.int32, "times": np.int32, "ids": np.int64, "no_id": np.uint8, "texts": np.int32}
         got = {k: [_unpack(bytes(r[k]), t) for r in rows] for k, t in kinds.items()}
         shift = np.cumsum([0] + [len(i) for i in got["ids"]])
         doc = np.concatenate([d + s for d, s in zip(got["doc"], shift)])
@@ -236,6 +247,7 @@ class _Bucket:
         key = (rank.astype(_U) << _U(42)) | (one.astype(_U) << _U(21)) | two.astype(_U)
         order = np.argsort(key)
         key, self.doc, self.times = key[order], doc[order], times[order].astype(np.int64)
+        del x, one, two, times, doc, got, rank, order
         train = np.where(self.held_out[self.doc], 0, self.times)
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         self.group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
@@ -351,7 +363,7 @@ def _score(model, power: float):
             i, t, z = b.ids[order], b.texts[order], b.no_id[order]
             first = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (z[1:] != z[:-1])))
             sums = [np.add.reduceat(v[order], first) for v in (size, known, base, score, ends)]
-            yield pa.table({"id": pa.array(i[first], mask=z[first] > 0), "text": t[first], "size": sums[0].astype(np.int64), "known": sums[1].astype(np.int64),
+            yield pa.table({"id": pa.array(i[first], mask=z[first] > 0), "text": t[first].astype(np.int64), "size": sums[0].astype(np.int64), "known": sums[1].astype(np.int64),
                             "base": sums[2], "score": sums[3], "ends": sums[4].astype(np.int64)})
     return run
 

@@ -67,6 +67,7 @@ def slices(batches, text_col: str = "text", most_bytes: int = 2 << 20):
             hi = max(lo + 1, int(np.searchsorted(step, (step[lo - 1] if lo else 0) + most_bytes, side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+        pa.default_memory_pool().release_unused()
 
 
 def _pieces(data: np.ndarray):
