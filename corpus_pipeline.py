@@ -32,9 +32,9 @@ def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more), the document
-    with the smallest id."""
+    with the smallest id, in one row."""
     ship_package(spark)
-    return near_join.keep_first(docs)
+    return near_join.keep_first(docs, one_row=True)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

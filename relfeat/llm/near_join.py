@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join of documents with Bayesian candidate pruning.
 
-1. Texts are sets of five-word shingles; texts of equal sets form a class, whose representative
-   is the smallest id (nulls last).  Everything below works on one text a class.
+1. Texts are sets of five-word shingles; texts of equal sets form a class, which has a number of
+   its own (ids may repeat or be null) and is represented by its row of the smallest id (nulls
+   last).  Everything below works on one text a class; ids come back with the result.
 2. Each class has 128 MinHash values, banded 32 x 4.  Classes that share a band are candidates:
    a pair of similarity 0.8 shares no band with probability 5e-8.  Bands give only star edges
    (smallest member to each other one), whose connected components bound where links can be.
@@ -13,14 +14,16 @@
    and block, and as the edges of a spanning forest; pairs are never emitted.
 
 Scale: signatures are computed where texts lie; bands shuffle 16 bytes a class and band.  Only
-texts of candidate components (measured; broadcast as ids only while their number is bounded) are
-read again.  A component of any size is dealt out to tasks of two blocks of bounded size each, so
+texts of candidate components (measured; their ids and text hashes are broadcast only while their
+number is bounded) are read again.  A component of any size is dealt out to tasks of two blocks of bounded size each, so
 a component that holds a third of all rows spreads over all executors.  No pair is capped.
 
 Defined results: null or empty texts have no shingles and link with nothing; texts of 1 to 4
-words are one shingle; null ids are never representatives while the class has another id; repeated
-rows are members of one class and are linked with each other; an empty table gives no rows; rows that repeat an id with another text share that id's place
-among the classes; other columns are ignored (``near_join``) or kept (``keep_first``).
+words are one shingle; null ids are never representatives while the class has another id, and
+classes of null ids alone are linked like others; repeated rows are members of one class and are
+linked with each other; an empty table gives no rows; rows that share an id with another text are
+rows of their own texts' classes; other columns are ignored (``near_join``) or kept
+(``keep_first``).
 """
 from __future__ import annotations
 
@@ -82,7 +85,7 @@ def _text_sets(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
 
 def _keys(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +97,8 @@ def _keys(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
-    """(id, key, bands) of each row: key is a 128-bit fingerprint of its shingle set, null for
-    texts without shingles; bands are 32 band values."""
+    """(id, text_hash, key, bands) of each row: key is a 128-bit fingerprint of its shingle set,
+    null for texts without shingles; bands are 32 band values."""
 
     def read(batches):
         for batch in tokens.slices(batches, most_bytes=8 << 20):
@@ -118,10 +121,10 @@ def text_classes(docs: DataFrame) -> DataFrame:
             sizes = np.zeros(n + 1, dtype=np.int32)
             sizes[filled + 1] = BANDS
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(high, mask=empty), pa.array(low, mask=empty),
-                 pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(bands.reshape(-1)))], names=["id", "high", "low", "bands"])
+                [batch.column("id"), batch.column("text_hash"), pa.array(high, mask=empty), pa.array(low, mask=empty),
+                 pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(bands.reshape(-1)))], names=["id", "text_hash", "high", "low", "bands"])
 
-    return docs.mapInArrow(read, "id long, high long, low long, bands array<long>")
+    return docs.mapInArrow(read, "id long, text_hash long, high long, low long, bands array<long>")
 
 
 def _compare(ids_a, sets_a, sig_a, ids_b, sets_b, sig_b, same: bool, least: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -179,16 +182,16 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _links(blocks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Rows (a, b, n): n > 0 adds n linked rows to class a; b not null is an edge of a forest."""
+    """Rows (a, b, n): n > 0 adds n linked rows to class (vertex) a; b not null is an edge of a forest."""
     least = least_matches(threshold, tolerance)
     pairs = blocks.where("blocks > 1 OR texts > 1").select(
-        "component", "class_id", "weight", "values", "signature", "block",
+        "component", "vertex", "weight", "values", "signature", "block",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "class_id", "weight", "values", "signature")
+        "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "vertex", "weight", "values", "signature")
 
     def compare(key, group):
         left = group.column("block").to_numpy() == key[1].as_py()
-        ids, weight = group.column("class_id").to_numpy(), group.column("weight").to_numpy()
+        ids, weight = group.column("vertex").to_numpy(), group.column("weight").to_numpy()
         sets = [np.frombuffer(v, dtype=_U) for v in group.column("values").to_pylist()]
         sig = np.stack([np.frombuffer(v, dtype=np.uint32) for v in group.column("signature").to_pylist()])
         same = key[1].as_py() == key[2].as_py()
@@ -209,24 +212,26 @@ def _links(blocks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     return pairs.repartition("component", "x", "y").groupBy("component", "x", "y").applyInArrow(compare, "a long, b long, n long")
 
 
-def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-6,
-              broadcast_ids: int = 2_000_000) -> DataFrame:
-    """One row per document: ``id, class_id`` (smallest id with the same shingles), ``n_links``
-    (other rows of similarity >= threshold) and ``component_id`` (smallest id reached by links)."""
-    slim = _slim(docs, id_col, text_col)
+def _marks(slim: DataFrame, threshold: float, tolerance: float, broadcast_ids: int) -> DataFrame:
+    """(id, text_hash, class_id, n_links, component_id, first) of each row; ``first`` tells whether
+    it, or a row that it repeats, is the first of its component, null for texts without shingles."""
     rows = text_classes(slim).checkpoint()
+    # numbers follow the ids: a group's first text is often what the others are copies of, so it
+    # shares most bands with them and stars stay few; the checkpoint fixes the numbers
     classes = rows.where("high IS NOT NULL").groupBy("high", "low").agg(
-        F.min("id").alias("class_id"), F.count("*").alias("weight"), F.first("bands").alias("bands")).where("class_id IS NOT NULL")
-    band = classes.select("class_id", F.explode("bands").alias("band"))
-    lowest = band.groupBy("band").agg(F.min("class_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = lowest.join(band, "band").groupBy("class_id").agg(F.min("a").alias("low"), F.collect_set("a").alias("centres"))  # at most BANDS centres
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("row"), F.count("*").alias("weight"), F.first("bands").alias("bands")).orderBy("row.no_id", "row.id", "high", "low").select(
+        F.monotonically_increasing_id().alias("vertex"), "high", "low", F.struct("row.no_id", "row.id", "high", "low", "row.text_hash").alias("row"), "weight", "bands").checkpoint()
+    band = classes.select("vertex", F.explode("bands").alias("band"))
+    lowest = band.groupBy("band").agg(F.min("vertex").alias("a"), F.count("*").alias("n")).where("n > 1")
+    stars = lowest.join(band, "band").groupBy("vertex").agg(F.min("a").alias("low"), F.collect_set("a").alias("centres"))  # at most BANDS centres
     # a class is joined to the least of its bands' centres, and the other centres to that one, so
     # that a dense group makes about one edge a member and not one for each of its bands
-    stars = stars.select("low", F.explode(F.array_union("centres", F.array("class_id"))).alias("b")).where("low <> b").select(F.col("low").alias("a"), "b").distinct()
-    members = components(stars).withColumnRenamed("id", "class_id").join(classes.select("high", "low", "class_id", "weight"), "class_id").checkpoint()
+    stars = stars.select("low", F.explode(F.array_union("centres", F.array("vertex"))).alias("b")).where("low <> b").select(F.col("low").alias("a"), "b").distinct()
+    members = components(stars).withColumnRenamed("id", "vertex").join(
+        classes.select("vertex", "high", "low", "weight", F.col("row.id").alias("row_id"), F.col("row.text_hash").alias("row_hash")), "vertex").checkpoint()
     few = members.count() <= broadcast_ids
-    texts = slim.join(F.broadcast(members) if few else members, slim["id"] == members["class_id"]).select(
-        "component", "class_id", "weight", "high", "low", "text")
+    texts = slim.join(F.broadcast(members) if few else members, (F.col("text_hash") == F.col("row_hash")) & F.col("id").eqNullSafe(F.col("row_id"))).select(
+        "component", "vertex", "weight", "high", "low", "text")
 
     def read(batches):
         for batch in tokens.slices(batches, most_bytes=8 << 20):
@@ -236,33 +241,56 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
                 continue
             bounds = np.append(offsets[:-1][filled], offsets[-1])
             high, low = _keys(values, bounds)
-            # a row that repeats a representative's id may have another text
+            # texts that share a hash may be of another class
             own = (batch.column("high").to_numpy()[filled] == high) & (batch.column("low").to_numpy()[filled] == low)
             sig, filled = signatures(values, bounds)[own], filled[own]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(pa.array(filled)) for c in ("component", "class_id", "weight")] + [
+                [batch.column(c).take(pa.array(filled)) for c in ("component", "vertex", "weight")] + [
                     pa.array([values[offsets[r]:offsets[r + 1]].tobytes() for r in filled], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()),
-                    pa.array(np.diff(offsets)[filled])], names=["component", "class_id", "weight", "values", "signature", "size"])
+                    pa.array(np.diff(offsets)[filled])], names=["component", "vertex", "weight", "values", "signature", "size"])
 
-    sets = texts.mapInArrow(read, "component long, class_id long, weight long, values binary, signature binary, size long")
-    sets = sets.dropDuplicates(["class_id", "component"]).checkpoint()
+    sets = texts.mapInArrow(read, "component long, vertex long, weight long, values binary, signature binary, size long")
+    sets = sets.dropDuplicates(["vertex", "component"]).checkpoint()
     need = sets.groupBy("component").agg(F.sum("size").alias("shingles"), F.count("*").alias("texts"))
     n = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS), F.lit(1)).cast("int")
-    blocks = sets.join(need.select("component", "texts", n.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    free_finished_rounds(docs.sparkSession)
+    blocks = sets.join(need.select("component", "texts", n.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
+    free_finished_rounds(slim.sparkSession)
     found = _links(blocks, threshold, tolerance).checkpoint()
-    counts = found.where("n > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
-    groups = components(found.where("b IS NOT NULL").select("a", "b")).select(F.col("id").alias("class_id"), F.col("component").alias("component_id"))
-    by_class = classes.select("high", "low", "class_id", "weight").join(counts, "class_id", "left").join(groups, "class_id", "left").select(
-        "high", "low", "class_id", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
-    out = rows.select("id", "high", "low").join(by_class, ["high", "low"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      F.coalesce("component_id", "id").alias("component_id"))
+    counts = found.where("n > 0").groupBy(F.col("a").alias("vertex")).agg(F.sum("n").alias("others"))
+    groups = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "vertex")
+    linked = groups.join(classes.select("vertex", "row"), "vertex").groupBy("component").agg(F.min("row").alias("first"))
+    linked = groups.join(linked, "component").select("vertex", "first")
+    by_class = classes.select("vertex", "high", "low", "row", "weight").join(counts, "vertex", "left").join(linked, "vertex", "left").select(
+        "high", "low", F.col("row.id").alias("class_id"), (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("first", "row").alias("first"))
+    out = rows.select("id", "text_hash", "high", "low").join(by_class, ["high", "low"], "left")
+    own = F.struct(F.col("id").isNull().alias("no_id"), "id", "high", "low", "text_hash")
+    return out.select("id", "text_hash", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                      F.coalesce("first.id", "id").alias("component_id"), F.when(F.col("high").isNotNull(), own.eqNullSafe(F.col("first"))).alias("first"))
+
+
+def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-6,
+              broadcast_ids: int = 2_000_000) -> DataFrame:
+    """One row per document: ``id, class_id`` (smallest id with the same shingles), ``n_links``
+    (other rows of similarity >= threshold) and ``component_id`` (smallest id reached by links)."""
+    marks = _marks(_slim(docs, id_col, text_col), threshold, tolerance, broadcast_ids)
+    return marks.select(F.col("id").alias(id_col), "class_id", "n_links", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-6,
+               broadcast_ids: int = 2_000_000, one_row: bool = False) -> DataFrame:
     """``docs``, all columns, without the documents that another one of their group stands for:
-    the smallest id of each group stays.  Rows without a text, or without an id, all stay."""
-    marks = near_join(docs, id_col, text_col, threshold)
-    gone = marks.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    of each group the row that is first by id (nulls last), class key and text hash stays.  Rows
+    without a text all stay.  Rows that repeat the first one's id and text stay with it, unless
+    ``one_row`` asks for one of them."""
+    marks = _marks(_slim(docs, id_col, text_col), threshold, tolerance, broadcast_ids)
+    key = lambda m: F.col(id_col).cast("long").eqNullSafe(m["__id"]) & (F.xxhash64(text_col) == m["__hash"])
+    of = lambda m: m.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
+    gone = of(marks.where("NOT first")).distinct()
+    rest = docs.join(gone, key(gone), "left_anti")
+    if not one_row:
+        return rest
+    repeated = of(marks.where("first")).groupBy("__id", "__hash").count().where("count > 1").drop("count").checkpoint()
+    if not repeated.limit(1).count():
+        return rest
+    once = rest.join(repeated, key(repeated)).dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+    return rest.join(repeated, key(repeated), "left_anti").unionByName(once)

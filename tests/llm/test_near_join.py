@@ -1,8 +1,10 @@
+import random
+
 import pytest
 
 from relfeat.llm import near_join
 
-from .conftest import shingles_of
+from .conftest import random_text, shingles_of
 
 
 def brute(rows, threshold=0.8):
@@ -39,6 +41,25 @@ def test_first_of_each_group_stays(corpus):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((d, t) for d, t, _ in expected), key=str)
 
 
+def test_reused_and_missing_ids(spark):
+    """Ids that two texts share, repeated rows, and groups of rows without an id."""
+    rnd = random.Random(5)
+    base, other, lone, third = (random_text(rnd, 60) for _ in range(4))
+    near = " ".join(base.split()[:-1] + ["changed"])
+    rows = [(1, base, "a"), (1, base, "a"), (7, near, "b"), (7, other, "c"),              # 7: a near copy and a clean text
+            (None, lone, "d"), (None, lone, "e"), (None, " ".join(lone.split()[:-1] + ["end"]), "f"),  # only null ids
+            (3, third, "g"), (3, base, "h"), (4, third + " more", "i"), (None, third, "j"), (None, None, "k"), (8, "", "l"), (8, "", "l")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for ids in (2_000_000, 0):
+        got = near_join.near_join(frame, broadcast_ids=ids).collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    kept = lambda **how: sorted((r.source for r in near_join.keep_first(frame, **how).collect()))
+    nameless = set(kept(one_row=True)) & set("def")  # by class key: one of three rows
+    assert len(nameless) == 1
+    assert [s for s in kept(one_row=True) if s not in "def"] == ["a", "c", "g", "k", "l", "l"]
+    assert [s for s in kept() if s not in "def"] == ["a", "a", "c", "g", "k", "l", "l"]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_join.near_join(empty).count() == 0 and near_join.keep_first(empty).count() == 0
