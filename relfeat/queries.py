@@ -476,10 +476,11 @@ def q_fit_predict_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_fit_predict_regressor(spark: SparkSession, sf: str) -> DataFrame:
-    """Quarterly spend regressor with pyspark.ml linear regression."""
+    """Quarterly spend regressor with pyspark.ml linear regression, fitted on all training
+    rows."""
     from pyspark.ml.regression import LinearRegression
     train, test = _estimator_split(spark, sf, "spend")
-    reg = RelationalRegressor(LinearRegression(maxIter=20), {"max_train_samples": 2000})
+    reg = RelationalRegressor(LinearRegression(maxIter=20), {"max_train_samples": None})
     reg.fit(train, "spend", load_test_db(spark, sf, tables=("customer", "orders")),
             {"c_custkey": "customer.c_custkey"}, "cutoff_time")
     return reg.predict(test)
