@@ -351,6 +351,13 @@ SELECT tr.o_orderkey, s.code AS o_orderstatus, p.code AS o_orderpriority
 FROM tr JOIN s ON s.v = COALESCE(tr.o_orderstatus, 'nan') JOIN p ON p.v = COALESCE(tr.o_orderpriority, 'nan')
 """
 
+LABEL_ENCODE_ALL = """
+WITH e AS (SELECT o_orderkey, o_orderdate < TIMESTAMP '1998-01-01' AS early, COALESCE(o_orderstatus, 'nan') AS s, COALESCE(o_orderpriority, 'nan') AS p FROM orders),
+s AS (SELECT s AS v, row_number() OVER (ORDER BY NOT bool_or(COALESCE(early, FALSE)), s) - 1 AS code FROM e GROUP BY s),
+p AS (SELECT p AS v, row_number() OVER (ORDER BY NOT bool_or(COALESCE(early, FALSE)), p) - 1 AS code FROM e GROUP BY p)
+SELECT e.o_orderkey, s.code AS o_orderstatus, p.code AS o_orderpriority FROM e JOIN s ON s.v = e.s JOIN p ON p.v = e.p
+"""
+
 LABEL_ENCODE_UNSEEN = """
 WITH tr AS (SELECT * FROM orders WHERE o_orderpriority <> '5-LOW'),
 s_seen AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT o_orderstatus AS v FROM tr)),
@@ -535,6 +542,11 @@ FROM ({CHURN_TASK}) t LEFT JOIN customer c ON c.c_custkey = t.c_custkey
 WHERE t.cutoff_time >= TIMESTAMP '2000-01-01'
 """
 
+TASK_IMPORT_ENTITY_SPLITS = f"""
+SELECT t.c_custkey, t.cutoff_time, t.churn, {CUST_ATTRS}, CASE WHEN t.cutoff_time >= TIMESTAMP '2000-01-01' THEN 'test' ELSE 'train' END AS split
+FROM ({CHURN_TASK}) t LEFT JOIN customer c ON c.c_custkey = t.c_custkey
+"""
+
 TASK_IMPORT_ROLES = f"""
 SELECT o.o_orderkey, o.o_custkey, o.o_orderdate + INTERVAL 1 SECOND AS cutoff_time, o.o_totalprice AS target,
        {CUST_ATTRS}, o.o_orderstatus AS orders_o_orderstatus, o.o_totalprice AS orders_o_totalprice,
@@ -548,6 +560,7 @@ ORACLE_SQL.update({
     "shift_time": SHIFT_TIME,
     "type_cast": TYPE_CAST,
     "label_encode": LABEL_ENCODE,
+    "label_encode_all": LABEL_ENCODE_ALL,
     "label_encode_unseen": LABEL_ENCODE_UNSEEN,
     "datetime_parts": DATETIME_PARTS,
     "drop_constant": DROP_CONSTANT,
@@ -568,6 +581,7 @@ ORACLE_SQL.update({
     "mae": MAE,
     "dataset_round_trip": DATASET_ROUND_TRIP,
     "task_import_entity": TASK_IMPORT_ENTITY,
+    "task_import_entity_splits": TASK_IMPORT_ENTITY_SPLITS,
     "task_import_roles": TASK_IMPORT_ROLES,
 })
 

@@ -240,6 +240,14 @@ def q_label_encode(spark: SparkSession, sf: str) -> DataFrame:
     return SafeLabelEncoderTransformer().fit(train).transform(train)
 
 
+def q_label_encode_all(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``label_encode``, but all orders are encoded: values that only later orders
+    have get codes after the earlier ones."""
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    train = o.where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).drop("o_orderdate")
+    return SafeLabelEncoderTransformer().fit(train).transform(o.drop("o_orderdate"))
+
+
 def q_label_encode_unseen(spark: SparkSession, sf: str) -> DataFrame:
     """Fitted without priority 5-LOW; at transform that value is unseen and gets
     the next code, seen codes unchanged."""
@@ -415,10 +423,7 @@ def q_dataset_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-def q_task_import_entity(spark: SparkSession, sf: str) -> DataFrame:
-    """An entity-table task spec becomes key mapping ``c_custkey ->
-    customer.c_custkey`` (a link-prediction spec is skipped); the test split gets its
-    entity attributes through that mapping."""
+def _imported_churn(spark, sf):
     full = _churn_train(spark, sf)
     cut = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
     splits = {"train": full.where(F.col("cutoff_time") < cut), "test": full.where(F.col("cutoff_time") >= cut)}
@@ -428,10 +433,25 @@ def q_task_import_entity(spark: SparkSession, sf: str) -> DataFrame:
              time_col="cutoff_time", task_type="binary_classification", metrics=["auc"]),
         dict(name="links", splits=splits, entity_table="customer", entity_col="c_custkey", target_col="churn",
              task_type="link_prediction")])
-    t = ds.task("churn")
+    return db, ds.task("churn")
+
+
+def q_task_import_entity(spark: SparkSession, sf: str) -> DataFrame:
+    """An entity-table task spec becomes key mapping ``c_custkey ->
+    customer.c_custkey`` (a link-prediction spec is skipped); the test split gets its
+    entity attributes through that mapping."""
+    db, t = _imported_churn(spark, sf)
     return synthesize(db, t.test_df, t.metadata.key_mappings, t.metadata.time_col, {"max_depth": 1}).df
 
 
+def q_task_import_entity_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``task_import_entity``, for both splits, which ``split`` names."""
+    db, t = _imported_churn(spark, sf)
+    parts = [synthesize(db, df, t.metadata.key_mappings, t.metadata.time_col, {"max_depth": 1}).df.withColumn("split", F.lit(name))
+             for name, df in (("train", t.train_df), ("test", t.test_df))]
+    return parts[0].unionByName(parts[1])
+
+
 def q_task_import_roles(spark: SparkSession, sf: str) -> DataFrame:
     """Role-typed order task: ``o_custkey`` (foreign key) and ``o_orderkey``
     (primary key of target table ``orders``) are both mapped; the cutoff equals the order's
@@ -513,6 +533,7 @@ QUERIES.update({
     "shift_time": q_shift_time,
     "type_cast": q_type_cast,
     "label_encode": q_label_encode,
+    "label_encode_all": q_label_encode_all,
     "label_encode_unseen": q_label_encode_unseen,
     "datetime_parts": q_datetime_parts,
     "drop_constant": q_drop_constant,
@@ -533,6 +554,7 @@ QUERIES.update({
     "mae": q_mae,
     "dataset_round_trip": q_dataset_round_trip,
     "task_import_entity": q_task_import_entity,
+    "task_import_entity_splits": q_task_import_entity_splits,
     "task_import_roles": q_task_import_roles,
     "preprocess_chain": q_preprocess_chain,
     "fit_predict_classifier": q_fit_predict_classifier,

@@ -88,3 +88,15 @@ def test_chain_and_unfitted_stages(orders):
     out = chain.fit(orders).transform(orders)
     assert out.count() == orders.count() and "string" not in dict(out.dtypes).values()
     assert out.where("o_orderkey IS NULL OR o_orderstatus IS NULL").count() == 0
+
+
+def test_widened_queries_return_all_rows(spark):
+    from relfeat.queries import QUERIES
+    from relfeat.sources.testdb import customer_quarter_task, read_table
+
+    orders = read_table(spark, SF, "orders")
+    encoded, early = QUERIES["label_encode_all"](spark, SF), QUERIES["label_encode"](spark, SF)
+    assert encoded.count() == orders.count() > early.count()
+    assert early.exceptAll(encoded).count() == 0  # seen codes do not move
+    splits = {r["split"]: r["count"] for r in QUERIES["task_import_entity_splits"](spark, SF).groupBy("split").count().collect()}
+    assert set(splits) == {"train", "test"} and sum(splits.values()) == customer_quarter_task(spark, SF).count()
