@@ -5,6 +5,8 @@ WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
 LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _W = WORDS.format(t=LOWER.format(t="coalesce(text, '')"))
+_TERMS = r"regexp_extract_all({t}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(t=LOWER.format(t="coalesce(text, '')"))
+_H = "('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), {k}, 8))::BIGINT"
 
 ORACLE_SQL = {
     "op3_decontamination": f"""
@@ -59,5 +61,26 @@ c AS (SELECT doc_id, source, size, place, copy, CASE WHEN target > 0 THEN (done
 l AS (SELECT *, sum(size) OVER (ORDER BY finish, source IS NULL, encode(coalesce(source, '')), copy, place)::BIGINT AS line FROM c),
 k AS (SELECT doc_id, place, sum(size)::BIGINT AS taken FROM l WHERE line <= (SELECT sum(target) FROM t) GROUP BY 1, 2)
 SELECT q.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN k ON q.doc_id IS NOT DISTINCT FROM k.doc_id AND q.place = k.place
+""",
+    "op12_fill_middle": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, {", ".join(_H.format(k=8 * k + 1) + f" AS h{k + 1}" for k in range(4))} FROM documents),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (b - a)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+""",
+    "op13_lexical_search": f"""
+WITH t AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, terms, len(terms)::BIGINT AS own FROM t WHERE len(terms) > 0),
+g AS (SELECT count(*)::BIGINT AS docs, sum(own)::BIGINT AS all_terms FROM d),
+f AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, g GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*)::BIGINT AS repeats FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, r, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * own * docs) // all_terms)))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN d USING (r), g GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM s JOIN d USING (r) WHERE score > 0 QUALIFY rank <= 10
 """,
 }

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relfeat.llm import chat, decontam, embed_dedup, mixing, near_join, quality, suffix_tree, toxicity, urlfilter, warc
+from relfeat.llm import (chat, decontam, embed_dedup, fill_middle, lexical_search, mixing, near_join, quality, suffix_tree, token_counts, toxicity, urlfilter,
+                         warc)
 from relfeat.llm.oracle import ORACLE_SQL  # noqa: F401
 from relfeat.session import ensure_checkpoint_dir, ship_package
 
@@ -85,6 +86,22 @@ def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_join(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and byte-level BPE tokens of every document."""
+    import public_tokenizers
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, part lengths and digests of every document's fill-in-the-middle output."""
+    return fill_middle.transform_middle(table(spark, sf_dir, "documents"), texts=False)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    return lexical_search.search_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -94,6 +111,6 @@ def _shipped(query):
 
 
 QUERIES = {q.__name__: _shipped(q) for q in (op1_suffix_tree, op2_toxicity, op3_decontamination, op4_embeddings, op5_quality, op6_warc, op7_chat, op8_urls, op9_mixing,
-                                             op10_near_join)}
+                                             op10_near_join, op11_token_counts, op12_fill_middle, op13_lexical_search)}
 
 
