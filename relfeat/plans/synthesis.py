@@ -25,12 +25,19 @@ Physical shape:
 * sub-trees with no time column are computed per key without the cutoff;
 * child rows meet cutoffs in an inner equi-join with a range residual (AQE may split a
   skewed key on either side of an inner join), or, when there are many cutoffs per key,
-  in one sorted window pass per key with a ``rangeBetween(unboundedPreceding, -1)`` frame;
+  in one sorted window pass per key with a ``rangeBetween(unboundedPreceding, -1)`` frame
+  (medians: see ``prefix_rank``);
+* child rows whose own features change with time, because their child rows are timed too, become
+  spans of constant features that meet cutoffs in a tree (see ``spans``);
+* the plan is chosen per key: keys that a frequent-items sketch of the child rows shows to be
+  heavy, and whose rows times cutoffs are many, leave the others' plan and are dealt out by
+  ranges of time;
 * query sets derived from a task frame of checked size (``broadcast_rows``) are
   broadcast, so the large fact tables are streamed once without a shuffle.
 """
 from __future__ import annotations
 
+import copy
 import datetime
 import itertools
 from dataclasses import dataclass, field, replace
@@ -42,11 +49,13 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import EPOCH_SUFFIX, epoch_micros, key_to_string, sanitize_name
 from ..sources.rdb import CATEGORY, NUMERIC, Relationship, RelationalDataset
+from .prefix_rank import bucketed_medians, place_among, window_medians
+from .spans import nodes_above, nodes_of, number_cutoffs
 
 NUMERIC_PRIMITIVES = ("max", "min", "mean", "std", "median")
 CATEGORY_PRIMITIVES = ("mode",)
 ALL_PRIMITIVES = NUMERIC_PRIMITIVES + CATEGORY_PRIMITIVES + ("count",)
-WINDOW_PRIMITIVES = ("max", "min", "mean", "std", "count", "mode")  # computable over a sorted prefix
+FRAME_PRIMITIVES = ("max", "min", "mean", "std")  # computable over a window's prefix frame, and mergeable
 
 # fixed values: the reference's default synthesis settings
 DEFAULT_MAX_DEPTH = 2
@@ -67,8 +76,14 @@ class DFSConfig:
     window_cutoffs_per_key: float = 4.0    # auto: window plan above this many cutoffs per key
     broadcast_rows: int = 2_000_000        # query sets up to this many rows are broadcast
     broadcast_bytes: int = 256 << 20       # ... and feature frames up to this estimated size
-    hot_key_rows: int = 5_000_000          # a key with more child rows uses the time-bucketed prefix plan
-    prefix_bucket_seconds: int = 86_400    # bucket width of that plan
+    hot_key_rows: int = 5_000_000          # a key with more child rows leaves the window plan
+    hot_key_pairs: int = 20_000_000        # a key with more child rows times cutoffs leaves the join plan
+    hot_bucket_rows: int = 100_000         # rows and cutoffs of a hot key that are dealt to one task
+    prefix_bucket_seconds: int = 86_400    # bucket width where "bucketed" is asked for all keys
+
+    def __post_init__(self):
+        if self.cutoff_strategy not in ("auto", "join", "window", "bucketed"):
+            raise ValueError(f"unknown cutoff strategy {self.cutoff_strategy!r}")
 
     @classmethod
     def from_any(cls, cfg) -> "DFSConfig":
@@ -144,6 +159,9 @@ class _Planner:
         self.db = db
         self.cfg = cfg
         self.strategy = strategy
+        self.hot_bounds: DataFrame | None = None   # of hot keys: the times at which they are cut
+        self.hot_ranges, self.hot_chunks = 8, 1    # ... and value ranges and query shares of their medians
+        self._heavy: dict = {}
         prims = set(cfg.agg_primitives)
         self.num_prims = [p for p in NUMERIC_PRIMITIVES if p in prims]
         self.cat_prims = [p for p in CATEGORY_PRIMITIVES if p in prims]
@@ -320,13 +338,25 @@ class _Planner:
                    ) -> tuple[DataFrame, list[_Feat]]:
         """Aggregates, per ``(__k, __c)`` of ``q``, over the ``child`` rows with
         ``child.fk == __k`` (and ``time < __c``)."""
-        cdf = self.db.tables[child]
         meta = self.db.metas[child]
         label = self.label(child, e, self.db.children_of(e.parent), "child")
         if not self.num_prims and not self.cat_prims:
             r = 0  # only COUNT is requested: no child-row feature would be aggregated
-        if has_c and meta.time_column is not None and self.window_ok(child, e, r):
-            return self._child_aggs_window(child, e, q, r, label, small)
+        if has_c and meta.time_column is not None and (self.prefix_ok(child, e, r) or self.spans_ok(child, e, r)):
+            hot = self.hot_keys(child, e, q)
+            if hot:
+                return self._split_hot(child, e, q, r, label, small, hot)
+        return self._child_plan(child, e, q, r, has_c, label, small)
+
+    def _child_plan(self, child: str, e: Relationship, q: DataFrame, r: int, has_c: bool, label: str, small: bool
+                    ) -> tuple[DataFrame, list[_Feat]]:
+        cdf = self.db.tables[child]
+        meta = self.db.metas[child]
+        if has_c and meta.time_column is not None and self.strategy in ("window", "bucketed"):
+            if self.prefix_ok(child, e, r):
+                return self._child_aggs_window(child, e, q, r, label, small)
+            if self.spans_ok(child, e, r):
+                return self._child_aggs_spans(child, e, q, r, label, small)
         qq = F.broadcast(q) if small else q
         cond = _q(e.child_col) == F.col(_K)
         if has_c and meta.time_column:
@@ -349,7 +379,7 @@ class _Planner:
         for f in feats:
             prims = self.num_prims if f.kind == NUMERIC else self.cat_prims
             for p in prims:
-                if over is not None and (p not in WINDOW_PRIMITIVES or p == "mode"):
+                if over is not None and p not in FRAME_PRIMITIVES:
                     continue
                 col = _tmp()
                 x = F.col(f.col)
@@ -392,11 +422,9 @@ class _Planner:
         tiny, huge and non-finite values, or a sum beyond the decimals' range."""
         return self._ratio(*self._sums(x, dtype, over))
 
-    def window_ok(self, child: str, e: Relationship, r: int) -> bool:
-        """The prefix plan applies when every feature of a child row depends on the cutoff only
+    def prefix_ok(self, child: str, e: Relationship, r: int) -> bool:
+        """The prefix plans apply when every feature of a child row depends on the cutoff only
         through the row's own time or a timed parent's own time (visibility)."""
-        if self.strategy not in ("window", "bucketed") or any(p not in WINDOW_PRIMITIVES for p in self.num_prims):
-            return False
         if r >= 1:
             for g in self.children(child, e):
                 if self.timed(g.child, r - 1, g):
@@ -406,6 +434,58 @@ class _Planner:
                     return False
         return True
 
+    def spans_ok(self, child: str, e: Relationship, r: int) -> bool:
+        """The span plan applies when a child row's features change only at its own time and at
+        those of its timed child rows, all found by one column of it, and aggregates merge."""
+        if r < 1 or "median" in self.num_prims or any(self.timed(p.parent, r - 1, p) for p in self.parents(child, e)):
+            return False
+        inner = [g for g in self.children(child, e) if self.timed(g.child, r - 1, g)]
+        return (bool(inner) and len({g.parent_col for g in inner}) == 1
+                and all(self.db.metas[g.child].time_column and not self.below_timed(g.child, r - 1, g) for g in inner))
+
+    # ---- plan per key ----------------------------------------------------------------------
+    def heavy_keys(self, child: str, e: Relationship, most: int = 256, tracked: int = 10_000) -> list[tuple]:
+        """(key, rows) of the keys with most child rows, from one pass with a frequent-items
+        sketch of ``tracked`` keys: a key that it misses has less than about ``4 / tracked`` of all
+        rows.  Only rows that some cutoff can see are read."""
+        if e not in self._heavy:
+            key = _q(e.child_col)
+            top = self.visible_rows(child).where(key.isNotNull()).agg(F.call_function("approx_top_k", key, F.lit(most), F.lit(tracked)).alias("top")).first()["top"]
+            self._heavy[e] = [(t["item"], t["count"]) for t in top or []]
+        return self._heavy[e]
+
+    def hot_keys(self, child: str, e: Relationship, q: DataFrame) -> list[tuple]:
+        """(key, rows, cutoffs) of the keys that must not be one task's work in the plan at hand."""
+        if self.cfg.cutoff_strategy not in ("auto", "window") or self.strategy == "bucketed":
+            return []
+        cfg, join = self.cfg, self.strategy == "join"
+        heavy = {k: n for k, n in self.heavy_keys(child, e) if (n * max(self.task_rows, 1) > cfg.hot_key_pairs if join else n > cfg.hot_key_rows)}
+        if not heavy:
+            return []
+        cuts = q.where(F.col(_K).isin(list(heavy))).groupBy(_K).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 256 rows
+        return [(c[_K], heavy[c[_K]], c["n"]) for c in cuts if not join or heavy[c[_K]] * c["n"] > cfg.hot_key_pairs]
+
+    def _split_hot(self, child: str, e: Relationship, q: DataFrame, r: int, label: str, small: bool, hot: list) -> tuple[DataFrame, list[_Feat]]:
+        """Hot keys by ranges of time, the others by the plan at hand."""
+        keys = [k for k, _, _ in hot]
+        is_hot = F.col(_K).isin(keys)
+        cold, out = self._child_plan(child, e, q.where(~is_hot), r, True, label, small)
+        own = copy.copy(self)
+        own.strategy = "bucketed"
+        rows, most = self.cfg.hot_bucket_rows, max(n + c for _, n, c in hot)
+        pieces = min(200, -(-most // rows))
+        times = self.visible_rows(child).where(_q(e.child_col).isin(keys)).select(_q(e.child_col).alias(_K), self.time_micros(child).alias("__t")) \
+            .unionByName(q.where(is_hot).select(_K, F.col(_C).alias("__t"))).where(F.col("__t").isNotNull())
+        steps = [i / (pieces + 1) for i in range(1, pieces + 1)]
+        # a time per piece and hot key: at most 256 x 200 numbers
+        own.hot_bounds = times.groupBy(_K).agg(F.array_sort(F.array_distinct(F.percentile_approx("__t", steps, 10_000))).alias("__bounds")).checkpoint()
+        own.hot_ranges, own.hot_chunks = max(8, pieces), max(1, -(-max(c for _, _, c in hot) // rows))
+        warm, also = own._child_plan(child, e, q.where(is_hot), r, True, label, small)
+        place = {f.display: f.col for f in out}
+        names = {f.col: place[f.display] for f in also}
+        warm = warm.select(*[F.col(c).alias(names.get(c, c)) for c in warm.columns])
+        return cold.unionByName(warm.select(*cold.columns)), out
+
     def _child_aggs_window(self, child: str, e: Relationship, q: DataFrame, r: int, label: str, small: bool
                            ) -> tuple[DataFrame, list[_Feat]]:
         """Prefix plan: child rows and cutoffs sorted together per key; each cutoff row sees
@@ -445,9 +525,9 @@ class _Planner:
         qs = q.where(F.col(_C).isNotNull()).select(_K, F.col(_C).alias("__t"), F.lit(1).alias("__q"))
         u = ev.unionByName(qs, allowMissingColumns=True)
         w = Window.partitionBy(_K).orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
-        bucketed = self.strategy == "bucketed" or self._has_hot_key(child, e)
+        bucketed = self.strategy == "bucketed"
         if bucketed:
-            res, out = self._bucketed_numeric(u, num, label)
+            res, out = self._bucketed_numeric(u, num if any(p in FRAME_PRIMITIVES for p in self.num_prims) else [], label)
         else:
             aggs, out = self._agg_exprs(num, label, over=w)
             if self.count:
@@ -457,34 +537,130 @@ class _Planner:
             res = u.select(_K, "__t", "__q", *aggs).where(F.col("__q") == 1).withColumnRenamed("__t", _C).drop("__q")
         if cat:
             modes, mout = (self._bucketed_modes if bucketed else self._prefix_modes)(rows, q, cat, label, when_visible)
-            k2, c2 = _tmp("__jk"), _tmp("__jc")
-            modes = modes.withColumnRenamed(_K, k2).withColumnRenamed(_C, c2)
-            res = res.join(modes, (F.col(_K) == F.col(k2)) & (F.col(_C) == F.col(c2)), "left").drop(k2, c2)
-            out += mout
+            res, out = _beside(res, modes), out + mout
+        if num and "median" in self.num_prims:
+            medians, mout = self._medians(rows, q, num, label, when_visible, bucketed)
+            res, out = _beside(res, medians), out + mout
         return res, out
 
+    def _medians(self, rows: DataFrame, q: DataFrame, num: list, label: str, when_visible, bucketed: bool) -> tuple[DataFrame, list[_Feat]]:
+        """A7 before each cutoff, of all numeric columns in one narrow unpivoted stream."""
+        ev = _column_events(rows, num, when_visible, "double")
+        qs = q.where(F.col(_C).isNotNull()).select(_K, F.col(_C).alias("__t"), F.explode(F.array(*[F.lit(i) for i in range(len(num))])).alias("__ci"))
+        if bucketed:
+            ev, qs = (self._with_bucket(x).withColumnRenamed("__b", "bucket") for x in (ev, qs))
+            found = bucketed_medians(ev, qs, _K, "__ci", "__t", "__x", self.hot_ranges, self.hot_chunks, self.hot_bounds is not None)
+        else:
+            found = window_medians(ev, qs, _K, "__ci", "__t", "__x")
+        out, aggs = [], []
+        for i, f in enumerate(num):
+            col = _tmp()
+            aggs.append(F.max(F.when(F.col("__ci") == i, F.col("m"))).alias(col))
+            out.append(_Feat(col, f"MEDIAN({label}.{f.display})", NUMERIC, "double", ("median",) + f.prims, f.epoch))
+        return found.groupBy(_K, F.col("__t").alias(_C)).agg(*aggs), out
+
+    # ---- span plan (child rows whose features change with time) --------------------------------
+    def _child_aggs_spans(self, child: str, e: Relationship, q: DataFrame, r: int, label: str, small: bool
+                          ) -> tuple[DataFrame, list[_Feat]]:
+        """Child rows with timed child rows of their own: a row's states between changes become
+        spans of cutoff numbers, which meet cutoffs in the nodes of a tree (see ``spans``).
+
+        A row's states are computed as at cutoffs just after its changes, by the plans for
+        ordinary child rows.  ``mode`` counts values per node; a cutoff then merges the values
+        of the nodes above it."""
+        keys = q.select(_K).distinct()
+        keys = F.broadcast(keys) if small else keys
+        base = self.visible_rows(child).join(keys, _q(e.child_col) == F.col(_K), "inner").withColumn("__t", self.time_micros(child)) \
+            .where(F.col("__t").isNotNull())
+        inner = [g for g in self.children(child, e) if self.timed(g.child, r - 1, g)]
+        slim = base.select(_K, _q(inner[0].parent_col).alias("__o"), "__t").distinct()
+        changes = slim.withColumn("__when", F.col("__t"))
+        for g in inner:
+            times = self.visible_rows(g.child).select(_q(g.child_col).alias("__go"), self.time_micros(g.child).alias("__when"))
+            later = slim.join(times, (F.col("__o") == F.col("__go")) & (F.col("__when") > F.col("__t")), "inner")
+            changes = changes.unionByName(later.select(_K, "__o", "__t", "__when"))
+        cuts, changes = number_cutoffs(q.where(F.col(_C).isNotNull()).select(_K, F.col(_C).alias("__when")), changes, _K, "__when")
+        # of the changes between two cutoffs only the last is ever seen
+        states = changes.groupBy(_K, "__o", "__t", "first", "count").agg(F.max("__when").alias("__when"))
+        following = F.lead("first").over(Window.partitionBy(_K, "__o", "__t").orderBy("first"))
+        states = states.withColumn("__last", F.coalesce(following, F.col("count"))).drop("count").withColumnsRenamed({"first": "__first", _K: "__sk", "__o": "__so", "__t": "__st"})
+        on = (F.col(_K) == F.col("__sk")) & _q(inner[0].parent_col).eqNullSafe(F.col("__so")) & (F.col("__t") == F.col("__st"))
+        rows = base.join(states, on, "inner").withColumn(_C, F.col("__when") + 1)
+        own = copy.copy(self)  # the states' keys are not the hot ones
+        own.strategy, own.hot_bounds = (self.strategy if self.hot_bounds is None else "window"), None
+        rows, feats = own.row_feats(rows, child, r, e, True, False, [_K, "__first", "__last"])
+        num = [f for f in feats if f.kind == NUMERIC]
+        cat = [f for f in feats if f.kind == CATEGORY] if self.cat_prims else []
+        rows = rows.withColumn("__nodes", nodes_of(F.col("__first"), F.col("__last")))
+        node = [F.col("__n.height").alias("height"), F.col("__n.node").alias("node")]
+        above = cuts.select(_K, "__when", F.explode(nodes_above(F.col("number"), F.col("count"))).alias("__n")).select(_K, F.col("__when").alias(_C), *node)
+        by = [_K, "height", "node"]
 
-    # ---- time-bucketed prefix plan (hot keys) ------------------------------------------------
-    def _has_hot_key(self, child: str, e: Relationship) -> bool:
-        """One aggregate job (partial counts per key, then a max): does any key own more than
-        ``hot_key_rows`` child rows?  Cached per edge."""
-        cache = self.__dict__.setdefault("_hot", {})
-        if e not in cache:
-            cdf = self.visible_rows(child)   # only rows some cutoff can see (pushed-down bound)
-            top = cdf.groupBy(_q(e.child_col)).count().agg(F.max("count").alias("m")).first()["m"]
-            cache[e] = bool(top and top > self.cfg.hot_key_rows)
-        return cache[e]
+        spread = rows.select(_K, F.explode("__nodes").alias("__n"), *[F.col(f.col) for f in num]).select(_K, *node, *[F.col(f.col) for f in num])
+        parts, merged, cols, out = [F.count(F.lit(1)).alias("__rows")], [F.sum("__rows").alias("__rows")], [], []
+        for f in num:
+            c, x = f.col, F.col(f.col)
+            if "mean" in self.num_prims:
+                n, exact, lost, double = self._sums(x, f.dtype)
+                parts += [n.alias(f"{c}__n"), exact.alias(f"{c}__s"), lost.alias(f"{c}__l"), double.alias(f"{c}__v")]
+                overflown = F.when((F.col(f"{c}__n") > 0) & F.col(f"{c}__s").isNull(), 1).otherwise(0)
+                merged += [F.sum(f"{c}__n").alias(f"{c}__n"), F.try_sum(f"{c}__s").alias(f"{c}__s"), F.sum(F.col(f"{c}__l") + overflown).alias(f"{c}__l"), F.sum(f"{c}__v").alias(f"{c}__v")]
+            for p, agg in (("max", F.max), ("min", F.min)):
+                if p in self.num_prims:
+                    parts.append(agg(x).alias(f"{c}__{p}"))
+                    merged.append(agg(f"{c}__{p}").alias(f"{c}__{p}"))
+            if "std" in self.num_prims:
+                parts.append(F.struct(F.count(x).alias("n"), F.avg(x).alias("a"), (F.var_pop(x) * F.count(x)).alias("q")).alias(f"{c}__m"))
+                merged.append(F.sort_array(F.collect_list(F.when(F.col(f"{c}__m.n") > 0, F.col(f"{c}__m")))).alias(f"{c}__m"))  # one for each height
+        for f in num:
+            c = f.col
+            for p in self.num_prims:
+                if p == "mean":
+                    v, dt = self._ratio(*[F.col(f"{c}__{k}") for k in "nslv"]), "double"
+                elif p == "std":
+                    v, dt = _std_of_parts(F.col(f"{c}__m")), "double"
+                else:
+                    v, dt = F.col(f"{c}__{p}"), f.dtype
+                col = _tmp()
+                cols.append(v.alias(col))
+                out.append(_Feat(col, f"{p.upper()}({label}.{f.display})", NUMERIC, dt, (p,) + f.prims, f.epoch))
+        if self.count:
+            col = _tmp()
+            cols.append(F.col("__rows").alias(col))
+            out.append(_Feat(col, f"COUNT({label})", NUMERIC, "long", ("count",), False, True))
+        res = above.join(spread.groupBy(*by).agg(*parts), by).groupBy(_K, _C).agg(*merged).select(_K, _C, *cols)
+        if cat:
+            values = F.explode(F.array(*[F.when(F.col(f.col).isNotNull(), F.struct(F.lit(i).alias("__ci"), F.col(f.col).cast("string").alias("__x"))) for i, f in enumerate(cat)]))
+            held = rows.select(_K, "__nodes", values.alias("__r")).where(F.col("__r").isNotNull()).select(_K, "__r.*", F.explode("__nodes").alias("__n"))
+            held = held.select(_K, "__ci", "__x", *node).groupBy(*by, "__ci", "__x").agg(F.count(F.lit(1)).alias("n"))
+            counts = above.join(held, by).groupBy(_K, _C, "__ci", "__x").agg(F.sum("n").alias("n"))
+            best = counts.groupBy(_K, _C, "__ci").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("__x").alias("v"))).alias("b"))
+            aggs = []
+            for i, f in enumerate(cat):
+                col = _tmp()
+                aggs.append(F.max(F.when(F.col("__ci") == i, F.col("b.v"))).alias(col))
+                out.append(_Feat(col, f"MODE({label}.{f.display})", CATEGORY, "string", ("mode",) + f.prims, f.epoch))
+            res = _beside(res, best.groupBy(_K, _C).agg(*aggs))
+        return res, out
 
+    # ---- time-bucketed prefix plan (hot keys) ------------------------------------------------
     def _bucket(self, t: Column) -> Column:
         return F.floor(t / F.lit(self.cfg.prefix_bucket_seconds * 1_000_000)).cast("long")
 
+    def _with_bucket(self, df: DataFrame) -> DataFrame:
+        """``__b``: the bucket of ``__t``.  Hot keys are cut at quantiles of their own rows and
+        cutoffs; an odd bucket is then one instant, whose rows none of its cutoffs sees."""
+        if self.hot_bounds is None:
+            return df.withColumn("__b", self._bucket(F.col("__t")))
+        return df.join(F.broadcast(self.hot_bounds), _K).withColumn("__b", place_among(F.col("__bounds"), F.col("__t"))).drop("__bounds")
+
     def _bucketed_numeric(self, u: DataFrame, num: list, label: str) -> tuple[DataFrame, list[_Feat]]:
         """Prefix aggregates with no window spanning a whole key.  Events before a cutoff =
         events in earlier buckets (per-bucket summaries, prefix over at most span/width rows
         per key) + events earlier in the cutoff's own bucket (window per key and bucket).
         count/max/min/mean are exact (decimal sums); std merges (n, mean, M2) by Chan's
         formula around a per-key anchor (the mean of the key's first bucket)."""
-        u = u.withColumn("__b", self._bucket(F.col("__t")))
+        u = self._with_bucket(u)
         w1 = Window.partitionBy(_K, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
         ev = u.where(F.col("__q").isNull())
         dec = {f.col: f.dtype for f in num}
@@ -501,7 +677,8 @@ class _Planner:
                      (F.var_pop(x) * F.count(x)).alias(f"{f.col}__q")]
         part.append(F.count("__ev").over(w1).alias("__cnt1"))
         bagg.append(F.count("__ev").alias("__cnt"))
-        within = u.select(_K, "__t", "__b", "__q", *part).where(F.col("__q") == 1)
+        inside = u if self.hot_bounds is None else u.where((F.col("__b") % 2 == 0) | (F.col("__q") == 1))
+        within = inside.select(_K, "__t", "__b", "__q", *part).where(F.col("__q") == 1)
         bs = ev.groupBy(_K, "__b").agg(*bagg)
         qb = within.select(_K, "__b").distinct()
         allb = bs.unionByName(qb, allowMissingColumns=True)
@@ -531,7 +708,7 @@ class _Planner:
             overflown = ((n1 > 0) & F.col(f"{c}__s1").isNull()) | ((N > 0) & F.col(f"{c}__S").isNull())
             ssum = F.when(~overflown, F.try_add(z(F.col(f"{c}__s1")), z(F.col(f"{c}__S"))))
             lost, dsum = z(F.col(f"{c}__l1")) + z(F.col(f"{c}__L")), z(F.col(f"{c}__v1")) + z(F.col(f"{c}__V"))
-            for p in self.num_prims:
+            for p in [p for p in self.num_prims if p in FRAME_PRIMITIVES]:
                 col = _tmp()
                 if p == "max":
                     e, dt = F.greatest(F.col(f"{c}__x1"), F.col(f"{c}__X")), f.dtype
@@ -562,22 +739,26 @@ class _Planner:
         its bucket; the best ``(-count, value)`` before a cutoff is the smaller of the best in
         earlier buckets (prefix minimum over per-bucket minima) and the best earlier inside
         the cutoff's bucket."""
-        ev = _mode_events(rows, cat, when_visible).withColumn("__b", self._bucket(F.col("__t")))
+        ev = self._with_bucket(_column_events(rows, cat, when_visible, "string"))
         per = ev.groupBy(_K, "__ci", "__x", "__b").agg(F.count(F.lit(1)).alias("__nb"))
         per = per.withColumn("__prev", F.coalesce(F.sum("__nb").over(
             Window.partitionBy(_K, "__ci", "__x").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         run = F.count(F.lit(1)).over(Window.partitionBy(_K, "__ci", "__x", "__b").orderBy("__t")
                                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        still = None
+        if self.hot_bounds is not None:  # at one instant only the last running count can be the best
+            still = per.where(F.col("__b") % 2 == 1).select(_K, "__ci", "__b", F.struct((-(F.col("__prev") + F.col("__nb"))).alias("n"), F.col("__x").alias("v")).alias("__s"))
+            ev = ev.where(F.col("__b") % 2 == 0)
         ev = ev.withColumn("__r", run).join(per.select(_K, "__ci", "__x", "__b", "__prev"), [_K, "__ci", "__x", "__b"])
         ev = ev.select(_K, "__t", "__ci", "__b", F.struct((-(F.col("__prev") + F.col("__r"))).alias("n"),
                                                           F.col("__x").alias("v")).alias("__s"))
-        qs = q.where(F.col(_C).isNotNull()).select(
-            _K, F.col(_C).alias("__t"), F.explode(F.array(*[F.lit(i) for i in range(len(cat))])).alias("__ci"),
-            self._bucket(F.col(_C)).alias("__b"), F.lit(1).alias("__q"))
+        qs = self._with_bucket(q.where(F.col(_C).isNotNull()).select(
+            _K, F.col(_C).alias("__t"), F.explode(F.array(*[F.lit(i) for i in range(len(cat))])).alias("__ci"), F.lit(1).alias("__q")))
         u = ev.unionByName(qs, allowMissingColumns=True)
         w1 = Window.partitionBy(_K, "__ci", "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
         within = u.select(_K, "__t", "__ci", "__b", "__q", F.min("__s").over(w1).alias("__in")).where(F.col("__q") == 1)
-        bmin = ev.groupBy(_K, "__ci", "__b").agg(F.min("__s").alias("__bm"))
+        ended = ev.select(_K, "__ci", "__b", "__s")
+        bmin = (ended if still is None else ended.unionByName(still)).groupBy(_K, "__ci", "__b").agg(F.min("__s").alias("__bm"))
         allb = bmin.unionByName(within.select(_K, "__ci", "__b").distinct(), allowMissingColumns=True)
         wb = Window.partitionBy(_K, "__ci").orderBy("__b").rangeBetween(Window.unboundedPreceding, -1)
         prefix = allb.select(_K, "__ci", "__b", F.col("__bm").isNull().alias("__isq"),
@@ -595,7 +776,7 @@ class _Planner:
         """Exact prefix mode of every categorical column in one narrow unpivoted stream
         ``(key, time, column id, value)``: a running count per (key, column, value), the
         prefix minimum of ``(-count, value)`` per (key, column), then one pivot back."""
-        ev = _mode_events(rows, cat, when_visible)
+        ev = _column_events(rows, cat, when_visible, "string")
         qs = q.where(F.col(_C).isNotNull()).select(
             _K, F.col(_C).alias("__t"), F.explode(F.array(*[F.lit(i) for i in range(len(cat))])).alias("__ci"),
             F.lit(None).cast("string").alias("__x"), F.lit(1).alias("__q"))
@@ -615,19 +796,37 @@ class _Planner:
         return modes, out
 
 
-def _mode_events(rows: DataFrame, cat: list, when_visible) -> DataFrame:
-    """``(key, time, column id, value)`` for every non-null categorical value, all columns
-    in one pass over ``rows`` (a parent's value only when the parent has a time)."""
+def _column_events(rows: DataFrame, feats: list, when_visible, kind: str) -> DataFrame:
+    """``(key, time, column id, value)`` for every non-null value, all columns in one pass over
+    ``rows`` (a parent's value only when the parent has a time)."""
     recs = []
-    for i, f in enumerate(cat):
+    for i, f in enumerate(feats):
         ok = F.col(f.col).isNotNull()
         if f.vis is not None:
             ok = ok & F.col(f.vis).isNotNull()
         recs.append(F.when(ok, F.struct(when_visible(f).alias("__t"), F.lit(i).alias("__ci"),
-                                         F.col(f.col).cast("string").alias("__x"))))
+                                         F.col(f.col).cast(kind).alias("__x"))))
     return rows.select(_K, F.explode(F.array(*recs)).alias("__r")).where(F.col("__r").isNotNull()).select(_K, "__r.*")
 
 
+def _beside(res: DataFrame, more: DataFrame) -> DataFrame:
+    """``res`` with the columns that ``more`` has for the same key and cutoff."""
+    k2, c2 = _tmp("__jk"), _tmp("__jc")
+    more = more.withColumnRenamed(_K, k2).withColumnRenamed(_C, c2)
+    return res.join(more, (F.col(_K) == F.col(k2)) & (F.col(_C) == F.col(c2)), "left").drop(k2, c2)
+
+
+def _std_of_parts(parts: Column) -> Column:
+    """Sample deviation from an array of (n, mean a, sum q of squares about it), by Chan's formula."""
+    def merge(m, p):
+        n = m["n"] + p["n"]
+        delta = p["a"] - m["a"]
+        share = p["n"].cast("double") / n.cast("double")
+        return F.struct(n.alias("n"), (m["a"] + delta * share).alias("a"), (m["q"] + p["q"] + delta * delta * m["n"].cast("double") * share).alias("q"))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("a"), F.lit(0.0).alias("q"))
+    return F.aggregate(parts, none, merge, lambda m: F.when(m["n"] > 1, F.sqrt(m["q"] / (m["n"] - 1).cast("double"))))
+
+
 def _prefix(f: _Feat, label: str, keep_count: bool = False) -> _Feat:
     return _Feat(f.col, f"{label}.{f.display}", f.kind, f.dtype, f.prims, f.epoch, f.count and keep_count, f.vis)
 
