@@ -643,3 +643,117 @@ LEFT JOIN a ON a.c_custkey = t.c_custkey AND a.cutoff_time = t.cutoff_time
 """
 
 ORACLE_SQL["sanitize_names"] = SANITIZE_NAMES
+
+ORACLE_SQL["prefix_median"] = AGG_MEDIAN_CUTOFF
+ORACLE_SQL["prefix_median_bucketed"] = AGG_MEDIAN_CUTOFF
+
+SKEWED_KEY_AGG = f"""
+WITH so AS (SELECT * REPLACE (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE o_custkey END AS o_custkey) FROM orders),
+d AS (SELECT DISTINCT o_custkey AS k, o_orderdate AS c FROM so),
+vis AS (SELECT d.k, d.c, o.o_totalprice, epoch_ns(o.o_orderdate) AS od, o.o_orderstatus, o.o_orderpriority FROM d JOIN so o ON o.o_custkey = d.k AND o.o_orderdate < d.c),
+a AS (SELECT k, c, MAX(o_totalprice) AS mx_p, MIN(o_totalprice) AS mn_p, {mean_dbl('o_totalprice')} AS av_p, STDDEV_SAMP(o_totalprice) AS sd_p, MEDIAN(o_totalprice) AS md_p,
+             MAX(od) AS mx_d, MIN(od) AS mn_d, {mean_int('od')} AS av_d, MEDIAN(CAST(od AS DOUBLE)) AS md_d, COUNT(*) AS n
+      FROM vis GROUP BY 1, 2),
+{mode_cte('ms', 'vis', 'k, c', 'o_orderstatus')},
+{mode_cte('mp', 'vis', 'k, c', 'o_orderpriority')}
+SELECT t.o_orderkey, t.o_custkey, t.o_orderdate AS cutoff_time, cu.c_name AS customer_c_name, cu.c_acctbal AS customer_c_acctbal, cu.c_mktsegment AS customer_c_mktsegment,
+       a.mx_p AS customer_MAX_orders_o_totalprice, a.mn_p AS customer_MIN_orders_o_totalprice, a.av_p AS customer_MEAN_orders_o_totalprice,
+       a.sd_p AS customer_STD_orders_o_totalprice, a.md_p AS customer_MEDIAN_orders_o_totalprice,
+       a.mx_d AS customer_MAX_orders_o_orderdate_epochtime, a.mn_d AS customer_MIN_orders_o_orderdate_epochtime,
+       a.av_d AS customer_MEAN_orders_o_orderdate_epochtime, a.md_d AS customer_MEDIAN_orders_o_orderdate_epochtime,
+       ms.v AS customer_MODE_orders_o_orderstatus, mp.v AS customer_MODE_orders_o_orderpriority,
+       CASE WHEN cu.c_custkey IS NULL THEN 0 ELSE COALESCE(a.n, 0) END AS customer_COUNT_orders
+FROM so t LEFT JOIN customer cu ON cu.c_custkey = t.o_custkey
+LEFT JOIN a ON a.k = t.o_custkey AND a.c = t.o_orderdate
+LEFT JOIN ms ON ms.k = t.o_custkey AND ms.c = t.o_orderdate LEFT JOIN mp ON mp.k = t.o_custkey AND mp.c = t.o_orderdate
+"""
+ORACLE_SQL["skewed_key_agg"] = SKEWED_KEY_AGG
+
+
+def _extremes_and_mean(x: str, name: str, integral: bool) -> str:
+    return f"MAX({x}) AS x_{name}, MIN({x}) AS n_{name}, {(mean_int if integral else mean_dbl)(x)} AS m_{name}"
+
+
+_TIMED = ["l_quantity", "l_extendedprice", "l_shipdate_epochtime"]
+_INNER = [(f"{p}_{c}", f"{fn}_lineitem_{c}", c == "l_shipdate_epochtime" and p != "m") for c in _TIMED for p, fn in (("x", "MAX"), ("n", "MIN"), ("m", "MEAN"))] + [("cnt", "COUNT_lineitem", True)]
+
+
+def _outer(x: str, integral: bool) -> str:
+    if not x.startswith("m_"):
+        return _extremes_and_mean(x, "o_" + x, integral)
+    mean = f"ROUND(AVG({x}) / 1e9, 3)" if "epochtime" in x else f"ROUND(AVG({x}), 9)"
+    return f"MAX({x}) AS x_o_{x}, MIN({x}) AS n_o_{x}, {mean} AS m_o_{x}"
+
+
+STACKED_TIMED_AGG = f"""
+WITH task AS (SELECT DISTINCT o_custkey AS k, o_orderdate AS c FROM orders),
+ol AS (SELECT t.k, t.c, o.o_orderkey, o.o_totalprice, epoch_ns(o.o_orderdate) AS od, o.o_orderstatus, o.o_orderpriority
+       FROM task t JOIN orders o ON o.o_custkey = t.k AND o.o_orderdate < t.c),
+lv AS (SELECT ol.k, ol.c, ol.o_orderkey, l.l_quantity, l.l_extendedprice, epoch_ns(l.l_shipdate) AS l_shipdate_epochtime, l.l_returnflag
+       FROM ol JOIN lineitem l ON l.l_orderkey = ol.o_orderkey AND l.l_shipdate < ol.c),
+li AS (SELECT k, c, o_orderkey, {', '.join(_extremes_and_mean(c, c, c == 'l_shipdate_epochtime') for c in _TIMED)}, COUNT(*) AS cnt FROM lv GROUP BY 1, 2, 3),
+{mode_cte('lf', 'lv', 'k, c, o_orderkey', 'l_returnflag')},
+ofe AS (SELECT ol.*, li.* EXCLUDE (k, c, o_orderkey, cnt), COALESCE(li.cnt, 0) AS cnt, lf.v AS flag FROM ol
+        LEFT JOIN li ON li.k = ol.k AND li.c = ol.c AND li.o_orderkey = ol.o_orderkey LEFT JOIN lf ON lf.k = ol.k AND lf.c = ol.c AND lf.o_orderkey = ol.o_orderkey),
+a AS (SELECT k, c, {_extremes_and_mean('o_totalprice', 'p', False)}, {_extremes_and_mean('od', 'd', True)}, {', '.join(_outer(x, i) for x, _, i in _INNER)}, COUNT(*) AS n FROM ofe GROUP BY 1, 2),
+{mode_cte('ms', 'ofe', 'k, c', 'o_orderstatus')},
+{mode_cte('mp', 'ofe', 'k, c', 'o_orderpriority')},
+{mode_cte('mf', 'ofe', 'k, c', 'flag')}
+SELECT t.o_orderkey, t.o_custkey, t.o_orderdate AS cutoff_time, cu.c_name AS customer_c_name, cu.c_acctbal AS customer_c_acctbal, cu.c_mktsegment AS customer_c_mktsegment,
+       {', '.join(f'a.{p}_{x} AS customer_{fn}_orders_{n}' for x, n in [('p', 'o_totalprice'), ('d', 'o_orderdate_epochtime')] + [('o_' + x, n) for x, n, _ in _INNER] for p, fn in (('x', 'MAX'), ('n', 'MIN'), ('m', 'MEAN')))},
+       ms.v AS customer_MODE_orders_o_orderstatus, mp.v AS customer_MODE_orders_o_orderpriority, mf.v AS customer_MODE_orders_MODE_lineitem_l_returnflag,
+       COALESCE(a.n, 0) AS customer_COUNT_orders
+FROM orders t LEFT JOIN customer cu ON cu.c_custkey = t.o_custkey LEFT JOIN a ON a.k = t.o_custkey AND a.c = t.o_orderdate
+LEFT JOIN ms ON ms.k = t.o_custkey AND ms.c = t.o_orderdate LEFT JOIN mp ON mp.k = t.o_custkey AND mp.c = t.o_orderdate
+LEFT JOIN mf ON mf.k = t.o_custkey AND mf.c = t.o_orderdate
+"""
+ORACLE_SQL["stacked_timed_agg"] = STACKED_TIMED_AGG
+
+SPEND_TASK = f"""
+SELECT c.c_custkey, q.cutoff_time, COALESCE((SELECT SUM(o.o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderdate >= q.cutoff_time
+       AND o.o_orderdate < q.cutoff_time + INTERVAL 90 DAY), 0.0) AS spend
+FROM customer c, {QUARTERS}
+"""
+
+
+def _ctes_of_task_features(task: str, target: str, mean_target: str) -> str:
+    """CTEs ending in ``f(c_custkey, cutoff_time, y, x1 ... xn)``: a task row's target and the numbers
+    that the fitted preprocessor makes of its features, nulls as 0, in their order.  History and
+    label codes come from the rows before 2000."""
+    def code(expr):
+        return f"(SELECT v, (dense_rank() OVER (ORDER BY v) - 1)::DOUBLE AS code FROM (SELECT DISTINCT {expr} AS v FROM customer))"
+    diff = lambda x: f"CAST(epoch_ns(t.cutoff_time) - {x} AS DOUBLE)"
+    numbers = ["ck.code", "CAST(epoch_ns(t.cutoff_time) AS DOUBLE)", "year(t.cutoff_time)::DOUBLE", "month(t.cutoff_time)::DOUBLE", "(isodow(t.cutoff_time) - 1)::DOUBLE",
+               "cn.code", "c.c_acctbal", "cm.code", "a.mx_p", "a.mn_p", "a.av_p", diff("a.mx_d"), diff("a.mn_d"), "CAST(epoch_ns(t.cutoff_time) AS DOUBLE) - a.av_d", "a.n::DOUBLE",
+               diff("h.mx_t"), diff("h.mn_t"), "CAST(epoch_ns(t.cutoff_time) AS DOUBLE) - h.av_t", "h.mx_y::DOUBLE", "h.mn_y::DOUBLE", "h.av_y", "h.n::DOUBLE"]
+    return f"""
+task AS (SELECT c_custkey, cutoff_time, {target} AS y FROM ({task})),
+past AS (SELECT * FROM task WHERE cutoff_time < TIMESTAMP '2000-01-01'),
+a AS (SELECT t.c_custkey, t.cutoff_time, MAX(o.o_totalprice) AS mx_p, MIN(o.o_totalprice) AS mn_p, {mean_dbl('o.o_totalprice')} AS av_p,
+             MAX(epoch_ns(o.o_orderdate)) AS mx_d, MIN(epoch_ns(o.o_orderdate)) AS mn_d, {mean_int('epoch_ns(o.o_orderdate)')} AS av_d, COUNT(*) AS n
+      FROM task t JOIN orders o ON o.o_custkey = t.c_custkey AND o.o_orderdate < t.cutoff_time GROUP BY 1, 2),
+h AS (SELECT t.c_custkey, t.cutoff_time, MAX(epoch_ns(p.cutoff_time)) AS mx_t, MIN(epoch_ns(p.cutoff_time)) AS mn_t, {mean_int('epoch_ns(p.cutoff_time)')} AS av_t,
+             MAX(p.y) AS mx_y, MIN(p.y) AS mn_y, {mean_target} AS av_y, COUNT(*) AS n
+      FROM task t JOIN past p ON p.c_custkey = t.c_custkey AND p.cutoff_time < t.cutoff_time GROUP BY 1, 2),
+f AS MATERIALIZED (SELECT t.c_custkey, t.cutoff_time, t.y, {', '.join(f'COALESCE({x}, 0.0) AS x{i}' for i, x in enumerate(numbers))}
+      FROM task t JOIN customer c ON c.c_custkey = t.c_custkey
+      JOIN {code('CAST(c_custkey AS VARCHAR)')} ck ON ck.v = CAST(t.c_custkey AS VARCHAR) JOIN {code('c_name')} cn ON cn.v = c.c_name JOIN {code('c_mktsegment')} cm ON cm.v = c.c_mktsegment
+      LEFT JOIN a ON a.c_custkey = t.c_custkey AND a.cutoff_time = t.cutoff_time LEFT JOIN h ON h.c_custkey = t.c_custkey AND h.cutoff_time = t.cutoff_time)"""
+
+
+def nearest_past_row(task: str, target: str, mean_target: str, output: str) -> str:
+    """Each row from 2000 on answered by the nearest earlier row; on ties the smallest key as text,
+    then the earliest."""
+    distance = " + ".join(f"(n.x{i} - p.x{i}) * (n.x{i} - p.x{i})" for i in range(22))
+    return f"""
+WITH {_ctes_of_task_features(task, target, mean_target)},
+p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR), cutoff_time) AS place FROM f WHERE cutoff_time < TIMESTAMP '2000-01-01'),
+n AS MATERIALIZED (SELECT * FROM f WHERE cutoff_time >= TIMESTAMP '2000-01-01'),
+d AS (SELECT n.c_custkey, n.cutoff_time, MIN({distance}) AS least FROM n, p GROUP BY 1, 2),
+b AS (SELECT n.c_custkey, n.cutoff_time, MIN(p.place) AS place FROM n JOIN d ON d.c_custkey = n.c_custkey AND d.cutoff_time = n.cutoff_time, p WHERE {distance} = d.least GROUP BY 1, 2)
+SELECT b.c_custkey, b.cutoff_time, p.y{output} FROM b JOIN p USING (place)
+"""
+
+
+ORACLE_SQL["in_context_score"] = nearest_past_row(SPEND_TASK, "spend", mean_dbl("p.y"), " AS prediction")
+ORACLE_SQL["predict_proba"] = nearest_past_row(CHURN_TASK, "churn", mean_int("p.y"), "::DOUBLE AS p_churn")

@@ -176,9 +176,10 @@ QUERIES = {
 
 
 # ---- second batch: preprocessing, sampling, history, keys, metrics, datasets, estimators ----------
-from .operators.estimator import InContextScorer, RelationalClassifier, RelationalRegressor
+from .operators.estimator import RelationalClassifier, RelationalRegressor  # noqa: E402
 from .operators.history import add_target_history  # noqa: E402
 from .operators.metrics import mean_absolute_error, roc_auc  # noqa: E402
+from .operators.nearest import NearestContext  # noqa: E402
 from .operators.preprocess import (DatetimeFeatureGenerator, SafeLabelEncoderTransformer,  # noqa: E402
                                    TabularPreprocessor, TemporalDiffConfig, TemporalDiffTransformer,
                                    TypeCastTransformer)
@@ -506,22 +507,22 @@ def q_fit_predict_regressor(spark: SparkSession, sf: str) -> DataFrame:
     return reg.predict(test)
 
 
+_EXACT = {"agg_primitives": ["max", "min", "mean", "count"]}
+
+
 def q_predict_proba(spark: SparkSession, sf: str) -> DataFrame:
-    """Churn probabilities from an in-context 1-NN model fitted on a 500-row
-    sample, scored in distributed Arrow batches of 1,000 rows."""
+    """Churn probabilities from the nearest of all training rows."""
     train, test = _estimator_split(spark, sf, "churn")
-    clf = RelationalClassifier(InContextScorer(),
-                               {"max_train_samples": 500, "predict_batch_size": 1000})
+    clf = RelationalClassifier(NearestContext(), {"max_train_samples": None, "dfs": _EXACT})
     clf.fit(train, "churn", load_test_db(spark, sf, tables=("customer", "orders")),
             {"c_custkey": "customer.c_custkey"}, "cutoff_time")
-    return clf.predict_proba(test)
+    return clf.predict_proba(test).select("c_custkey", "cutoff_time", F.element_at("probability", 2).alias("p_churn"))
 
 
 def q_in_context_score(spark: SparkSession, sf: str) -> DataFrame:
-    """In-context 1-NN regression of quarterly spend."""
+    """Quarterly spend of the nearest of all training rows."""
     train, test = _estimator_split(spark, sf, "spend")
-    reg = RelationalRegressor(InContextScorer(regression=True),
-                              {"max_train_samples": 500, "predict_batch_size": 1000})
+    reg = RelationalRegressor(NearestContext(regression=True), {"max_train_samples": None, "dfs": _EXACT})
     reg.fit(train, "spend", load_test_db(spark, sf, tables=("customer", "orders")),
             {"c_custkey": "customer.c_custkey"}, "cutoff_time")
     return reg.predict(test)
@@ -610,3 +611,55 @@ def q_sanitize_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["sanitize_names"] = q_sanitize_names
+
+
+def q_prefix_median(spark: SparkSession, sf: str) -> DataFrame:
+    """A7 without meeting rows and cutoffs: the ``agg_median_cutoff`` features from rank trees over
+    sorted prefixes."""
+    db = _db(spark, sf, ["customer", "orders"])
+    return synthesize(db, _quarter_task(spark, sf), {"c_custkey": "customer.c_custkey"}, "cutoff_time",
+                      {"max_depth": 2, "agg_primitives": ["median"], "cutoff_strategy": "window"}).df
+
+
+def q_prefix_median_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """A7 with no task that holds a whole key: time buckets of 90 days and value ranges."""
+    db = _db(spark, sf, ["customer", "orders"])
+    return synthesize(db, _quarter_task(spark, sf), {"c_custkey": "customer.c_custkey"}, "cutoff_time",
+                      {"max_depth": 2, "agg_primitives": ["median"], "cutoff_strategy": "bucketed", "prefix_bucket_seconds": 90 * 86400}).df
+
+
+def _half_on_one_customer(orders: DataFrame) -> DataFrame:
+    return orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.lit(1)).otherwise(F.col("o_custkey")).cast("long"))
+
+
+def q_skewed_key_agg(spark: SparkSession, sf: str) -> DataFrame:
+    """J3/E4 with one hot key: half of all orders belong to customer 1, and each order is a cutoff.
+    The plan is chosen per key: that customer's rows and cutoffs are dealt out by ranges of time."""
+    db = load_test_db(spark, sf, tables=("customer", "orders"))
+    db = prepare_db(db.with_table("orders", _half_on_one_customer(db.get_table("orders"))))
+    task = _half_on_one_customer(order_task(spark, sf)).select("o_orderkey", "o_custkey", "cutoff_time")
+    res = synthesize(db, task, {"o_custkey": "customer.c_custkey"}, "cutoff_time",
+                     {"max_depth": 2, "agg_primitives": ["max", "min", "mean", "std", "median", "mode", "count"], "hot_key_pairs": 100_000, "hot_bucket_rows": 500})
+    return _drop_std_epoch(res)
+
+
+def q_stacked_timed_agg(spark: SparkSession, sf: str) -> DataFrame:
+    """A8 with time at both levels and a cutoff per order: customer <- orders <- lineitem, where an
+    order's line items appear one by one.  Spans of constant order features meet the cutoffs.
+    Means of means depend on the order of summation in their last bits; they are rounded, those of
+    times to milliseconds and in seconds."""
+    db = load_test_db(spark, sf, tables=("customer", "orders", "lineitem"))
+    db = prepare_db(db.with_table("lineitem", db.get_table("lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")))
+    task = order_task(spark, sf).select("o_orderkey", "o_custkey", "cutoff_time")
+    df = synthesize(db, task, {"o_custkey": "customer.c_custkey"}, "cutoff_time",
+                    {"max_depth": 3, "agg_primitives": ["max", "min", "mean", "mode", "count"], "cutoff_strategy": "window"}).df
+    rounded = {c: F.round(F.col(c) / 1e9, 3) if "epochtime" in c else F.round(c, 9) for c in df.columns if "_MEAN_orders_MEAN_" in c}
+    return df.select(*[rounded.get(c, F.col(c)).alias(c) for c in df.columns])
+
+
+QUERIES.update({
+    "prefix_median": q_prefix_median,
+    "prefix_median_bucketed": q_prefix_median_bucketed,
+    "skewed_key_agg": q_skewed_key_agg,
+    "stacked_timed_agg": q_stacked_timed_agg,
+})
