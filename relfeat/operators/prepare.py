@@ -58,6 +58,9 @@ def fill_missing_primary_keys(db: RelationalDataset, materialize: bool = False)
             by_parent.setdefault(r.parent, []).append(r)
     for parent, edges in by_parent.items():
         pk = db.metas[parent].primary_key or edges[0].parent_col
+        edges = [e for e in edges if e.parent_col == pk]  # a value of another column makes no row
+        if not edges:
+            continue
         pdf = db.tables[parent]
         pt = pdf.schema[pk].dataType
         fks = None

@@ -10,11 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import (EPOCH_SUFFIX, epoch_ns, is_datetime_type, is_integral_type, sanitize_name)
+from ..sources.rdb import _join, read_pointer, snapshot_name, write_pointer
 from .ranking import dense_codes
 
 
@@ -268,3 +269,45 @@ class TabularPreprocessor:
             df = df.select(*[F.col(f"__keep.k{i}").alias(c) for i, c in enumerate(keep)],
                            *[_c(c) for c in df.columns if c != "__keep"])
         return df
+
+    # ---- persistence ------------------------------------------------------------------------------
+    #: What each fitted stage consists of, but for the label codes, which are a table.
+    _STATE = {"type_cast": (TypeCastTransformer, ["cast_columns_"]),
+              "temporal": (TemporalDiffTransformer, ["cutoff_time_col", "std_columns", "timestamp_columns_", "columns_to_drop_"]),
+              "label_encoder": (SafeLabelEncoderTransformer, ["cat_columns_"]),
+              "datetime": (DatetimeFeatureGenerator, ["enable_datetime_features", "drop_constant", "datetime_columns_", "constant_columns_"])}
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The fitted stages under ``path``: the label codes as Parquet in a new snapshot folder, all
+        else in a manifest that is written last (see ``sources.rdb.write_pointer``)."""
+        if not self.is_fitted_:
+            raise NotFittedError("TabularPreprocessor is not fitted")
+        folder, codes = snapshot_name(), dict(self.steps)["label_encoder"].codes_
+        if codes is not None:
+            codes.write.parquet(_join(path, folder, "codes"))
+        temporal = self.temporal_diff_config
+        write_pointer(spark, path, {
+            "version": 1, "folder": folder, "has_codes": codes is not None, "ag_config": self.ag_config, "temporal_diff": None if temporal is None else vars(temporal),
+            "cutoff_time": self.cutoff_time, "std_epoch_columns": None if self.std_epoch_columns is None else list(self.std_epoch_columns), "keep_columns": self.keep_columns,
+            "steps": [[name, {a: getattr(step, a) for a in self._STATE[name][1]}] for name, step in self.steps]})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "TabularPreprocessor":
+        """The stages that ``save`` wrote, in any application."""
+        man = read_pointer(spark, path)
+        if man.get("version") != 1:
+            raise ValueError(f"{path}: unknown version {man.get('version')!r} of a saved preprocessor")
+        temporal = None if man["temporal_diff"] is None else TemporalDiffConfig(**man["temporal_diff"])
+        out = cls(man["ag_config"], temporal, man["cutoff_time"], man["std_epoch_columns"], man["keep_columns"])
+        out.steps = []
+        for name, state in man["steps"]:
+            step = cls._STATE[name][0]()
+            for attribute, value in state.items():
+                setattr(step, attribute, value)
+            if name == "temporal":
+                step.config = temporal or TemporalDiffConfig()
+            if name == "label_encoder" and man["has_codes"]:
+                step.codes_ = spark.read.parquet(_join(path, man["folder"], "codes"))
+            out.steps.append((name, step))
+        out.is_fitted_ = True
+        return out

@@ -343,14 +343,6 @@ SELECT o_orderkey,
 FROM orders
 """
 
-LABEL_ENCODE = """
-WITH tr AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
-s AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT COALESCE(o_orderstatus, 'nan') AS v FROM tr)),
-p AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT COALESCE(o_orderpriority, 'nan') AS v FROM tr))
-SELECT tr.o_orderkey, s.code AS o_orderstatus, p.code AS o_orderpriority
-FROM tr JOIN s ON s.v = COALESCE(tr.o_orderstatus, 'nan') JOIN p ON p.v = COALESCE(tr.o_orderpriority, 'nan')
-"""
-
 LABEL_ENCODE_ALL = """
 WITH e AS (SELECT o_orderkey, o_orderdate < TIMESTAMP '1998-01-01' AS early, COALESCE(o_orderstatus, 'nan') AS s, COALESCE(o_orderpriority, 'nan') AS p FROM orders),
 s AS (SELECT s AS v, row_number() OVER (ORDER BY NOT bool_or(COALESCE(early, FALSE)), s) - 1 AS code FROM e GROUP BY s),
@@ -539,7 +531,6 @@ UNION ALL SELECT 'orders', concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHA
 TASK_IMPORT_ENTITY = f"""
 SELECT t.c_custkey, t.cutoff_time, t.churn, {CUST_ATTRS}
 FROM ({CHURN_TASK}) t LEFT JOIN customer c ON c.c_custkey = t.c_custkey
-WHERE t.cutoff_time >= TIMESTAMP '2000-01-01'
 """
 
 TASK_IMPORT_ENTITY_SPLITS = f"""
@@ -559,7 +550,7 @@ ORACLE_SQL.update({
     "drop_std_epoch": AGG_NUMERIC_CUTOFF,
     "shift_time": SHIFT_TIME,
     "type_cast": TYPE_CAST,
-    "label_encode": LABEL_ENCODE,
+    "label_encode": LABEL_ENCODE_ALL,
     "label_encode_all": LABEL_ENCODE_ALL,
     "label_encode_unseen": LABEL_ENCODE_UNSEEN,
     "datetime_parts": DATETIME_PARTS,
@@ -757,3 +748,45 @@ SELECT b.c_custkey, b.cutoff_time, p.y{output} FROM b JOIN p USING (place)
 
 ORACLE_SQL["in_context_score"] = nearest_past_row(SPEND_TASK, "spend", mean_dbl("p.y"), " AS prediction")
 ORACLE_SQL["predict_proba"] = nearest_past_row(CHURN_TASK, "churn", mean_int("p.y"), "::DOUBLE AS p_churn")
+
+TARGET_HISTORY_BY_COLUMN = f"""
+WITH task AS (SELECT t.c_custkey, n.n_name AS nation_name, t.cutoff_time, CAST(t.churn AS BIGINT) AS churn FROM ({CHURN_TASK}) t
+              JOIN customer c ON c.c_custkey = t.c_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey),
+d AS (SELECT DISTINCT nation_name, cutoff_time FROM task),
+a AS (SELECT d.nation_name, d.cutoff_time, MAX(epoch_ns(h.cutoff_time)) AS x_t, {mean_int('epoch_ns(h.cutoff_time)')} AS m_t, MAX(h.churn) AS x_c, {mean_int('h.churn')} AS m_c, COUNT(*) AS n
+      FROM d JOIN task h ON h.nation_name = d.nation_name AND h.cutoff_time < d.cutoff_time GROUP BY 1, 2)
+SELECT t.c_custkey, t.nation_name, t.cutoff_time, n.n_name AS nation_n_name,
+       a.x_t AS nation_MAX_relfeat_target_history_cutoff_time_epochtime, a.m_t AS nation_MEAN_relfeat_target_history_cutoff_time_epochtime,
+       a.x_c AS nation_MAX_relfeat_target_history_churn, a.m_c AS nation_MEAN_relfeat_target_history_churn, COALESCE(a.n, 0) AS nation_COUNT_relfeat_target_history
+FROM task t LEFT JOIN nation n ON n.n_name = t.nation_name LEFT JOIN a ON a.nation_name = t.nation_name AND a.cutoff_time = t.cutoff_time
+"""
+ORACLE_SQL["target_history_by_column"] = TARGET_HISTORY_BY_COLUMN
+
+
+def _codes(name: str, column: str) -> str:
+    """CTE ``name(v, code)``: codes of the values of ``f.column``, null as a class of its own."""
+    return f"{name} AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT COALESCE({column}, 'nan') AS v FROM f))"
+
+
+PREPROCESS_CHAIN = f"""
+WITH task AS (SELECT * FROM ({CHURN_TASK}) WHERE cutoff_time < TIMESTAMP '2000-01-01'),
+vis AS (SELECT t.c_custkey, t.cutoff_time, o.o_totalprice, epoch_ns(o.o_orderdate) AS od, o.o_orderstatus, o.o_orderpriority
+        FROM task t JOIN orders o ON o.o_custkey = t.c_custkey AND o.o_orderdate < t.cutoff_time),
+a AS (SELECT c_custkey, cutoff_time, MAX(o_totalprice) AS mx_p, MIN(o_totalprice) AS mn_p, {mean_dbl('o_totalprice')} AS av_p, STDDEV_SAMP(o_totalprice) AS sd_p,
+             MAX(od) AS mx_d, MIN(od) AS mn_d, {mean_int('od')} AS av_d, COUNT(*) AS n FROM vis GROUP BY 1, 2),
+{mode_cte('ms', 'vis', 'c_custkey, cutoff_time', 'o_orderstatus')},
+{mode_cte('mp', 'vis', 'c_custkey, cutoff_time', 'o_orderpriority')},
+f AS (SELECT t.c_custkey, t.cutoff_time, t.churn, c.c_name, c.c_acctbal, c.c_mktsegment, a.* EXCLUDE (c_custkey, cutoff_time), ms.v AS status, mp.v AS priority
+      FROM task t LEFT JOIN customer c ON c.c_custkey = t.c_custkey LEFT JOIN a ON a.c_custkey = t.c_custkey AND a.cutoff_time = t.cutoff_time
+      LEFT JOIN ms ON ms.c_custkey = t.c_custkey AND ms.cutoff_time = t.cutoff_time LEFT JOIN mp ON mp.c_custkey = t.c_custkey AND mp.cutoff_time = t.cutoff_time),
+{_codes('k1', 'c_name')}, {_codes('k2', 'c_mktsegment')}, {_codes('k3', 'status')}, {_codes('k4', 'priority')}
+SELECT f.churn, f.c_custkey, epoch_ns(f.cutoff_time) AS cutoff_time, CAST(year(f.cutoff_time) AS BIGINT) AS cutoff_time_year, CAST(month(f.cutoff_time) AS BIGINT) AS cutoff_time_month,
+       CAST(isodow(f.cutoff_time) - 1 AS BIGINT) AS cutoff_time_dayofweek, k1.code AS customer_c_name, f.c_acctbal AS customer_c_acctbal, k2.code AS customer_c_mktsegment,
+       f.mx_p AS customer_MAX_orders_o_totalprice, f.mn_p AS customer_MIN_orders_o_totalprice, f.av_p AS customer_MEAN_orders_o_totalprice, f.sd_p AS customer_STD_orders_o_totalprice,
+       CAST(epoch_ns(f.cutoff_time) - f.mx_d AS DOUBLE) AS customer_MAX_orders_o_orderdate_epochtime_diff, CAST(epoch_ns(f.cutoff_time) - f.mn_d AS DOUBLE) AS customer_MIN_orders_o_orderdate_epochtime_diff,
+       CAST(epoch_ns(f.cutoff_time) AS DOUBLE) - f.av_d AS customer_MEAN_orders_o_orderdate_epochtime_diff, COALESCE(f.n, 0) AS customer_COUNT_orders,
+       k3.code AS customer_MODE_orders_o_orderstatus, k4.code AS customer_MODE_orders_o_orderpriority
+FROM f JOIN k1 ON k1.v = COALESCE(f.c_name, 'nan') JOIN k2 ON k2.v = COALESCE(f.c_mktsegment, 'nan') JOIN k3 ON k3.v = COALESCE(f.status, 'nan') JOIN k4 ON k4.v = COALESCE(f.priority, 'nan')
+"""
+ORACLE_SQL["preprocess_chain"] = PREPROCESS_CHAIN
+ORACLE_SQL["preprocess_reload"] = PREPROCESS_CHAIN

@@ -235,10 +235,11 @@ def q_type_cast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_label_encode(spark: SparkSession, sf: str) -> DataFrame:
-    """codes = rank among the sorted distinct values of orders placed before 1998."""
+    """Codes of all orders = rank among the sorted distinct values of orders placed before
+    1998; later values get codes after them."""
     o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
-    train = o.where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).drop("o_orderdate")
-    return SafeLabelEncoderTransformer().fit(train).transform(train)
+    early = o.where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).drop("o_orderdate")
+    return SafeLabelEncoderTransformer().fit(early).transform(o.drop("o_orderdate"))
 
 
 def q_label_encode_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -439,10 +440,10 @@ def _imported_churn(spark, sf):
 
 def q_task_import_entity(spark: SparkSession, sf: str) -> DataFrame:
     """An entity-table task spec becomes key mapping ``c_custkey ->
-    customer.c_custkey`` (a link-prediction spec is skipped); the test split gets its
+    customer.c_custkey`` (a link-prediction spec is skipped); both splits get their
     entity attributes through that mapping."""
     db, t = _imported_churn(spark, sf)
-    return synthesize(db, t.test_df, t.metadata.key_mappings, t.metadata.time_col, {"max_depth": 1}).df
+    return synthesize(db, t.train_df.unionByName(t.test_df), t.metadata.key_mappings, t.metadata.time_col, {"max_depth": 1}).df
 
 
 def q_task_import_entity_splits(spark: SparkSession, sf: str) -> DataFrame:
@@ -474,15 +475,20 @@ def _estimator_split(spark, sf, target):
     return full.where(F.col("cutoff_time") < cut), full.where(F.col("cutoff_time") >= cut).drop(target)
 
 
-def q_preprocess_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """T5: T1 -> T2 -> T3 -> T4 fitted on the churn training features, applied to them."""
+def _fitted_chain(spark, sf):
     train, _ = _estimator_split(spark, sf, "churn")
     db = _db(spark, sf, ["customer", "orders"])
     res = synthesize(db, train, {"c_custkey": "customer.c_custkey"}, "cutoff_time", {"max_depth": 2})
     feats = res.df.checkpoint(eager=True)
     pp = TabularPreprocessor(None, TemporalDiffConfig(), "cutoff_time",
                              [f.name for f in res.features if f.is_std_of_epoch], keep_columns=["churn"])
-    return pp.fit(feats).transform(feats)
+    return feats, pp.fit(feats)
+
+
+def q_preprocess_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """T5: T1 -> T2 -> T3 -> T4 fitted on the churn training features, applied to them."""
+    feats, pp = _fitted_chain(spark, sf)
+    return pp.transform(feats)
 
 
 def q_fit_predict_classifier(spark: SparkSession, sf: str) -> DataFrame:
@@ -663,3 +669,28 @@ QUERIES.update({
     "skewed_key_agg": q_skewed_key_agg,
     "stacked_timed_agg": q_stacked_timed_agg,
 })
+
+
+def q_target_history_by_column(spark: SparkSession, sf: str) -> DataFrame:
+    """E2/J7 through a column that is not a primary key: customers' labels are the history of their
+    nation, mapped by its name."""
+    names = read_table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("nation_name"))
+    home = read_table(spark, sf, "customer").join(names, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "nation_name")
+    task = _churn_train(spark, sf).join(home, "c_custkey").select("c_custkey", "nation_name", "cutoff_time", "churn")
+    mapping = {"nation_name": "nation.n_name"}
+    db = prepare_db(add_target_history(load_test_db(spark, sf, tables=("nation",)), task.drop("c_custkey"), mapping, "cutoff_time"))
+    return synthesize(db, task.drop("churn"), mapping, "cutoff_time", {"max_depth": 2, "agg_primitives": ["max", "mean", "count"]}).df
+
+
+def q_preprocess_reload(spark: SparkSession, sf: str) -> DataFrame:
+    """T5: the ``preprocess_chain`` stages saved, loaded and then applied."""
+    feats, pp = _fitted_chain(spark, sf)
+    path = _scratch(spark, "preprocessor")
+    pp.save(spark, path)
+    return TabularPreprocessor.load(spark, path).transform(feats)
+
+
+QUERIES.update({
+    "target_history_by_column": q_target_history_by_column,
+    "preprocess_reload": q_preprocess_reload,
+})

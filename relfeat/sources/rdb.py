@@ -5,6 +5,8 @@ Everything here is metadata plus lazy DataFrame plans; no table is collected.
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from dataclasses import dataclass, field, replace
 from typing import Iterable, Mapping
 
@@ -106,7 +108,8 @@ class RelationalDataset:
     def key_columns(self, table: str) -> set[str]:
         m = self.metas[table]
         ks = {r.child_col for r in self.relationships if r.child == table}
-        ks |= {r.parent_col for r in self.relationships if r.parent == table}
+        # an edge may name any column of its parent; one that is not the primary key stays a feature
+        ks |= {r.parent_col for r in self.relationships if r.parent == table and m.primary_key in (None, r.parent_col)}
         if m.primary_key:
             ks.add(m.primary_key)
         return ks
@@ -184,8 +187,9 @@ class RelationalDataset:
             return self
         return self.with_table(table, df.withColumn(col, key_to_string(F.col("`" + col.replace("`", "``") + "`"), dt)))
 
-    def validate_key_consistency(self) -> None:
-        """K5 (metadata part): edges point at existing columns and agree on type; raises otherwise."""
+    def validate_key_consistency(self, any_column: Iterable[str] = ()) -> None:
+        """K5 (metadata part): edges point at existing columns and agree on type; raises otherwise.
+        Edges of the child tables ``any_column`` need not point at a primary key."""
         for r in self.relationships:
             if r.parent not in self.tables:
                 raise ValueError(f"edge {tuple(r)} points at missing table {r.parent!r}")
@@ -193,7 +197,7 @@ class RelationalDataset:
             pt = self.tables[r.parent].schema[r.parent_col].dataType
             if ct != pt:
                 raise ValueError(f"edge {tuple(r)}: key types differ ({ct.simpleString()} vs {pt.simpleString()})")
-            if self.metas[r.parent].primary_key not in (None, r.parent_col):
+            if r.child not in any_column and self.metas[r.parent].primary_key not in (None, r.parent_col):
                 raise ValueError(f"edge {tuple(r)} does not point at the primary key of {r.parent!r}")
 
     def key_report(self) -> DataFrame:
@@ -233,18 +237,20 @@ class RelationalDataset:
             "relationships": [list(r) for r in self.relationships],
         }
 
-    def save(self, path: str, mode: str = "overwrite") -> None:
-        """Write every table as Parquet under ``path/<table>`` and the manifest last,
-        so a half-written directory never loads."""
-        for t, df in self.tables.items():
-            df.write.mode(mode).parquet(_join(path, t))
+    def save(self, path: str) -> None:
+        """Write every table as Parquet into a new snapshot folder, then the manifest that points at
+        it (see ``write_pointer``): a save that fails leaves the version before it whole, and frames
+        that were read from that version stay readable."""
         spark = next(iter(self.tables.values())).sparkSession
-        _write_text(spark, _join(path, "manifest.json"), json.dumps(self.manifest(), indent=1, sort_keys=True))
+        folder = snapshot_name()
+        for t, df in self.tables.items():
+            df.write.parquet(_join(path, folder, t))
+        write_pointer(spark, path, {**self.manifest(), "folder": folder})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "RelationalDataset":
-        man = json.loads(_read_text(spark, _join(path, "manifest.json")))
-        tables = {t: spark.read.parquet(_join(path, t)) for t in man["tables"]}
+        man = read_pointer(spark, path)
+        tables = {t: spark.read.parquet(_join(path, man["folder"], t)) for t in man["tables"]}
         metas = {t: TableMeta(t, v.get("primary_key"), v.get("time_column"), v.get("roles", {}))
                  for t, v in man["tables"].items()}
         return cls(man["name"], tables, metas, [Relationship(*r) for r in man["relationships"]])
@@ -293,6 +299,38 @@ def _read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(lines)
 
 
+# ---- versions: a folder for each, and a pointer written last -------------------------------------------
+def snapshot_name() -> str:
+    return f"snapshot-{uuid.uuid4().hex}"
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, p = _hadoop_fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)\.json", n)))
+
+
+def write_pointer(spark: SparkSession, path: str, content: dict) -> None:
+    """Make ``content`` the newest manifest under ``path``: written beside its place, then renamed to
+    a number that no manifest has, so a reader sees the old manifest or the new one."""
+    number = max(_versions(spark, path), default=0) + 1
+    draft = _join(path, f"draft-{uuid.uuid4().hex}")
+    _write_text(spark, draft, json.dumps(content, indent=1, sort_keys=True))
+    while True:
+        fs, target = _hadoop_fs(spark, _join(path, f"manifest-{number}.json"))
+        if not fs.exists(target) and fs.rename(_hadoop_fs(spark, draft)[1], target):
+            return
+        number += 1  # another writer was first
+
+
+def read_pointer(spark: SparkSession, path: str) -> dict:
+    """The newest manifest under ``path``."""
+    numbers = _versions(spark, path)
+    if not numbers:
+        raise FileNotFoundError(f"{path} holds no manifest: nothing was saved there, or its writing did not end")
+    return json.loads(_read_text(spark, _join(path, f"manifest-{numbers[-1]}.json")))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, p = _hadoop_fs(spark, path)
     return bool(fs.exists(p))

@@ -3,12 +3,12 @@
 A ``Task`` is three lazy DataFrames (train, test, optional val) plus metadata: key mappings
 ``{task column: "table.column"}``, target column, optional cutoff column, task type and
 metric name.  A ``Dataset`` is a database plus tasks by name.  Saving writes Parquet per
-frame and a JSON manifest per task, written last, so a half-written task never loads.
+frame into a new snapshot folder and a manifest of all tasks last, so a save that fails leaves
+the version before it whole.
 """
 from __future__ import annotations
 
-import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 from typing import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import key_to_string, shift_time
-from .rdb import (FOREIGN_KEY, KEY, RelationalDataset, _join, _read_text, _write_text, path_exists)
+from .rdb import FOREIGN_KEY, KEY, RelationalDataset, _join, read_pointer, snapshot_name, write_pointer
 
 SKIPPED_TASK_TYPES = ("link_prediction",)   # S10
 
@@ -62,31 +62,30 @@ class Dataset:
         return self.tasks[name]
 
     # ---- S3 / S4 --------------------------------------------------------------------------------
-    def save(self, path: str, mode: str = "overwrite") -> None:
-        self.rdb.save(_join(path, "rdb"), mode)
+    def save(self, path: str) -> None:
+        """The database's tables and the tasks' frames, each in a snapshot folder of its own; the
+        manifest that makes both the newest version is written last."""
         spark = self.rdb.tables[next(iter(self.rdb.tables))].sparkSession
-        for name, task in self.tasks.items():
-            tdir = _join(path, "tasks", name)
-            for split, df in task.frames().items():
-                df.write.mode(mode).parquet(_join(tdir, f"{split}.parquet"))
-            info = {"name": task.name, "metadata": asdict(task.metadata)}
-            _write_text(spark, _join(tdir, "metadata.json"), json.dumps(info, indent=1, sort_keys=True))
-        _write_text(spark, _join(path, "tasks", "manifest.json"), json.dumps(sorted(self.tasks)))  # last: names what is whole
+        folder = snapshot_name()
+        self.rdb.save(_join(path, folder, "rdb"))
+        tasks = {}
+        for number, (name, task) in enumerate(sorted(self.tasks.items())):
+            own = f"task-{number}"  # a task's name need not be a file name
+            frames = task.frames()
+            for split, df in frames.items():
+                df.write.parquet(_join(path, folder, own, split))
+            tasks[name] = {"folder": own, "splits": sorted(frames), "metadata": asdict(task.metadata)}
+        write_pointer(spark, path, {"folder": folder, "tasks": tasks})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Dataset":
-        rdb = RelationalDataset.load(spark, _join(path, "rdb"))
+        man = read_pointer(spark, path)
+        base = _join(path, man["folder"])
         tasks = []
-        tdir = _join(path, "tasks")
-        if not path_exists(spark, _join(tdir, "manifest.json")):
-            raise FileNotFoundError(f"{path} holds no task manifest: not a dataset, or its writing did not end")
-        for name in json.loads(_read_text(spark, _join(tdir, "manifest.json"))):
-            base = _join(tdir, name)
-            info = json.loads(_read_text(spark, _join(base, "metadata.json")))
-            val = spark.read.parquet(_join(base, "val.parquet")) if path_exists(spark, _join(base, "val.parquet")) else None
-            tasks.append(Task(info["name"], spark.read.parquet(_join(base, "train.parquet")),
-                              spark.read.parquet(_join(base, "test.parquet")), TaskMetadata(**info["metadata"]), val))
-        return cls(rdb, tasks)
+        for name, info in man["tasks"].items():
+            frames = {split: spark.read.parquet(_join(base, info["folder"], split)) for split in info["splits"]}
+            tasks.append(Task(name, frames["train"], frames["test"], TaskMetadata(**info["metadata"]), frames.get("val")))
+        return cls(RelationalDataset.load(spark, _join(base, "rdb")), tasks)
 
     # ---- S5 / S7 --------------------------------------------------------------------------------
     @classmethod

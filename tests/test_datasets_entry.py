@@ -16,13 +16,11 @@ def test_round_trip(spark, tmp_path):
                  [Task("price", t, t, TaskMetadata({"o_custkey": "customer.c_custkey"}, "target", "cutoff_time",
                                                    "regression", "mae"))])
     ds.save(str(tmp_path / "ds"))
-    (tmp_path / "ds" / "tasks" / "stray.txt").write_text("x")          # only what the manifest names is read
-    (tmp_path / "ds" / "tasks" / "empty").mkdir()
+    (tmp_path / "ds" / "stray.txt").write_text("x")                    # only what the manifest names is read
     back = Dataset.load(spark, f"file:{tmp_path}/ds")                  # with or without a scheme
     assert list(Dataset.load(spark, str(tmp_path / "ds")).tasks) == ["price"]
     with pytest.raises(FileNotFoundError):
-        load_test_db(spark, SF, tables=("customer",)).save(str(tmp_path / "half" / "rdb"))
-        Dataset.load(spark, str(tmp_path / "half"))
+        Dataset.load(spark, str(tmp_path / "none"))
     assert list(back.tasks) == ["price"]
     task = back.task("price")
     assert task.val_df is None and task.metadata.key_mappings == {"o_custkey": "customer.c_custkey"}
@@ -83,3 +81,33 @@ def test_key_type_canonicalisation(spark):
     fixed.validate_key_consistency()
     assert dict(fixed.get_table("p").dtypes)["id"] == "string"
     assert [r["id"] for r in fixed.get_table("p").collect()] == ["1"]
+
+
+def test_failed_save_leaves_the_version_before(spark, tmp_path):
+    t = order_task(spark, SF)
+    md = TaskMetadata({"o_custkey": "customer.c_custkey"}, "target", "cutoff_time")
+    db = load_test_db(spark, SF, tables=("customer", "orders"))
+    path = str(tmp_path / "ds")
+    Dataset(db, [Task("price", t, t, md)]).save(path)
+    first = Dataset.load(spark, path)
+    bad = t.withColumn("target", F.raise_error(F.lit("no such row")).cast("double"))
+    with pytest.raises(Exception, match="no such row"):
+        Dataset(db, [Task("a", t, t, md), Task("price", t.limit(1), bad, md)]).save(path)
+    assert list(Dataset.load(spark, path).tasks) == ["price"] and Dataset.load(spark, path).task("price").test_df.count() == t.count()
+    Dataset(db, [Task("price/2", t.limit(3), t, md)]).save(path)
+    assert Dataset.load(spark, path).task("price/2").train_df.count() == 3
+    assert first.task("price").train_df.count() == t.count()           # frames of an older version stay readable
+
+
+def test_history_by_any_column(spark):
+    from relfeat import create_rdb, synthesize
+    from relfeat.operators.history import add_target_history
+    shops = spark.createDataFrame([(1, "n"), (2, "n"), (3, "s")], "shop long, town string")
+    day = lambda d: f"2021-01-0{d} 00:00:00"
+    task = spark.createDataFrame([("n", day(1), 1.0), ("n", day(2), 3.0), ("s", day(2), 5.0), ("n", day(3), 0.0), (None, day(3), 2.0)], "town string, at string, y double").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    mapping = {"town": "shops.town"}
+    db = prepare_db(add_target_history(create_rdb("d", {"shops": shops}, {"shops": "shop"}), task, mapping, "at"))
+    assert db.get_table("shops").count() == 3                           # a town's name makes no row
+    res = synthesize(db, task.drop("y"), mapping, "at", {"agg_primitives": ["mean", "count"]})
+    got = sorted((str(r.town), r["at"].day, r.shops_town, r.shops_MEAN_relfeat_target_history_y, r.shops_COUNT_relfeat_target_history) for r in res.df.collect())
+    assert got == [("None", 3, None, None, 0), ("n", 1, "n", None, 0), ("n", 2, "n", 1.0, 1), ("n", 3, "n", 2.0, 2), ("s", 2, "s", None, 0)]
