@@ -16,14 +16,18 @@
 6. Recall is audited: ``audit`` random vectors are compared with all vectors by brute force; links
    missed mean more tables with other hyperplanes, and another descent, until none of the
    audited links is missing (or ``most_passes`` is reached, which fails the job below 0.9).
+   Recall is the mean over the audited vectors that have links, and over those with few of them
+   if that is less, so that a dense group does not hide what small ones lost.
 
 Scale: shuffles carry one vector for each list entry and round; lists, blocks and audited queries
 have fixed sizes; labels and dense groups of any size are dealt out to blocks by a hash.
 
 Defined results: vectors that are null, empty, zero, or hold nulls or non-finite numbers, and those
 with a null label, link with nothing; vectors of different lengths do not link; repeated rows are
-members of one class and link with each other; rows that repeat an id with another vector share
-that id's place in the graph; a null id never stands for others; an empty table gives no rows.
+members of one class and link with each other; a class is known by its label and vector, so rows
+that repeat an id with another vector, or have no id, link by their own vectors; a null id is the
+smallest of a component only if there is no other, and then its rows are kept; an empty table
+gives no rows.
 """
 from __future__ import annotations
 
@@ -39,8 +43,10 @@ PROPOSAL = "a long, b long, sim double, link boolean"
 
 
 def _matrix(blobs, kind: str) -> np.ndarray:
-    """Unit rows in double precision."""
+    """Unit rows in double precision; rows are scaled by a power of two first, so that squares of very
+    large or small numbers stay in range."""
     x = np.frombuffer(b"".join(blobs), dtype=kind).reshape(len(blobs), -1).astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -241,7 +247,8 @@ def _count_links(reps: DataFrame, groups: DataFrame, kind: str, threshold: float
 
 
 def _audit(reps: DataFrame, counts: DataFrame, kind: str, threshold: float, audit: int) -> float:
-    """Share of the true links of ``audit`` vectors, chosen by a hash, that were found."""
+    """Share of the true links of ``audit`` vectors, chosen by a hash, that were found: the mean over
+    vectors with links, or over those with fewer than 16 if that is less."""
     total = reps.count()
     share = min(1.0, audit / max(1, total))
     queries = reps.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).join(counts, "id", "left")
@@ -270,8 +277,10 @@ def _audit(reps: DataFrame, counts: DataFrame, kind: str, threshold: float, audi
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found)], names=["id", "n"])
 
     true = reps.mapInArrow(brute, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    there = sum(r["n"] for r in true.collect())  # a row for each audited vector
-    return 1.0 if not there else sum(asked["others"].to_pylist()) / there
+    there = {r["id"]: r["n"] for r in true.collect()}  # a row for each audited vector
+    found = [(there[i], n / there[i]) for i, n in zip(asked["id"].to_pylist(), asked["others"].to_pylist()) if there[i]]
+    means = [sum(s for _, s in some) / len(some) for some in (found, [f for f in found if f[0] < 16]) if some]
+    return min(means, default=1.0)
 
 
 def dedup_embeddings(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98,
@@ -279,8 +288,9 @@ def dedup_embeddings(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     """One row per vector: ``id, n_links, component_id, kept``."""
     packed, kind = vectors(rows, id_col, vector_col, label_col)
     packed = packed.withColumn("key", F.when(F.col("blob").isNotNull(), F.sha2("blob", 256))).checkpoint()
-    reps = packed.where("blob IS NOT NULL").groupBy("label", "key").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("blob").alias("blob"))
-    reps = reps.where("id IS NOT NULL").withColumn("size", F.length("blob")).checkpoint()
+    reps = packed.where("blob IS NOT NULL").groupBy("label", "key").agg(F.min("id").alias("low"), F.count("*").alias("weight"), F.first("blob").alias("blob")).checkpoint()
+    # classes have numbers of their own: ids may be null or shared by several classes
+    reps = reps.withColumn("id", F.monotonically_increasing_id()).withColumn("size", F.length("blob")).checkpoint()
     total = reps.count()
     buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 1024))
     graph, links, counts, groups = None, None, None, None
@@ -294,6 +304,8 @@ def dedup_embeddings(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
                 break
             proposals = _descend(graph, reps, kind, k, threshold, buckets).checkpoint()
             free_finished_rounds(rows.sparkSession)
+        else:  # the last descent's links count too
+            links = links.unionAll(proposals.where("link").select("a", "b"))
         links = links.distinct().checkpoint()
         groups = components(links).checkpoint()
         counts = _count_links(reps, groups, kind, threshold).checkpoint()
@@ -302,8 +314,10 @@ def dedup_embeddings(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
             break
     if recall < 0.9:
         raise RuntimeError(f"audited recall {recall:.3f} after {most_passes} passes")
-    by_class = reps.join(counts, "id", "left").join(groups, "id", "left").select(
-        F.col("label").alias("of_label"), F.col("key").alias("of_key"), F.coalesce("component", "id").alias("component"), (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n"))
+    placed = reps.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lowest = placed.groupBy("component").agg(F.min("low").alias("lowest"))
+    by_class = placed.join(counts, "id", "left").join(lowest, "component").select(
+        F.col("label").alias("of_label"), F.col("key").alias("of_key"), F.col("lowest").alias("component"), (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n"))
     out = packed.select("id", "label", "key").join(by_class, (F.col("key") == F.col("of_key")) & (F.col("label") == F.col("of_label")), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"),
                       F.col("id").eqNullSafe(F.coalesce("component", "id")).alias("kept"))

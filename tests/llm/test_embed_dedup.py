@@ -56,3 +56,24 @@ def test_null_ids_and_empty_table(spark):
     got = embed_dedup.dedup_embeddings(frame)
     assert got.count() == 4 and got.where("vec_id = 2 AND n_links = 0 AND kept").count() == 1
     assert embed_dedup.dedup_embeddings(frame.limit(0)).count() == 0
+
+
+def test_rows_link_by_their_own_vectors(spark):
+    """Null ids, ids that other vectors repeat, and numbers whose squares leave the doubles' range."""
+    rows = [(None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (4, [1.0, 0.01], 1),
+            (1, [1.0, 0.0], 2), (1, [0.0, 1.0], 2), (2, [1.0, 0.01], 2), (3, [1.0, 0.02], 2),
+            (10, [1e200, 1e198], 3), (11, [2e-200, 2e-202], 3), (12, [0.0, 1e-310], 3), (13, [5e-324, 1e300], 3),
+            (None, [3.0, 1.0], 4), (None, [3.0, 1.01], 4)]
+    got = embed_dedup.dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    want = [(None, 2, 4, False), (None, 2, 4, False), (4, 2, 4, True),
+            (1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (3, 2, 1, False),
+            (10, 1, 10, True), (11, 1, 10, False), (12, 1, 12, True), (13, 1, 12, False), (None, 1, None, True), (None, 1, None, True)]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_links_of_the_last_descent_count(spark):
+    rows = vectors()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = embed_dedup.dedup_embeddings(frame, most_rounds=1, tables=1).collect()
+    want = {str(r[:2]) for r in brute(rows)}
+    assert sum(str(tuple(r)[:2]) in want for r in got) >= 0.9 * len(rows)
