@@ -17,8 +17,11 @@ aggregation, however many pages share one.
 
 Defined results: a null payload is empty; null ids are kept (a null id is smaller than any); of
 equal payloads, all rows that carry the largest id are responses; repeated ids give a record
-each; a record with missing or doubled segments, a wrong total length or broken framing is
-returned with ``valid`` false and a null payload; empty tables give no records.
+each; a record with missing or doubled segments, a wrong total length, a cut block or broken framing
+is returned with ``valid`` false and a null payload, and so is one whose header has no end or says
+no number where one belongs; segments without a first one are returned as a record with the
+identifier of their origin and nothing else; after a record of unknown length reading goes on at
+the next header; empty tables give no records.
 """
 from __future__ import annotations
 
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 #: Bytes of data in a chunk of the transfer framing.
 CHUNK = 8192
 DATE = "2024-01-01T00:00:00Z"
-RECORD = "record_id string, type string, uri string, key string, refers_to string, digest string, origin string, segment long, total long, block binary"
+RECORD = "record_id string, type string, uri string, key string, refers_to string, digest string, origin string, segment long, total long, block binary, whole boolean, origin_id string"
 
 
 def _cut(data: bytes, size: int) -> list[bytes]:
@@ -151,24 +154,34 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 def parse_records(data: bytes):
     """The records of an archive, as tuples of ``RECORD``."""
+    def number(name: str) -> int | None:
+        value = fields.get(name, "")
+        return int(value) if re.fullmatch("[0-9]{1,18}", value) else None
+
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
+            if data[at:].strip():
+                yield (None,) * 9 + (data[at:], False, None)
             return
-        fields = {}
+        fields: dict[str, str] = {}
         for line in data[at:end].split(b"\r\n")[1:]:
             k, _, v = line.partition(b":")
-            fields[k.strip().lower().decode()] = v.strip().decode("utf-8", "replace")
-        length = int(fields.get("content-length", "0"))
-        block = data[end + 4:end + 4 + length]
-        kind = fields.get("warc-type")
-        own = fields.get("warc-record-id")
-        number = fields.get("warc-segment-number")
-        yield (own, kind, fields.get("warc-target-uri"), fields.get("x-record-key"), fields.get("warc-refers-to"), fields.get("warc-payload-digest"),
-               None if number is None else (fields.get("warc-segment-origin-id") or own) + fields.get("x-segment-mark", ""),
-               None if number is None else int(number), int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None, block)
-        at = end + 4 + length + 4
+            fields[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
+        length = number("content-length") if "content-length" in fields else 0
+        if length is None:  # of unknown length: up to the next header
+            after = data.find(b"\r\n\r\nWARC/", end + 4)
+            stop = after if after >= 0 else len(data)
+        else:
+            stop = min(len(data), end + 4 + length)
+        segment = number("warc-segment-number")
+        origin = fields.get("warc-segment-origin-id") or fields.get("warc-record-id")
+        whole = length == stop - end - 4 and not ("warc-segment-number" in fields and segment is None) and not (
+            "warc-segment-total-length" in fields and number("warc-segment-total-length") is None)
+        yield (*(fields.get(f) for f in ("warc-record-id", "warc-type", "warc-target-uri", "x-record-key", "warc-refers-to", "warc-payload-digest")),
+               None if segment is None else (origin or "") + fields.get("x-segment-mark", ""), segment, number("warc-segment-total-length"), data[end + 4:stop], whole, origin)
+        at = stop + 4
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -187,7 +200,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows, room = [], 0
                 for record in parse_records(data):
                     rows.append(record)
-                    room += len(record[-1])
+                    room += len(record[9])
                     if room > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], names=names)
                         rows, room = [], 0
@@ -195,15 +208,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], names=names)
 
     records = files.mapInArrow(parse, RECORD)
-    single = records.where("segment IS NULL").select("record_id", "type", "uri", "key", "refers_to", "digest", F.array("block").alias("blocks"), F.lit(True).alias("valid"))
+    single = records.where("segment IS NULL").select("record_id", "type", "uri", "key", "refers_to", "digest", F.array("block").alias("blocks"), F.col("whole").alias("valid"))
     first = F.max(F.when(F.col("segment") == 1, F.struct("record_id", "type", "uri", "key", "refers_to", "digest")))
     groups = records.where("segment IS NOT NULL").groupBy("origin").agg(
-        first.alias("first"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"))
+        first.alias("first"), F.max("total").alias("total"), F.min("origin_id").alias("origin_id"), F.bool_and("whole").alias("whole"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"))
     length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["block"]))
     in_order = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1).cast("long"), F.size("parts").cast("long"))
-    groups = groups.where("first IS NOT NULL").select("first.*", F.transform("parts", lambda p: p["block"]).alias("blocks"),
-                                                      F.coalesce((length == F.col("total")) & in_order, F.lit(False)).alias("valid"))
     kept = single.columns[:6]
+    groups = groups.select(F.coalesce("first.record_id", "origin_id").alias("record_id"), *[f"first.{c}" for c in kept[1:]], F.transform("parts", lambda p: p["block"]).alias("blocks"),
+                           (F.coalesce((length == F.col("total")) & in_order, F.lit(False)) & F.col("whole") & F.col("first").isNotNull()).alias("valid"))
 
     def decode(batches):
         for batch in batches:
@@ -220,7 +233,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         decode, "record_id string, type string, uri string, key string, refers_to string, digest string, payload binary, valid boolean")
 
 
-KINDS = [pa.string()] * 7 + [pa.int64(), pa.int64(), pa.binary()]
+KINDS = [pa.string()] * 7 + [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.string()]
 
 
 def page_digests(records: DataFrame) -> DataFrame:

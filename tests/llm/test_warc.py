@@ -61,7 +61,21 @@ def test_broken_segments_are_told(spark, tmp_path):
     assert not archive("gap.warc", lambda r: r[:3] + r[4:])[0].valid
     assert not archive("no_end.warc", lambda r: r[:-1])[0].valid
     assert not archive("twice.warc", lambda r: r + r[2:3])[0].valid
-    assert archive("no_start.warc", lambda r: r[1:]) == []
+    headless = archive("no_start.warc", lambda r: r[1:])
+    assert [(r.record_id, r.type, r.payload, r.valid) for r in headless] == [(warc.page_id_of(1), None, None, False)]
+    cut = archive("cut.warc", lambda r: r[:-1] + [r[-1][:-5]])
+    assert [(r.valid, r.payload) for r in cut] == [(False, None)]
+
+
+def test_malformed_headers_fail_no_task(spark, tmp_path):
+    good = warc.page_records(2, "u", b"fine", None, 1000)[0]
+    bad = [b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: many\r\n\r\nabc", b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <b>\r\nWARC-Segment-Number: x\r\nContent-Length: 3\r\n\r\nabc",
+           b"WARC/1.1\r\n\xff\xfe: 1\r\nWARC-Record-ID: <c>\r\nWARC-Segment-Total-Length: -\r\nContent-Length: 3\r\n\r\nabc"]
+    (tmp_path / "bad.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in [*bad, good]) + b"WARC/1.1\r\nWARC-Type: resp")
+    got = sorted(((r.record_id, r.valid, r.payload and bytes(r.payload)) for r in warc.read_warc(spark, str(tmp_path / "bad.warc")).collect()), key=str)
+    assert got == sorted([("<a>", False, None), ("<b>", False, None), ("<c>", False, None), (warc.page_id_of(2), True, b"fine"), (None, False, None)], key=str)
+    (tmp_path / "cut.warc").write_bytes(good[:-2])
+    assert [r.valid for r in warc.read_warc(spark, str(tmp_path / "cut.warc")).collect()] == [False]
 
 
 def test_chunked_framing():
