@@ -13,9 +13,9 @@ its two characters), so a text can never open or close a turn.  The loss mask is
 Scale: records are converted where they lie; a record is one value, so no step holds more than a
 batch of records.
 
-Defined results: null texts and roles are empty; a null, broken or empty record, and one whose
-fingerprint no mapping is registered for, gives null turns and the status ``no_record`` or
-``unknown_layout``; repeated records are formatted alike; extra columns are ignored; extra fields
+Defined results: null texts and roles are empty; a record that is null, empty, broken, nested
+deeper than the JSON reader goes, or that holds half of a surrogate pair gives null turns and the
+status ``no_record``; one whose fingerprint no mapping is registered for, ``unknown_layout``; repeated records are formatted alike; extra columns are ignored; extra fields
 of a record change its fingerprint, so they need a mapping of their own.
 """
 from __future__ import annotations
@@ -32,13 +32,24 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 OUT = "status string, fingerprint string, formatted string, loss array<struct<start: long, length: long>>"
 
 
-def field_paths(value, path: str = "") -> set[str]:
-    """The nested paths of a JSON value's fields; ``[]`` stands for the entries of a list."""
-    if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{path}.{k}" if path else k) for k, v in value.items())) if value else {path}
-    if isinstance(value, list):
-        return set().union(*(field_paths(v, path + "[]") for v in value)) if value else {path + "[]"}
-    return {path}
+def escape_name(name: str) -> str:
+    """A field's name inside a path: a backslash before what paths use themselves."""
+    return re.sub(r"([\\.\[])", r"\\\1", name)
+
+
+def field_paths(value) -> set[str]:
+    """The nested paths of a JSON value's fields; ``[]`` stands for the entries of a list, ``[!]`` for
+    a list without entries."""
+    out, open_ = set(), [("", value)]
+    while open_:  # no recursion: a record may be nested deeply
+        path, v = open_.pop()
+        if isinstance(v, dict) and v:
+            open_ += [(f"{path}.{escape_name(k)}" if path else escape_name(k), x) for k, x in v.items()]
+        elif isinstance(v, list) and v:
+            open_ += [(path + "[]", x) for x in v]
+        else:
+            out.add(path + "[!]" if isinstance(v, list) else path)
+    return out
 
 
 def fingerprint(paths: set[str]) -> str:
@@ -60,15 +71,15 @@ LAYOUTS = [
 
 def layout_paths(layout: dict) -> set[str]:
     if "list" in layout:
-        return {f"{layout['list']}[].{layout['role']}", f"{layout['list']}[].{layout['text']}"}
-    return {f for _, fields in layout["fields"] for f in fields}
+        return {f"{escape_name(layout['list'])}[].{escape_name(layout[f])}" for f in ("role", "text")}
+    return {escape_name(f) for _, fields in layout["fields"] for f in fields}
 
 
 def registry(layouts=LAYOUTS) -> dict[str, dict]:
     out = {fingerprint(layout_paths(x)): x for x in layouts}
     for x in layouts:  # a list without entries has its own path
         if "list" in x:
-            out[fingerprint({f"{x['list']}[]"})] = x
+            out[fingerprint({f"{escape_name(x['list'])}[!]"})] = x
     return out
 
 
@@ -117,6 +128,19 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+def convert_record(source: str | None, known: dict[str, dict]) -> tuple:
+    """(status, fingerprint, formatted, loss) of a JSON record."""
+    record = json.loads(source) if source else None
+    if not isinstance(record, dict):
+        return "no_record", None, None, None
+    print_ = fingerprint(field_paths(record))
+    if print_ not in known:
+        return "unknown_layout", print_, None, None
+    formatted, loss = format_turns(to_turns(record, known[print_]))
+    formatted.encode("utf-8")  # raises for half a surrogate pair
+    return "ok", print_, formatted, loss
+
+
 def format_chats(records: DataFrame, id_col: str = "conv_id", record_col: str = "record", layouts=LAYOUTS) -> DataFrame:
     """``id, status, fingerprint, formatted, loss`` of each JSON record."""
     known = registry(layouts)
@@ -127,15 +151,9 @@ def format_chats(records: DataFrame, id_col: str = "conv_id", record_col: str =
             rows = []
             for source in batch.column("record").to_pylist():
                 try:
-                    record = json.loads(source) if source else None
-                except ValueError:
-                    record = None
-                if not isinstance(record, dict):
+                    rows.append(convert_record(source, known))
+                except (ValueError, RecursionError):  # not JSON, half a surrogate pair, or nested too deeply
                     rows.append(("no_record", None, None, None))
-                    continue
-                print_ = fingerprint(field_paths(record))
-                layout = known.get(print_)
-                rows.append(("ok", print_, *format_turns(to_turns(record, layout))) if layout else ("unknown_layout", print_, None, None))
             columns = list(zip(*rows)) or [[]] * 4
             loss = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("id")] + [pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [loss])],

@@ -51,3 +51,17 @@ def test_rows_become_records(spark):
     assert got == {1: [("user", ""), ("assistant", "b")], 2: [("", "x"), ("tool", "y")], None: [("user", "z")], 3: [("user", "t"), ("user", "t")],
                    4: [("system", "s"), ("user", "u"), ("assistant", "v")]}
     assert chat.format_chats(chat.records_of_rows(frame.limit(0))).count() == 0
+
+
+def test_records_that_broke_the_job(spark):
+    from relfeat.llm.chat import escape_name, field_paths
+    deep = '{"messages": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    records = [(1, deep), (2, '{"prompt": "\\ud800", "completion": "x"}'), (3, '{"messages[]": 1}'), (4, '{"messages": [1, 2]}'), (5, '{"\\ud800": 1}'), (6, '{"messages": []}'),
+               (7, '{"prompt": "\\ud83d\\ude00", "completion": ""}'), (8, '{"messages": [[{"role": "user", "content": "x"}]]}'), (9, '{"messages[].role": "a", "messages[].content": "b"}')]
+    got = {r.conv_id: (r.status, r.formatted) for r in chat.format_chats(spark.createDataFrame(records, "conv_id long, record string")).collect()}
+    assert [got[i][0] for i in range(1, 10)] == ["no_record", "no_record", "unknown_layout", "unknown_layout", "no_record", "ok", "ok", "unknown_layout", "unknown_layout"]
+    assert got[6][1] == "" and "\U0001f600" in got[7][1]
+    nest = value = {}
+    for _ in range(5000):
+        nest["a.b"] = nest = {}
+    assert field_paths(value) == {".".join([escape_name("a.b")] * 5000)}
