@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS_PER_KEY, PROBES = 12, 8
+#: Bytes of a page of filter bits: those that Spark's bitmap aggregates join.
+PAGE = 4096
 
 
 def url_host(url: Column) -> Column:
@@ -77,37 +79,37 @@ class Cascade:
         return out
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Every (host suffix, path prefix) that a rule with a path of one of these lengths could equal."""
-    prefixes = [path[:n] for n in lengths if n <= len(path)]
-    out, at = [], 0
-    while True:
-        out += [f"{host[at:]}\n{p}" for p in prefixes]
-        at = host.find(".", at) + 1
-        if not at:
-            return out
+def candidates(host: str, path: str, lengths: tuple[list[int], list[int]]) -> list[str]:
+    """Every (host suffix, path prefix) that a rule whose host and path have one of these lengths
+    could equal; suffixes begin a label, so a host of many labels has no more keys than rules have
+    lengths."""
+    hosts = [host[len(host) - n:] for n in lengths[0] if n == len(host) or n < len(host) and host[len(host) - n - 1] == "."]
+    prefixes = [path[:n] for n in lengths[1] if n <= len(path)]
+    return [f"{h}\n{p}" for h in hosts for p in prefixes]
 
 
 def _filter(keys: DataFrame, level: int, n: int) -> np.ndarray:
-    """The packed bits of a filter of ``n`` keys: bits set by the executors, joined here; its
-    size is bounded by ``max_bits``."""
-    size = max(64, -(-n * BITS_PER_KEY // 8))
+    """The packed bits of a filter of ``n`` keys: set by the executors and joined there in pages of
+    ``PAGE`` bytes, which are put together here; its size is bounded by ``max_bits``."""
+    size = -(-max(64, n * BITS_PER_KEY // 8) // PAGE) * PAGE
 
     def bits(batches):
         own = np.zeros(size, dtype=np.uint8)
         for batch in batches:
             at = _probes(_hashes(batch.column("key").to_pylist(), level), size * 8).ravel()
             np.bitwise_or.at(own, at >> np.uint64(3), (1 << (at & np.uint64(7))).astype(np.uint8))
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at].astype(np.int32))], names=["at", "bits"])
+        pages = own.reshape(-1, PAGE)
+        for page in np.flatnonzero(pages.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([pages[page].tobytes()], pa.binary())], names=["page", "bits"])
 
-    got = keys.select("key").mapInArrow(bits, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(size, dtype=np.uint8)
-    out[got["at"].to_numpy()] = got["bits"].to_numpy()
-    return out
+    got = keys.select("key").mapInArrow(bits, "page long, bits binary").groupBy("page").agg(F.bitmap_or_agg("bits").alias("bits")).toArrow()
+    out = np.zeros((size // PAGE, PAGE), dtype=np.uint8)
+    for page, value in zip(got["page"].to_pylist(), got["bits"].to_pylist()):
+        out[page] = np.frombuffer(value[:PAGE], dtype=np.uint8)  # Spark gives pages of 4096
+    return out.reshape(-1)
 
 
-def build_cascade(listed: DataFrame, parts: DataFrame, lengths: list[int], most_levels: int = 40) -> Cascade:
+def build_cascade(listed: DataFrame, parts: DataFrame, lengths: tuple[list[int], list[int]], most_levels: int = 40) -> Cascade:
     """``listed``: distinct (key); ``parts``: the pages' (host, path)."""
     cascade, n = Cascade(), listed.count()
     if not n:
@@ -146,7 +148,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """``id, host, path, rule, verdict`` for each page.  ``rules``: (host, path, verdict) with
     verdict ``allow`` or ``block``; ``rule`` is host and path of the longest rule that fits."""
     rules = rules.dropna(subset=["host", "path", "verdict"]).withColumn("key", F.concat("host", F.lit("\n"), "path"))
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # a number for each length, no rows
+    lengths = tuple(sorted(r[0] for r in rules.select(F.length(c)).distinct().collect()) for c in ("host", "path"))  # a number for each length, no rows
     out = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     parts = out.select("host", "path")
     out = out.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))

@@ -44,11 +44,12 @@ def test_verdicts_match_plain_rules(spark, max_bits):
 def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     """With filters of two bits a key most keys pass by mistake, so many levels are needed."""
     monkeypatch.setattr(urlfilter, "BITS_PER_KEY", 2)
+    monkeypatch.setattr(urlfilter, "PAGE", 64)
     parts = spark.createDataFrame([(f"h{i}.org", f"/p{i % 97}") for i in range(3000)], "host string, path string")
     listed = spark.createDataFrame([(f"h{i}.org\n/p{i % 97}",) for i in range(0, 4000, 3)], "key string")
-    cascade = urlfilter.build_cascade(listed, parts, [2, 3])
+    cascade = urlfilter.build_cascade(listed, parts, (list(range(3, 10)), [2, 3]))
     assert len(cascade.levels) > 2
-    universe = list({k for i in range(3000) for k in urlfilter.candidates(f"h{i}.org", f"/p{i % 97}", [2, 3])})
+    universe = list({k for i in range(3000) for k in urlfilter.candidates(f"h{i}.org", f"/p{i % 97}", (list(range(3, 10)), [2, 3]))})
     members = {r.key for r in listed.collect()}
     assert [bool(x) for x in cascade.listed(universe)] == [k in members for k in universe]
 
@@ -58,3 +59,12 @@ def test_empty_tables(spark):
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     assert urlfilter.judge_urls(pages.limit(0), rules).count() == 0
     assert [r.verdict for r in urlfilter.judge_urls(pages, rules.limit(0), default="block").collect()] == ["block"]
+
+
+def test_hosts_of_many_labels_have_few_keys(spark):
+    host = "a." * 50_000 + "example.org"
+    assert urlfilter.candidates(host, "/x", ([3, 11, 12], [1])) == ["org\n/", "example.org\n/"]
+    assert urlfilter.candidates("", "/", ([0, 3], [0, 1])) == ["\n", "\n/"] and urlfilter.candidates("a.", "/", ([0, 2], [1])) == ["\n/", "a.\n/"]
+    pages = spark.createDataFrame([(1, f"http://{host}/es/1"), (2, f"http://{host}.com/"), (3, "http://" + "b" * 100_000 + ".com/de/")], "page_id long, url string")
+    rules = spark.createDataFrame([("example.org", "/es/", "block"), ("com", "/de/", "block")], "host string, path string, verdict string")
+    assert sorted((r.page_id, r.rule, r.verdict) for r in urlfilter.judge_urls(pages, rules).collect()) == [(1, "example.org/es/", "block"), (2, None, "allow"), (3, "com/de/", "block")]
