@@ -27,6 +27,8 @@ from relfeat.operators.ranking import exclusive_prefix_sums
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rounds of resharing; each round caps at least one more source or ends the loop.
 REPEATS = 2
+#: Places in which the documents of a source meet its target.
+SHARES = 128
 
 
 def word_count(text: Column) -> Column:
@@ -74,7 +76,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the sum over all sources less what stands before the source is the sum inside it
     first = queued.groupBy("no_name", "name").agg(F.min("size_before").alias("before_source"))
     targets = targets.withColumn("no_name", F.col("source").isNull().cast("int")).withColumn("name", F.coalesce("source", F.lit("")))
-    queued = queued.join(targets.drop("source").join(first, ["no_name", "name"]), ["no_name", "name"])
+    # a source's one row meets its documents in SHARES places, so that a large source is no single task
+    per_source = targets.drop("source").join(first, ["no_name", "name"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    queued = queued.withColumn("share", F.pmod(F.xxhash64("place"), F.lit(SHARES)).cast("int")).join(per_source, ["no_name", "name", "share"]).drop("share")
     done = F.col("size_before") - F.col("before_source") + F.col("size")
 
     def finish(copy: int) -> Column:
