@@ -32,6 +32,7 @@ fingerprint of the text); an empty table gives no rows; other columns are ignore
 """
 from __future__ import annotations
 
+import ctypes
 import zlib
 from dataclasses import dataclass
 
@@ -52,6 +53,15 @@ SLICE, SORTED, BUCKET, PARTITION = 1 << 18, 1 << 20, 1 << 19, 1 << 26
 _CODEC = pa.Codec("zstd", 1)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, and what one has freed
+    would else stay its own beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def held_out_flags(ids: list) -> np.ndarray:
     return np.fromiter((zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i in ids), dtype=bool, count=len(ids))
 
@@ -112,7 +122,11 @@ def _word_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(values)), pa.array(np.concatenate(numbers))],
                                              names=["kind", "h", "n"])
 
-    return docs.mapInArrow(count, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    def counted(batches):
+        yield from count(batches)
+        _give_back()
+
+    return docs.mapInArrow(counted, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -226,6 +240,8 @@ def _positions(docs: DataFrame, model) -> DataFrame:
             docs_held = sum(map(len, ids))
         if parts:
             yield packed(m, parts, ids, no_id, texts)
+        del parts, ids, no_id, texts
+        _give_back()
 
     return docs.mapInArrow(read, "partition int, bucket int, " + ", ".join(f"{a} binary" for a in arrays))
 
@@ -291,6 +307,8 @@ def _buckets(model, rows):
         held.append(row)
     if held:
         yield _Bucket(model.value, held)
+    del held
+    _give_back()
 
 
 def _smoothing(c: np.ndarray, power: float) -> np.ndarray:
@@ -416,11 +434,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     m.keep_words[(m.pairs[m.keep_pairs] & ((1 << 21) - 1)) - 1] = True  # what a retained context ends in
 
     def shares(rows):
-        tables = list(_score(final, power)(rows))
-        if tables:  # one row a document of the partition
-            values = ["size", "known", "base", "score", "ends"]
+        values = ["size", "known", "base", "score", "ends"]
+
+        def added(tables):  # one row a document
             sums = pa.concat_tables(tables).group_by(["id", "text"]).aggregate([(c, "sum") for c in values])
-            yield from zip(*(sums[c].to_pylist() for c in ["id", "text", *(f"{v}_sum" for v in values)]))
+            return sums.select(["id", "text", *(f"{v}_sum" for v in values)]).rename_columns(["id", "text", *values])
+
+        held = []
+        for table in _score(final, power)(rows):  # the buckets' rows are added up as they come
+            held.append(table)
+            if sum(t.num_rows for t in held[1:]) > max(SLICE, held[0].num_rows):
+                held = [added(held)]
+                pa.default_memory_pool().release_unused()
+        for batch in added(held).to_batches(max_chunksize=4096) if held else ():
+            yield from zip(*(c.to_pylist() for c in batch.columns))
 
     final = share(m)
     parts = spark.createDataFrame(placed.mapPartitions(shares), "id long, text long, size long, known long, base double, score double, ends long")
