@@ -1,10 +1,11 @@
 """Token counts of whole texts under a given tokenizer.
 
 Texts are encoded by the tokenizer's own library inside Arrow functions, which return lengths
-only.  Each Arrow batch is cut into encoding batches of about ``batch_bytes`` bytes, filled from
-pieces of texts: a short text is one piece, a longer one is split at safe boundaries into pieces
-of about ``piece_bytes``, so that an encoding batch holds about the same work whatever the lengths
-of the texts are.
+only.  Texts are split at safe boundaries into short pieces; of a slice of rows, each piece whose
+length the worker doesn't know yet is encoded once, in encoding batches of about ``batch_bytes``
+bytes, so that a batch holds about the same work whatever the lengths of the texts are.  Lengths of
+pieces of up to ``PIECE_BYTES`` stay known until they take ``KNOWN_BYTES``; then the worker begins
+anew.
 
 A boundary is safe where the tokens of the two sides, one after the other, are the tokens of the
 whole.  The only boundary used is a single space between two ASCII letters or digits, and only
@@ -23,14 +24,19 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A single space between two ASCII letters or digits.
+from relfeat.llm.tokens import slices
+
+#: A single space between two ASCII letters or digits, and the place before it.
 SAFE = re.compile(rb"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
+BEFORE_SAFE = re.compile(rb"(?<=[0-9A-Za-z])(?= [0-9A-Za-z])")
+#: Longest piece whose length stays known, and how many bytes of known pieces a worker keeps.
+PIECE_BYTES, KNOWN_BYTES = 64, 16 << 20
 #: A tokenizer's file is sent to the workers up to this size.
 MOST_FILE_BYTES = 64 << 20
 #: The tokenizers that this worker has loaded.
@@ -68,20 +74,49 @@ def _load(name: str, raw: bytes) -> tuple[Callable, bool, bool]:
     return _LOADED[name]
 
 
-def split_safely(text: bytes, piece_bytes: int, drop_space: bool) -> Iterator[bytes]:
-    """A UTF-8 text in pieces of ``piece_bytes`` or more, each up to the next safe boundary."""
-    lo = 0
-    while len(text) - lo > piece_bytes:
-        found = SAFE.search(text, lo + max(1, piece_bytes))
-        if not found:
-            break
-        yield text[lo:found.start()]
-        lo = found.end() if drop_space else found.start()
-    yield text[lo:]
+def split_safely(text: bytes, drop_space: bool) -> list[bytes]:
+    """A UTF-8 text cut at all safe boundaries."""
+    return (SAFE if drop_space else BEFORE_SAFE).split(text)
+
+
+def _even_batches(pieces: Iterable[bytes], batch_bytes: int) -> Iterator[list[bytes]]:
+    held, size = [], 0
+    for p in pieces:
+        if held and size + len(p) > batch_bytes:
+            yield held
+            held, size = [], 0
+        held.append(p)
+        size += len(p)
+    if held:
+        yield held
+
+
+class Counter:
+    """Token counts of texts, piece by piece."""
+
+    def __init__(self, lengths: Callable, splits: bool, drop_space: bool, batch_bytes: int):
+        self.lengths, self.splits, self.drop_space, self.batch_bytes = lengths, splits, drop_space, batch_bytes
+        self.known: dict[bytes, int] = {}
+        self.size = 0
+
+    def count(self, texts: list[bytes]) -> list[int]:
+        if self.size > KNOWN_BYTES:
+            self.known, self.size = {}, 0
+        rows = [split_safely(t, self.drop_space) if self.splits else [t] for t in texts]
+        own = {p: 0 for row in rows for p in row if p not in self.known}
+        for some in _even_batches(own, self.batch_bytes):
+            own.update(zip(some, self.lengths([p.decode("utf-8") for p in some])))
+        known = self.known
+        counts = [sum(own[p] if p in own else known[p] for p in row) for row in rows]
+        for p, n in own.items():
+            if len(p) <= PIECE_BYTES:
+                known[p] = n
+                self.size += len(p)
+        return counts
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512,
-                 batch_bytes: int = 1 << 20, piece_bytes: int = 1 << 15) -> DataFrame:
+                 batch_bytes: int = 1 << 18) -> DataFrame:
     """One row per document: ``id, n_bytes, n_tokens, over_limit`` (more than ``limit`` tokens).
 
     ``path``: a tokenizer's ``.json`` file (library tokenizers) or ``.model`` file (sentencepiece),
@@ -96,27 +131,10 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        lengths, splits, drop_space = _load(name, sent.value)
-        for batch in batches:
-            column = batch.column(1).cast(pa.large_binary())
-            counts = [0] * batch.num_rows
-            texts: list[str] = []
-            rows: list[int] = []
-            held = 0
-            for row in range(batch.num_rows):
-                text = column[row].as_py()
-                for piece in split_safely(text, piece_bytes, drop_space) if splits and len(text) > piece_bytes else (text,):
-                    texts.append(piece.decode("utf-8"))
-                    rows.append(row)
-                    held += len(piece) + 1
-                    if held >= batch_bytes:
-                        for k, n in zip(rows, lengths(texts)):
-                            counts[k] += n
-                        texts, rows, held = [], [], 0
-            if texts:
-                for k, n in zip(rows, lengths(texts)):
-                    counts[k] += n
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+        counter = Counter(*_load(name, sent.value), batch_bytes)
+        for part in slices(batches):
+            counts = counter.count(part.column(1).cast(pa.large_binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))

@@ -23,7 +23,7 @@ def plain_counts(name, texts):
 def test_counts_equal_the_librarys(spark, corpus, name):
     rows, frame = corpus
     texts = [t or "" for _, t, _ in rows]
-    got = token_counts.count_tokens(frame, public_tokenizers.path(name), piece_bytes=200, batch_bytes=5000).collect()
+    got = token_counts.count_tokens(frame, public_tokenizers.path(name), batch_bytes=500).collect()
     want = sorted((str(d), len(t.encode()), n, n > 512) for (d, _, _), t, n in zip(rows, texts, plain_counts(name, texts)))
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
 
@@ -40,15 +40,28 @@ def test_every_cut_keeps_the_count(name):
     rnd = random.Random(5)
     texts = ODD + ["".join(rnd.choice("ab 'st1\n.é ") for _ in range(rnd.randint(1, 300))) for _ in range(300)]
     if splits:
-        cut = [[p.decode() for p in token_counts.split_safely(t.encode(), rnd.randint(1, 9), drop)] for t in texts]
+        cut = [[p.decode() for p in token_counts.split_safely(t.encode(), drop)] for t in texts]
         assert [sum(lengths(p)) for p in cut] == plain_counts(name, texts) and max(map(len, cut)) > 10
 
 
-def test_long_texts_are_cut_into_even_pieces():
-    text = random_text(random.Random(1), 50_000).encode()
-    pieces = list(token_counts.split_safely(text, 1 << 15, False))
-    assert b"".join(pieces) == text and max(map(len, pieces)) < (1 << 15) + 100
-    assert list(token_counts.split_safely(b"x" * 100_000, 1 << 15, False)) == [b"x" * 100_000]
+def test_batches_are_even_and_known_pieces_are_not_encoded_again(monkeypatch):
+    sent = []
+
+    def lengths(texts):
+        sent.append(texts)
+        return [len(t) for t in texts]
+
+    monkeypatch.setattr(token_counts, "KNOWN_BYTES", 2000)
+    counter = token_counts.Counter(lengths, True, False, 100)
+    text = random_text(random.Random(1), 5000, 60).encode()
+    assert b"".join(token_counts.split_safely(text, False)) == text
+    assert counter.count([text, b"", text]) == [len(text), 0, len(text)]
+    encoded = [t for batch in sent for t in batch]
+    assert len(encoded) == len(set(encoded)) < 70 and max(sum(map(len, b)) for b in sent) <= 100
+    before = len(encoded)
+    assert counter.count([text]) == [len(text)] and sum(map(len, sent)) - before <= 1  # but for the text's first word
+    assert counter.count([b"x" * 3000, " y".join("ab" * 300).encode()]) == [3000, 600 + 2 * 599]
+    assert b"x" * 3000 not in counter.known and counter.size <= 2100
 
 
 def test_odd_tables_and_files(spark):
