@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.scalar import (EPOCH_SUFFIX, epoch_ns, is_datetime_type, is_integral_type, sanitize_name)
 from ..sources.rdb import _join, read_pointer, snapshot_name, write_pointer
 from .ranking import dense_codes
+from .textfeatures import TextFeatureGenerator
 
 
 class NotFittedError(RuntimeError):
@@ -125,13 +126,14 @@ class SafeLabelEncoderTransformer:
     distinct values seen at fit.  Unseen values [DIV Q5]: seen codes never move; unseen
     values of one ``transform`` call get codes after them, in sorted order."""
 
-    def __init__(self):
+    def __init__(self, exclude: Sequence[str] = ()):
+        self.exclude = list(exclude)
         self.cat_columns_: list[str] | None = None
         self.codes_: DataFrame | None = None
 
     def fit(self, df: DataFrame, rows: int | None = None) -> "SafeLabelEncoderTransformer":
         """``rows``: a known bound on ``df``'s rows (e.g. the training sample size)."""
-        self.cat_columns_ = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+        self.cat_columns_ = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in self.exclude]
         if not self.cat_columns_:
             return self
         vals = self._unpivot(df)
@@ -197,7 +199,7 @@ class DatetimeFeatureGenerator:
         self.constant_columns_ = []
         if self.drop_constant:
             x = self._expand(df)
-            simple = [f.name for f in x.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+            simple = [f.name for f in x.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.UserDefinedType))]
             aggs = []
             for i, c in enumerate(simple):
                 aggs += [F.min(_c(c)).alias(f"a{i}"), F.max(_c(c)).alias(f"b{i}"), F.count(_c(c)).alias(f"n{i}")]
@@ -218,9 +220,20 @@ class DatetimeFeatureGenerator:
         return x.drop(*[c for c in self.constant_columns_ if c in x.columns])
 
 
+# fixed values: the reference's defaults of its generator's flags
+GENERATOR_DEFAULTS = {"enable_datetime_features": True, "enable_raw_text_features": False, "enable_text_special_features": False,
+                      "enable_text_ngram_features": False}
+_TEXT_FLAGS = {"enable_text_ngram_features": "ngrams", "enable_text_special_features": "special", "enable_raw_text_features": "raw"}
+
+
 # ---- T5 -------------------------------------------------------------------------------------------
 class TabularPreprocessor:
-    """T5: T1 -> T2 (if enabled) -> T3 -> T4, each fitted on the previous stage's output."""
+    """T5: T1 -> T2 (if enabled) -> T3 -> T4, each fitted on the previous stage's output.
+
+    ``ag_config`` is merged over ``GENERATOR_DEFAULTS``; it may also hold ``drop_constant`` and
+    ``text_ngram_params`` (a dict of ``TextFeatureGenerator``'s options).  With a text flag on, T4's
+    text part runs before T3, so that texts are not encoded as categories; else string columns are
+    categories all."""
 
     def __init__(self, ag_config: dict | None = None, temporal_diff_config: TemporalDiffConfig | None = None,
                  cutoff_time: str | None = None, std_epoch_columns: Sequence[str] | None = None,
@@ -239,15 +252,23 @@ class TabularPreprocessor:
 
     def fit(self, df: DataFrame, rows: int | None = None) -> "TabularPreprocessor":
         """``rows``: a known bound on ``df``'s rows, passed to the label encoder."""
+        options = {**GENERATOR_DEFAULTS, **self.ag_config}
+        flags = {name: bool(options.pop(flag)) for flag, name in _TEXT_FLAGS.items()}
+        text_params = options.pop("text_ngram_params", None) or {}
+        text = TextFeatureGenerator(**flags, **text_params)  # unknown options raise
+        generator = DatetimeFeatureGenerator(**options)
         steps = [("type_cast", TypeCastTransformer())]
         if self.temporal_diff_config is not None and self.temporal_diff_config.enabled:
             steps.append(("temporal", TemporalDiffTransformer(self.temporal_diff_config, self.cutoff_time,
                                                               self.std_epoch_columns)))
+        if any(flags.values()):
+            steps.append(("text", text))
         steps.append(("label_encoder", SafeLabelEncoderTransformer()))
-        steps.append(("datetime", DatetimeFeatureGenerator(**self.ag_config)))
+        steps.append(("datetime", generator))
         x = df.drop(*self.keep_columns)  # keep columns (ids) bypass the stages
         for _, st in steps:
             if isinstance(st, SafeLabelEncoderTransformer):
+                st.exclude = text.raw_columns if any(flags.values()) else []
                 st.fit(x, rows)
             else:
                 st.fit(x)
@@ -274,7 +295,8 @@ class TabularPreprocessor:
     #: What each fitted stage consists of, but for the label codes, which are a table.
     _STATE = {"type_cast": (TypeCastTransformer, ["cast_columns_"]),
               "temporal": (TemporalDiffTransformer, ["cutoff_time_col", "std_columns", "timestamp_columns_", "columns_to_drop_"]),
-              "label_encoder": (SafeLabelEncoderTransformer, ["cat_columns_"]),
+              "text": (TextFeatureGenerator, ["ngrams", "special", "raw", "min_words", "ngram_range", "min_df", "max_features", "text_columns_", "vocabulary_"]),
+              "label_encoder": (SafeLabelEncoderTransformer, ["exclude", "cat_columns_"]),
               "datetime": (DatetimeFeatureGenerator, ["enable_datetime_features", "drop_constant", "datetime_columns_", "constant_columns_"])}
 
     def save(self, spark: SparkSession, path: str) -> None:

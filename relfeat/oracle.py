@@ -790,3 +790,31 @@ FROM f JOIN k1 ON k1.v = COALESCE(f.c_name, 'nan') JOIN k2 ON k2.v = COALESCE(f.
 """
 ORACLE_SQL["preprocess_chain"] = PREPROCESS_CHAIN
 ORACLE_SQL["preprocess_reload"] = PREPROCESS_CHAIN
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TEXT_WORDS = f"regexp_extract_all({_LOWERED}, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
+
+TEXT_NGRAMS = f"""
+WITH w AS (SELECT conv_id, turn, row_number() OVER () AS r, {_TEXT_WORDS} AS words FROM conversations WHERE text IS NOT NULL),
+g AS (SELECT conv_id, turn, r, CASE WHEN length(gram) > 64 THEN md5(gram) ELSE gram END AS ngram FROM (
+      SELECT conv_id, turn, r, UNNEST(words || [words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]
+             || [words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FOR i IN range(1, len(words) - 1)]) AS gram FROM w)),
+v AS (SELECT ngram FROM (SELECT ngram, COUNT(DISTINCT r) AS df FROM g GROUP BY 1) WHERE df >= 30 ORDER BY df DESC, ngram LIMIT 10000)
+SELECT conv_id, turn, ngram, COUNT(*) AS n FROM g JOIN v USING (ngram) GROUP BY conv_id, turn, r, ngram
+"""
+ORACLE_SQL["text_ngrams"] = TEXT_NGRAMS
+
+
+def _share(kind: str) -> str:
+    return f"CASE WHEN length(text) > 0 THEN (length(text) - length(regexp_replace(text, '{kind}', '', 'g')))::DOUBLE / length(text) WHEN length(text) = 0 THEN 0.0 END"
+
+
+TEXT_SPECIAL = f"""
+WITH k AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT COALESCE(role, 'nan') AS v FROM conversations))
+SELECT conv_id, turn, k.code AS role, length(text)::BIGINT AS text_char_count, len({_TEXT_WORDS})::BIGINT AS text_word_count, {_share('[A-Z]')} AS text_capital_ratio,
+       {_share('[a-z]')} AS text_lower_ratio, {_share('[0-9]')} AS text_digit_ratio, {_share('[!-/:-@[-`{-~]')} AS text_special_ratio,
+       {", ".join(f"(length(text) - length(replace(text, '{symbol}', '')))::BIGINT AS text_count_{name}" for symbol, name in
+                  (("!", "exclamation"), ("?", "question"), ("@", "at"), ("%", "percent"), ("$", "dollar"), ("#", "hash"), ("&", "ampersand"), ("*", "asterisk"), (".", "stop"), (":", "colon")))}
+FROM conversations JOIN k ON k.v = COALESCE(role, 'nan')
+"""
+ORACLE_SQL["text_special"] = TEXT_SPECIAL

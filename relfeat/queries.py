@@ -180,6 +180,7 @@ from .operators.estimator import RelationalClassifier, RelationalRegressor  # no
 from .operators.history import add_target_history  # noqa: E402
 from .operators.metrics import mean_absolute_error, roc_auc  # noqa: E402
 from .operators.nearest import NearestContext  # noqa: E402
+from .operators.textfeatures import ngram_counts  # noqa: E402
 from .operators.preprocess import (DatetimeFeatureGenerator, SafeLabelEncoderTransformer,  # noqa: E402
                                    TabularPreprocessor, TemporalDiffConfig, TemporalDiffTransformer,
                                    TypeCastTransformer)
@@ -694,3 +695,29 @@ QUERIES.update({
     "target_history_by_column": q_target_history_by_column,
     "preprocess_reload": q_preprocess_reload,
 })
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+
+
+def q_text_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    """T4 with n-grams: all conversations' turns go through the preprocessor; the sparse vectors'
+    entries in long form."""
+    turns = _turns(spark, sf)
+    pp = TabularPreprocessor({"enable_text_ngram_features": True}, keep_columns=["conv_id", "turn"]).fit(turns)
+    out = pp.transform(turns)
+    return ngram_counts(out, ["conv_id", "turn"], "text_ngrams", dict(pp.steps)["text"].vocabulary_["text"])
+
+
+def q_text_special(spark: SparkSession, sf: str) -> DataFrame:
+    """T4 with special features of text, through the preprocessor: the role becomes a code."""
+    turns = _turns(spark, sf)
+    config = {"enable_text_special_features": True, "drop_constant": False}
+    return TabularPreprocessor(config, keep_columns=["conv_id", "turn"]).fit(turns).transform(turns)
+
+
+QUERIES.update({
+    "text_ngrams": q_text_ngrams,
+    "text_special": q_text_special,
+})
