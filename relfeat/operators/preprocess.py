@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import (EPOCH_SUFFIX, epoch_ns, is_datetime_type, is_integral_type, sanitize_name)
 from ..sources.rdb import _join, read_pointer, snapshot_name, write_pointer
-from .ranking import dense_codes
+from .ranking import dense_codes, planned_codes
 from .textfeatures import TextFeatureGenerator
 
 
@@ -124,7 +124,8 @@ def _as_class(c) -> "F.Column":
 class SafeLabelEncoderTransformer:
     """Each string column is replaced by the 0-based rank of its value among the sorted
     distinct values seen at fit.  Unseen values [DIV Q5]: seen codes never move; unseen
-    values of one ``transform`` call get codes after them, in sorted order."""
+    values of one ``transform`` call get codes after them, in sorted order.  ``transform`` only
+    plans: it runs no job, whether or not values are unseen."""
 
     def __init__(self, exclude: Sequence[str] = ()):
         self.exclude = list(exclude)
@@ -136,14 +137,15 @@ class SafeLabelEncoderTransformer:
         self.cat_columns_ = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in self.exclude]
         if not self.cat_columns_:
             return self
-        vals = self._unpivot(df)
+        vals = self._unpivot(df, self.cat_columns_)
         bound = None if rows is None else rows * len(self.cat_columns_)
         self.codes_ = dense_codes(vals, "__col", "__val", bounded_rows=bound).checkpoint(eager=True)
         return self
 
-    def _unpivot(self, df: DataFrame) -> DataFrame:
+    @staticmethod
+    def _unpivot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), _as_class(c).alias("__val"))
-                                              for c in self.cat_columns_])).alias("__s")).select("__s.*")
+                                              for c in cols])).alias("__s")).select("__s.*")
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.cat_columns_ is None:
@@ -152,21 +154,21 @@ class SafeLabelEncoderTransformer:
         if not cols:
             return df
         seen = self.codes_
-        vals = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), _as_class(c).alias("__val"))
-                                             for c in cols])).alias("__s")).select("__s.*").distinct()
-        # no size hints: the seen values are a measured checkpoint, and Spark broadcasts them, or
-        # sorts, by the sizes it meets; unseen values of the scored frame may be many
+        vals = self._unpivot(df, cols).distinct()
+        # no size hints: Spark broadcasts the codes, or sorts, by the sizes it meets; unseen values
+        # of the scored frame may be many
         unseen = vals.join(seen.select("__col", "__val"), ["__col", "__val"], "left_anti")     # P7
-        table = seen
-        if unseen.limit(1).count():
-            base = seen.groupBy("__col").agg(F.count(F.lit(1)).alias("offset"))
-            table = seen.unionByName(dense_codes(unseen, "__col", "__val", base=base))        # U3
+        base = seen.groupBy("__col").agg(F.count(F.lit(1)).alias("offset"))                   # a row a column
+        table = seen.unionByName(planned_codes(unseen, "__col", "__val", base))               # U3
+        # one row a value, with its code in each column: every column's join reads the same plan,
+        # so the codes are made and shuffled, or broadcast, once for all columns
+        codes = table.groupBy("__val").agg(F.map_from_entries(F.collect_list(F.struct("__col", "code"))).alias("__codes"))
         out = df
         for i, c in enumerate(cols):                                                          # J8
-            m = table.where(F.col("__col") == c).select(F.col("__val").alias(f"__v{i}"), F.col("code").alias(f"__code{i}"))
+            m = codes.select(F.col("__val").alias(f"__v{i}"), F.col("__codes").alias(f"__m{i}"))
             out = out.join(m, _as_class(c) == F.col(f"__v{i}"), "left").drop(f"__v{i}")
         idx = {c: i for i, c in enumerate(cols)}
-        return out.select(*[F.col(f"__code{idx[c]}").alias(c) if c in idx else _c(c) for c in df.columns])
+        return out.select(*[F.col(f"__m{idx[c]}")[c].alias(c) if c in idx else _c(c) for c in df.columns])
 
 
 # ---- T4 -------------------------------------------------------------------------------------------

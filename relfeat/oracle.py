@@ -364,6 +364,17 @@ SELECT o.o_orderkey, s.code AS o_orderstatus, p.code AS o_orderpriority
 FROM orders o JOIN s ON s.v = o.o_orderstatus JOIN p ON p.v = o.o_orderpriority
 """
 
+LABEL_ENCODE_HIGH_CARD = """
+WITH c AS (SELECT c_custkey, coalesce(CASE WHEN c_acctbal >= 0 THEN c_name END, 'nan') AS n, c_mktsegment AS s FROM customer),
+tr AS (SELECT * FROM c WHERE s IN ('BUILDING', 'MACHINERY')),
+n_code AS (SELECT v, row_number() OVER (ORDER BY late, v) - 1 AS code
+           FROM (SELECT n AS v, CASE WHEN n IN (SELECT n FROM tr) THEN 0 ELSE 1 END AS late FROM c GROUP BY n)),
+s_code AS (SELECT v, row_number() OVER (ORDER BY late, v) - 1 AS code
+           FROM (SELECT s AS v, CASE WHEN s IN (SELECT s FROM tr) THEN 0 ELSE 1 END AS late FROM c GROUP BY s))
+SELECT c.c_custkey, n_code.code AS c_name, s_code.code AS c_mktsegment
+FROM c JOIN n_code ON n_code.v = c.n JOIN s_code ON s_code.v = c.s
+"""
+
 DATETIME_PARTS = """
 SELECT o_orderkey, epoch_ns(o_orderdate) AS cutoff_time, CAST(year(o_orderdate) AS BIGINT) AS cutoff_time_year,
        CAST(month(o_orderdate) AS BIGINT) AS cutoff_time_month, CAST(day(o_orderdate) AS BIGINT) AS cutoff_time_day,
@@ -553,6 +564,7 @@ ORACLE_SQL.update({
     "label_encode": LABEL_ENCODE_ALL,
     "label_encode_all": LABEL_ENCODE_ALL,
     "label_encode_unseen": LABEL_ENCODE_UNSEEN,
+    "label_encode_high_card": LABEL_ENCODE_HIGH_CARD,
     "datetime_parts": DATETIME_PARTS,
     "drop_constant": DROP_CONSTANT,
     "sample_uniform": SAMPLE_UNIFORM,

@@ -721,3 +721,15 @@ QUERIES.update({
     "text_ngrams": q_text_ngrams,
     "text_special": q_text_special,
 })
+
+
+def q_label_encode_high_card(spark: SparkSession, sf: str) -> DataFrame:
+    """Names (a value a row, most of them unseen, some null) and segments of all
+    customers, by an encoder fitted on two segments."""
+    c = read_table(spark, sf, "customer").select(
+        "c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("c_name"), "c_mktsegment")
+    enc = SafeLabelEncoderTransformer().fit(c.where("c_mktsegment IN ('BUILDING', 'MACHINERY')"))
+    return enc.transform(c)
+
+
+QUERIES["label_encode_high_card"] = q_label_encode_high_card

@@ -51,6 +51,24 @@ def test_excluded_and_cutoff_free_columns(orders):
     assert TemporalDiffTransformer(TemporalDiffConfig()).fit(named).columns_to_drop_ == ["seen_epochtime_std"]
 
 
+def test_encoding_runs_no_job_and_orders_many_unseen_values(spark, monkeypatch):
+    """Three ranges over values of which most share a long beginning; nulls are one class."""
+    monkeypatch.setattr("relfeat.operators.ranking.SPLITS", 3)
+    names = [None if i % 17 == 0 else "Customer#" + "0" * (i % 5) + str(i * 7919 % 1000) for i in range(400)]
+    frame = spark.createDataFrame([(i, n, "ab"[i % 2]) for i, n in enumerate(names)], "id long, name string, side string").repartition(5)
+    fitted = SafeLabelEncoderTransformer().fit(frame.where("id < 40 AND side = 'b'"))
+    spark.sparkContext.setJobGroup("encode", "transform only plans")
+    out = fitted.transform(frame)
+    spark.sparkContext.setJobGroup("read", "the caller's action")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("encode")
+    got = {r.id: (r.name, r.side) for r in out.collect()}
+    text = [n or "nan" for n in names]
+    seen = sorted({text[i] for i in range(40) if i % 2})
+    order = seen + sorted(set(text) - set(seen))
+    assert len(got) == 400 and len(order) > 300
+    assert all(got[i] == (order.index(t), 1 - i % 2) for i, t in enumerate(text))  # "a" is the unseen side
+
+
 def test_codes_of_seen_unseen_and_null_values(orders):
     seen = orders.select("o_orderkey", "o_orderpriority").where("o_orderpriority IN ('2-HIGH', '4-NOT SPECIFIED')")
     encoder = SafeLabelEncoderTransformer().fit(seen)
