@@ -830,3 +830,37 @@ SELECT conv_id, turn, k.code AS role, length(text)::BIGINT AS text_char_count, l
 FROM conversations JOIN k ON k.v = COALESCE(role, 'nan')
 """
 ORACLE_SQL["text_special"] = TEXT_SPECIAL
+
+
+def _merged_features(task: str, target: str) -> str:
+    """``f``: a task's rows with three features (missing: 0) and the answer; ``p`` the past ones."""
+    return f"""
+task AS MATERIALIZED (SELECT c_custkey, cutoff_time, {target} AS y FROM ({task})),
+a AS (SELECT t.c_custkey, t.cutoff_time, COUNT(*) AS n, {mean_dbl('o.o_totalprice')} AS m FROM task t
+      JOIN orders o ON o.o_custkey = t.c_custkey AND o.o_orderdate < t.cutoff_time GROUP BY 1, 2),
+f AS MATERIALIZED (SELECT t.c_custkey, t.cutoff_time, t.y, COALESCE(a.n, 0)::DOUBLE AS x0, COALESCE(a.m, 0)::DOUBLE AS x1, COALESCE(c.c_acctbal, 0)::DOUBLE AS x2
+      FROM task t LEFT JOIN customer c ON c.c_custkey = t.c_custkey LEFT JOIN a ON a.c_custkey = t.c_custkey AND a.cutoff_time = t.cutoff_time),
+p AS (SELECT * FROM f WHERE cutoff_time < TIMESTAMP '2000-01-01')"""
+
+
+#: Normal equations of three centred columns, solved by Cramer's rule.
+ORACLE_SQL["merged_regressor"] = f"""
+WITH {_merged_features(SPEND_TASK, 'spend')},
+s AS (SELECT avg(x0) AS a0, avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay, var_pop(x0) AS v00, var_pop(x1) AS v11, var_pop(x2) AS v22, covar_pop(x0, x1) AS v01,
+             covar_pop(x0, x2) AS v02, covar_pop(x1, x2) AS v12, covar_pop(x0, y) AS r0, covar_pop(x1, y) AS r1, covar_pop(x2, y) AS r2 FROM p),
+d AS (SELECT *, v00 * (v11 * v22 - v12 * v12) - v01 * (v01 * v22 - v12 * v02) + v02 * (v01 * v12 - v11 * v02) AS det FROM s),
+w AS (SELECT *, (r0 * (v11 * v22 - v12 * v12) - v01 * (r1 * v22 - v12 * r2) + v02 * (r1 * v12 - v11 * r2)) / det AS w0,
+             (v00 * (r1 * v22 - v12 * r2) - r0 * (v01 * v22 - v12 * v02) + v02 * (v01 * r2 - r1 * v02)) / det AS w1,
+             (v00 * (v11 * r2 - r1 * v12) - v01 * (v01 * r2 - r1 * v02) + r0 * (v01 * v12 - v11 * v02)) / det AS w2 FROM d)
+SELECT f.c_custkey, f.cutoff_time, round(ay + (x0 - a0) * w0 + (x1 - a1) * w1 + (x2 - a2) * w2, 1) AS prediction
+FROM f, w WHERE f.cutoff_time >= TIMESTAMP '2000-01-01'
+"""
+
+_LOG_NORMAL = " + ".join(f"ln(2 * pi() * (v{i} + 1e-9)) + (x{i} - a{i}) * (x{i} - a{i}) / (v{i} + 1e-9)" for i in range(3))
+ORACLE_SQL["merged_classifier"] = f"""
+WITH {_merged_features(CHURN_TASK, 'churn')},
+s AS (SELECT y, ln(COUNT(*) / (SELECT COUNT(*) FROM p)) AS prior, avg(x0) AS a0, avg(x1) AS a1, avg(x2) AS a2, var_pop(x0) AS v0, var_pop(x1) AS v1, var_pop(x2) AS v2 FROM p GROUP BY y),
+l AS (SELECT f.c_custkey, f.cutoff_time, SUM(CASE WHEN s.y = 1 THEN 1 ELSE -1 END * (prior - 0.5 * ({_LOG_NORMAL}))) AS odds
+      FROM f, s WHERE f.cutoff_time >= TIMESTAMP '2000-01-01' GROUP BY 1, 2)
+SELECT c_custkey, cutoff_time, round(1 / (1 + exp(-odds)), 5) AS p_churn, CASE WHEN odds > 0 THEN 1 ELSE 0 END AS prediction FROM l
+"""

@@ -178,6 +178,7 @@ QUERIES = {
 # ---- second batch: preprocessing, sampling, history, keys, metrics, datasets, estimators ----------
 from .operators.estimator import RelationalClassifier, RelationalRegressor  # noqa: E402
 from .operators.history import add_target_history  # noqa: E402
+from .operators.merged import GaussianBayes, LeastSquares  # noqa: E402
 from .operators.metrics import mean_absolute_error, roc_auc  # noqa: E402
 from .operators.nearest import NearestContext  # noqa: E402
 from .operators.textfeatures import ngram_counts  # noqa: E402
@@ -733,3 +734,33 @@ def q_label_encode_high_card(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["label_encode_high_card"] = q_label_encode_high_card
+
+
+def _merged(spark, sf, estimator, target):
+    train, test = _estimator_split(spark, sf, target)
+    estimator.fit(train, target, load_test_db(spark, sf, tables=("customer", "orders")), {"c_custkey": "customer.c_custkey"}, "cutoff_time")
+    return test
+
+
+_MERGED = {"max_train_samples": None, "dfs": {"agg_primitives": ["count", "mean"]}}
+
+
+def q_merged_regressor(spark: SparkSession, sf: str) -> DataFrame:
+    """Quarterly spend by least squares over orders so far, their mean price and the account
+    balance; a Python model fitted on all training rows in their partitions."""
+    reg = RelationalRegressor(LeastSquares(["customer_COUNT_orders", "customer_MEAN_orders_o_totalprice", "customer_c_acctbal"]), _MERGED)
+    test = _merged(spark, sf, reg, "spend")
+    return reg.predict(test).withColumn("prediction", F.round("prediction", 1))
+
+
+def q_merged_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Churn by naive Bayes over the same features, fitted likewise: its probability and
+    the label of the largest one."""
+    clf = RelationalClassifier(GaussianBayes(["customer_COUNT_orders", "customer_MEAN_orders_o_totalprice", "customer_c_acctbal"]), _MERGED)
+    test = _merged(spark, sf, clf, "churn")
+    p = clf.predict_proba(test)
+    return p.select("c_custkey", "cutoff_time", F.round(F.element_at("probability", 2), 5).alias("p_churn"),
+                    F.when(F.element_at("probability", 2) > F.element_at("probability", 1), 1).otherwise(0).alias("prediction"))
+
+
+QUERIES.update({"merged_regressor": q_merged_regressor, "merged_classifier": q_merged_classifier})
