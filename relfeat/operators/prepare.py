@@ -3,6 +3,8 @@ epoch (F1), text drop (P2) and canonical types (F8).  Every step returns a new
 ``RelationalDataset`` whose tables are lazy plans over the inputs."""
 from __future__ import annotations
 
+from typing import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,16 +47,42 @@ def handle_dummy_tables(db: RelationalDataset) -> RelationalDataset:
     return db
 
 
-def fill_missing_primary_keys(db: RelationalDataset, materialize: bool = False) -> RelationalDataset:
+#: Bytes a parent's keys may take as a broadcast hash table, about ``KEY_BYTES`` each besides their text.
+BROADCAST_BYTES, KEY_BYTES = 64 << 20, 48
+
+
+def _fits_broadcast(keys: DataFrame, most_bytes: int) -> bool:
+    """Whether a column of keys is proven to fit, by its rows and the bytes of their text."""
+    c = F.col(keys.columns[0])
+    size = F.octet_length(c) if isinstance(keys.schema[0].dataType, (T.StringType, T.BinaryType)) else F.lit(0)
+    rows, text = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows * KEY_BYTES + text <= most_bytes
+
+
+def _without_parent(fks: DataFrame, keys: DataFrame, small: bool) -> DataFrame:
+    """The distinct ``__fk`` that are no ``__pk``; ``small`` keys are broadcast."""
+    missing = F.col("__fk") == F.col("__pk")
+    if small:
+        return fks.join(F.broadcast(keys), missing, "left_anti").distinct()
+    return fks.distinct().join(keys, missing, "left_anti")
+
+
+def fill_missing_primary_keys(db: RelationalDataset, materialize: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
+                              whole: Collection[str] = ()) -> RelationalDataset:
     """Add a parent row (key only, other columns null) for every foreign-key value that
-    has no parent.  distinct + anti join: both shuffle on the key with partial aggregation.
+    has no parent.
+
+    Children are looked up where they lie if the parent's keys are measured to fit
+    ``broadcast_bytes``: only values without a parent are shuffled, none for an intact edge.  The
+    keys of larger parents meet the children's distinct values by a shuffle on the key.  ``whole``:
+    parents that are known to hold all keys, which are not looked at.
 
     ``materialize``: run that check once now and checkpoint the missing-key rows (to the
     cluster checkpoint dir); a parent with none keeps its plain scan, so later plans that
     read it many times carry no union and no anti join over its child tables."""
     by_parent: dict[str, list] = {}
     for r in db.relationships:
-        if r.parent in db.tables:
+        if r.parent in db.tables and r.parent not in whole:
             by_parent.setdefault(r.parent, []).append(r)
     for parent, edges in by_parent.items():
         pk = db.metas[parent].primary_key or edges[0].parent_col
@@ -67,8 +95,9 @@ def fill_missing_primary_keys(db: RelationalDataset, materialize: bool = False)
         for e in edges:
             k = db.tables[e.child].select(_q(e.child_col).cast(pt).alias("__fk")).where(F.col("__fk").isNotNull())
             fks = k if fks is None else fks.unionByName(k)
-        new = (fks.distinct().join(pdf.select(_q(pk).alias("__pk")), F.col("__fk") == F.col("__pk"), "left_anti")
-               .select(F.col("__fk").alias(pk)))
+        keys = pdf.select(_q(pk).alias("__pk"))
+        small = materialize and _fits_broadcast(keys, broadcast_bytes)  # without materialize this step only plans
+        new = _without_parent(fks, keys, small).select(F.col("__fk").alias(pk))
         if materialize:
             new = new.checkpoint(eager=True)
             if new.isEmpty():
@@ -159,9 +188,11 @@ def prepare_db(db: RelationalDataset, drop_text: bool = True, materialize_missin
                ) -> RelationalDataset:
     """E3 pipeline: J6 -> J5 -> F1 -> P2 -> F8.  Lazy except J5's one check per parent table
     (``materialize_missing_keys``, see ``fill_missing_primary_keys``)."""
+    given = set(db.tables)
     db = handle_dummy_tables(db)
+    made = set(db.tables) - given  # of their children's own keys
     db = db.canonicalize_key_types()
-    db = fill_missing_primary_keys(db, materialize=materialize_missing_keys)
+    db = fill_missing_primary_keys(db, materialize=materialize_missing_keys, whole=made)
     db = featurize_datetime(db)
     if drop_text:
         db = drop_text_columns(db)

@@ -63,6 +63,34 @@ def test_dummy_and_missing_keys(spark):
     assert rep[("orders", "orphan_foreign_key")] > 0 and rep[("customer", "duplicate_primary_key")] == 0
 
 
+def test_missing_keys_by_broadcast_and_by_shuffle(spark):
+    """Both ways find the same keys; an intact edge's rows are not shuffled where the parent is small."""
+    from relfeat.operators.prepare import _without_parent, fill_missing_primary_keys
+    base = load_test_db(spark, SF, tables=("customer", "orders"))
+    cut = base.with_table("customer", base.get_table("customer").where("c_mktsegment <> 'BUILDING'"))
+    ways = [fill_missing_primary_keys(cut, True, size).get_table("customer").select("c_custkey", "c_name") for size in (0, 1 << 20)]
+    assert ways[0].exceptAll(ways[1]).count() == 0 and ways[0].count() == ways[1].count() > 0
+    assert ways[1].where("c_name IS NULL").count() == ways[1].count() - cut.get_table("customer").count() > 0
+    fks = base.get_table("orders").select(F.col("o_custkey").alias("__fk")).unionByName(spark.createDataFrame([(None,), (-5,)], "__fk long"))
+    keys = base.get_table("customer").select(F.col("c_custkey").alias("__pk")).unionByName(spark.createDataFrame([(None,)], "__pk long"))
+    near = _without_parent(fks.where("__fk IS NOT NULL"), keys, True)
+    assert [r[0] for r in near.collect()] == [-5]
+    plan = near._jdf.queryExecution().executedPlan().toString().rsplit("== Initial Plan ==", 1)[-1]
+    assert plan.index("hashpartitioning") < plan.index("BroadcastHashJoin")  # printed from the result down to the scans
+    assert "hashpartitioning" not in plan[plan.index("BroadcastHashJoin"):]
+
+
+def test_keys_of_dummy_tables_are_not_looked_up(spark, monkeypatch):
+    from relfeat.operators import prepare
+    looked = []
+    own = prepare._without_parent
+    monkeypatch.setattr(prepare, "_without_parent", lambda fks, keys, small: looked.append(small) or own(fks, keys, small))
+    db = prepare.prepare_db(load_test_db(spark, SF, tables=("events",)))
+    assert not looked and db.get_table("users").count() == load_test_db(spark, SF, tables=("events",)).get_table("events").select("user_id").distinct().count()
+    prepare.prepare_db(load_test_db(spark, SF, tables=("customer", "orders")))
+    assert looked and any(looked)
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as E
     df = E.entry(spark)

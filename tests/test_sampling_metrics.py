@@ -42,6 +42,21 @@ def test_samples_are_full_where_ids_repeat(spark):
     assert downsample(rare, "y", 40, "classification", False, 1, ["id"]).count() == 40     # a class for each of 30 labels, and nulls
 
 
+def test_rows_of_a_hot_key_are_the_same_however_they_lie(spark):
+    """Half of all rows share one id and class; which of them are taken does not depend on where
+    they were read."""
+    rows = [(0 if i % 2 else i, "ab"[i % 4 == 2], i) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id long, target string, line long")
+    for stratified in (False, True):
+        pick = lambda n, f=stratified: downsample(frame.repartition(n, "line"), "target", 200, "classification", f, 3, ["id"])
+        one, many = pick(1), pick(13)
+        assert one.count() == 200 and one.exceptAll(many).count() == 0 and many.columns == frame.columns
+        hashed = with_hash(frame, 3, ["id", "target"]).where("id = 0 AND target = 'a'")  # the hot key, in the order of its rows' hashes
+        order = [r.line for r in hashed.orderBy(F.xxhash64(*hashed.columns)).collect()]
+        taken = {r.line for r in one.where("id = 0 AND target = 'a'").collect()}
+        assert 10 < len(taken) < len(order) and taken == set(order[:len(taken)])
+
+
 def test_auc_ties_and_mae(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.5), (0, 0.5), (0, 0.1)], "y int, s double")
     # positives 0.9 (beats 3 negatives) and 0.5 (beats 1, ties 1): (3 + 1.5) / 6
