@@ -148,3 +148,53 @@ def test_unknown_strategies_raise(three_levels):
     db, task = three_levels
     with pytest.raises(ValueError):
         synthesize(db, task, {"uid": "users.uid"}, "cutoff", {"cutoff_strategy": "sorted"})
+
+
+def _broadcasts(df):
+    """How many joins of the plan broadcast a side."""
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+@pytest.mark.parametrize("strategy", ["join", "window", "bucketed"])
+def test_large_tasks_broadcast_nothing_by_estimate(spark, shop, strategy):
+    """Beyond the checked sizes neither query sets (multiplied by an array) nor tables are broadcast."""
+    days = F.array(*[F.lit(dt.datetime(1998, m, 1)).cast("timestamp_ntz") for m in range(1, 13)])
+    task = shop.get_table("customer").select("c_custkey", F.explode(days).alias("cutoff_time"))
+    prims = {"max_depth": 2, "agg_primitives": ["max", "count", "mode"], "cutoff_strategy": strategy}
+    mapping = {"c_custkey": "customer.c_custkey"}
+    db = prepare_db(shop)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")  # more than the tables' files, less than what joins make
+    try:
+        large = synthesize(db, task, mapping, "cutoff_time", {**prims, "broadcast_rows": 10}).df
+        assert _broadcasts(large) == 0
+        wide = synthesize(db, task, mapping, "cutoff_time", {**prims, "broadcast_bytes": 10}).df
+        assert _broadcasts(wide) == 0
+        small = synthesize(db, task, mapping, "cutoff_time", prims).df
+        assert _broadcasts(small) > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert large.exceptAll(small).count() == 0 and small.exceptAll(large).count() == 0
+
+
+def test_broadcasts_are_bounded_by_bytes():
+    from types import SimpleNamespace
+
+    from pyspark.sql import types as T
+
+    from relfeat.plans.synthesis import DFSConfig, _Planner
+    frame = lambda n, kind: SimpleNamespace(schema=T.StructType([T.StructField(f"c{i}", kind) for i in range(n)]), columns=[f"c{i}" for i in range(n)])
+    planner = _Planner(SimpleNamespace(), DFSConfig(), "join", 1_200_000)
+    assert not planner.fits_broadcast(frame(2, T.LongType())) and not planner.fits_broadcast(frame(24, T.LongType()))
+    planner.task_rows = 240_000
+    assert planner.fits_broadcast(frame(2, T.LongType())) and not planner.fits_broadcast(frame(8, T.StringType()))
+
+
+def test_only_groups_over_several_partitions_have_offsets(spark):
+    from relfeat.operators.ranking import exclusive_prefix_sums
+    rows = [(g, t, 1) for g in "abcdefgh" for t in range(5)] + [("hot", t, 1) for t in range(200)] + [(None, 1, 1)]
+    got = exclusive_prefix_sums(spark.createDataFrame(rows, "g string, t int, one long").repartition(4), ["t"], ["one"], group_col="g", partitions=6)
+    found = {(r.g, r.t): r.one_before for r in got.collect()}
+    assert len(found) == len(rows) and all(n == (None if g is None else t) for (g, t), n in found.items())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "__nth" in plan and "BroadcastHashJoin" in plan  # fewer rows than partitions
