@@ -79,3 +79,22 @@ def test_infer_text_columns(spark):
     db = infer_text_columns(create_rdb("d", {"documents": docs}, {"documents": "doc_id"}))
     assert db.get_table_metadata("documents").roles == {"text": "text"}
     assert drop_text_columns(db).get_table("documents").columns == ["doc_id", "lang"]
+
+
+def test_rows_are_not_dealt_out_by_class(spark):
+    """Few classes are broadcast whatever Spark estimates; many meet the rows by a shuffle."""
+    from relfeat.operators.sampling import _class_quota, with_hash as hashed
+    rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(100)], "id int, y string")
+    h, classes = hashed(rows, 1, ["id", "y"]), rows.groupBy(F.col("y").alias("__y")).agg(F.count("*").alias("__c"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stratified in (False, True):
+            s = downsample(rows, "y", 20, "classification", stratified, 1, ["id"])
+            plan = s._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            assert s.count() == 20
+        few, many = (_class_quota(h, "y", classes, 5, few).select("__h", "__y", "__take").collect() for few in (True, False))
+        assert sorted(few) == sorted(many) and sum(r["__take"] for r in few) == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
