@@ -49,11 +49,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+# Shuffled rows are narrow and alike, so 64 MB of them (AQE's own size), compressed, took over 1 GB
+# as the rows of one task.
+ADVISORY, ADVISORY_BYTES = "spark.sql.adaptive.advisoryPartitionSizeInBytes", 16 << 20
+
+
+def size_in_bytes(text: str) -> int:
+    """Bytes of a size as Spark writes it: a number and, for larger units, a letter."""
+    number, unit = re.fullmatch(r"(\d+)([bkmgtp]?)b?", text.strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit or "b")
+
+
 def apply_session_defaults(spark: SparkSession) -> None:
-    """Set the runtime-modifiable defaults on an existing session (UTC, AQE)."""
+    """Set the runtime-modifiable defaults on an existing session (UTC, AQE): the size up to which
+    AQE merges a shuffle's partitions is lowered, never raised."""
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.adaptive.skewJoin.enabled", "spark.sql.execution.arrow.pyspark.enabled"):
         spark.conf.set(k, DEFAULT_CONF[k])
+    if size_in_bytes(spark.conf.get(ADVISORY)) > ADVISORY_BYTES:
+        spark.conf.set(ADVISORY, str(ADVISORY_BYTES))
 
 
 def ship_package(spark: SparkSession) -> None:

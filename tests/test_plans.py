@@ -198,3 +198,22 @@ def test_only_groups_over_several_partitions_have_offsets(spark):
     assert len(found) == len(rows) and all(n == (None if g is None else t) for (g, t), n in found.items())
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "__nth" in plan and "BroadcastHashJoin" in plan  # fewer rows than partitions
+
+
+def test_merged_partitions_are_bounded(spark):
+    from relfeat.session import ADVISORY, ADVISORY_BYTES, apply_session_defaults, size_in_bytes
+    before = spark.conf.get(ADVISORY)
+    try:
+        for given, want in (("64MB", ADVISORY_BYTES), ("67108864b", ADVISORY_BYTES), ("1g", ADVISORY_BYTES), ("8m", 8 << 20), ("300", 300)):
+            spark.conf.set(ADVISORY, given)
+            apply_session_defaults(spark)
+            assert size_in_bytes(spark.conf.get(ADVISORY)) == want
+    finally:
+        spark.conf.set(ADVISORY, before)
+
+
+def test_many_parent_keys_are_not_broadcast(spark):
+    from relfeat.operators.prepare import BROADCAST_BYTES, _fits_broadcast
+    assert _fits_broadcast(spark.range(100_000).toDF("k"), BROADCAST_BYTES) and not _fits_broadcast(spark.range(900_000).toDF("k"), BROADCAST_BYTES)
+    texts = spark.range(100_000).selectExpr("lpad(cast(id AS string), 60, '0') AS k")
+    assert not _fits_broadcast(texts, BROADCAST_BYTES)
