@@ -176,10 +176,11 @@ def bucketed_medians(events: DataFrame, queries: DataFrame, key: str, group: str
     """As ``window_medians``, for keys of any size.  Both frames also hold ``bucket``: events of an
     earlier bucket are earlier.  ``ranges``: quantiles at which each key's values are cut;
     ``chunks``: how many tasks share the queries of one range; ``instants``: whether odd buckets
-    hold a single time each."""
+    hold a single time each; that is so for few (hot) keys, whose cuts are broadcast."""
     by = [key, group]
     steps = [i / ranges for i in range(ranges + 1)]
     cuts = events.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile_approx(value, steps, 10 * max(ranges, 100)))).alias("cuts")).checkpoint()
+    cuts = F.broadcast(cuts) if instants else cuts
     coded = events.join(cuts, by).withColumn("code", place_among(F.col("cuts"), F.col(value))).drop("cuts")
     cells = coded.groupBy(*by, "code", "bucket").agg(F.count(F.lit(1)).alias("n"))
     grid = queries.select(*by, "bucket").distinct().join(cells.select(*by, "code").distinct(), by)

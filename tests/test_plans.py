@@ -150,6 +150,28 @@ def test_unknown_strategies_raise(three_levels):
         synthesize(db, task, {"uid": "users.uid"}, "cutoff", {"cutoff_strategy": "sorted"})
 
 
+def test_hot_rows_are_not_dealt_by_key(spark, shop, monkeypatch):
+    """Where query sets are too large to be broadcast, rows of a hot key leave the others' join by key
+    and meet their own keys in a broadcast join."""
+    from relfeat.plans.synthesis import _Planner
+    orders = shop.get_table("orders").withColumn("o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.lit(1)).otherwise(F.col("o_custkey")).cast("long"))
+    db = prepare_db(shop.with_table("orders", orders))
+    task = orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("cutoff_time"))
+    asked, own = [], _Planner._meeting
+    monkeypatch.setattr(_Planner, "_meeting", staticmethod(lambda q, small: asked.append((q, small)) or own(q, small)))
+    dealt, window = [], _Planner._child_aggs_window
+    monkeypatch.setattr(_Planner, "_child_aggs_window", lambda self, *a: dealt.append(a) or window(self, *a))
+    config = {"max_depth": 2, "agg_primitives": ["max", "median", "mode", "count"], "cutoff_strategy": "window", "hot_key_rows": 100, "hot_bucket_rows": 50}
+    run = lambda **more: synthesize(db, task, {"o_custkey": "customer.c_custkey"}, "cutoff_time", {**config, **more}).df
+    large = run(broadcast_rows=10)
+    assert [small for q, small in asked if q.columns == ["__k"]] == [False, True]
+    hot = orders.where("o_custkey = 1").count()
+    rows = [orders.where(a[6]).count() for a in dealt]
+    assert rows == [orders.count() - hot, hot]
+    plain = run(hot_key_rows=10 ** 9)
+    assert large.exceptAll(plain).count() == 0 and plain.exceptAll(large).count() == 0
+
+
 def _broadcasts(df):
     """How many joins of the plan broadcast a side."""
     return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
