@@ -49,7 +49,7 @@ END, BEGIN = _U(0xE4D0F7E875A3C1B9), _U(0xB5297A4D3F84D5B5)
 HOT_SHARE = 1 << 11
 #: Positions that a map task handles at once, and sorts together; about how many positions a
 #: bucket and a partition of buckets hold.
-SLICE, SORTED, BUCKET, PARTITION = 1 << 18, 1 << 20, 1 << 19, 1 << 26
+SLICE, SORTED, BUCKET, PARTITION = 1 << 18, 3 << 18, 1 << 19, 1 << 26
 _CODEC = pa.Codec("zstd", 1)
 
 
@@ -196,17 +196,22 @@ def _positions(docs: DataFrame, model) -> DataFrame:
 
     def packed(m: Contexts, parts, ids, no_id, texts) -> pa.RecordBatch:
         w, c1, c2, doc, bucket = (np.concatenate(p) for p in zip(*parts))
+        parts.clear()  # the pieces are not held beside the whole
         ids, no_id, texts = np.concatenate(ids), np.concatenate(no_id), np.concatenate(texts)
         # by bucket, then about by word and context, in the bits that are left
         bits, low = m.buckets.bit_length(), c1.astype(_U) + (c2.astype(_U) << _U(21)) + (doc.astype(_U) << _U(42))
         by_word = (tokens.mix64(w) >> _U(bits) & ~_U(4095)) | (tokens.mix64(low) >> _U(52))
-        order = np.argsort((bucket.astype(_U) << _U(64 - bits)) | by_word)
+        by_word |= bucket.astype(_U) << _U(64 - bits)
+        del low
+        order = np.argsort(by_word)
+        del by_word
         w, c1, c2, doc, bucket = w[order], c1[order], c2[order], doc[order], bucket[order]
         new = np.ones(len(w), dtype=bool)
         new[1:] = (w[1:] != w[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]) | (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
         first = np.flatnonzero(new)
         times = np.diff(np.append(first, len(w))).astype(np.int32)
         w, c1, c2, doc, bucket = w[first], c1[first], c2[first], doc[first], bucket[first]
+        del order, new, first
         edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         out = []
         for a, b in zip(edge, np.append(edge[1:], len(w))):
@@ -234,6 +239,7 @@ def _positions(docs: DataFrame, model) -> DataFrame:
                 w, c1, c2, doc, bucket = place(m, x, offsets, one, two, texts[-1], lo, min(lo + SLICE, len(x)))
                 parts.append((w, c1, c2, doc + np.int32(docs_held), bucket))
                 held += len(w)
+                del w, c1, c2, doc, bucket
                 if held >= SORTED:
                     yield packed(m, parts, ids, no_id, texts)
                     parts, ids, no_id, texts, docs_held, held = [], ids[-1:], no_id[-1:], texts[-1:], 0, 0

@@ -1,6 +1,11 @@
 import collections
 import math
+import tracemalloc
 import zlib
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 
 from relfeat.llm import suffix_tree
 
@@ -81,3 +86,26 @@ def test_hot_words_pairs_and_triples_are_dealt_out(spark):
     got = suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     for e, g in zip(sorted(expected, key=key), sorted((tuple(r) for r in got), key=key)):
         assert e[:5] == g[:5] and math.isclose(e[6], g[6], rel_tol=1e-9)
+
+class _OneTask:
+    """Stands for the documents: ``mapInArrow`` gives the task's function."""
+
+    def mapInArrow(self, function, schema):
+        return function
+
+
+def test_memory_of_a_map_task():
+    words = np.random.default_rng(5).integers(0, 50_000, size=1 << 21)
+    texts = [" ".join(f"w{w}" for w in part) for part in words.reshape(256, -1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 16), pa.int64()), pa.array(texts[i:i + 16])], names=["id", "text"]) for i in range(0, 256, 16)]
+    none = np.empty(0, np.uint64)
+    model = suffix_tree.Contexts(len(words), 50_000, 16, [none, none, none], none, none, 8, 2)
+    run = suffix_tree._positions(_OneTask(), SimpleNamespace(value=model))
+    tracemalloc.start()
+    try:
+        rows = sum(batch.num_rows for batch in run(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows >= 16
+    assert peak < 100 << 20
