@@ -538,6 +538,7 @@ class _Planner:
         # one pass over the child rows: each row emits one event per visibility group
         # (explode), instead of one scan of the rows per group
         types = {f.col: ("long" if f.dtype == "long" else "double") for f in num}
+        bucketed = self.strategy == "bucketed"
         recs = []
         for vcol, fs in [(None, groups.get(None, []))] + [(v, fs) for v, fs in groups.items() if v is not None]:
             mine = {f.col for f in fs}
@@ -546,11 +547,16 @@ class _Planner:
             fields += [(F.col(c) if c in mine else F.lit(None)).cast(types[c]).alias(c) for c in types]
             rec = F.struct(*fields)
             recs.append(rec if vcol is None else F.when(F.col(vcol).isNotNull(), rec))
-        ev = rows.select(_K, F.explode(F.array(*recs)).alias("__r")).where(F.col("__r").isNotNull()).select(_K, "__r.*")
         qs = q.where(F.col(_C).isNotNull()).select(_K, F.col(_C).alias("__t"), F.lit(1).alias("__q"))
-        u = ev.unionByName(qs, allowMissingColumns=True)
+        exploded = lambda df, *more: df.select(_K, *more, F.explode(F.array(*recs)).alias("__r")).where(F.col("__r").isNotNull()).select(_K, *more, "__r.*")
+        if bucketed or len(recs) == 1:
+            u = exploded(rows).unionByName(qs, allowMissingColumns=True)
+        else:  # rows go to their keys before they become several events each; a cutoff becomes one
+            asked, own = F.col("__q").isNotNull(), recs[0]
+            recs = [F.when(asked, own.withField("__ev", F.lit(None).cast("int"))).otherwise(own)] + [F.when(~asked, r) for r in recs[1:]]
+            flat = rows.select(_K, "__t", *types, *[v for v in groups if v is not None])
+            u = exploded(_by_key(flat.unionByName(qs, allowMissingColumns=True)), "__q")
         w = Window.partitionBy(_K).orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
-        bucketed = self.strategy == "bucketed"
         if bucketed:
             res, out = self._bucketed_numeric(u, num if any(p in FRAME_PRIMITIVES for p in self.num_prims) else [], label)
         else:
@@ -802,11 +808,10 @@ class _Planner:
         """Exact prefix mode of every categorical column in one narrow unpivoted stream
         ``(key, time, column id, value)``: a running count per (key, column, value), the
         prefix minimum of ``(-count, value)`` per (key, column), then one pivot back."""
-        ev = _column_events(rows, cat, when_visible, "string")
-        qs = q.where(F.col(_C).isNotNull()).select(
-            _K, F.col(_C).alias("__t"), F.explode(F.array(*[F.lit(i) for i in range(len(cat))])).alias("__ci"),
-            F.lit(None).cast("string").alias("__x"), F.lit(1).alias("__q"))
-        u = ev.unionByName(qs, allowMissingColumns=True)
+        qs = q.where(F.col(_C).isNotNull()).select(_K, F.col(_C).alias("__t"), F.lit(1).alias("__q"))
+        used = list(dict.fromkeys([f.col for f in cat] + [f.vis for f in cat if f.vis is not None]))
+        flat = _by_key(rows.select(_K, "__t", *used).unionByName(qs, allowMissingColumns=True))
+        u = _column_events(flat, cat, when_visible, "string", "__q")
         run = F.count("__x").over(Window.partitionBy(_K, "__ci", "__x").orderBy("__t")
                                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         u = u.withColumn("__n", F.when(F.col("__x").isNotNull(), run))
@@ -822,17 +827,28 @@ class _Planner:
         return modes, out
 
 
-def _column_events(rows: DataFrame, feats: list, when_visible, kind: str) -> DataFrame:
+def _by_key(df: DataFrame) -> DataFrame:
+    """``df`` dealt out by its key alone: windows by the key and more columns then need no other
+    shuffle.  The number of partitions is set, else AQE merges them by bytes that are multiplied later."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(_K))
+
+
+def _column_events(rows: DataFrame, feats: list, when_visible, kind: str, asked: str | None = None) -> DataFrame:
     """``(key, time, column id, value)`` for every non-null value, all columns in one pass over
-    ``rows`` (a parent's value only when the parent has a time)."""
+    ``rows`` (a parent's value only when the parent has a time).  Rows whose column ``asked`` is set
+    are cutoffs and stay, without values, for every column id."""
     recs = []
     for i, f in enumerate(feats):
         ok = F.col(f.col).isNotNull()
         if f.vis is not None:
             ok = ok & F.col(f.vis).isNotNull()
-        recs.append(F.when(ok, F.struct(when_visible(f).alias("__t"), F.lit(i).alias("__ci"),
-                                         F.col(f.col).cast(kind).alias("__x"))))
-    return rows.select(_K, F.explode(F.array(*recs)).alias("__r")).where(F.col("__r").isNotNull()).select(_K, "__r.*")
+        rec = F.when(ok, F.struct(when_visible(f).alias("__t"), F.lit(i).alias("__ci"),
+                                  F.col(f.col).cast(kind).alias("__x")))
+        if asked is not None:
+            rec = F.when(F.col(asked).isNotNull(), F.struct(F.col("__t"), F.lit(i).alias("__ci"), F.lit(None).cast(kind).alias("__x"))).otherwise(rec)
+        recs.append(rec)
+    more = [] if asked is None else [asked]
+    return rows.select(_K, *more, F.explode(F.array(*recs)).alias("__r")).where(F.col("__r").isNotNull()).select(_K, *more, "__r.*")
 
 
 def _beside(res: DataFrame, more: DataFrame) -> DataFrame:

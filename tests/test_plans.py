@@ -239,3 +239,23 @@ def test_many_parent_keys_are_not_broadcast(spark):
     assert _fits_broadcast(spark.range(100_000).toDF("k"), BROADCAST_BYTES) and not _fits_broadcast(spark.range(900_000).toDF("k"), BROADCAST_BYTES)
     texts = spark.range(100_000).selectExpr("lpad(cast(id AS string), 60, '0') AS k")
     assert not _fits_broadcast(texts, BROADCAST_BYTES)
+
+
+def test_events_multiply_after_their_shuffle(spark):
+    """The window plan deals rows and cutoffs out by key alone, before a row becomes several events."""
+    rng = random.Random(11)
+    day = lambda: DAY + dt.timedelta(days=rng.randrange(30))
+    parents = spark.createDataFrame([(i,) for i in range(6)], "pid long")
+    orders = spark.createDataFrame([(i, rng.choice("xyz"), round(rng.random(), 2), day()) for i in range(20)], "oid long, status string, price double, ot timestamp_ntz")
+    lines = spark.createDataFrame([(i, rng.choice([0, 1, 2, 3, None]), rng.choice([*range(22), None]), rng.choice(["a", "b", None]), rng.choice([1.0, 2.5, None]), rng.choice([day(), None])) for i in range(300)],
+                                  "lid long, pid long, oid long, flag string, qty double, lt timestamp_ntz")
+    db = prepare_db(create_rdb("d", {"p": parents, "o": orders, "l": lines}, {"p": "pid", "o": "oid", "l": "lid"},
+                               [("l", "pid", "p", "pid"), ("l", "oid", "o", "oid")], {"o": "ot", "l": "lt"}))
+    task = spark.createDataFrame([(i, rng.randrange(7), day()) for i in range(80)], "n long, pid long, cutoff timestamp_ntz")
+    got = {s: synthesize(db, task, {"pid": "p.pid"}, "cutoff", {"max_depth": 3, "agg_primitives": ["max", "mean", "mode", "count"], "cutoff_strategy": s}).df
+           for s in ("window", "join")}
+    plan = got["window"]._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning(__k" in line]
+    assert shuffled and not any("__ci" in line for line in shuffled)
+    rows = {s: sorted(map(str, df.select("n", *sorted(df.columns)).collect())) for s, df in got.items()}
+    assert rows["window"] == rows["join"]
