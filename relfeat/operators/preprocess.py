@@ -155,9 +155,9 @@ class SafeLabelEncoderTransformer:
             return df
         seen = self.codes_
         vals = self._unpivot(df, cols).distinct()
-        # no size hints: Spark broadcasts the codes, or sorts, by the sizes it meets; unseen values
-        # of the scored frame may be many
-        unseen = vals.join(seen.select("__col", "__val"), ["__col", "__val"], "left_anti")     # P7
+        # the values already lie by column and value; Spark would judge the codes by the bytes of their
+        # compressed files and hash them all in the driver.  The joins below have no hints: sizes decide
+        unseen = vals.join(seen.select("__col", "__val").hint("merge"), ["__col", "__val"], "left_anti")     # P7
         base = seen.groupBy("__col").agg(F.count(F.lit(1)).alias("offset"))                   # a row a column
         table = seen.unionByName(planned_codes(unseen, "__col", "__val", base))               # U3
         # one row a value, with its code in each column: every column's join reads the same plan,

@@ -118,3 +118,15 @@ def test_widened_queries_return_all_rows(spark):
     assert encoded.exceptAll(whole).count() == 0
     splits = {r["split"]: r["count"] for r in QUERIES["task_import_entity_splits"](spark, SF).groupBy("split").count().collect()}
     assert set(splits) == {"train", "test"} and sum(splits.values()) == customer_quarter_task(spark, SF).count()
+
+
+def test_loaded_codes_are_not_broadcast(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"v{i % 7}") for i in range(50)], "n long, name string")
+    encoder = SafeLabelEncoderTransformer().fit(df)
+    encoder.codes_.write.parquet(str(tmp_path / "codes"))
+    encoder.codes_ = spark.read.parquet(str(tmp_path / "codes"))
+    out = encoder.transform(df.unionByName(spark.createDataFrame([(50, "a")], df.schema)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "LeftAnti" in line and "SortMergeJoin" in line]
+    assert not [line for line in plan.splitlines() if "LeftAnti" in line and "Broadcast" in line]
+    assert {r["n"]: r["name"] for r in out.collect()} == {i: i % 7 for i in range(50)} | {50: 7}
