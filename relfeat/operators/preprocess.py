@@ -154,10 +154,10 @@ class SafeLabelEncoderTransformer:
         if not cols:
             return df
         seen = self.codes_
-        vals = self._unpivot(df, cols).distinct()
-        # the values already lie by column and value; Spark would judge the codes by the bytes of their
-        # compressed files and hash them all in the driver.  The joins below have no hints: sizes decide
-        unseen = vals.join(seen.select("__col", "__val").hint("merge"), ["__col", "__val"], "left_anti")     # P7
+        # values and codes meet in one aggregate: in a join Spark would judge the codes by the bytes of
+        # their compressed files and hash them all in the driver
+        vals = self._unpivot(df, cols).withColumn("__seen", F.lit(0)).unionByName(seen.select("__col", "__val", F.lit(1).alias("__seen")))
+        unseen = vals.groupBy("__col", "__val").agg(F.max("__seen").alias("__seen")).where("__seen = 0").drop("__seen")  # P7
         base = seen.groupBy("__col").agg(F.count(F.lit(1)).alias("offset"))                   # a row a column
         table = seen.unionByName(planned_codes(unseen, "__col", "__val", base))               # U3
         # one row a value, with its code in each column: every column's join reads the same plan,
