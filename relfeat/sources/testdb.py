@@ -78,7 +78,8 @@ def customer_quarter_task(spark: SparkSession, sf_dir: str) -> DataFrame:
            .where(F.col("cutoff_time").isin(*qs))
            .groupBy(F.col("o_custkey").alias("c_custkey"), "cutoff_time")
            .agg(F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("spend_sum")))
-    return (task.join(win, ["c_custkey", "cutoff_time"], "left")
+    # a merge is asked for: Spark would judge ``win`` by the bytes of compressed files and hash it in the driver
+    return (task.join(win.hint("merge"), ["c_custkey", "cutoff_time"], "left")
             .select("c_custkey", "cutoff_time",
                     F.when(F.col("n_orders").isNull(), 1).otherwise(0).alias("churn"),
                     F.coalesce(F.col("spend_sum"), F.lit(0.0)).alias("spend")))
@@ -106,7 +107,7 @@ def user_purchase_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = (p.withColumn("i", idx).where((F.col("i") >= 0) & (F.col("i") < len(days)))
             .select("user_id", F.expr(f"timestampadd(DAY, CAST(i * 7 AS INT), TIMESTAMP_NTZ'{days[0]:%Y-%m-%d %H:%M:%S}')").alias("cutoff_time"))
             .distinct().withColumn("hit", F.lit(1)))
-    return task.join(hits, ["user_id", "cutoff_time"], "left").select(
+    return task.join(hits.hint("merge"), ["user_id", "cutoff_time"], "left").select(  # as above
         "user_id", "cutoff_time", F.coalesce(F.col("hit"), F.lit(0)).alias("target"))
 
 

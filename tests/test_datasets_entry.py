@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,21 @@ def test_history_by_any_column(spark):
     res = synthesize(db, task.drop("y"), mapping, "at", {"agg_primitives": ["mean", "count"]})
     got = sorted((str(r.town), r["at"].day, r.shops_town, r.shops_MEAN_relfeat_target_history_y, r.shops_COUNT_relfeat_target_history) for r in res.df.collect())
     assert got == [("None", 3, None, None, 0), ("n", 1, "n", None, 0), ("n", 2, "n", 1.0, 1), ("n", 3, "n", 2.0, 2), ("s", 2, "s", None, 0)]
+
+
+def test_targets_of_task_frames_are_not_broadcast(spark, tmp_path):
+    """The file of orders is small however many customers it holds: Spark must not judge by it."""
+    from relfeat.sources.testdb import customer_quarter_task, user_purchase_task
+    day = dt.datetime(1997, 4, 2)
+    orders = [(1, day, 10.0), (1, day, 5.0), (2, dt.datetime(1997, 6, 30), 7.0), (None, day, 1.0)]
+    spark.createDataFrame([(1,), (2,), (2,), (None,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame(orders, "o_custkey long, o_orderdate timestamp_ntz, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    bought = [(1, dt.datetime(2024, 1, 9), "purchase"), (1, dt.datetime(2024, 1, 10), "purchase"), (2, dt.datetime(2024, 1, 9), "view")]
+    spark.createDataFrame(bought, "user_id long, ts timestamp_ntz, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    quarters, users = customer_quarter_task(spark, str(tmp_path)), user_purchase_task(spark, str(tmp_path))
+    for task in (quarters, users):
+        assert "BroadcastHashJoin" not in task._jdf.queryExecution().executedPlan().toString()
+    assert quarters.count() == 4 * 16
+    # 30 June is 90 days after 1 April, one too many
+    assert [tuple(r) for r in quarters.where("churn = 0").select("c_custkey", "cutoff_time", "spend").collect()] == [(1, dt.datetime(1997, 4, 1), 15.0)]
+    assert users.count() == 6 and [tuple(r) for r in users.where("target = 1").collect()] == [(1, dt.datetime(2024, 1, 8), 1)]
