@@ -129,3 +129,22 @@ def test_loaded_codes_are_not_broadcast(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "LeftAnti" in line and "Broadcast" in line]
     assert {r["n"]: r["name"] for r in out.collect()} == {i: i % 7 for i in range(50)} | {50: 7}
+
+
+def test_whole_rows_are_shuffled_once_for_all_columns(spark):
+    import re
+    rows = [(i, f"a{i % 5}", None if i % 7 == 0 else f"b{i % 3}", f"c{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "payload long, a string, b string, c string").repartition(3)
+    out = SafeLabelEncoderTransformer().fit(df.where("payload < 50")).transform(df)
+    plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: hashpartitioning", plan)
+    assert len([x for x in inputs if "payload" in x]) == 1
+    orders = [sorted({r[j] or "nan" for r in rows[:50]}) + sorted({r[j] or "nan" for r in rows[50:]} - {r[j] or "nan" for r in rows[:50]}) for j in (1, 2, 3)]
+    want = {r[0]: tuple(o.index(r[j] or "nan") for j, o in zip((1, 2, 3), orders)) for r in rows}
+    assert {r.payload: (r.a, r.b, r.c) for r in out.collect()} == want
+
+
+def test_constants_are_found_without_joining_codes(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "one", None, f"v{i % 4}", "nan" if i % 2 else None) for i in range(20)], "n long, same string, none string, many string, nans string")
+    monkeypatch.setattr(SafeLabelEncoderTransformer, "transform", lambda *a: pytest.fail("codes were joined to find constants"))
+    assert sorted(TabularPreprocessor().fit(df).steps[-1][1].constant_columns_) == ["nans", "none", "same"]
