@@ -68,6 +68,7 @@ BIG_DOUBLE = float(2 ** 53)  # doubles at or beyond this magnitude hold integers
 BIG_LONG = float(2 ** 63)    # ... and from here on no ``long`` holds them
 _C = "__c"  # cutoff, epoch microseconds
 _K = "__k"  # key of the current query set
+FEW_KEYS = 10_000  # fewer keys than this don't deal a task frame out evenly
 HASHED_ROW, HASHED_TEXT = 48, 64  # bytes of a broadcast row besides 8 a column, and of a text column
 
 
@@ -166,6 +167,7 @@ class _Planner:
         self.hot_bounds: DataFrame | None = None   # of hot keys: the times at which they are cut
         self.hot_ranges, self.hot_chunks = 8, 1    # ... and value ranges and query shares of their medians
         self._heavy: dict = {}
+        self.split = False                         # did the last aggregates have hot keys?
         prims = set(cfg.agg_primitives)
         self.num_prims = [p for p in NUMERIC_PRIMITIVES if p in prims]
         self.cat_prims = [p for p in CATEGORY_PRIMITIVES if p in prims]
@@ -279,6 +281,8 @@ class _Planner:
             c_c = has_c and self.timed(e.child, r - 1, e)
             q = frame.select(_q(e.parent_col).alias(_K), *([F.col(_C)] if c_c else [])).distinct()
             cf, cfeats = self.child_aggs(e.child, e, q, r - 1, c_c, small)
+            if c_c and self.split and not small:  # the cutoffs of a hot key are not one task's either
+                frame = _by_pair(frame, _q(e.parent_col), F.col(_C))
             frame = self._join_back(frame, cf, e.parent_col, c_c, small)
             for f in cfeats:  # an existing row without visible children has count 0
                 if f.count:
@@ -365,11 +369,12 @@ class _Planner:
         label = self.label(child, e, self.db.children_of(e.parent), "child")
         if not self.num_prims and not self.cat_prims:
             r = 0  # only COUNT is requested: no child-row feature would be aggregated
+        hot = []
         if has_c and meta.time_column is not None and (self.prefix_ok(child, e, r) or self.spans_ok(child, e, r)):
             hot = self.hot_keys(child, e, q)
-            if hot:
-                return self._split_hot(child, e, q, r, label, small, hot)
-        return self._child_plan(child, e, q, r, has_c, label, small)
+        found = self._split_hot(child, e, q, r, label, small, hot) if hot else self._child_plan(child, e, q, r, has_c, label, small)
+        self.split = bool(hot)  # of this call, for the caller: calls inside have set their own
+        return found
 
     def _child_plan(self, child: str, e: Relationship, q: DataFrame, r: int, has_c: bool, label: str, small: bool,
                     share: Column | None = None) -> tuple[DataFrame, list[_Feat]]:
@@ -623,12 +628,20 @@ class _Planner:
         rows, feats = own.row_feats(rows, child, r, e, True, False, [_K, "__first", "__last"])
         num = [f for f in feats if f.kind == NUMERIC]
         cat = [f for f in feats if f.kind == CATEGORY] if self.cat_prims else []
-        rows = rows.withColumn("__nodes", nodes_of(F.col("__first"), F.col("__last")))
+        # spans, numbers and categories in one stream, and cutoffs: where no key is hot they go to their
+        # keys before they become many nodes each, and all that follows stays there
+        deal = _by_key if self.hot_bounds is None and self.strategy == "window" else lambda df: df
         node = [F.col("__n.height").alias("height"), F.col("__n.node").alias("node")]
-        above = cuts.select(_K, "__when", F.explode(nodes_above(F.col("number"), F.col("count"))).alias("__n")).select(_K, F.col("__when").alias(_C), *node)
+        above = deal(cuts.select(_K, F.col("__when").alias(_C), "number", "count"))
+        above = above.select(_K, _C, F.explode(nodes_above(F.col("number"), F.col("count"))).alias("__n")).select(_K, _C, *node)
+        numbers = lambda known: [(F.col(f.col) if known else F.lit(None).cast("long" if f.dtype == "long" else "double")).alias(f.col) for f in num]
+        recs = [F.struct(F.lit(-1).alias("__ci"), F.lit(None).cast("string").alias("__x"), *numbers(True))]
+        recs += [F.when(F.col(f.col).isNotNull(), F.struct(F.lit(i).alias("__ci"), F.col(f.col).cast("string").alias("__x"), *numbers(False))) for i, f in enumerate(cat)]
+        spread = deal(rows.select(_K, "__first", "__last", *[f.col for f in num + cat]))
+        spread = spread.select(_K, F.array(*recs).alias("__rs"), F.explode(nodes_of(F.col("__first"), F.col("__last"))).alias("__n"))
+        spread = spread.select(_K, *node, F.explode("__rs").alias("__r")).where(F.col("__r").isNotNull()).select(_K, "height", "node", "__r.*")
         by = [_K, "height", "node"]
 
-        spread = rows.select(_K, F.explode("__nodes").alias("__n"), *[F.col(f.col) for f in num]).select(_K, *node, *[F.col(f.col) for f in num])
         parts, merged, cols, out = [F.count(F.lit(1)).alias("__rows")], [F.sum("__rows").alias("__rows")], [], []
         for f in num:
             c, x = f.col, F.col(f.col)
@@ -660,20 +673,16 @@ class _Planner:
             col = _tmp()
             cols.append(F.col("__rows").alias(col))
             out.append(_Feat(col, f"COUNT({label})", NUMERIC, "long", ("count",), False, True))
-        res = above.join(spread.groupBy(*by).agg(*parts), by).groupBy(_K, _C).agg(*merged).select(_K, _C, *cols)
-        if cat:
-            values = F.explode(F.array(*[F.when(F.col(f.col).isNotNull(), F.struct(F.lit(i).alias("__ci"), F.col(f.col).cast("string").alias("__x"))) for i, f in enumerate(cat)]))
-            held = rows.select(_K, "__nodes", values.alias("__r")).where(F.col("__r").isNotNull()).select(_K, "__r.*", F.explode("__nodes").alias("__n"))
-            held = held.select(_K, "__ci", "__x", *node).groupBy(*by, "__ci", "__x").agg(F.count(F.lit(1)).alias("n"))
-            counts = above.join(held, by).groupBy(_K, _C, "__ci", "__x").agg(F.sum("n").alias("n"))
-            best = counts.groupBy(_K, _C, "__ci").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("__x").alias("v"))).alias("b"))
-            aggs = []
-            for i, f in enumerate(cat):
-                col = _tmp()
-                aggs.append(F.max(F.when(F.col("__ci") == i, F.col("b.v"))).alias(col))
-                out.append(_Feat(col, f"MODE({label}.{f.display})", CATEGORY, "string", ("mode",) + f.prims, f.epoch))
-            res = _beside(res, best.groupBy(_K, _C).agg(*aggs))
-        return res, out
+        # a row for the numbers of a cutoff, and one for each value of a category that it sees
+        held = spread.groupBy(*by, "__ci", "__x").agg(*parts)
+        seen = above.join(held, by).groupBy(_K, _C, "__ci", "__x").agg(*merged).select(_K, _C, "__ci", "__x", "__rows", *cols)
+        aggs = [F.max(F.when(F.col("__ci") == -1, F.col(f.col))).alias(f.col) for f in out]
+        for i, f in enumerate(cat):
+            col = _tmp()
+            best = F.min(F.when(F.col("__ci") == i, F.struct((-F.col("__rows")).alias("n"), F.col("__x").alias("v"))))
+            aggs.append(best.getField("v").alias(col))
+            out.append(_Feat(col, f"MODE({label}.{f.display})", CATEGORY, "string", ("mode",) + f.prims, f.epoch))
+        return (seen.groupBy(_K, _C).agg(*aggs) if aggs else seen.select(_K, _C).distinct()), out
 
     # ---- time-bucketed prefix plan (hot keys) ------------------------------------------------
     def _bucket(self, t: Column) -> Column:
@@ -833,6 +842,11 @@ def _by_key(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(_K))
 
 
+def _by_pair(df: DataFrame, key: Column, cutoff: Column) -> DataFrame:
+    """``df`` dealt out by key and cutoff, in the terms of a join on them that is null-safe in the cutoff."""
+    return df.repartition(key, F.coalesce(cutoff, F.lit(0).cast("long")), F.isnull(cutoff))
+
+
 def _column_events(rows: DataFrame, feats: list, when_visible, kind: str, asked: str | None = None) -> DataFrame:
     """``(key, time, column id, value)`` for every non-null value, all columns in one pass over
     ``rows`` (a parent's value only when the parent has a time).  Rows whose column ``asked`` is set
@@ -950,6 +964,8 @@ def synthesize(db: RelationalDataset, task: DataFrame, key_mappings: Mapping[str
             cond = cond & F.col(_C).eqNullSafe(F.col(c2))
         if planner.fits_broadcast(ef):
             ef = F.broadcast(ef)
+        elif has_c and row["d%d" % [t for t, _, _ in mappings].index(tcol)] < FEW_KEYS:  # task rows are not dealt out by few keys
+            ef = _by_pair(ef, F.col(k2), F.col(c2))
         out = out.join(ef, cond, "left").drop(k2, c2)
         lab = table if tables_seen.count(table) == 1 else f"{table}[{tcol}]"
         all_feats += [(_prefix(f, lab, keep_count=True), tcol) for f in feats]

@@ -259,3 +259,30 @@ def test_events_multiply_after_their_shuffle(spark):
     assert shuffled and not any("__ci" in line for line in shuffled)
     rows = {s: sorted(map(str, df.select("n", *sorted(df.columns)).collect())) for s, df in got.items()}
     assert rows["window"] == rows["join"]
+
+
+def _exchanges(df):
+    """(dealt by, columns) of each shuffle in the plan, joins and aggregates included."""
+    import re
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [(by, given.split(", ")) for given, by in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: hashpartitioning\((.*?), \d+\)", text)]
+
+
+def test_features_of_cutoffs_stay_with_their_key(three_levels, monkeypatch):
+    """Aggregates made by key are joined back by key and cutoff without being dealt out again; only task
+    rows of few keys meet their features by both."""
+    db, task = three_levels
+    run = lambda: synthesize(db, task, {"uid": "users.uid"}, "cutoff", {"max_depth": 2, "agg_primitives": PRIMS, "cutoff_strategy": "window", "broadcast_rows": 0}).df
+    assert len([by for by, _ in _exchanges(run()) if "coalesce" in by]) == 2  # null-safe cutoffs
+    monkeypatch.setattr("relfeat.plans.synthesis.FEW_KEYS", 0)
+    assert [by for by, _ in _exchanges(run()) if "coalesce" in by] == []
+    _same(_features(db, task, max_depth=2, agg_primitives=PRIMS, cutoff_strategy="window", broadcast_rows=0), _features(db, task, max_depth=2, agg_primitives=PRIMS, cutoff_strategy="join"))
+
+
+def test_spans_multiply_after_their_shuffle(three_levels):
+    """A row goes to its key before it becomes many nodes; numbers and categories do so together."""
+    db, task = three_levels
+    config = {"max_depth": 3, "agg_primitives": PRIMS, "cutoff_strategy": "window"}
+    found = _exchanges(synthesize(db, task, {"uid": "users.uid"}, "cutoff", {**config, "broadcast_rows": 0}).df)
+    assert not [by for by, given in found if "height" in by or any(g.startswith("height") for g in given)]
+    _same(_features(db, task, **config, broadcast_rows=0), _features(db, task, **{**config, "cutoff_strategy": "join"}))
