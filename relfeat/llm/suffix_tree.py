@@ -302,13 +302,25 @@ class _Bucket:
         return np.where((self.two > 0) & (self.one > 0), place, -1)
 
 
+def _by_bucket(positions: DataFrame, m: Contexts):
+    """Partitions whose rows come bucket by bucket.  Each bucket is a shuffle partition of its own and a
+    task reads several of them in turn: nothing is sorted, so nothing spills, however large they are."""
+    dealt = positions.repartitionById(m.buckets, F.col("bucket")).rdd
+    if dealt.getNumPartitions() != m.buckets:  # merged in between: their rows may alternate
+        return positions.repartitionById(m.partitions, F.col("partition")).sortWithinPartitions("bucket").rdd
+    return dealt.coalesce(m.partitions)
+
+
 def _buckets(model, rows):
-    """The buckets of a partition, one after another; rows come sorted by bucket."""
-    held, now = [], None
+    """The buckets of a partition, one after another; rows come bucket by bucket."""
+    held, now, ended = [], None, set()
     for row in rows:
         if row["bucket"] != now and held:
             yield _Bucket(model.value, held)
             held = []
+            ended.add(now)
+        if row["bucket"] in ended:
+            raise ValueError("a bucket's rows are apart")
         now = row["bucket"]
         held.append(row)
     if held:
@@ -420,7 +432,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_partition = max(1, -(-positions // (partitions * BUCKET)))
     m = Contexts(total, distinct, least, hot, h[order], n[order], partitions * per_partition, partitions)
     share = spark.sparkContext.broadcast
-    placed = _positions(slim, share(m)).repartitionById(partitions, F.col("partition")).sortWithinPartitions("bucket").rdd
+    placed = _by_bucket(_positions(slim, share(m)), m)
 
     found = spark.createDataFrame(placed.mapPartitions(_find_pairs(share(m))), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     found = found.where((F.col("kind") < 3) | (F.col("n") >= least)).toArrow()

@@ -109,3 +109,25 @@ def test_memory_of_a_map_task():
         tracemalloc.stop()
     assert rows >= 16
     assert peak < 100 << 20
+
+
+def test_buckets_come_whole_and_nothing_is_sorted(corpus, monkeypatch):
+    """Many buckets a partition: each is read by itself, in turn."""
+    rows, frame = corpus
+    monkeypatch.setattr(suffix_tree, "BUCKET", 32)
+    made, own = [], suffix_tree._by_bucket
+
+    def seen(positions, m):
+        placed = own(positions, m)
+        made.append((m.buckets, m.partitions, placed.getNumPartitions(), placed.toDebugString().decode(), placed.glom().map(lambda p: [r["bucket"] for r in p]).collect()))
+        return placed
+
+    monkeypatch.setattr(suffix_tree, "_by_bucket", seen)
+    expected, _, _ = plain_model([r[:2] for r in rows], least=4)
+    got = suffix_tree.score_documents(frame, min_count=4).collect()
+    for e, g in zip(sorted(expected, key=key), sorted((tuple(r) for r in got), key=key)):
+        assert e[:5] == g[:5] and math.isclose(e[5], g[5], rel_tol=1e-9) and math.isclose(e[6], g[6], rel_tol=1e-9)
+    buckets, partitions, held, lineage, parts = made[0]
+    assert buckets > 2 * partitions and held == partitions and "CoalescedRDD" in lineage
+    runs = [b for part in parts for i, b in enumerate(part) if i == 0 or part[i - 1] != b]
+    assert len(runs) == len(set(runs))
